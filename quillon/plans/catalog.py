@@ -1,0 +1,12 @@
+"""Queries over the driver's tables, one for each operator of the inventory, with the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
