@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import batch, chunks, ranges, texts_of
+from quillon.llm.common import added, batch, chunks, ranges, texts_of
 
 LONGEST = 512
 #: Pieces that a worker remembers at once; beyond it the table starts anew.
@@ -227,7 +227,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     """df with the column `ids` (array<int>) after its own columns, replacing one of that name.
 
     path: a ranks file that every executor has (an installed vocabulary). No shuffle, no state between rows."""
-    schema = df.drop(ids).schema.add(ids, "array<int>")
+    schema = added(df.drop(ids), f"{ids} array<int>")
     names = df.drop(ids).columns
 
     def run(batches):
@@ -244,7 +244,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the column `out` (binary): the bytes of the ids; null ids give no bytes."""
-    schema = df.drop(out).schema.add(out, "binary")
+    schema = added(df.drop(out), f"{out} binary")
     names = df.drop(out).columns
 
     def run(batches):

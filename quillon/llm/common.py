@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Text bytes that one Python step holds at once, whatever size Spark's Arrow batches have.
 CHUNK_BYTES = 4 << 20
@@ -65,3 +66,8 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def added(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df with more columns behind its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
