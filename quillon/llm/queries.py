@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, decontam, langid, linededup
+from quillon.llm import bpe, chat, decontam, fingerprint, langid, linededup, secrets
 from quillon.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.likeness(read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.digests(linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs)))
@@ -27,6 +31,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -39,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_line_dedup, op6_language_id, op9_chat_format, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op5_line_dedup, op6_language_id, op7_secret_scan, op9_chat_format, op10_byte_bpe)}
 
 ORACLE = {
     "op1_decontamination": r"""
