@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, decontam, fingerprint, langid, linededup, secrets
+from quillon.llm import bpe, chat, decontam, fingerprint, langid, linededup, neardup, secrets
 from quillon.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.likeness(read(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.digests(linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs)))
@@ -47,7 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op5_line_dedup, op6_language_id, op7_secret_scan, op9_chat_format, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_near_dedup, op5_line_dedup, op6_language_id, op7_secret_scan, op9_chat_format, op10_byte_bpe)}
 
 ORACLE = {
     "op1_decontamination": r"""
