@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, decontam, fingerprint, langid, linededup, neardup, secrets
+from quillon.llm import bpe, chat, decontam, fingerprint, langid, linededup, lm, neardup, secrets
 from quillon.llm.common import read
 
 
@@ -39,6 +39,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out"))
+    return lm.score(docs, "held_out")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -51,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_near_dedup, op5_line_dedup, op6_language_id, op7_secret_scan, op9_chat_format, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_near_dedup, op5_line_dedup, op6_language_id, op7_secret_scan, op8_lm_score, op9_chat_format, op10_byte_bpe)}
 
 ORACLE = {
     "op1_decontamination": r"""
