@@ -18,15 +18,13 @@ their own. Rows that share a doc_id each keep their row. Nodes are 64-bit hashes
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import batch, checkpointed, chunks, texts_of
+from quillon.llm.common import batch, checkpointed, chunks, stored, texts_of
 from quillon.llm.decontam import words
 
 SHINGLE = 5
@@ -210,15 +208,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = checkpointed(small)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as Parquet in the checkpoint folder, smaller than a checkpoint of rows that hold text."""
-    spark = df.sparkSession
-    checkpointed(spark.range(1).coalesce(1))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _labelled(df: DataFrame, labels: DataFrame | None, node: str = "node", out: str = "label") -> DataFrame:
     if labels is None:
         return df.withColumn(out, F.col(node))
@@ -226,7 +215,7 @@ def _labelled(df: DataFrame, labels: DataFrame | None, node: str = "node", out:
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id for every row."""
+    """doc_id, class_id and node (hash of the text) for every row."""
     nodes = _nodes(df, key, text)
     keys = _keys(nodes).groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     keys = checkpointed(keys)
@@ -263,5 +252,5 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: flo
         left, first = open_.select("key", "node", "n"), False
     marks = _labelled(nodes.select("doc_id", "node", (F.length(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) > 0).alias("worded")), labels)
     ids = marks.where("worded").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    alone = marks.where("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"))
-    return marks.where("worded").join(ids, "label").select("doc_id", "class_id").unionByName(alone)
+    alone = marks.where("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), "node")
+    return marks.where("worded").join(ids, "label").select("doc_id", "class_id", "node").unionByName(alone)

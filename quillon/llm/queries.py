@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, decontam, fingerprint, langid, linededup, lm, neardup, secrets
+from quillon.llm import bpe, chat, decontam, fingerprint, langid, licenses, linededup, lm, neardup, secrets
 from quillon.llm.common import read
 
 
@@ -20,7 +21,16 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(read(spark, sf_dir, "documents"))
+    return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct("licenses.name")), ",").alias("names"),
+        F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("best_coverage"),
+        F.expr("array_join(transform(licenses, m -> concat(m.name, ':', m.start, ':', m.end, ':', bround(m.coverage, 3))), ',')").alias("spans"),
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_near_dedup, op5_line_dedup, op6_language_id, op7_secret_scan, op8_lm_score, op9_chat_format, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_near_dedup, op4_license_scan, op5_line_dedup, op6_language_id, op7_secret_scan, op8_lm_score, op9_chat_format, op10_byte_bpe)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE = {
     "op1_decontamination": r"""
