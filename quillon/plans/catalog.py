@@ -1,12 +1,370 @@
-"""Queries over the driver's tables, one for each operator of the inventory, with the SQL that checks them."""
+"""Queries over the driver's tables, one or more for each operator of the inventory, with the SQL that checks them.
+
+documents stands in for the corpus: domain is lang, source is human, gpt or claude by the number in srcN, author is null
+(or the parity of doc_id where a query needs authors). Names begin with the operators' ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon import schemas
+from quillon.functions import text as X
+from quillon.operators import dependency, motifs, parse, repair, stats, trees
+from quillon.plans import report
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+KEYS = ["domain", "source"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
+    source = F.element_at(F.array(*map(F.lit, schemas.SOURCES)), F.substring("source", 4, 9).cast("int") % 3 + 1)
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("domain"), source.alias("source"), F.lit(None).cast("string").alias("author"), "text")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files have fewer parts than that: parsing costs far more than moving a small input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.remove_empty(parse.sentences(documents(spark, sf_dir)))
+
+
+def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.parse_constituency(corpus(spark, sf_dir))
+
+
+CORPUS = "corpus AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS domain, ['human', 'gpt', 'claude'][CAST(substr(source, 4) AS INT) % 3 + 1] AS source, CAST(NULL AS VARCHAR) AS author, text FROM documents)"
+SENTS = CORPUS + r""",
+raw AS (SELECT doc_id, domain, source, author, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*')) AS s, unnest(range(len(regexp_extract_all(text, '[^.!?\n]+[.!?]*')))) AS k FROM corpus),
+sents AS (SELECT doc_id, domain, source, author, CAST(k AS INT) AS sent_idx, regexp_replace(s, '^\s+|\s+$', '', 'g') AS sent_text FROM raw WHERE regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')"""
+PARSES = SENTS + ",\nparses AS MATERIALIZED (SELECT row_number() OVER () AS sid, *, " + parse.bracket_sql("sent_text", parse.DUCKDB) + " AS parse_str FROM sents)"
+NODES = PARSES + r""",
+tok AS (SELECT sid, unnest(regexp_extract_all(parse_str, '\([^ ()]*|\)|[^ ()]+')) AS t, unnest(range(len(regexp_extract_all(parse_str, '\([^ ()]*|\)|[^ ()]+')))) AS pos FROM parses),
+lev AS (SELECT *, sum(CASE WHEN t[1] = '(' THEN 1 WHEN t = ')' THEN -1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY pos) AS d FROM tok),
+nodes AS MATERIALIZED (SELECT sid, pos, d - 1 AS depth, substr(t, 2) AS label FROM lev WHERE t[1] = '(')"""
+MOTIFS = NODES + r""",
+ends AS (SELECT n.sid, n.pos, n.depth, coalesce(min(m.pos), 1000000000) AS stop FROM nodes n LEFT JOIN nodes m ON m.sid = n.sid AND m.pos > n.pos AND m.depth <= n.depth GROUP BY ALL),
+sub AS (SELECT n.sid, n.pos AS root, n.depth AS rd, x.d, m.pos, m.depth, m.label, lag(m.depth) OVER (PARTITION BY n.sid, n.pos, x.d ORDER BY m.pos) AS pd
+        FROM ends n JOIN nodes m ON m.sid = n.sid AND m.pos >= n.pos AND m.pos < n.stop JOIN (SELECT unnest([2, 3, 4]) AS d) x ON m.depth < n.depth + x.d),
+made AS (SELECT sid, root, d, string_agg(CASE WHEN pd IS NULL THEN '(' || label ELSE repeat(')', CAST(pd - depth + 1 AS INT)) || ' (' || label END, '' ORDER BY pos) || repeat(')', CAST(arg_max(depth, pos) - rd + 1 AS INT)) AS pattern FROM sub GROUP BY sid, root, rd, d),
+emitted AS MATERIALIZED (SELECT domain, source, author, doc_id, sent_idx, sent_text, root, d, sid, pattern FROM made JOIN parses USING (sid) WHERE len(regexp_extract_all(pattern, '\([A-Z$][A-Z0-9$-]*\)')) >= 2)"""
+COUNTS = MOTIFS + ",\ncounts AS MATERIALIZED (SELECT domain, source, pattern, count(*) AS cnt FROM emitted GROUP BY ALL),\nn AS (SELECT domain, source, count(*) AS total FROM sents GROUP BY ALL)"
+COMPARED = COUNTS + """,
+wide AS (SELECT domain, pattern, coalesce(max(cnt) FILTER (source = 'gpt'), 0) AS g, coalesce(max(cnt) FILTER (source = 'claude'), 0) AS c, coalesce(max(cnt) FILTER (source = 'human'), 0) AS h FROM counts GROUP BY ALL),
+size AS (SELECT domain, max(total) FILTER (source = 'gpt') AS ng, max(total) FILTER (source = 'claude') AS nc, max(total) FILTER (source = 'human') AS nh FROM n GROUP BY ALL),
+pmi AS (SELECT domain, pattern, log2((g / ng) / (CASE WHEN h = 0 THEN 0.5 ELSE h END / nh)) AS gp, log2((c / nc) / (CASE WHEN h = 0 THEN 0.5 ELSE h END / nh)) AS cp FROM wide JOIN size USING (domain) WHERE g >= 15 AND c >= 15),
+cmp AS (SELECT domain, pattern, round(gp, 6) AS gpt_pmi, round(cp, 6) AS claude_pmi, round(abs(gp - cp), 6) AS model_gap, round(abs(gp), 6) AS gpt_deviation, round(abs(cp), 6) AS claude_deviation FROM pmi)"""
+TYPES = NODES + """,
+clause AS (SELECT sid, min(pos) AS pos FROM nodes WHERE depth >= 1 AND label IN ('S', 'SBAR') GROUP BY sid),
+over_ AS (SELECT c.sid, arg_max(t.label, t.pos) AS label FROM clause c JOIN nodes t ON t.sid = c.sid AND t.depth = 1 AND t.pos <= c.pos GROUP BY c.sid),
+flags AS (SELECT sid, bool_or(depth = 1 AND label = 'S') AS s, bool_or(depth = 1 AND label = 'VP') AS vp, bool_or(label = 'SBAR') AS sb FROM nodes GROUP BY sid),
+typed AS MATERIALIZED (SELECT parses.*, CASE WHEN s AND sb THEN 'COMPLEX-COMPOUND' WHEN s THEN 'COMPOUND' WHEN vp AND sb THEN 'COMPLEX' WHEN vp THEN 'SIMPLE' ELSE 'OTHER' END AS feng_algo_1,
+          CASE WHEN over_.label IS NULL THEN 'OTHER' WHEN over_.label = 'VP' THEN 'LOOSE' ELSE 'PERIODIC' END AS feng_algo_2 FROM parses JOIN flags USING (sid) LEFT JOIN over_ USING (sid))"""
+WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda w: w <> ''))"
+
+
+def described(column: str, digits: int) -> str:
+    r = lambda e: f"round_even({e}, {digits})"
+    q = ", ".join(f"{r(f'quantile_cont({column}, {p})')} AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75))
+    return f"count({column}) AS count, {r(f'avg({column})')} AS mean, {r(f'stddev_samp({column})')} AS std, CAST({r(f'min({column})')} AS DOUBLE) AS min, {q}, CAST({r(f'max({column})')} AS DOUBLE) AS max"
+
+
+LENGTHS = SENTS + f""",
+lens AS (SELECT doc_id, domain, source, CAST({WORDS.format('sent_text')} AS DOUBLE) AS n FROM sents),
+per AS (SELECT doc_id, domain, source, count(*) AS sent_count, avg(n) AS mean_sent_length, var_samp(n) AS sent_length_var FROM lens GROUP BY ALL),
+docs AS (SELECT c.doc_id, c.domain, c.source, coalesce(sent_count, 0) AS sent_count, mean_sent_length, sent_length_var FROM corpus c LEFT JOIN per USING (doc_id))"""
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, domain, source, {WORDS.format('text')} AS word_count FROM corpus")
+def x1_word_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", *KEYS, X.word_count(F.col("text")).alias("word_count"))
+
+
+@query(f"WITH {CORPUS} SELECT domain, source, count(*) AS n FROM corpus GROUP BY ALL")
+def a1_count(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CORPUS}, w AS (SELECT domain, source, {WORDS.format('text')} AS n FROM corpus) SELECT domain, source, {described('n', 1)} FROM w GROUP BY ALL")
+def a4_describe_words(spark, sf_dir):
+    return stats.describe(x1_word_count(spark, sf_dir), KEYS, "word_count", 1)
+
+
+@query("SELECT event_type, " + described("value", 4) + " FROM events GROUP BY ALL")
+def a4_describe_events(spark, sf_dir):
+    return stats.describe(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "value", 4)
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, {WORDS.format('text')} = 0 AS dropped FROM corpus WHERE domain = 'en' AND source = 'human'")
+def f1_f3_filters(spark, sf_dir):
+    rows = x1_word_count(spark, sf_dir).where((F.col("domain") == "en") & (F.col("source") == "human"))
+    return rows.select("doc_id", (F.col("word_count") == 0).alias("dropped"))
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, nullif(domain, 'fr') AS domain FROM corpus WHERE nullif(domain, 'fr') IS DISTINCT FROM 'en'")
+def f2_not_equal_keeps_null(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.nullif("domain", F.lit("fr")).alias("domain"))
+    return rows.where(~F.col("domain").eqNullSafe("en"))
+
+
+@query(f"WITH {SENTS} SELECT doc_id, domain, source, sent_idx, sent_text FROM sents")
+def e1_sentences(spark, sf_dir):
+    return sentences(spark, sf_dir).select("doc_id", *KEYS, "sent_idx", "sent_text")
+
+
+@query(f"WITH {LENGTHS} SELECT doc_id, sent_count, round(mean_sent_length, 6) AS mean_sent_length, round(sent_length_var, 6) AS sent_length_var FROM docs")
+def a6_document_stats(spark, sf_dir):
+    rows = parse.with_metrics(documents(spark, sf_dir))
+    return rows.select("doc_id", "sent_count", F.round("mean_sent_length", 6).alias("mean_sent_length"), F.round("sent_length_var", 6).alias("sent_length_var"))
+
+
+@query(f"WITH {LENGTHS}, long AS (SELECT domain, source, 'sent_count' AS metric, CAST(sent_count AS DOUBLE) AS v FROM docs UNION ALL SELECT domain, source, 'mean_sent_length', mean_sent_length FROM docs UNION ALL SELECT domain, source, 'sent_length_var', sent_length_var FROM docs) SELECT domain, source, metric, {described('v', 2)} FROM long GROUP BY ALL")
+def a5_describe_sentences(spark, sf_dir):
+    return stats.describe_many(parse.with_metrics(documents(spark, sf_dir)), KEYS, ["sent_count", "mean_sent_length", "sent_length_var"], 2)
+
+
+@query(f"WITH {SENTS}, per AS (SELECT domain, source, doc_id, count(*) AS n FROM sents GROUP BY ALL) SELECT domain, source, {described('n', 2)} FROM per GROUP BY ALL")
+def a2_a3_sentences_per_document(spark, sf_dir):
+    per = sentences(spark, sf_dir).groupBy(*KEYS, "doc_id").agg(F.count("*").alias("n_sents"))
+    return stats.describe(per, KEYS, "n_sents", 2)
+
+
+@query(f"WITH {PARSES} SELECT doc_id, sent_idx, parse_str FROM parses")
+def e2_constituency(spark, sf_dir):
+    return parses(spark, sf_dir).select("doc_id", "sent_idx", "parse_str")
+
+
+@query(f"WITH {NODES} SELECT label, CAST(depth AS INT) AS depth, count(*) AS n FROM nodes GROUP BY ALL")
+def c1_e4_nodes(spark, sf_dir):
+    nodes = parses(spark, sf_dir).select(F.explode(trees.parse_tree("parse_str")).alias("n")).where("n.label IS NOT NULL")
+    return nodes.groupBy("n.label", F.col("n.depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
+
+
+def typed(spark, sf_dir):
+    return trees.classify(parses(spark, sf_dir))
+
+
+@query(f"WITH {TYPES} SELECT doc_id, sent_idx, feng_algo_1, feng_algo_2 FROM typed")
+def c9_c11_sentence_types(spark, sf_dir):
+    return typed(spark, sf_dir).select("doc_id", "sent_idx", "feng_algo_1", "feng_algo_2")
+
+
+@query(f"WITH {TYPES} SELECT domain, feng_algo_1, feng_algo_2, count(*) AS n FROM typed GROUP BY ALL")
+def c8_c10_types_by_expression(spark, sf_dir):
+    rows = parses(spark, sf_dir).select("domain", trees.parse_tree("parse_str").alias("nodes"))
+    rows = rows.select("domain", trees.type_1(F.col("nodes")).alias("feng_algo_1"), trees.type_2(F.col("nodes")).alias("feng_algo_2"))
+    return rows.groupBy("domain", "feng_algo_1", "feng_algo_2").agg(F.count("*").alias("n"))
+
+
+def shares(column: str, values: list[str], digits: int | None) -> str:
+    one = lambda v: f"count(*) FILTER ({column} = '{v}') / count(*)"
+    return ", ".join(f'{f"round_even({one(v)}, {digits})" if digits is not None else one(v)} AS "{v}"' for v in values)
+
+
+@query(f"WITH {TYPES} SELECT domain, source, {shares('feng_algo_1', schemas.TYPE_1, 3)} FROM typed GROUP BY ALL")
+def a7_type_1_distribution(spark, sf_dir):
+    return stats.proportions(typed(spark, sf_dir), KEYS, "feng_algo_1", schemas.TYPE_1, 3)
+
+
+@query(f"WITH {TYPES} SELECT domain, source, {shares('feng_algo_2', schemas.TYPE_2, 3)} FROM typed GROUP BY ALL")
+def a7_type_2_distribution(spark, sf_dir):
+    return stats.proportions(typed(spark, sf_dir), KEYS, "feng_algo_2", schemas.TYPE_2, 3)
+
+
+@query(f"WITH {TYPES} SELECT domain, source, doc_id, {shares('feng_algo_1', schemas.TYPE_1, 6)} FROM typed GROUP BY ALL")
+def a8_type_1_by_document(spark, sf_dir):
+    return stats.proportions(typed(spark, sf_dir), [*KEYS, "doc_id"], "feng_algo_1", schemas.TYPE_1, 6)
+
+
+def varied(column: str, values: list[str]) -> str:
+    stds = ", ".join(f'round_even(stddev_samp("{v}"), 3) AS "{v}"' for v in values)
+    return f"WITH {TYPES}, per AS (SELECT domain, source, doc_id, {shares(column, values, None)} FROM typed GROUP BY ALL) SELECT domain, source, {stds} FROM per GROUP BY ALL"
+
+
+@query(varied("feng_algo_1", schemas.TYPE_1))
+def a9_type_1_variability(spark, sf_dir):
+    return stats.variability(typed(spark, sf_dir), KEYS, ["doc_id"], "feng_algo_1", schemas.TYPE_1)
+
+
+@query(varied("feng_algo_2", schemas.TYPE_2))
+def a9_type_2_variability(spark, sf_dir):
+    return stats.variability(typed(spark, sf_dir), KEYS, ["doc_id"], "feng_algo_2", schemas.TYPE_2)
+
+
+def counts(spark, sf_dir):
+    return motifs.count_motifs(parses(spark, sf_dir))
+
+
+@query(f"WITH {COUNTS} SELECT * FROM counts")
+def a10_motif_counts(spark, sf_dir):
+    return counts(spark, sf_dir)
+
+
+@query(f"WITH {MOTIFS} SELECT domain, pattern, count(*) AS cnt FROM emitted WHERE domain = 'es' GROUP BY ALL")
+def e5_e7_motifs_by_expression(spark, sf_dir):
+    rows = parses(spark, sf_dir).where("domain = 'es'").select("domain", trees.parse_tree("parse_str").alias("nodes"))
+    return rows.select("domain", F.explode(trees.node_motifs()).alias("m")).groupBy("domain", F.col("m.pattern").alias("pattern")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"""WITH {MOTIFS},
+numbered AS (SELECT sid, row_number() OVER (PARTITION BY domain, source ORDER BY author NULLS FIRST, doc_id, sent_idx) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY domain, source) // 7) AS size FROM parses),
+per AS (SELECT domain, source, r // size AS chunk, pattern, count(*) AS cnt FROM emitted JOIN numbered USING (sid) GROUP BY ALL)
+SELECT domain, source, pattern, max(cnt) AS cnt FROM per GROUP BY ALL""")
+def a11_motif_counts_max_chunk(spark, sf_dir):
+    return motifs.count_motifs(parses(spark, sf_dir), mode="max_chunk", n_chunks=7)
+
+
+@query(f"WITH {SENTS} SELECT domain, source, count(*) AS total FROM sents GROUP BY ALL")
+def a14_totals(spark, sf_dir):
+    return motifs.totals(sentences(spark, sf_dir).withColumn("parse_str", F.lit("")))
+
+
+@query(f"""WITH {COUNTS}, own AS (SELECT * FROM counts WHERE source = 'gpt' AND cnt >= 5)
+SELECT o.domain, o.pattern, round(log2((o.cnt / a.total) / (coalesce(h.cnt, 0.5) / b.total)), 6) AS pmi
+FROM own o LEFT JOIN counts h ON h.domain = o.domain AND h.pattern = o.pattern AND h.source = 'human' JOIN n a ON a.domain = o.domain AND a.source = 'gpt' JOIN n b ON b.domain = o.domain AND b.source = 'human'""")
+def a16_j2_pmi(spark, sf_dir):
+    rows = parses(spark, sf_dir)
+    return motifs.pmi(counts(spark, sf_dir), motifs.totals(rows), "gpt").withColumn("pmi", F.round("pmi", 6))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("gpt_pmi", "claude_pmi", "model_gap", "gpt_deviation", "claude_deviation")})
+
+
+def compared(spark, sf_dir):
+    return motifs.compare(counts(spark, sf_dir), motifs.totals(sentences(spark, sf_dir).withColumn("parse_str", F.lit(""))))
+
+
+@query(f"WITH {COMPARED} SELECT * FROM cmp")
+def j3_p4_compare(spark, sf_dir):
+    return rounded(compared(spark, sf_dir))
+
+
+def ranked(by: str) -> str:
+    return f"WITH {COMPARED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY domain ORDER BY {by} DESC, pattern) AS INT) AS rank FROM cmp) SELECT * FROM r WHERE rank <= 4"
+
+
+@query(ranked("model_gap"))
+def t1_top_gap(spark, sf_dir):
+    return motifs.top(rounded(compared(spark, sf_dir)), "model_gap")
+
+
+@query(ranked("gpt_deviation"))
+def t2_top_gpt(spark, sf_dir):
+    return motifs.top(rounded(compared(spark, sf_dir)), "gpt_deviation")
+
+
+@query(ranked("claude_deviation"))
+def t3_top_claude(spark, sf_dir):
+    return motifs.top(rounded(compared(spark, sf_dir)), "claude_deviation")
+
+
+@query()
+def a12_j4_examples(spark, sf_dir):
+    tops = report.top_motifs(rounded(compared(spark, sf_dir)))
+    found = report.with_examples(tops, parses(spark, sf_dir))
+    return found.select("domain", "section", "rank", "pattern", F.to_json("examples").alias("examples"))
+
+
+@query()
+def k3_p5_report(spark, sf_dir):
+    tops = report.top_motifs(rounded(compared(spark, sf_dir)))
+    return report.lines(report.with_examples(tops, parses(spark, sf_dir)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return t1_top_gap(spark, sf_dir)
+
+
+@query(f"""WITH {CORPUS}, w AS (SELECT domain, source, {WORDS.format('text')} AS v FROM corpus),
+q AS (SELECT domain, source, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM w GROUP BY ALL)
+SELECT domain, source, q25, q50, q75, CAST(min(v) AS DOUBLE) AS whisker_low, CAST(max(v) AS DOUBLE) AS whisker_high FROM w JOIN q USING (domain, source) WHERE v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) GROUP BY ALL""")
+def k4_a18_box(spark, sf_dir):
+    return stats.box(x1_word_count(spark, sf_dir), KEYS, "word_count")
+
+
+CHAIN = r"""array_to_string(list_transform(list_filter(string_split(sent_text, ' '), lambda w: w <> ''), lambda w, k: k || chr(9) || w || chr(9) || CASE WHEN regexp_matches(w, '^[0-9]') THEN 'NUM' ELSE 'X' END || chr(9) || (k - 1) || chr(9) || CASE WHEN k = 1 THEN 'ROOT' ELSE 'dep' END), chr(10))"""
+
+
+@query(f"WITH {SENTS} SELECT doc_id, sent_idx, {CHAIN} AS parse_str FROM sents")
+def c13_e3_dependency(spark, sf_dir):
+    return dependency.parse_dependency(sentences(spark, sf_dir)).select("doc_id", "sent_idx", "parse_str")
+
+
+AUTHORS = "CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN NULL ELSE 'a' || CAST(doc_id AS BIGINT) % 2 END"
+
+
+def lookup(spark, sf_dir):
+    docs = corpus(spark, sf_dir).withColumn("author", F.expr(AUTHORS.replace("doc_id", "id")))
+    return repair.author_lookup(docs, "fr").where("author IS NOT NULL AND sent_text <> ''").dropDuplicates(repair.KEYS)
+
+
+@query(f"WITH {SENTS} SELECT doc_id, sent_idx, domain, CASE WHEN domain = 'fr' THEN {AUTHORS} END AS author FROM sents")
+def j1_u1_author_repair(spark, sf_dir):
+    return repair.recover_authors(sentences(spark, sf_dir), lookup(spark, sf_dir), "fr").select("doc_id", "sent_idx", "domain", "author")
+
+
+@query(f"WITH {SENTS} SELECT count(*) AS n_rows, count(*) FILTER ({AUTHORS} IS NULL) AS n_unmatched FROM sents WHERE domain = 'fr'")
+def f11_a15_unmatched(spark, sf_dir):
+    return repair.unmatched(repair.recover_authors(sentences(spark, sf_dir), lookup(spark, sf_dir), "fr"), "fr")
+
+
+@query(f"WITH {SENTS} SELECT source, doc_id, sent_idx, sent_text FROM sents WHERE domain = 'de' AND sent_text IN (SELECT sent_text FROM sents WHERE domain = 'de' GROUP BY sent_text HAVING count(*) > 1)")
+def a17_t4_duplicates(spark, sf_dir):
+    rows = sentences(spark, sf_dir).where("domain = 'de'").select("source", "doc_id", "sent_idx", "sent_text")
+    return stats.duplicates(rows, ["sent_text"]).orderBy("source", "doc_id", "sent_idx")
+
+
+@query(f"WITH {PARSES} SELECT doc_id, sent_idx, CAST(len(regexp_extract_all(parse_str, '\\([A-Z$][A-Z0-9$-]*\\)')) AS INT) AS n_terminals, array_to_string(regexp_extract_all(parse_str, '\\(([A-Z$]+[A-Z0-9$-]*)', 1), ' ') AS labels FROM parses WHERE domain = 'de'")
+def c4_c7_labels(spark, sf_dir):
+    rows = parses(spark, sf_dir).where("domain = 'de'")
+    return rows.select("doc_id", "sent_idx", X.n_terminals(F.col("parse_str")).alias("n_terminals"), F.array_join(X.labels(F.col("parse_str")), " ").alias("labels"))
+
+
+@query(f"""WITH {SENTS}, m AS (SELECT doc_id, sent_idx, sent_text, strpos(lower(sent_text), ' the ') AS p FROM sents WHERE domain = 'en'),
+h AS (SELECT doc_id, sent_idx, CASE WHEN p = 0 THEN sent_text ELSE substr(sent_text, 1, p) || '**' || substr(sent_text, p + 1, 3) || '**' || substr(sent_text, p + 4) END AS s FROM m WHERE NOT regexp_matches(substr(sent_text, 1, CASE WHEN p = 0 THEN 100000 ELSE p END), '(?i)\\bthe\\b')),
+x AS (SELECT *, strpos(s, '**') AS mark FROM h)
+SELECT doc_id, sent_idx, CASE WHEN length(s) <= 60 THEN s WHEN mark = 0 OR mark - 1 < 30 THEN substr(s, 1, 60) || '...' ELSE '...' || substr(s, mark - 30, 60) || '...' END AS shown FROM x""")
+def x5_x6_highlight_truncate(spark, sf_dir):
+    rows = sentences(spark, sf_dir).where("domain = 'en'")
+    p = F.locate(" the ", F.lower("sent_text"))
+    rows = rows.where(~F.substring(F.col("sent_text"), F.lit(1), F.when(p == 0, 100000).otherwise(p)).rlike(r"(?i)\bthe\b"))
+    return rows.select("doc_id", "sent_idx", X.smart_truncate(X.highlight(F.col("sent_text"), F.lit("the")), 60).alias("shown"))
+
+
+@query("SELECT role AS source, count(*) AS n, CAST(sum(" + WORDS.format("text") + ") AS BIGINT) AS words FROM conversations GROUP BY ALL")
+def f8_f9_projection(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("role").alias("source"), X.word_count(F.col("text")).alias("w"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("w").alias("words"))
+
+
+@query("SELECT d.doc_id, coalesce(quality, -1) AS quality FROM documents d LEFT JOIN labels USING (doc_id)")
+def x12_lookup_with_default(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return docs.select("doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query(f"WITH {COUNTS} SELECT domain, pattern FROM counts WHERE source = 'gpt' AND cnt >= 15 INTERSECT SELECT domain, pattern FROM counts WHERE source = 'claude' AND cnt >= 15")
+def u2_intersection(spark, sf_dir):
+    own = counts(spark, sf_dir).where("cnt >= 15")
+    return own.where("source = 'gpt'").select("domain", "pattern").intersect(own.where("source = 'claude'").select("domain", "pattern"))
