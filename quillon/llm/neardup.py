@@ -6,10 +6,13 @@ key, so a key holds order as well as content; texts that share a key are candida
 longest common subsequence of their shingle sequences, inside the band that a similarity of SIMILAR leaves, and are
 linked if common / (all - common) reaches it. Classes are the connected components of the links.
 
-No group is expanded into all its pairs: in a bucket every node meets the bucket's smallest node. Members of other
-classes than that node's stay for the next round with a new smallest node until a bucket has one class or one node left;
-buckets of up to SMALL texts compare all their members of different classes at once. First each node meets the candidate
-with which it shares most keys, which already joins nearly all of every true group.
+Of pairs that just reach SIMILAR, (1 - SIMILAR ** PICKED) ** SKETCHES, one in 3,000, share no key. No large group is
+expanded into its pairs: each node first meets the candidate with which it shares most keys among the smallest nodes of
+its buckets, which joins nearly all of every true group. Then only nodes of different classes meet: every node its
+bucket's smallest; in buckets of up to SMALL texts all pairs; a larger bucket that still holds several classes is split
+by SPLIT of the keys that follow, and its parts are treated likewise (SMALL_PART). Lengths that rule out the similarity
+are left out before any text moves. What two such texts may lose is a link that lies in none of their shared keys' small
+buckets or parts and of which neither is the smallest.
 
 Result: doc_id and class_id, the smallest doc_id of the class. Words: A-Z lower-cased, runs of letters, digits and
 non-ASCII characters; a text of fewer than SHINGLE words is one shingle; texts without words (null, empty) are classes of
@@ -29,9 +32,11 @@ from quillon.llm.decontam import words
 
 SHINGLE = 5
 SIMILAR = 0.8
-SKETCHES = 12
-PICKED = 3
-SMALL = 32
+SKETCHES = 20
+PICKED = 5
+#: Buckets of up to so many texts are compared pair by pair; larger ones are split by SPLIT of the other keys into parts.
+SMALL, SMALL_PART = 64, 16
+SPLIT = 4
 REMEMBERED = 300_000
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * _P[0]) ^ _P[1]
@@ -151,12 +156,12 @@ def _nodes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         of = Shingler()
         for part in chunks(batches, "text"):
-            node, keys = [], []
+            node, size, keys = [], [], []
             seen = set()
             for n, t in zip(part.column("node").to_pylist(), texts_of(part.column("text")).to_pylist(), strict=True):
                 if n not in seen:
@@ -164,11 +169,12 @@ def _keys(nodes: DataFrame) -> DataFrame:
                     s = of(t)
                     if len(s):
                         node.append(n)
+                        size.append(len(s))
                         keys.append(sketch(s))
             if node:
-                yield batch(schema, node, pa.ListArray.from_arrays(pa.array(np.arange(0, len(node) * SKETCHES + 1, SKETCHES, dtype=np.int32)), pa.array(np.concatenate(keys))))
+                yield batch(schema, node, size, pa.ListArray.from_arrays(pa.array(np.arange(0, len(node) * SKETCHES + 1, SKETCHES, dtype=np.int32)), pa.array(np.concatenate(keys))))
 
-    return nodes.select("node", "text").mapInArrow(run, "node long, keys array<long>")
+    return nodes.select("node", "text").mapInArrow(run, "node long, size int, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -214,42 +220,44 @@ def _labelled(df: DataFrame, labels: DataFrame | None, node: str = "node", out:
     return df.join(labels.select(F.col("node").alias(node), F.col("label").alias("_l")), node, "left").withColumn(out, F.coalesce("_l", node)).drop("_l")
 
 
+def _possible(pairs: DataFrame, similar: float) -> DataFrame:
+    """The pairs whose numbers of shingles m and n don't rule the similarity out."""
+    return pairs.where(F.least("m", "n") >= similar * F.greatest("m", "n"))
+
+
+def _meet(members: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b, m, n) of different labels in the buckets of members (key, node, size, label): all of a small bucket,
+    and each with the smallest node of a larger one."""
+    counted = members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "size", "label")).alias("least")).where("c > 1")
+    rows = members.select("key", "node", "size", "label").join(counted, "key")
+    star = rows.where((F.col("c") > small) & (F.col("label") != F.col("least.label"))).select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
+    some = rows.where(F.col("c") <= small).groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("all"))  # `small` at most
+    each = some.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node < y.node AND x.label <> y.label")
+    near = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
+    return star.unionByName(near)
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id and node (hash of the text) for every row."""
     nodes = _nodes(df, key, text)
-    keys = _keys(nodes).groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    keys = checkpointed(keys)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    left = checkpointed(keys.join(buckets, "key"))
+    keys = checkpointed(_keys(nodes).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
+    rows = keys.select("node", "size", "keys", F.posexplode("keys").alias("k", "key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1")
+    left = checkpointed(rows.join(buckets, "key").select("key", "node", "size", "n", "least", F.when(F.col("n") > SMALL, F.expr(f"transform(sequence(1, {SPLIT}), j -> keys[(k + j) % {SKETCHES}])")).alias("more")))
     texts = stored(nodes.join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    # each node meets the candidate with which it shares most keys
-    best = left.where("node <> least").groupBy("node", "least").agg(F.count("*").alias("shared"))
-    best = best.groupBy("node").agg(F.max(F.struct("shared", (-F.col("least")).alias("minus"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.minus")).alias("b"))
+    stars = left.where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
+    best = _possible(stars, similar).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    best = best.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
     links = checkpointed(verified(best, texts, similar))
     labels = components(links)
-    left = left.select("key", "node", "n")
-    first = True
-    while True:
-        own = checkpointed(_labelled(left, labels))
-        mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("least")).where("low <> high")
-        open_ = own.join(mixed.select("key", "least"), "key").where(F.col("label") != F.col("least.label"))
-        if first:
-            x = own.where(f"n <= {SMALL}")
-            near = x.alias("x").join(x.alias("y"), "key").where("x.node < y.node AND x.label <> y.label").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            open_ = checkpointed(open_.where(f"n > {SMALL}"))
-        else:
-            near = None
-            open_ = checkpointed(open_)
-        pairs = open_.select(F.col("node").alias("a"), F.col("least.node").alias("b"))
-        pairs = (pairs.unionByName(near) if near is not None else pairs).distinct()
-        new = checkpointed(verified(pairs, texts, similar))
-        some, more = not new.isEmpty(), not open_.isEmpty()
-        if some:
-            links = links.unionByName(new)
-            labels = components(links)
-        if not more:
-            break
-        left, first = open_.select("key", "node", "n"), False
+    own = _labelled(left, labels)
+    mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    own = checkpointed(own.join(mixed, "key", "left_semi").select("key", "node", "size", "n", "label", "more"))
+    parts = own.where(f"n > {SMALL}").select("key", F.explode("more").alias("next"), "node", "size", "label").withColumn("key", F.xxhash64("key", "next")).drop("next")
+    pairs = _meet(own, SMALL).unionByName(_meet(parts, SMALL_PART))
+    new = checkpointed(verified(_possible(pairs, similar).select("a", "b").distinct(), texts, similar))
+    if not new.isEmpty():
+        labels = components(links.unionByName(new))
     marks = _labelled(nodes.select("doc_id", "node", (F.length(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) > 0).alias("worded")), labels)
     ids = marks.where("worded").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     alone = marks.where("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), "node")
