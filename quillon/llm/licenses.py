@@ -25,8 +25,8 @@ from quillon.llm.neardup import _P, _mixed
 
 GRAM, WINDOW = 3, 3
 COVERAGE = 0.8
-#: Share of a template's fingerprints that a candidate has to hit, and half the band, at least so many words.
-HITS, BAND = 0.2, 8
+#: Share of a template's fingerprints that a candidate has to hit, and half the band as a share of the template's words.
+HITS, BAND = 0.2, 0.25
 
 # Public license texts and notices.
 TEMPLATES = {
@@ -72,7 +72,7 @@ class Index:
         self.names = list(said)
         self.codes = [np.array([self.vocab[w] for w in said[n]], np.int32) for n in self.names]
         rows = []
-        self.size = []
+        self.size, self.band = [], np.array([max(2, int(BAND * len(c))) for c in self.codes])
         for t, code in enumerate(self.codes):
             place, gram = fingerprints(code)
             self.size.append(len(place))
@@ -89,16 +89,16 @@ class Index:
         template, diagonal, own = self.of[hit], np.repeat(place, n) - self.at[hit], self.at[hit]
         order = np.lexsort((diagonal, template))
         template, diagonal, own = template[order], diagonal[order], own[order]
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(template) != 0) | (np.diff(diagonal) > BAND), [True]]))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(template) != 0) | (np.diff(diagonal) > self.band[template[1:]]), [True]]))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             t = template[a]
             if len(np.unique(own[a:b])) >= HITS * self.size[t]:
                 yield int(t), int(diagonal[a]), int(diagonal[b - 1])
 
 
-def aligned(template: np.ndarray, code: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
+def aligned(template: np.ndarray, code: np.ndarray, first: int, last: int, band: int) -> tuple[int, int, int]:
     """Number of template words matched in order within the band of diagonals, first and last + 1 word of the match."""
-    low, high = first - BAND, last + BAND
+    low, high = first - band, last + band
     width, n = high - low + 1, len(template)
     pad = np.full(n + width, -1, np.int64)
     at = low + np.arange(n + width)
@@ -154,7 +154,7 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = N
                 own, at = code[a : stops[d]], doc == d
                 places = None
                 for t, first, last in index.candidates(place[at] - a, gram[at]):
-                    matched, x, y = aligned(index.codes[t], own, first, last)
+                    matched, x, y = aligned(index.codes[t], own, first, last, int(index.band[t]))
                     share = matched / len(index.codes[t])
                     if share >= coverage:
                         places = places or [m.span() for m in _WORD.finditer(texts[d])]

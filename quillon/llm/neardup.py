@@ -80,7 +80,7 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
         return shingles
     earlier = np.empty(len(seen), np.uint64)
     earlier[order] = count
-    return _mixed(shingles + earlier * _P[2])
+    return np.where(earlier > 0, _mixed(shingles + earlier * _P[2]), shingles)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
