@@ -42,57 +42,54 @@ def hexed(prefix: str) -> Column:
 
 
 def _base(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """doc_id (distinct, not null) -> doc_id, next_id, in ring order. Only ids move: each bin of the id range is sorted for
+    """doc (distinct, not null) -> doc, next_id, in ring order. Only ids move: each bin of the id range is sorted for
     itself, and its last id finds the first of the next bin that has one."""
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    low, high, n = ids.agg(F.min("doc"), F.max("doc"), F.count("*")).first()
     if not n:
-        return ids.withColumn("next_id", F.col("doc_id"))
+        return ids.withColumn("next_id", F.col("doc"))
     bins = max(1, min(MOST_BINS, n // IDS_IN_BIN))
     width = (high - low) // bins + 1
-    ids = ids.withColumn("bin", F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"))
-    firsts = ids.groupBy("bin").agg(F.min("doc_id").alias("first"))
+    ids = ids.withColumn("bin", F.expr(f"CAST(floor((CAST(doc AS DECIMAL(20, 0)) - ({low}BD)) / {width}BD) AS BIGINT)"))
+    firsts = ids.groupBy("bin").agg(F.min("doc").alias("first"))
     after = firsts.select("bin", F.coalesce(F.lead("first").over(Window.orderBy("bin")), F.lit(low)).alias("after"))  # MOST_BINS rows at most
-    lead = F.lead("doc_id").over(Window.partitionBy("bin").orderBy("doc_id"))
-    return ids.withColumn("lead", lead).join(F.broadcast(after), "bin").select("doc_id", F.coalesce("lead", "after").alias("next_id"))
+    lead = F.lead("doc").over(Window.partitionBy("bin").orderBy("doc"))
+    return ids.withColumn("lead", lead).join(F.broadcast(after), "bin").select("doc", F.coalesce("lead", "after").alias("next_id"))
 
 
 def likeness(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id (the smallest
     doc_id with the same canonical text), group_size."""
     whole = _base(df, key, text)
-    base = whole.where("doc_id IS NOT NULL")
-    marks = with_digest(whole, "text", "own").select("doc_id", F.length("text").alias("n"), "own_h1", "own_h2")
-    buckets = marks.groupBy("own_h1", "own_h2").agg(F.count("*").alias("size"), F.min("doc_id").alias("first"))
-    shared = marks.where("doc_id IS NOT NULL").select("doc_id", "own_h1", "own_h2").join(buckets.where("size > 1"), ["own_h1", "own_h2"], "left_semi").select("doc_id", F.lit(True).alias("shared"))
-    ids = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n"))
-    ring = next_ids(ids.select("doc_id"))
-    wants = ring.join(ids, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.expr("CAST(n div 4 AS INT)").alias("take"))
-    info = wants.join(shared.distinct(), "doc_id", "left")
-    rows = base.join(info, "doc_id")
+    base = whole.where("doc IS NOT NULL").repartition("doc")  # the one exchange of whole texts; all branches below share it
+    marks = with_digest(whole, "text", "own").select("doc", F.length("text").alias("n"), "own_h1", "own_h2")
+    buckets = marks.groupBy("own_h1", "own_h2").agg(F.count("*").alias("size"), F.min("doc").alias("first"))
+    shared = marks.where("doc IS NOT NULL").select("doc", "own_h1", "own_h2").join(buckets.where("size > 1"), ["own_h1", "own_h2"], "left_semi").select("doc", F.lit(True).alias("shared"))
+    ids = marks.where("doc IS NOT NULL").groupBy("doc").agg(F.max("n").alias("n"))
+    ring = next_ids(ids.select("doc"))
+    wants = ring.join(ids, "doc").select(F.col("next_id").alias("doc"), F.col("doc").alias("to"), F.expr("CAST(n div 4 AS INT)").alias("take"))
+    info = wants.join(shared.distinct(), "doc", "left")
+    rows = base.join(info, "doc")
     sent = with_digest(rows.withColumn("head", F.expr("substring(text, 1, take)")), "text", "own")
     heads = sent.groupBy("to").agg(F.min(F.struct("head", F.col("own_h1").alias("h1"), F.col("own_h2").alias("h2"))).alias("next"))
-    # byte comparison: buckets that hold more than one text
-    texts = with_digest(rows.where("shared"), "text", "own").groupBy("own_h1", "own_h2", "own_canon").agg(F.count("*").alias("n"))
-    mixed = texts.groupBy("own_h1", "own_h2").agg(F.count("*").alias("texts")).where("texts > 1").select("own_h1", "own_h2", F.lit(True).alias("mixed"))
-    full = rows.drop("to", "take").join(heads.withColumnRenamed("to", "doc_id"), "doc_id", "left").select("doc_id", "text", "next")
-    lone = whole.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("struct<head:string,h1:bigint,h2:bigint>").alias("next"))
+    # byte comparison: buckets that hold more than one text are split by the texts' own digests
+    texts = with_digest(rows.where("shared"), "text", "own").groupBy("own_h1", "own_h2", "own_canon").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
+    listed = texts.select("own_h1", "own_h2", F.struct(F.sha2("own_canon", 256).alias("text_sha"), "n", "least").alias("x"))
+    split = listed.groupBy("own_h1", "own_h2").agg(F.count("*").alias("texts"), F.collect_list("x").alias("x")).where("texts > 1").select("own_h1", "own_h2", F.explode("x").alias("x")).select("own_h1", "own_h2", "x.*")
+    full = rows.drop("to", "take").join(heads.withColumnRenamed("to", "doc"), "doc", "left").select("doc", "text", "next")
+    lone = whole.where("doc IS NULL").select("doc", "text", F.lit(None).cast("struct<head:string,h1:bigint,h2:bigint>").alias("next"))
     full = full.unionByName(lone).withColumn("n_chars", F.length("text").cast("long"))
     full = full.withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars - n_chars div 4 AS INT)), coalesce(substring(next.head, 1, CAST(n_chars div 4 AS INT)), ''))"))
     full = with_digest(with_digest(full, "text", "own"), "edited", "edit")
     out = full.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hexed("own").alias("fingerprint"), hexed("edit").alias("edited_fingerprint"),
+        "doc", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hexed("own").alias("fingerprint"), hexed("edit").alias("edited_fingerprint"),
         F.when(F.col("own_canon") == F.col("edit_canon"), 1.0).otherwise(0.0).alias("near_edited"), "own_h1", "own_h2", "next",
         F.sha2("own_canon", 256).alias("text_sha"),
     )
     out = out.withColumn("near_next", F.when((F.col("own_h1") == F.col("next.h1")) & (F.col("own_h2") == F.col("next.h2")), 1.0).otherwise(0.0))
-    out = out.join(buckets.where("size > 1"), ["own_h1", "own_h2"], "left").join(mixed, ["own_h1", "own_h2"], "left")
-    # a bucket of several texts is split by the texts' own digest; such buckets are a handful in any corpus
-    per_text = Window.partitionBy("own_h1", "own_h2", "text_sha")
-    plain = out.where("mixed IS NULL").withColumns({"group_id": F.coalesce("first", "doc_id"), "group_size": F.coalesce("size", F.lit(1))})
-    split = out.where("mixed").withColumns({"group_id": F.min("doc_id").over(per_text), "group_size": F.count("*").over(per_text)})
-    cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size"]
-    return plain.select(cols).unionByName(split.select(cols))
+    out = out.join(buckets.where("size > 1"), ["own_h1", "own_h2"], "left").join(split, ["own_h1", "own_h2", "text_sha"], "left")
+    out = out.withColumns({"group_id": F.coalesce("least", "first", "doc"), "group_size": F.coalesce("n", "size", F.lit(1)).cast("long")})
+    return out.select(F.col("doc").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size")
