@@ -15,8 +15,9 @@ are left out before any text moves. What two such texts may lose is a link that
 buckets or parts and of which neither is the smallest.
 
 Result: doc_id and class_id, the smallest doc_id of the class. Words: A-Z lower-cased, runs of letters, digits and
-non-ASCII characters; a text of fewer than SHINGLE words is one shingle; texts without words (null, empty) are classes of
-their own. Rows that share a doc_id each keep their row. Nodes are 64-bit hashes of texts. Empty input: no rows.
+non-ASCII characters; a text of fewer than SHINGLE words is one shingle; a text without words (null counts as
+empty) is only like an equal text. Rows that share a doc_id each keep their row. Nodes are 64-bit hashes of texts. Empty
+input: no rows.
 """
 
 from __future__ import annotations
@@ -258,7 +259,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: flo
     new = checkpointed(verified(_possible(pairs, similar).select("a", "b").distinct(), texts, similar))
     if not new.isEmpty():
         labels = components(links.unionByName(new))
-    marks = _labelled(nodes.select("doc_id", "node", (F.length(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) > 0).alias("worded")), labels)
-    ids = marks.where("worded").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    alone = marks.where("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), "node")
-    return marks.where("worded").join(ids, "label").select("doc_id", "class_id", "node").unionByName(alone)
+    marks = _labelled(nodes.select("doc_id", "node"), labels)
+    ids = marks.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return marks.join(ids, "label").select("doc_id", "class_id", "node")
