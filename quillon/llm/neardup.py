@@ -226,6 +226,17 @@ def _possible(pairs: DataFrame, similar: float) -> DataFrame:
     return pairs.where(F.least("m", "n") >= similar * F.greatest("m", "n"))
 
 
+def _parts(members: DataFrame) -> DataFrame:
+    """The members (key, node, size, label, more) of large buckets, split by the keys in `more`. Where only a few texts of
+    a bucket aren't of its main class, a text of that class goes into just those parts that one of these is in, as the
+    class itself is joined already."""
+    counted = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
+    rows = members.join(counted, "key").withColumns({"few": F.col("all") - F.col("main.c") <= SMALL, "other": F.col("label") != F.col("main.label")})
+    wanted = rows.where("few AND other").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("wanted"))  # SMALL * SPLIT at most
+    rows = rows.join(wanted, "key", "left").withColumn("more", F.when(F.col("few") & ~F.col("other"), F.array_intersect("more", "wanted")).otherwise(F.col("more")))
+    return rows.select("key", F.explode("more").alias("next"), "node", "size", "label").withColumn("key", F.xxhash64("key", "next")).drop("next")
+
+
 def _meet(members: DataFrame, small: int) -> DataFrame:
     """Pairs (a, b, m, n) of different labels in the buckets of members (key, node, size, label): all of a small bucket,
     and each with the smallest node of a larger one."""
@@ -254,7 +265,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: flo
     own = _labelled(left, labels)
     mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     own = checkpointed(own.join(mixed, "key", "left_semi").select("key", "node", "size", "n", "label", "more"))
-    parts = own.where(f"n > {SMALL}").select("key", F.explode("more").alias("next"), "node", "size", "label").withColumn("key", F.xxhash64("key", "next")).drop("next")
+    parts = _parts(own.where(f"n > {SMALL}"))
     pairs = _meet(own, SMALL).unionByName(_meet(parts, SMALL_PART))
     new = checkpointed(verified(_possible(pairs, similar).select("a", "b").distinct(), texts, similar))
     if not new.isEmpty():
