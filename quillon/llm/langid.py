@@ -30,6 +30,8 @@ SMOOTHING = 0.2
 #: Each letter is in three trigrams, so these are worth a third of as many independent observations.
 OVERLAP = 3
 ROUNDS, REFINE = 8, 4
+#: Text of one step; each of its characters takes some 60 bytes while trigrams are formed.
+STEP_BYTES = 1 << 20
 
 
 @functools.cache
@@ -115,7 +117,7 @@ def _em(p, weight, starts, seg, total, share, rounds):
 def learn(df: DataFrame, label: str = "lang", text: str = "text") -> Model:
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", STEP_BYTES):
             labels = part.column("lang").to_pylist()
             doc, feature, n = features(texts_of(part.column("text")).to_pylist())
             code = {x: i for i, x in enumerate(sorted(set(labels)))}
@@ -147,7 +149,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, STEP_BYTES):
             found = shared.value.predict(texts_of(part.column(text)).to_pylist())
             lang, score, langs = zip(*found, strict=True)
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))]
