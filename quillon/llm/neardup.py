@@ -244,7 +244,7 @@ def _meet(members: DataFrame, small: int) -> DataFrame:
     rows = members.select("key", "node", "size", "label").join(counted, "key")
     star = rows.where((F.col("c") > small) & (F.col("label") != F.col("least.label"))).select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
     some = rows.where(F.col("c") <= small).groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("all"))  # `small` at most
-    each = some.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node < y.node AND x.label <> y.label")
+    each = some.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.expr("filter(all, y -> y.node > x.node AND y.label <> x.label)")).alias("y"))
     near = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
     return star.unionByName(near)
 
