@@ -8,11 +8,13 @@ linked if common / (all - common) reaches it. Classes are the connected componen
 
 Of pairs that just reach SIMILAR, (1 - SIMILAR ** PICKED) ** SKETCHES, one in 3,000, share no key. No large group is
 expanded into its pairs: each node first meets the candidate with which it shares most keys among the smallest nodes of
-its buckets, which joins nearly all of every true group. Then only nodes of different classes meet: every node its
-bucket's smallest; in buckets of up to SMALL texts all pairs; a larger bucket that still holds several classes is split
-by SPLIT of the keys that follow, and its parts are treated likewise (SMALL_PART). Lengths that rule out the similarity
-are left out before any text moves. What two such texts may lose is a link that lies in none of their shared keys' small
-buckets or parts and of which neither is the smallest.
+its buckets, which joins nearly all of every true group. Then only nodes of different classes meet: in buckets of up to
+SMALL texts all pairs, in larger ones every node the smallest. The texts of larger buckets that still hold several
+classes meet by an exact prefix filter: similar texts share one of the rarest n - ceil(SIMILAR * n) + 1 of their n
+shingles in any common order of rarity. First each text meets one candidate a round until a round links none; then
+every pair of different classes that shares such a shingle is compared, so no pair of these buckets is lost. Rarity is counted in RARITY_BINS hash bins, which only the number of pairs depends on: it is
+quadratic where a passage is shared that alone nearly makes the texts similar, as all of these have to be compared.
+Lengths that rule out the similarity are left out before any text moves.
 
 Result: doc_id and class_id, the smallest doc_id of the class. Words: A-Z lower-cased, runs of letters, digits and
 non-ASCII characters; a text of fewer than SHINGLE words is one shingle; a text without words (null counts as
@@ -35,9 +37,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES = 20
 PICKED = 5
-#: Buckets of up to so many texts are compared pair by pair; larger ones are split by SPLIT of the other keys into parts.
-SMALL, SMALL_PART = 64, 16
-SPLIT = 4
+#: Buckets of up to so many texts are compared pair by pair; the texts of larger ones by the prefix filter.
+SMALL = 64
+RARITY_BINS = 1 << 18
 REMEMBERED = 300_000
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * _P[0]) ^ _P[1]
@@ -226,15 +228,67 @@ def _possible(pairs: DataFrame, similar: float) -> DataFrame:
     return pairs.where(F.least("m", "n") >= similar * F.greatest("m", "n"))
 
 
-def _parts(members: DataFrame) -> DataFrame:
-    """The members (key, node, size, label, more) of large buckets, split by the keys in `more`. Where only a few texts of
-    a bucket aren't of its main class, a text of that class goes into just those parts that one of these is in, as the
-    class itself is joined already."""
-    counted = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
-    rows = members.join(counted, "key").withColumns({"few": F.col("all") - F.col("main.c") <= SMALL, "other": F.col("label") != F.col("main.label")})
-    wanted = rows.where("few AND other").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("wanted"))  # SMALL * SPLIT at most
-    rows = rows.join(wanted, "key", "left").withColumn("more", F.when(F.col("few") & ~F.col("other"), F.array_intersect("more", "wanted")).otherwise(F.col("more")))
-    return rows.select("key", F.explode("more").alias("next"), "node", "size", "label").withColumn("key", F.xxhash64("key", "next")).drop("next")
+def _bins(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(RARITY_BINS)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """Number of texts (node, text) for each bin of labelled shingles, RARITY_BINS at most to the driver."""
+    schema = pa.schema([("bin", pa.int32()), ("c", pa.int64())])
+
+    def run(batches):
+        of, counts = Shingler(), np.zeros(RARITY_BINS, np.int64)
+        for part in chunks(batches, "text"):
+            for t in texts_of(part.column("text")).to_pylist():
+                np.add.at(counts, _bins(labelled(of(t))), 1)
+        seen = np.flatnonzero(counts)
+        yield batch(schema, seen.astype(np.int32), counts[seen])
+
+    found = texts.select("text").mapInArrow(run, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(RARITY_BINS, np.int64)
+    out[found.column("bin").to_numpy()] = found.column("c").to_numpy()
+    return out
+
+
+def prefix(own: np.ndarray, frequencies: np.ndarray, similar: float) -> np.ndarray:
+    """The rarest of labelled shingles, of which any text this similar shares one in its own prefix."""
+    order = np.lexsort((own, frequencies[_bins(own)]))
+    return own[order[: len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1]]
+
+
+def _rare(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """A row (token, node, size) for each shingle of the prefixes of members (node, size)."""
+    own = texts.join(members, "node")
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(own))
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+
+    def run(batches):
+        of = Shingler()
+        for part in chunks(batches, "text"):
+            picked = [prefix(labelled(of(t)), shared.value, similar) for t in texts_of(part.column("text")).to_pylist()]
+            times = [len(x) for x in picked]
+            columns = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "size"))
+            yield batch(schema, np.concatenate(picked).view(np.int64), *columns)
+
+    return checkpointed(own.select("node", "size", "text").mapInArrow(run, "token long, node long, size int"))
+
+
+def _nearest(rows: DataFrame, turn: int) -> DataFrame:
+    """For each node of rows (token, node, size, label) one pair (a, b, m, n): of the nodes that turn's order puts first in
+    its tokens, the one of another label with which it shares most."""
+    least = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "label")).alias("least"))
+    pairs = rows.join(least, "token").where("label <> least.label").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
+    shared = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"))
+    return shared.groupBy("a", "m").agg(F.max(F.struct("shared", "b", "n")).alias("x")).select("a", F.col("x.b").alias("b"), "m", F.col("x.n").alias("n"))
+
+
+def _every(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b, m, n) of different labels that share a token in rows (token, node, size, label)."""
+    counted = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("main"))
+    rows = rows.join(counted.where("labels > 1").select("token", F.col("main.label").alias("main")), "token")
+    x, y = rows.where("label <> main").alias("x"), rows.alias("y")
+    pairs = x.join(y, "token").where("x.label <> y.label AND (y.label = y.main OR x.node < y.node)")
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
 
 
 def _meet(members: DataFrame, small: int) -> DataFrame:
@@ -253,9 +307,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: flo
     """doc_id, class_id and node (hash of the text) for every row."""
     nodes = _nodes(df, key, text)
     keys = checkpointed(_keys(nodes).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
-    rows = keys.select("node", "size", "keys", F.posexplode("keys").alias("k", "key"))
+    rows = keys.select("node", "size", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1")
-    left = checkpointed(rows.join(buckets, "key").select("key", "node", "size", "n", "least", F.when(F.col("n") > SMALL, F.expr(f"transform(sequence(1, {SPLIT}), j -> keys[(k + j) % {SKETCHES}])")).alias("more")))
+    left = checkpointed(rows.join(buckets, "key").select("key", "node", "size", "n", "least"))
     texts = stored(nodes.join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     stars = left.where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
     best = _possible(stars, similar).groupBy("a", "b").agg(F.count("*").alias("shared"))
@@ -264,12 +318,26 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: flo
     labels = components(links)
     own = _labelled(left, labels)
     mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    own = checkpointed(own.join(mixed, "key", "left_semi").select("key", "node", "size", "n", "label", "more"))
-    parts = _parts(own.where(f"n > {SMALL}"))
-    pairs = _meet(own, SMALL).unionByName(_meet(parts, SMALL_PART))
-    new = checkpointed(verified(_possible(pairs, similar).select("a", "b").distinct(), texts, similar))
+    own = checkpointed(own.join(mixed, "key", "left_semi").select("key", "node", "size", "n", "label"))
+    new = checkpointed(verified(_possible(_meet(own, SMALL), similar).select("a", "b").distinct(), texts, similar))
     if not new.isEmpty():
-        labels = components(links.unionByName(new))
+        links = links.unionByName(new)
+        labels = components(links)
+    large = _labelled(own.where(f"n > {SMALL}").select("key", "node", "size"), labels)
+    mixed = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    members = checkpointed(large.join(mixed, "key", "left_semi").select("node", "size").distinct())
+    if not members.isEmpty():
+        rows, turn, some = _rare(members, texts, similar), 0, True
+        while True:
+            now = _labelled(rows, labels)
+            pairs = _possible(_nearest(now, turn) if some else _every(now), similar)
+            new = checkpointed(verified(pairs.select("a", "b").distinct(), texts, similar))
+            last, some, turn = not some, not new.isEmpty(), turn + 1
+            if some:
+                links = links.unionByName(new)
+                labels = components(links)
+            if last:
+                break
     marks = _labelled(nodes.select("doc_id", "node"), labels)
     ids = marks.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return marks.join(ids, "label").select("doc_id", "class_id", "node")

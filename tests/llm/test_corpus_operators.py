@@ -95,6 +95,22 @@ def test_near_duplicates(spark, odd, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_near_pairs_inside_a_large_templated_bucket(spark):
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(5000)]
+    passage = [rng.choice(vocab) for _ in range(320)]
+    docs = []
+    for _ in range(100):
+        own = [rng.choice(vocab) for _ in range(40)]
+        docs.append(" ".join(passage + own))
+        docs.append(" ".join(passage + own[:6] + [rng.choice(vocab) for _ in range(34)]))
+    docs = list(enumerate(docs))
+    want = brute_classes(docs)
+    assert len(set(want.values())) == 100
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
+
+
 def test_banded_alignment_equals_full_lcs():
     rng = random.Random(1)
     for _ in range(200):
