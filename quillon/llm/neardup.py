@@ -6,7 +6,9 @@ key, so a key holds order as well as content; texts that share a key are candida
 longest common subsequence of their shingle sequences, inside the band that a similarity of SIMILAR leaves, and are
 linked if common / (all - common) reaches it. Classes are the connected components of the links.
 
-Of pairs that just reach SIMILAR, (1 - SIMILAR ** PICKED) ** SKETCHES, one in 3,000, share no key. No large group is
+Of pairs that just reach SIMILAR, (1 - SIMILAR ** PICKED) ** SKETCHES, one in 3,000, share no key (one in 700 at 20
+shingles, which have fewer ways to be picked). Texts of up to SHORT shingles take exact keys instead, n - ceil(SIMILAR * n)
++ 1 shingles by hash, as does every text that can be similar to one of them; none of their pairs is lost. No large group is
 expanded into its pairs: each node first meets the candidate with which it shares most keys among the smallest nodes of
 its buckets, which joins nearly all of every true group. Then only nodes of different classes meet: in buckets of up to
 SMALL texts all pairs, in larger ones every node the smallest. The texts of larger buckets that still hold several
@@ -40,6 +42,8 @@ PICKED = 5
 #: Buckets of up to so many texts are compared pair by pair; the texts of larger ones by the prefix filter.
 SMALL = 64
 RARITY_BINS = 1 << 18
+#: Pairs whose shorter text has up to so many shingles are found by exact keys.
+SHORT = 16
 REMEMBERED = 300_000
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * _P[0]) ^ _P[1]
@@ -99,6 +103,17 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def keys_of(shingles: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """The keys of a text with at least one shingle: its sketches if it is longer than SHORT, and if it can be similar to a
+    text of SHORT or less, those of its shingles by hash of which two similar texts always share one."""
+    n = len(shingles)
+    if n * similar > SHORT + 1e-9:
+        return sketch(shingles)
+    least = np.sort(labelled(shingles))[: n - int(np.ceil(similar * n - 1e-9)) + 1]
+    exact = _mixed(least ^ _P[2]).view(np.int64)
+    return exact if n <= SHORT else np.concatenate([sketch(shingles), exact])
+
+
 def needed(a: int, b: int, similar: float) -> int:
     """The least number of common shingles for this similarity."""
     return int(np.ceil(similar / (1 + similar) * (a + b) - 1e-9))
@@ -158,7 +173,7 @@ def _nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, similar: float) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -173,9 +188,9 @@ def _keys(nodes: DataFrame) -> DataFrame:
                     if len(s):
                         node.append(n)
                         size.append(len(s))
-                        keys.append(sketch(s))
+                        keys.append(keys_of(s, similar))
             if node:
-                yield batch(schema, node, size, pa.ListArray.from_arrays(pa.array(np.arange(0, len(node) * SKETCHES + 1, SKETCHES, dtype=np.int32)), pa.array(np.concatenate(keys))))
+                yield batch(schema, node, size, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys))))
 
     return nodes.select("node", "text").mapInArrow(run, "node long, size int, keys array<long>")
 
@@ -306,7 +321,7 @@ def _meet(members: DataFrame, small: int) -> DataFrame:
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id and node (hash of the text) for every row."""
     nodes = _nodes(df, key, text)
-    keys = checkpointed(_keys(nodes).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keys = checkpointed(_keys(nodes, similar).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
     rows = keys.select("node", "size", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1")
     left = checkpointed(rows.join(buckets, "key").select("key", "node", "size", "n", "least"))

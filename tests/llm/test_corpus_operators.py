@@ -111,6 +111,19 @@ def test_near_pairs_inside_a_large_templated_bucket(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
 
 
+def test_short_near_duplicates(spark):
+    rng = random.Random(5)
+    docs = []
+    for g in range(150):
+        base = [f"g{g}w{rng.randrange(10_000)}" for _ in range(8 + g % 16)]
+        docs += [base, [f"before{g}", *base] if g % 2 else [*base, f"behind{g}"]]
+    docs = [(k, " ".join(x)) for k, x in enumerate(docs)]
+    want = brute_classes(docs)
+    assert len(set(want.values())) == 150
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
+
+
 def test_banded_alignment_equals_full_lcs():
     rng = random.Random(1)
     for _ in range(200):
