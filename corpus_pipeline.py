@@ -28,9 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class stays."""
-    first = neardup.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("node").alias("node"))
-    first = first.select(F.col("doc_id").alias("_id"), "node")
+    """The document of the smallest doc_id of each class stays, one with an id before those without."""
+    first = neardup.classes(docs).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("node"))
     own = docs.withColumn("node", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = own.join(first, (own["node"] == first["node"]) & own["doc_id"].eqNullSafe(first["_id"]), "left_semi")
     return kept.dropDuplicates(["node", "doc_id"]).select(docs.columns)

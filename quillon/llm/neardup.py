@@ -319,7 +319,7 @@ def _meet(members: DataFrame, small: int) -> DataFrame:
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id and node (hash of the text) for every row."""
+    """doc_id, class_id, node (hash of the text) and label (the component's smallest node) for every row."""
     nodes = _nodes(df, key, text)
     keys = checkpointed(_keys(nodes, similar).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
     rows = keys.select("node", "size", F.explode("keys").alias("key"))
@@ -355,4 +355,4 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: flo
                 break
     marks = _labelled(nodes.select("doc_id", "node"), labels)
     ids = marks.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return marks.join(ids, "label").select("doc_id", "class_id", "node")
+    return marks.join(ids, "label").select("doc_id", "class_id", "node", "label")

@@ -289,6 +289,14 @@ def test_pipeline_stages(spark, odd, benchmark, tmp_path):
     assert docs.where("NOT lossless").count() == 0
 
 
+def test_near_dedup_keeps_one_document_of_each_class_without_or_with_shared_ids(spark):
+    words = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    docs = [(None, words(1)), (None, words(2)), (None, words(2)), (7, words(3)), (7, words(4)), (None, words(5)), (9, words(5)), (8, words(5))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.text, r.doc_id) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert kept == [(words(1), None), (words(2), None), (words(3), 7), (words(4), 7), (words(5), 8)]
+
+
 def test_pipeline_against_the_operators(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id: r.text for r in langid.identify(docs, langid.learn(docs)).where("lang_pred <> 'und' AND score >= 0.5").collect()}
