@@ -1,8 +1,8 @@
 """Secret scans in DataFrame functions only: three fixed patterns and a battery of randomness tests.
 
 Base kinds: assign, access, hex (patterns below), leftmost and non-overlapping for each kind. The battery adds the kind
-`rand`: maximal runs of RUN_CHARS of MIN_RUN characters or more are candidates. The narrowest of four alphabets that
-holds a candidate is its encoding. Three tests ask whether it was drawn evenly from that alphabet:
+`rand`: maximal runs of RUN_CHARS of MIN_RUN characters or more are candidates. The narrowest of five alphabets that
+holds a candidate is its encoding; hexadecimal of either case may be in groups between dashes, which are not tested. Three tests ask whether it was drawn evenly from that alphabet:
 - chi-squared of its character counts, as the chance that readable text (LETTER_SHARE, or digits for hexadecimal) of
   this length would look as even as that. The chance falls with the length, so the test is aware of it;
 - a runs test of its characters in the upper and lower half of the alphabet, and
@@ -39,10 +39,13 @@ BINS = 400
 # Alphabets in the order of their codes, and shares of letters in English text, a to z.
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "hex_upper": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
 }
+#: Hexadecimal of one case in groups between dashes, as UUIDs are; tested without its dashes.
+DASHED = "^([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$"
 LETTER_SHARE = [
     0.082, 0.015, 0.028, 0.043, 0.127, 0.022, 0.020, 0.061, 0.070, 0.002, 0.008, 0.040, 0.024,
     0.067, 0.075, 0.019, 0.001, 0.060, 0.063, 0.091, 0.028, 0.010, 0.024, 0.002, 0.020, 0.001,
@@ -77,22 +80,23 @@ def _normal_below(z: str) -> str:
 
 def _steps() -> list[dict[str, str]]:
     """SQL over a candidate r, step by step; each step sees the fields of those before."""
-    inside = {name: f"r.hit RLIKE '^[{chars.replace('-', '')}{'-' if '-' in chars else ''}]+$'" for name, chars in ALPHABETS.items()}
+    inside = {name: f"r.body RLIKE '^[{chars.replace('-', '')}{'-' if '-' in chars else ''}]+$'" for name, chars in ALPHABETS.items()}
     pick = lambda values: "CASE r.encoding " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
     squares = sum(p * p for p in LETTER_SHARE)
-    excess = {k: len(a) * (0.1 if k == "hex" else squares) - 1 for k, a in ALPHABETS.items()}
+    excess = {k: len(a) * (0.1 if k in ("hex", "hex_upper") else squares) - 1 for k, a in ALPHABETS.items()}
     return [
+        {"body": f"CASE WHEN r.hit RLIKE '{DASHED}' THEN replace(r.hit, '-', '') ELSE r.hit END"},
         {"encoding": "CASE " + " ".join(f"WHEN {test} THEN '{k}'" for k, test in inside.items()) + " END"},
         {
             "size": pick({k: f"{len(a)}D" for k, a in ALPHABETS.items()}),
             "excess": pick({k: f"{x!r}D" for k, x in excess.items()}),
-            "n": "CAST(length(r.hit) AS DOUBLE)",
-            "chars": "split(r.hit, '')",
+            "n": "CAST(length(r.body) AS DOUBLE)",
+            "chars": "split(r.body, '')",
             "letters": pick({k: f"'{a}'" for k, a in ALPHABETS.items()}),
         },
         {"codes": "transform(r.chars, c -> CAST(instr(r.letters, c) AS DOUBLE))"},
         {
-            "chi_squared": "aggregate(array_distinct(r.chars), 0D, (a, c) -> a + pow(r.n - length(replace(r.hit, c, '')), 2D)) * r.size / r.n - r.n",
+            "chi_squared": "aggregate(array_distinct(r.chars), 0D, (a, c) -> a + pow(r.n - length(replace(r.body, c, '')), 2D)) * r.size / r.n - r.n",
             "halves": "transform(r.codes, c -> c > r.size / 2)",
             "mean": "aggregate(r.codes, 0D, (a, c) -> a + c) / r.n",
         },

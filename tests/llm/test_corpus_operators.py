@@ -206,6 +206,19 @@ def test_secrets(spark, odd, empty):
     assert secrets.digests(secrets.scan(empty)).count() == 0
 
 
+def test_upper_case_and_dashed_hexadecimal(spark):
+    rng = random.Random(8)
+    run = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    upper = [run(64, "0123456789ABCDEF") for _ in range(20)]
+    dashed = ["-".join(run(n, "0123456789abcdef") for n in (16, 16, 16, 16)) for _ in range(20)]
+    readable = ["thisisaverylongreadablewordwithoutanybreaks", "a-long-chain-of-words-with-dashes-between-them", "2024-01-01-2024-01-01-2024-01-01"]
+    df = spark.createDataFrame(list(enumerate(f"key {x} end" for x in upper + dashed + readable)), "doc_id long, text string")
+    n = [r.n_rand for r in secrets.digests(secrets.scan(df)).orderBy("doc_id").collect()]
+    assert sum(n[:20]) >= 16
+    assert sum(n[20:40]) >= 16
+    assert sum(n[40:]) == 0
+
+
 def test_language_model(spark, odd, empty):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = QUERIES["op8_lm_score"](spark, SF).collect()
