@@ -368,3 +368,25 @@ def x12_lookup_with_default(spark, sf_dir):
 def u2_intersection(spark, sf_dir):
     own = counts(spark, sf_dir).where("cnt >= 15")
     return own.where("source = 'gpt'").select("domain", "pattern").intersect(own.where("source = 'claude'").select("domain", "pattern"))
+
+
+@query(f"WITH {MOTIFS} SELECT domain, pattern, count(*) AS cnt FROM emitted GROUP BY ALL")
+def e5_e7_motifs_by_expression_all(spark, sf_dir):
+    rows = parses(spark, sf_dir).select("domain", trees.parse_tree("parse_str").alias("nodes"))
+    return rows.select("domain", F.explode(trees.node_motifs()).alias("m")).groupBy("domain", F.col("m.pattern").alias("pattern")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {SENTS} SELECT source, doc_id, sent_idx, sent_text FROM sents WHERE sent_text IN (SELECT sent_text FROM sents GROUP BY sent_text HAVING count(*) > 1)")
+def a17_t4_duplicates_all(spark, sf_dir):
+    rows = sentences(spark, sf_dir).select("source", "doc_id", "sent_idx", "sent_text")
+    return stats.duplicates(rows, ["sent_text"]).orderBy("source", "doc_id", "sent_idx")
+
+
+@query(f"WITH {PARSES} SELECT doc_id, sent_idx, CAST(len(regexp_extract_all(parse_str, '\\([A-Z$][A-Z0-9$-]*\\)')) AS INT) AS n_terminals, array_to_string(regexp_extract_all(parse_str, '\\(([A-Z$]+[A-Z0-9$-]*)', 1), ' ') AS labels FROM parses")
+def c4_c7_labels_all(spark, sf_dir):
+    return parses(spark, sf_dir).select("doc_id", "sent_idx", X.n_terminals(F.col("parse_str")).alias("n_terminals"), F.array_join(X.labels(F.col("parse_str")), " ").alias("labels"))
+
+
+@query()
+def x5_x6_highlight_truncate_all(spark, sf_dir):
+    return sentences(spark, sf_dir).select("doc_id", "sent_idx", X.smart_truncate(X.highlight(F.col("sent_text"), F.lit("the")), 60).alias("shown"))

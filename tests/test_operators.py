@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon import schemas
 from quillon.functions import text as X
 from quillon.operators import dependency, motifs, parse, repair, stats
-from quillon.plans import report
+from quillon.plans import catalog, report
 
 TREE = "(S (NP (DT The) (NN cat)) (VP (VBD sat)) (. .))"
 
@@ -149,3 +149,13 @@ def test_author_repair(spark):
     with pytest.raises(repair.Ambiguous):
         repair.recover_authors(df, lookup.union(lookup))
     assert stats.duplicates(lookup.union(lookup.limit(1)), repair.KEYS).count() == 2
+
+
+def test_highlighting_query_covers_all_sentences(spark, tmp_path):
+    docs = [(1, "en", "src0", "The cat and the dog sat."), (2, "de", "src1", "In the house."), (3, "fr", "src2", "Other words here."), (4, "en", "src1", "x" * 70 + " the end of a long one that goes on for a good while longer.")]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {(r.doc_id, r.sent_idx): r.shown for r in catalog.QUERIES["x5_x6_highlight_truncate_all"](spark, str(tmp_path)).collect()}
+    assert rows == {
+        ("1", 0): "**The** cat and the dog sat.", ("2", 0): "In **the** house.", ("3", 0): "Other words here.",
+        ("4", 0): "..." + (docs[3][3][:71] + "**the**" + docs[3][3][74:])[41:101] + "...",
+    }
