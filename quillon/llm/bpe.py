@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import added, batch, chunks, ranges, texts_of
+from quillon.llm.common import added, batch, chunks, mapped, ranges, texts_of
 
 LONGEST = 512
 #: Pieces that a worker remembers at once; beyond it the table starts anew.
@@ -239,7 +239,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), column], names=[*names, ids])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -253,7 +253,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             column = pa.array([bpe.decode(np.array(x or [], np.int64)) for x in part.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), column], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,4 +270,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
                 rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == t.encode()))
             yield batch(schema, part.column(key).cast(pa.int64()), *map(list, zip(*rows, strict=True)))
 
-    return df.select(key, text).mapInArrow(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return mapped(df.select(key, text), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import batch, buffers, chunks, ranges, texts_of
+from quillon.llm.common import batch, buffers, chunks, mapped, ranges, texts_of
 
 # Control strings of public chat templates.
 CONTROL = ["<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>"]
@@ -102,7 +102,7 @@ def format_conversations(df: DataFrame) -> DataFrame:
             yield batch(schema, [conv[k] for k in firsts], numbers, np.diff(bounds).astype(np.int32), column, *lists)
 
     turns = df.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PIECES)
+    return mapped(turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, PIECES)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if now:
             yield _closed(schema, [now])
 
-    return pieces.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(pieces, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _closed(schema: pa.Schema, rows: list[list]) -> pa.RecordBatch:

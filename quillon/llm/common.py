@@ -1,9 +1,12 @@
-"""Helpers shared by the operators: bounded Arrow chunks, ragged gathers, checkpoints."""
+"""Helpers shared by the operators: bounded Arrow chunks, ragged gathers, tables between steps."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +16,96 @@ from pyspark.sql import types as T
 
 #: Text bytes that one Python step holds at once, whatever size Spark's Arrow batches have.
 CHUNK_BYTES = 4 << 20
+#: Session settings that the operators want, where the session has none of its own: smaller batches on their way to
+#: Python, and no shuffle files kept of what has been written.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+DEFAULTS = (None, "10000", "false", "67108864", "64MB")
+
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with SETTINGS; what its user has set stays."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) in DEFAULTS:
+            spark.conf.set(key, value)
+    return spark
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one only where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master, as in tests, may do without one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as a checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as Parquet in the checkpoint folder, smaller than a checkpoint of rows that hold text."""
-    spark = df.sparkSession
-    checkpointed(spark.range(1).coalesce(1))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df as Parquet in the shared folder, smaller than a checkpoint of rows that hold text, in a folder for each value of
+    the columns `by`; see discard()."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of stored() frames that nothing reads any more."""
+    for df in frames:
+        if path := _paths.pop(df, None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Tables:
+    """Stores frames as long as its block lasts. (Checkpoints would do, but they carry the constraints of all plans before
+    them, which double with each round of an iteration.)"""
+
+    def __enter__(self):
+        self.frames: list[DataFrame] = []
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(stored(df))
+        return self.frames[-1]
+
+    def __exit__(self, *_):
+        discard(*self.frames)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), whose workers give back their memory at the end of each task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Returns free memory of Python, Arrow and the C library to the system: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts_of(column: pa.Array) -> pa.Array:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import added, batch, chunks, ranges, texts_of
+from quillon.llm.common import added, batch, chunks, mapped, ranges, texts_of
 from quillon.llm.fmindex import MOST, FmIndex
 
 SIZE = 10
@@ -116,7 +116,7 @@ def _pass(df: DataFrame, shared, text: str, again: bool) -> DataFrame:
             columns = [pa.array(stops - first[:-1], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=[*names, "n_words", "spans", "items"])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "item_id", item_text: str = "text", size: int = SIZE, most: int = BLOCK_WINDOWS) -> DataFrame:
@@ -138,4 +138,4 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield batch(schema, part.column(key).cast(pa.int64()), part.column("n_words"), hits, list(map(len, items)), sha, [h > 0 for h in hits])
 
-    return found.select(key, "n_words", "spans", "items").mapInArrow(run, f"{key} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return mapped(found.select(key, "n_words", "spans", "items"), run, f"{key} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

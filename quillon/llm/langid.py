@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import added, chunks, texts_of
+from quillon.llm.common import added, chunks, mapped, texts_of
 
 BINS = 1 << 16
 MOST_LANGUAGES = 256
@@ -130,7 +130,7 @@ def learn(df: DataFrame, label: str = "lang", text: str = "text") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["lang", "feature", "n"])
 
     known = df.select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sums = known.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    sums = mapped(known, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("x")).limit(MOST_LANGUAGES + 1).collect()  # BINS pairs for each label at most
     if len(packed) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
@@ -155,4 +155,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=[*names, *own])
 
-    return df.mapInArrow(run, added(df.select(names), "lang_pred string, score double, langs array<string>"))
+    return mapped(df, run, added(df.select(names), "lang_pred string, score double, langs array<string>"))

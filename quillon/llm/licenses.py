@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import added, chunks, texts_of
+from quillon.llm.common import added, chunks, mapped, texts_of
 from quillon.llm.decontam import _LETTERS, words
 from quillon.llm.neardup import _P, _mixed
 
@@ -162,4 +162,4 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = N
                 found[d].sort(key=lambda m: (m["start"], m["end"], m["name"]))
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found, kind)], names=[*names, "licenses"])
 
-    return df.mapInArrow(run, added(df.select(names), "licenses array<struct<name:string,matched:int,coverage:double,start:int,end:int>>"))
+    return mapped(df, run, added(df.select(names), "licenses array<struct<name:string,matched:int,coverage:double,start:int,end:int>>"))

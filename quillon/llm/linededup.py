@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import batch, checkpointed, chunks, texts_of
+from quillon.llm.common import batch, checkpointed, chunks, mapped, texts_of
 
 MIN_CHARS = 10
 STRIP = b" \t\n\x0b\f\r"
@@ -58,7 +58,7 @@ def _lines(df: DataFrame, min_chars: int) -> DataFrame:
             at = pa.array(row, pa.int32())
             yield batch(schema, np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), part.column("doc").take(at), part.column("version").take(at), pos, count)
 
-    return df.mapInArrow(run, "h1 long, h2 long, doc long, version long, pos int, n_lines int")
+    return mapped(df, run, "h1 long, h2 long, doc long, version long, pos int, n_lines int")
 
 
 def _streamed(sorted_lines: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def _streamed(sorted_lines: DataFrame) -> DataFrame:
         if open_ is not None:
             yield _first(schema, *open_, first)
 
-    return sorted_lines.mapInArrow(run, fields)
+    return mapped(sorted_lines, run, fields)
 
 
 def _first(schema: pa.Schema, h1: int, h2: int, doc: int) -> pa.RecordBatch:
@@ -122,7 +122,7 @@ def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", min_cha
                 bitmaps.append(zlib.compress(np.packbits(keep).tobytes(), 6))
             yield batch(schema, part.column("doc"), part.column("version"), pc.list_value_length(part.column("gone")).cast(pa.int64()), pa.array(bitmaps, pa.binary()))
 
-    return lost.mapInArrow(pack, "doc long, version long, n_dropped long, bitmap binary")
+    return mapped(lost, pack, "doc long, version long, n_dropped long, bitmap binary")
 
 
 def with_bitmaps(df: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +153,7 @@ def apply_bitmaps(df: DataFrame, text: str = "text", bitmap: str = "keep_bitmap"
                 column = pa.array([t if m is None else kept_text((t or "").encode(), m)[0].decode() for t, m in zip(column.to_pylist(), marks, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([column if n == text else part.column(n) for n in names], names=names)
 
-    return df.mapInArrow(run, df.drop(bitmap).schema)
+    return mapped(df, run, df.drop(bitmap).schema)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,4 +171,4 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 rows.append((n, dropped, hashlib.sha256(kept).hexdigest()))
             yield batch(schema, part.column(key).cast(pa.int64()), *map(list, zip(*rows, strict=True)))
 
-    return df.select(key, text, "keep_bitmap").mapInArrow(run, f"{key} long, n_lines long, n_dropped long, kept_sha256 string")
+    return mapped(df.select(key, text, "keep_bitmap"), run, f"{key} long, n_lines long, n_dropped long, kept_sha256 string")

@@ -1,49 +1,58 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-Equal texts first become one node. A node's text becomes labelled shingles: SHINGLE consecutive words with the number of
-their earlier occurrences. For each of SKETCHES hash functions the PICKED smallest shingles, in text order, make one
-key, so a key holds order as well as content; texts that share a key are candidates. Candidates are compared by the
-longest common subsequence of their shingle sequences, inside the band that a similarity of SIMILAR leaves, and are
-linked if common / (all - common) reaches it. Classes are the connected components of the links.
+Equal texts first become one node, by their 128-bit digest. A node's text becomes labelled shingles: SHINGLE consecutive
+words with the number of their earlier occurrences. For each of SKETCHES hash functions the PICKED smallest shingles, in
+text order, make one key, so a key holds order as well as content; texts that share a key are candidates. Candidates are
+compared by the longest common subsequence of their shingle sequences, inside the band that a similarity of SIMILAR
+leaves, and are linked if common / (all - common) reaches it. Classes are the connected components of the links.
 
 Of pairs that just reach SIMILAR, (1 - SIMILAR ** PICKED) ** SKETCHES, one in 3,000, share no key (one in 700 at 20
 shingles, which have fewer ways to be picked). Texts of up to SHORT shingles take exact keys instead, n - ceil(SIMILAR * n)
-+ 1 shingles by hash, as does every text that can be similar to one of them; none of their pairs is lost. No large group is
-expanded into its pairs: each node first meets the candidate with which it shares most keys among the smallest nodes of
-its buckets, which joins nearly all of every true group. Then only nodes of different classes meet: in buckets of up to
-SMALL texts all pairs, in larger ones every node the smallest. The texts of larger buckets that still hold several
-classes meet by an exact prefix filter: similar texts share one of the rarest n - ceil(SIMILAR * n) + 1 of their n
-shingles in any common order of rarity. First each text meets one candidate a round until a round links none; then
-every pair of different classes that shares such a shingle is compared, so no pair of these buckets is lost. Rarity is counted in RARITY_BINS hash bins, which only the number of pairs depends on: it is
-quadratic where a passage is shared that alone nearly makes the texts similar, as all of these have to be compared.
-Lengths that rule out the similarity are left out before any text moves.
++ 1 shingles by hash, as does every text that can be similar to one of them; none of their pairs is lost.
+
+No bucket of a key is expanded into its pairs, whatever its size, and no link inside a bucket is lost:
+1. Each node meets one candidate: of the hubs of its buckets, the one with which it shares most keys. The hub is the
+   bucket's node whose own buckets are largest, which in a group of edited copies is the least edited one. This joins
+   nearly all of every true group.
+2. In buckets that still hold several classes, all others meet the hub. Buckets of two texts are settled by that.
+3. The texts of the rest meet by an exact prefix filter: of two similar texts of m and n shingles, which have t in common
+   at least, each has a common one among its first m - t + 1 (n - t + 1) in any order, here from rare to frequent. Texts
+   are dealt to classes of like size, and t follows the sizes of both, so texts that only share a passage don't meet
+   unless that passage nearly makes them similar. Every pair of different classes that passes is compared.
+Step 3 alone can grow faster than the input: by the number of pairs that reach the similarity nearly but not quite.
+
+Texts move to the comparison sorted behind their hub, which comes once for each PART pairs; the rest carries numbers.
 
 Result: doc_id and class_id, the smallest doc_id of the class. Words: A-Z lower-cased, runs of letters, digits and
 non-ASCII characters; a text of fewer than SHINGLE words is one shingle; a text without words (null counts as
-empty) is only like an equal text. Rows that share a doc_id each keep their row. Nodes are 64-bit hashes of texts. Empty
-input: no rows.
+empty) is only like an equal text. Rows that share a doc_id each keep their row; a class without any doc_id has a null
+class_id. Empty input: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import batch, checkpointed, chunks, stored, texts_of
+from quillon.llm.common import Tables, batch, chunks, mapped, stored, texts_of
 from quillon.llm.decontam import words
 
 SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES = 20
 PICKED = 5
-#: Buckets of up to so many texts are compared pair by pair; the texts of larger ones by the prefix filter.
-SMALL = 64
-RARITY_BINS = 1 << 18
 #: Pairs whose shorter text has up to so many shingles are found by exact keys.
 SHORT = 16
+RARITY_BINS = 1 << 18
+#: Ratio of the sizes of neighbouring size classes in step 3.
+STEP = 1.05
+#: Pairs for each copy of a hub's text.
+PART = 256
 REMEMBERED = 300_000
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * _P[0]) ^ _P[1]
@@ -119,128 +128,141 @@ def needed(a: int, b: int, similar: float) -> int:
     return int(np.ceil(similar / (1 + similar) * (a + b) - 1e-9))
 
 
-def common(pairs: list[tuple[np.ndarray, np.ndarray]], similar: float) -> np.ndarray:
-    """For each pair of shingle sequences, the length of their longest common subsequence inside the band; exact where
-    it reaches what is needed, else a number that doesn't."""
-    out = np.zeros(len(pairs), np.int64)
-    todo = []
-    for k, (a, b) in enumerate(pairs):
-        need = needed(len(a), len(b), similar)
-        if min(len(a), len(b)) < need:
-            continue
-        m = min(len(a), len(b))
-        differ = np.flatnonzero(a[:m] != b[:m])
-        front = int(differ[0]) if len(differ) else m
-        differ = np.flatnonzero(a[len(a) - m + front :][::-1] != b[len(b) - m + front :][::-1])
-        back = int(differ[0]) if len(differ) else m - front
-        out[k] = front + back
-        a, b = a[front : len(a) - back], b[front : len(b) - back]
-        if not len(a) or not len(b):
-            continue
-        both = np.intersect1d(labelled(a), labelled(b), assume_unique=True)
-        if out[k] + len(both) >= need:
-            todo.append((len(a) - (need - out[k]), len(b) - (need - out[k]), k, a, b))
-    todo.sort(key=lambda x: (max(len(x[3]), len(x[4])), x[2]))
-    while todo:
-        group, cells = [], 0
-        while todo and (not group or cells + len(todo[-1][3]) + len(todo[-1][4]) < 60_000):
-            group.append(todo.pop())
-            cells += len(group[0][3]) + len(group[0][4])
-        for (_, _, k, _, _), m in zip(group, _banded(group), strict=True):
-            out[k] += m
-    return out
-
-
-def _banded(group: list) -> np.ndarray:
-    left, right = (max(max(0, x[i]) for x in group) for i in (0, 1))
-    rows, width = max(len(x[3]) for x in group), left + right + 1
-    a = np.zeros((len(group), rows), np.uint64)
-    b = np.full((len(group), rows + width), 1, np.uint64)
-    for k, (_, _, _, x, y) in enumerate(group):
-        a[k, : len(x)] = x | np.uint64(3)  # neither filler
-        y = y[: rows + width - left]
-        b[k, left : left + len(y)] = y | np.uint64(3)
-    best = np.zeros((len(group), width + 1), np.int32)
-    for i in range(rows):
-        now = best[:, :-1] + (a[:, i : i + 1] == b[:, i : i + width])
-        np.maximum(now, best[:, 1:], out=now)
-        np.maximum.accumulate(now, axis=1, out=best[:, :-1])
-    return best.max(axis=1)
-
-
-def _nodes(df: DataFrame, key: str, text: str) -> DataFrame:
+def aligned(a: np.ndarray, b: np.ndarray, similar: float) -> int:
+    """The length of the longest common subsequence of two shingle sequences inside the band; exact where it reaches what
+    is needed, else a number that doesn't."""
+    need = needed(len(a), len(b), similar)
+    m = min(len(a), len(b))
+    if m < need:
+        return 0
+    differ = np.flatnonzero(a[:m] != b[:m])
+    front = int(differ[0]) if len(differ) else m
+    differ = np.flatnonzero(a[len(a) - m + front :][::-1] != b[len(b) - m + front :][::-1])
+    back = int(differ[0]) if len(differ) else m - front
+    a, b = a[front : len(a) - back], b[front : len(b) - back]
+    found = front + back
+    if not len(a) or not len(b) or found + len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need:
+        return found
+    return found + _banded(a.tolist(), b.tolist(), max(0, len(a) - (need - found)), max(0, len(b) - (need - found)))
+
+
+def _banded(a: list[int], b: list[int], left: int, right: int) -> int:
+    """The longest common subsequence of which each step pairs a[i] with one of b[i - left] .. b[i + right]. A row of the
+    table is one integer, with a bit for each place of the band where the length does not grow."""
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    width = left + right + 1
+    full = (1 << width) - 1
+    row, base = full, 0
+    for i, x in enumerate(a):
+        if i:  # the band moves on by one place
+            base += 1 - (row & 1)
+            row = row >> 1 | 1 << (width - 1)
+        match = 0
+        for j in places.get(x, ()):
+            if 0 <= (k := j - i + left) < width:
+                match |= 1 << k
+        if match:
+            hit = row & match
+            row = (row + hit | row - hit) & full
+    return base + width - row.bit_count()
+
+
+def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, digest (128 bits) and text of each row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
 
 
-def _keys(nodes: DataFrame, similar: float) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+def _nodes(keep, docs: DataFrame, similar: float) -> DataFrame:
+    """digest, node (a number), doc_id (the smallest), size and keys of each different text; stored."""
+    schema = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         of = Shingler()
         for part in chunks(batches, "text"):
-            node, size, keys = [], [], []
-            seen = set()
-            for n, t in zip(part.column("node").to_pylist(), texts_of(part.column("text")).to_pylist(), strict=True):
-                if n not in seen:
-                    seen.add(n)
+            size, keys, known = [], [], {}
+            for d, t in zip(part.column("digest").to_pylist(), texts_of(part.column("text")).to_pylist(), strict=True):
+                if d not in known:
                     s = of(t)
-                    if len(s):
-                        node.append(n)
-                        size.append(len(s))
-                        keys.append(keys_of(s, similar))
-            if node:
-                yield batch(schema, node, size, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys))))
-
-    return nodes.select("node", "text").mapInArrow(run, "node long, size int, keys array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are similar."""
+                    known[d] = (len(s), keys_of(s, similar) if len(s) else np.empty(0, np.int64))
+                size.append(known[d][0])
+                keys.append(known[d][1])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys)))
+            yield batch(schema, part.column("digest"), part.column("doc_id"), size, lists)
+
+    found = mapped(docs.select("digest", "doc_id", "text"), run, "digest binary, doc_id long, size int, keys array<long>")
+    found = found.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    return keep(found.withColumn("node", F.monotonically_increasing_id()))
+
+
+def verified(keep, pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Those of the different pairs (a, b) whose texts (node, text) are similar. A text of b comes once for each PART pairs."""
+    pairs = keep(pairs.select("a", "b"))
+    often = keep(pairs.groupBy("b").agg(F.count("*").alias("n")).where(f"n > {PART}").select(F.col("b").alias("often"), "n"))
+    pairs = pairs.join(often, pairs["b"] == often["often"], "left").select("a", "b", F.coalesce(F.expr(f"pmod(xxhash64(a), n div {PART} + 1)"), F.lit(0)).alias("part"))
+    rows = pairs.join(texts, pairs["a"] == texts["node"]).select("b", "part", "a", "text")
+    hubs = pairs.select("b", "part").distinct()
+    hubs = hubs.join(texts, hubs["b"] == texts["node"]).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        of = Shingler()
-        for part in batches:
-            for piece in chunks([part], "a_text"):
-                sequences = [tuple(of(t) for t in x) for x in zip(piece.column("a_text").to_pylist(), piece.column("b_text").to_pylist(), strict=True)]
-                m = common(sequences, similar)
-                ok = np.array([c >= needed(len(x), len(y), similar) for c, (x, y) in zip(m, sequences, strict=True)], bool)
-                mask = pa.array(ok)
-                yield batch(schema, piece.column("a").filter(mask), piece.column("b").filter(mask))
-
-    sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab"]
-    return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
+        of, hub, own = Shingler(), None, None
+        for piece in chunks(batches, "text"):
+            left, right = [], []
+            for a, b, t in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                if a is None:
+                    hub, own = b, of(t)
+                    continue
+                assert b == hub
+                x = of(t)
+                if aligned(x, own, similar) >= needed(len(x), len(own), similar):
+                    left.append(a)
+                    right.append(b)
+            yield batch(schema, left, right)
+
+    return keep(mapped(rows.unionByName(hubs).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()), run, "a long, b long"))
+
+
+def components(keep, edges: DataFrame) -> DataFrame:
     """node -> label, the smallest node of its component, for all nodes of the edges (a, b); alternating large and small
-    stars until nothing changes."""
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    stars until nothing changes. Both sides of a join are tables of their own, so that Spark can split a hot node."""
+    now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == state:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        if found == state or not found[0]:
+            return keep(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
         state = found
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        large = keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = checkpointed(small)
+        now = keep(small)
+
 
+def _label(df: DataFrame, labels: DataFrame, node: str = "node", out: str = "label") -> DataFrame:
+    """df with the label of a node; one that nothing is linked to is its own."""
+    labels = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return df.join(labels, df[node] == labels["_n"], "left").withColumn(out, F.coalesce("_l", node)).drop("_n", "_l")
 
-def _labelled(df: DataFrame, labels: DataFrame | None, node: str = "node", out: str = "label") -> DataFrame:
-    if labels is None:
-        return df.withColumn(out, F.col(node))
-    return df.join(labels.select(F.col("node").alias(node), F.col("label").alias("_l")), node, "left").withColumn(out, F.coalesce("_l", node)).drop("_l")
+
+def _merged(keep, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links (a, b)."""
+    edges = _label(_label(links, labels, "a", "a"), labels, "b", "b").select("a", "b")
+    more = components(keep, edges)
+    nodes = labels.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("label"))).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")))
+    nodes = keep(nodes.groupBy("node").agg(F.min("label").alias("label")))
+    more = more.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return keep(nodes.join(more, nodes["label"] == more["_n"], "left").select("node", F.coalesce("_l", "label").alias("label")))
 
 
 def _possible(pairs: DataFrame, similar: float) -> DataFrame:
     """The pairs whose numbers of shingles m and n don't rule the similarity out."""
-    return pairs.where(F.least("m", "n") >= similar * F.greatest("m", "n"))
+    return pairs.where(F.least("m", "n") >= similar * F.greatest("m", "n") - 1e-9)
 
 
 def _bins(shingles: np.ndarray) -> np.ndarray:
@@ -248,7 +270,7 @@ def _bins(shingles: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(texts: DataFrame) -> np.ndarray:
-    """Number of texts (node, text) for each bin of labelled shingles, RARITY_BINS at most to the driver."""
+    """Number of texts for each bin of labelled shingles, RARITY_BINS at most to the driver."""
     schema = pa.schema([("bin", pa.int32()), ("c", pa.int64())])
 
     def run(batches):
@@ -259,100 +281,114 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(counts)
         yield batch(schema, seen.astype(np.int32), counts[seen])
 
-    found = texts.select("text").mapInArrow(run, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()
+    found = mapped(texts.select("text"), run, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(RARITY_BINS, np.int64)
     out[found.column("bin").to_numpy()] = found.column("c").to_numpy()
     return out
 
 
-def prefix(own: np.ndarray, frequencies: np.ndarray, similar: float) -> np.ndarray:
-    """The rarest of labelled shingles, of which any text this similar shares one in its own prefix."""
-    order = np.lexsort((own, frequencies[_bins(own)]))
-    return own[order[: len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1]]
+def size_class(n: int) -> int:
+    return math.floor(math.log(n) / math.log(STEP) + 1e-9)
 
 
-def _rare(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """A row (token, node, size) for each shingle of the prefixes of members (node, size)."""
-    own = texts.join(members, "node")
-    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(own))
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+def prefixes(n: int, similar: float) -> list[tuple[int, int]]:
+    """For a text of n shingles (partner's size class, length of the prefix) for each class that can be similar."""
+    low, high = math.ceil(similar * n - 1e-9), math.floor(n / similar + 1e-9)
+    out = []
+    for k in range(size_class(max(1, low)), size_class(high) + 1):
+        least = max(low, math.ceil(STEP**k - 1e-6), 1)
+        if least <= high and (length := n - needed(n, least, similar) + 1) > 0:
+            out.append((k, length))
+    return out
+
+
+def _meetings(keep, own: DataFrame, similar: float) -> DataFrame:
+    """token, side, place, node, size and label of the prefixes of own (node, size, label, text). A token stands for a
+    shingle and two size classes; side: 0 for the smaller class, 1 for the larger, 2 if both are one."""
+    shared = own.sparkSession.sparkContext.broadcast(_frequencies(own))
+    schema = pa.schema([("token", pa.int64()), ("side", pa.int8()), ("place", pa.int32()), ("node", pa.int64()), ("size", pa.int32()), ("label", pa.int64())])
 
     def run(batches):
         of = Shingler()
         for part in chunks(batches, "text"):
-            picked = [prefix(labelled(of(t)), shared.value, similar) for t in texts_of(part.column("text")).to_pylist()]
-            times = [len(x) for x in picked]
-            columns = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "size"))
-            yield batch(schema, np.concatenate(picked).view(np.int64), *columns)
-
-    return checkpointed(own.select("node", "size", "text").mapInArrow(run, "token long, node long, size int"))
-
-
-def _nearest(rows: DataFrame, turn: int) -> DataFrame:
-    """For each node of rows (token, node, size, label) one pair (a, b, m, n): of the nodes that turn's order puts first in
-    its tokens, the one of another label with which it shares most."""
-    least = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "label")).alias("least"))
-    pairs = rows.join(least, "token").where("label <> least.label").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
-    shared = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"))
-    return shared.groupBy("a", "m").agg(F.max(F.struct("shared", "b", "n")).alias("x")).select("a", F.col("x.b").alias("b"), "m", F.col("x.n").alias("n"))
-
-
-def _every(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b, m, n) of different labels that share a token in rows (token, node, size, label)."""
-    counted = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("main"))
-    rows = rows.join(counted.where("labels > 1").select("token", F.col("main.label").alias("main")), "token")
-    x, y = rows.where("label <> main").alias("x"), rows.alias("y")
-    pairs = x.join(y, "token").where("x.label <> y.label AND (y.label = y.main OR x.node < y.node)")
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
-
-
-def _meet(members: DataFrame, small: int) -> DataFrame:
-    """Pairs (a, b, m, n) of different labels in the buckets of members (key, node, size, label): all of a small bucket,
-    and each with the smallest node of a larger one."""
-    counted = members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "size", "label")).alias("least")).where("c > 1")
-    rows = members.select("key", "node", "size", "label").join(counted, "key")
-    star = rows.where((F.col("c") > small) & (F.col("label") != F.col("least.label"))).select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
-    some = rows.where(F.col("c") <= small).groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("all"))  # `small` at most
-    each = some.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.expr("filter(all, y -> y.node > x.node AND y.label <> x.label)")).alias("y"))
-    near = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
-    return star.unionByName(near)
+            columns = [[] for _ in schema]
+            for node, label, t in zip(part.column("node").to_pylist(), part.column("label").to_pylist(), texts_of(part.column("text")).to_pylist(), strict=True):
+                s = labelled(of(t))
+                s = s[np.lexsort((s, shared.value[_bins(s)]))]
+                c = size_class(len(s))
+                for k, length in prefixes(len(s), similar):
+                    salt = np.uint64(min(c, k)) * _P[0] + np.uint64(max(c, k)) * _P[1]
+                    values = (_mixed(s[:length] + salt).view(np.int64), 0 if c < k else 1 if c > k else 2, np.arange(length), node, len(s), label)
+                    for column, v, field in zip(columns, values, schema, strict=True):
+                        column.append(np.broadcast_to(v, length).astype(field.type.to_pandas_dtype()))
+            yield batch(schema, *map(np.concatenate, columns))
+
+    return keep(mapped(own.select("node", "label", "text"), run, "token long, side byte, place int, node long, size int, label long"))
+
+
+def _filtered(keep, rows: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of different labels that the prefix filter lets through."""
+    counted = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("x"))
+    mixed = keep(counted.where("labels > 1").select("token", F.col("x.label").alias("main")))
+    rows = keep(rows.join(mixed, "token"))
+    x, y = rows.where("label <> main").alias("x"), rows.drop("main").alias("y")
+    # of two rows one at least is outside the token's main class; where both are, the pair counts once
+    pairs = x.join(y, "token").where(f"""x.label <> y.label AND (y.label = x.main OR x.node < y.node) AND (x.side = 2 OR x.side <> y.side)
+        AND least(x.size, y.size) >= {similar!r}D * greatest(x.size, y.size) - 1e-9
+        AND least(x.size - x.place, y.size - y.place) >= ceil({similar / (1 + similar)!r}D * (x.size + y.size) - 1e-9)""")
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _mixed_buckets(keep, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, node, size, n, label) of buckets that hold several labels."""
+    own = keep(_label(shared, labels))
+    keys = keep(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
+    return own.join(keys, "key", "left_semi").select("key", "node", "size", "n", "label")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id, node (hash of the text) and label (the component's smallest node) for every row."""
-    nodes = _nodes(df, key, text)
-    keys = checkpointed(_keys(nodes, similar).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
-    rows = keys.select("node", "size", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1")
-    left = checkpointed(rows.join(buckets, "key").select("key", "node", "size", "n", "least"))
-    texts = stored(nodes.join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    stars = left.where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("m"), F.col("least.size").alias("n"))
-    best = _possible(stars, similar).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    best = best.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
-    links = checkpointed(verified(best, texts, similar))
-    labels = components(links)
-    own = _labelled(left, labels)
-    mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    own = checkpointed(own.join(mixed, "key", "left_semi").select("key", "node", "size", "n", "label"))
-    new = checkpointed(verified(_possible(_meet(own, SMALL), similar).select("a", "b").distinct(), texts, similar))
-    if not new.isEmpty():
-        links = links.unionByName(new)
-        labels = components(links)
-    large = _labelled(own.where(f"n > {SMALL}").select("key", "node", "size"), labels)
-    mixed = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    members = checkpointed(large.join(mixed, "key", "left_semi").select("node", "size").distinct())
+    """doc_id, class_id, digest of the text, and whether the row is of its class's first text (smallest doc_id, then digest)."""
+    docs = _docs(df, key, text)
+    with Tables() as keep:
+        marks = stored(_classes(keep, docs, similar))
+    return docs.join(marks, docs["digest"] == marks["own"]).select("doc_id", "class_id", "digest", (F.col("digest") == F.col("first")).alias("is_first"))
+
+
+def _classes(keep, docs: DataFrame, similar: float) -> DataFrame:
+    """own (a digest), class_id and first (the digest of the class's first text)."""
+    nodes = _nodes(keep, docs, similar)
+    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
+    buckets = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = keep(rows.join(buckets, "key").select("key", "node", "size", "n"))
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = keep(shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("x")).select("key", F.col("x.node").alias("hub"), F.col("x.size").alias("hub_size")))
+    stars = shared.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("m"), F.col("hub_size").alias("n"))
+    best = _possible(stars, similar).groupBy("a", "b").agg(F.count("*").alias("shared")).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x"))
+    met = keep(best.select("a", F.col("x.b").alias("b")))
+    found = shared.select("node").distinct().join(nodes.select("node", "digest"), "node")
+    texts = keep(docs.groupBy("digest").agg(F.first("text").alias("text")).join(found, "digest").select("node", "text"))
+    labels = components(keep, verified(keep, met, texts, similar))
+    own = _mixed_buckets(keep, shared, labels).join(hubs, "key")
+    own = _label(own, labels, "hub", "hub_label").where("label <> hub_label")
+    own = _possible(own.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("m"), F.col("hub_size").alias("n")), similar)
+    labels = _merged(keep, labels, verified(keep, own.select("a", "b").distinct().join(met, ["a", "b"], "left_anti"), texts, similar))
+    members = keep(_mixed_buckets(keep, shared, labels).where("n > 2").select("node", "size", "label").distinct())
     if not members.isEmpty():
-        rows, turn, some = _rare(members, texts, similar), 0, True
-        while True:
-            now = _labelled(rows, labels)
-            pairs = _possible(_nearest(now, turn) if some else _every(now), similar)
-            new = checkpointed(verified(pairs.select("a", "b").distinct(), texts, similar))
-            last, some, turn = not some, not new.isEmpty(), turn + 1
-            if some:
-                links = links.unionByName(new)
-                labels = components(links)
-            if last:
-                break
-    marks = _labelled(nodes.select("doc_id", "node"), labels)
-    ids = marks.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return marks.join(ids, "label").select("doc_id", "class_id", "node", "label")
+        own = keep(members.join(texts, "node"))
+        labels = _merged(keep, labels, verified(keep, _filtered(keep, _meetings(keep, own, similar), similar), texts, similar))
+    marks = keep(_label(nodes.select("digest", "node", "doc_id"), labels))
+    first = keep(marks.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("x")))
+    return marks.join(first, "label").select(F.col("digest").alias("own"), F.col("x.doc_id").alias("class_id"), F.col("x.digest").alias("first"))
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """One row of df for each class, whole: of the smallest doc_id (a row with an id before those without), and of the
+    smallest digest among such."""
+    kept = classes(df, key, text, similar).where("is_first").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = stored(kept.select("digest", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")).distinct())
+    body = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    marks = [f"_{c}_{xxhash.xxh32_hexdigest('|'.join(df.columns))}" for c in ("digest", "id", "no_id")]  # names that df doesn't have
+    own = df.withColumns(dict(zip(marks, (body, F.coalesce(F.col(key).cast("long"), F.lit(0)), F.col(key).isNull()), strict=True)))
+    kept = kept.toDF(*(f"{m}_kept" for m in marks))
+    own = own.join(kept, [own[m] == kept[f"{m}_kept"] for m in marks], "left_semi")
+    return own.dropDuplicates(marks).select(*df.columns)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, decontam, fingerprint, langid, licenses, linededup, lm, neardup, secrets
+from quillon.llm import bpe, chat, decontam, fingerprint, langid, licenses, linededup, lm, neardup, secrets, stages
 from quillon.llm.common import read
 
 
@@ -66,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_near_dedup, op4_license_scan, op5_line_dedup, op6_language_id, op7_secret_scan, op8_lm_score, op9_chat_format, op10_byte_bpe)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_near_dedup, op4_license_scan, op5_line_dedup, op6_language_id, op7_secret_scan, op8_lm_score, op9_chat_format, op10_byte_bpe)} | {"pipeline": stages.run}
 
 ORACLE = {
     "op1_decontamination": r"""

@@ -12,8 +12,8 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from quillon.llm import bpe, decontam, fingerprint, langid, linededup, lm, neardup, secrets
+from quillon.llm import bpe, decontam, fingerprint, langid, linededup, lm, neardup, secrets, stages
+from quillon.llm.common import stored
 from quillon.llm.queries import ORACLE, QUERIES
 from tests.llm.conftest import ODD
 
@@ -140,7 +140,7 @@ def test_banded_alignment_equals_full_lcs():
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         need, full = neardup.needed(len(a), len(b), 0.8), table[-1, -1]
         hashed = [neardup._mixed(np.array(x, np.uint64) * np.uint64(64)) for x in (a, b)]
-        got = neardup.common([tuple(hashed)], 0.8)[0]
+        got = neardup.aligned(*hashed, 0.8)
         assert (got >= need) == (full >= need)
         if full >= need:
             assert got == full
@@ -149,7 +149,7 @@ def test_banded_alignment_equals_full_lcs():
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)]
-    rows = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    rows = {r.node: r.label for r in neardup.components(stored, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {rows[100 + k] for k in range(31)} == {100}
     for a, b in edges:
         if a != b:
@@ -240,18 +240,157 @@ def test_language_model(spark, odd, empty):
 
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(0)
-    tables = lm.seated(np.full(4000, 30), np.full(4000, 2.0), rng)
-    # mean number of tables of 30 customers with a fixed chance, by the recursion over its distribution
-    p = np.zeros(32)
-    p[1] = 1
-    for j in range(1, 30):
-        t = np.minimum(np.arange(32), j)
-        new = 2.0 / (2.0 + j - lm.DISCOUNT * t)
-        p = p * (1 - new) + np.concatenate([[0], (p * new)[:-1]])
-    expected = (p * np.arange(32)).sum()
-    assert tables.mean() == pytest.approx(expected, rel=0.03)
-    assert (lm.seated(np.array([0, 1]), np.ones(2), rng) == [0, 1]).all()
-    assert lm.seated(np.array([100_000]), np.array([5.0]), rng)[0] < 100_000
+    d = 0.7
+    tables, sizes = lm.arrangement(np.full(6000, 30), np.full(6000, 2.0), d, rng)
+    assert sizes.sum() == 6000 * 30
+    assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == 30).all()
+    # number of tables of 30 customers, and of tables with one customer, one customer after the other
+    want = np.zeros((6000, 2))
+    for row in want:
+        seats = [1]
+        for j in range(1, 30):
+            x = rng.random() * (j - d * len(seats) + 2.0)
+            if x < 2.0:
+                seats.append(1)
+            else:
+                x -= 2.0
+                for k, n in enumerate(seats):
+                    x -= n - d
+                    if x < 0 or k == len(seats) - 1:
+                        seats[k] += 1
+                        break
+        row[:] = len(seats), seats.count(1)
+    assert tables.mean() == pytest.approx(want[:, 0].mean(), rel=0.02)
+    assert tables.std() == pytest.approx(want[:, 0].std(), rel=0.05)
+    assert (sizes == 1).sum() / 6000 == pytest.approx(want[:, 1].mean(), rel=0.03)
+    assert lm.arrangement(np.array([1, 1]), np.ones(2), d, rng)[0].tolist() == [1, 1]
+    big, sizes = lm.arrangement(np.array([10**9]), np.array([5.0]), d, rng)
+    assert big[0] == len(sizes) < 10**9
+    assert sizes.sum() == 10**9
+
+
+def test_sweeps_leave_the_distribution_as_it_is():
+    rng = np.random.default_rng(1)
+    n, c, a, d = 4000, 6, 1.5, 0.6
+    # all arrangements of 6 customers with fixed chances: weight a^tables * product of Gamma(size - d) / Gamma(1 - d)
+    def parts(left, most):
+        if not left:
+            yield []
+        for x in range(min(left, most), 0, -1):
+            for rest in parts(left - x, x):
+                yield [x, *rest]
+
+    total = mean = 0.0
+    for p in parts(c, c):
+        ways = math.factorial(c)
+        for x in p:
+            ways /= math.factorial(x)
+        for k in collections.Counter(p).values():
+            ways /= math.factorial(k)
+        w = ways * a ** len(p) * math.prod(math.gamma(x - d) / math.gamma(1 - d) for x in p)
+        total, mean = total + w, mean + w * len(p)
+    seats = lm.Seats(np.ones(n, int), np.full(n, c))
+    for _ in range(12):
+        seats.room(8)
+        for _ in range(8):
+            seats.leave(n, rng)
+            seats.sit(n, np.full(n, a), d, rng)
+        seats.close()
+        assert seats.sizes.sum() == n * c
+        assert len(seats.sizes) == seats.tables.sum()
+    assert seats.tables.mean() == pytest.approx(mean / total, rel=0.02)
+
+
+def brute_model(tokens, learned, discount, above, sweeps=40, burn=20):
+    """Mean probability of each pair of a document, times its number: Gibbs sampling of one customer after the other."""
+    rng, theta = random.Random(3), lm.STRENGTH
+    pairs = [(u, w) for x in learned for u, w in zip(["\0END", *x], x, strict=False)]
+    vocab = {w for _, w in pairs}
+    low, high = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)
+
+    def p0(w):
+        n, t = sum(map(sum, high.values())), sum(map(len, high.values()))
+        return (max(0, sum(high[w]) - above * len(high[w])) + (theta + above * t) / (len(vocab) + 1)) / (theta + n)
+
+    def sit(tables, new, d):
+        x = rng.random() * (sum(tables) - d * len(tables) + new)
+        for k, n in enumerate(tables):
+            x -= n - d
+            if x < 0:
+                tables[k] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def add(u, w):
+        if sit(low[u][w], (theta + discount * sum(map(len, low[u].values()))) * p0(w), discount):
+            sit(high[w], (theta + above * sum(map(len, high.values()))) / (len(vocab) + 1), above)
+
+    for u, w in pairs:
+        add(u, w)
+    out = collections.Counter()
+    for k in range(sweeps):
+        for u, w in pairs:
+            if leave(low[u][w]):
+                leave(high[w])
+            add(u, w)
+        if k >= burn:
+            for i, x in tokens.items():
+                for u, w in zip(["\0END", *x], x, strict=False):
+                    own = low[u][w] if w in low[u] else []
+                    p = (max(0, sum(own) - discount * len(own)) + (theta + discount * sum(map(len, low[u].values()))) * p0(w)) / (theta + sum(map(sum, low[u].values())))
+                    out[i, u, w] += p / (sweeps - burn)
+    return out
+
+
+def test_scores_equal_those_of_a_plain_sampler(spark):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(25)]
+    docs = [(k, " ".join(vocab[min(24, int(rng.expovariate(0.2)))] for _ in range(15))) for k in range(25)]
+    docs += [(100 + k, " ".join(rng.choice([*vocab, "new"]) for _ in range(12))) for k in range(6)]
+    tokens = {i: [*t.split(), "\0END"] for i, t in docs}
+    learned = [tokens[i] for i in tokens if i < 100]
+    c = collections.Counter((u, w) for x in learned for u, w in zip(["\0END", *x], x, strict=False))
+    types = collections.Counter(w for _, w in c)
+    ratio = lambda n: min(0.95, max(0.05, sum(x == 1 for x in n) / max(1, sum(x == 1 for x in n) + 2 * sum(x == 2 for x in n)))) if 1 in n else 0.5
+    p = brute_model(tokens, learned, ratio(list(c.values())), ratio(list(types.values())))
+    times = collections.Counter((i, u, w) for i, x in tokens.items() for u, w in zip(["\0END", *x], x, strict=False))
+    want = collections.Counter()
+    for (i, u, w), n in times.items():
+        want[i] += n * math.log10(p[i, u, w] / n)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("held", F.col("doc_id") >= 100)
+    rows = lm.score(df, "held").collect()
+    for r in rows:
+        assert r.score == pytest.approx(want[r.doc_id], rel=0.06)
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+    assert sum(r.score for r in rows) == pytest.approx(sum(want.values()), rel=0.015)
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(0.7, (30, 40))
+    tables = np.where(counts > 0, rng.binomial(np.maximum(counts - 1, 0), 0.4) + 1, 0)
+    n = tables.sum(axis=0)
+    above = np.where(n > 0, rng.binomial(np.maximum(n - 1, 0), 0.3) + 1, 0)
+    share = lm.predictive(np.append(n, 0), np.append(above, 0), n.sum(), above.sum(), 1 / 41, 0.4)
+    assert share.sum() == pytest.approx(1)
+    for c, t in zip(counts, tables, strict=True):
+        assert lm.predictive(np.append(c, 0), np.append(t, 0), c.sum(), t.sum(), share, 0.6).sum() == pytest.approx(1)
+
+
+def test_shards_cut_a_frequent_word():
+    word = np.repeat(np.array([5, 9, 20], np.uint64) << np.uint64(16), 6)
+    context = np.tile(np.arange(6, dtype=np.uint64) * np.uint64(10), 3)
+    bounds = (np.array([9, 9, 20], np.uint64), np.array([15, 40, 0], np.uint64))
+    assert lm.shard_of(word, context, bounds).tolist() == [0] * 6 + [0, 0, 1, 1, 2, 2] + [3] * 6
 
 
 def test_known_words_score_above_unknown_ones(spark):
@@ -282,7 +421,7 @@ def test_oracle(spark, name):
 def test_pipeline_stages(spark, odd, benchmark, tmp_path):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame([(50, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu and more words here", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    for k, (name, stage) in enumerate(stages.STAGES):
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(str(tmp_path / str(k)))
         out = spark.read.parquet(str(tmp_path / str(k)))
@@ -306,7 +445,7 @@ def test_near_dedup_keeps_one_document_of_each_class_without_or_with_shared_ids(
     words = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
     docs = [(None, words(1)), (None, words(2)), (None, words(2)), (7, words(3)), (7, words(4)), (None, words(5)), (9, words(5)), (8, words(5))]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sorted((r.text, r.doc_id) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    kept = sorted((r.text, r.doc_id) for r in stages.near_dedup(spark, df, "").collect())
     assert kept == [(words(1), None), (words(2), None), (words(3), 7), (words(4), 7), (words(5), 8)]
 
 
@@ -319,7 +458,7 @@ def test_pipeline_against_the_operators(spark):
     classes = brute_classes(worded)
     first = {t: i for i, t in sorted(kept.items(), reverse=True)}
     kept = {i: t for i, t in kept.items() if classes.get(i, first[t]) == i}
-    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    rows = {r.doc_id: r for r in stages.run(spark, SF).collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(w[i : i + 10]) for _, t in items for w in [decontam.words(t)] for i in range(max(1, len(w) - 9))}
     clean = {i: t for i, t in kept.items() if not any(tuple(decontam.words(t)[k : k + 10]) in windows for k in range(len(decontam.words(t))))}
