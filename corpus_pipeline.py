@@ -1,59 +1,5 @@
-"""A corpus pipeline of five stages: language ID, line dedup, near-dedup, decontamination, tokenisation.
+"""The corpus pipeline: STAGES in order, run() over the documents of a folder, and ORACLE_SQL. See quillon/llm/stages.py."""
 
-Each stage takes (spark, docs, sf_dir), works on every row it gets, and returns the columns of documents, but for the
-last, which returns digests of the token ids. Between stages results are Parquet tables.
-"""
+from quillon.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillon.llm import bpe, decontam, langid, linededup, neardup
-from quillon.llm.common import read, stored
-
-#: Documents whose leading language has less of the text than this are rejected with those without letters.
-LEAST_SHARE = 0.5
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.learn(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.apply_bitmaps(linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs)))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class stays, one with an id before those without."""
-    first = neardup.classes(docs).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("node"))
-    own = docs.withColumn("node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(first, (own["node"] == first["node"]) & own["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    return kept.dropDuplicates(["node", "doc_id"]).select(docs.columns)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return found.where(F.size("spans") == 0).select(docs.columns)
-
-
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
-
-#: The language model's choice and the similarity of texts have no SQL form.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
