@@ -206,6 +206,68 @@ def test_secrets(spark, odd, empty):
     assert secrets.digests(secrets.scan(empty)).count() == 0
 
 
+def below(z):
+    return max(0.5 * math.erfc(-z / math.sqrt(2)), 1e-39)
+
+
+def brute_battery(texts):
+    """start, end and chance of the candidates of all texts, one by one."""
+    run = re.compile(rf"(?<![{secrets.RUN_CHARS}])[{secrets.RUN_CHARS}]{{{secrets.MIN_RUN},}}")
+    out = []
+    for k, text in enumerate(texts):
+        for m in run.finditer(text):
+            body = m[0].replace("-", "") if re.fullmatch("[0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+", m[0]) else m[0]
+            name, letters = next((n, a) for n, a in secrets.ALPHABETS.items() if set(body) <= set(a))
+            n, size, count = len(body), len(letters), collections.Counter(body)
+            chi = sum((count[c] - n / size) ** 2 / (n / size) for c in letters)
+            excess = size * (0.1 if name.startswith("hex") else sum(p * p for p in secrets.LETTER_SHARE)) - 1
+            even = below((chi - (size - 1 + n * excess)) / math.sqrt(2 * (size - 1 + 2 * n * excess)))
+            codes = [letters.index(c) + 1 for c in body]
+            high = [c > size / 2 for c in codes]
+            up, runs, mean = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(codes) / n
+            expected = 2 * up * (n - up) / n + 1
+            var = (expected - 1) * (expected - 2)
+            runs_z = (runs - expected) / math.sqrt(var / (n - 1)) if var > 0 else math.sqrt(n)
+            spread = sum((c - mean) ** 2 for c in codes)
+            serial_z = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / spread * math.sqrt(n) if spread else math.sqrt(n)
+            chances = [even, *(max(1e-3, 1 - 2 * below(-abs(z))) for z in (runs_z, serial_z))]
+            x = -sum(w * math.log(p) for w, p in zip(secrets.WEIGHTS, chances, strict=True))
+            a, b, c = secrets.WEIGHTS
+            tail = a * a / (a - b) / (a - c) * math.exp(-x / a) + b * b / (b - a) / (b - c) * math.exp(-x / b) + c * c / (c - a) / (c - b) * math.exp(-x / c)
+            chance = 1.0 if max(abs(runs_z), abs(serial_z)) > secrets.REGULAR else min(1.0, tail)
+            out.append((k, m.start(), m.end(), chance))
+    return out
+
+
+def test_battery_against_brute_force(spark):
+    rng = random.Random(11)
+    made = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    texts += [f"x {made(rng.randrange(20, 90), a)} 🙂 {made(30, 'etaoin')} {'abcdefghij' * 5} {'A' * 40}" for a in secrets.ALPHABETS.values() for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tested = df.select("doc_id", secrets.tested(f"({secrets.spans_sql('text', secrets.RUN, 'rand')})").alias("r")).select("doc_id", F.explode("r").alias("r")).select("doc_id", "r.start", "r.end", "r.chance").collect()
+    want = brute_battery(texts)
+    assert len(want) > 150
+    found = {(r.doc_id, r.start, r.end): r.chance for r in tested}
+    assert set(found) == {x[:3] for x in want}
+    for *at, chance in want:
+        assert math.log(found[tuple(at)]) == pytest.approx(math.log(max(chance, 1e-39)), abs=0.02 + 1e-3 * abs(math.log(max(chance, 1e-39))))
+    # Benjamini and Hochberg over all chances, on the operator's bins
+    bins = sorted(min(secrets.BINS - 1, math.floor(-10 * math.log10(found[x[:3]]))) for x in want)[::-1]
+    least = min((b for k, b in enumerate(bins) if 10 ** (-b / 10) <= secrets.FALSE_SHARE * sum(y >= b for y in bins) / len(bins)), default=secrets.BINS)
+    passed = {k for k, c in found.items() if min(secrets.BINS - 1, math.floor(-10 * math.log10(c))) >= least}
+    rows = secrets.digests(secrets.scan(df)).collect()
+    assert {(r.doc_id, int(a), int(b)) for r in rows for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "rand"} == passed
+    assert passed
+
+
+def test_many_secrets_in_one_text(spark):
+    df = spark.createDataFrame([(1, "token=abcdef " * 64_000)], "doc_id long, text string")
+    r = secrets.digests(secrets.scan(df)).first()
+    assert r.n_assign == 64_000
+    assert r.spans.endswith(f"assign:{13 * 63_999}:{13 * 63_999 + 12}")
+
+
 def test_upper_case_and_dashed_hexadecimal(spark):
     rng = random.Random(8)
     run = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
