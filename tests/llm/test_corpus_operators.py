@@ -33,11 +33,31 @@ def test_fingerprints(spark, odd, empty):
         assert (rows[i].n_chars, rows[i].edited_sha256) == (len(text), sha(text[: len(text) - n] + after[:n]))
     assert rows[1000].fingerprint == rows[1001].fingerprint != rows[1002].fingerprint
     assert (rows[1000].near_next, rows[1001].near_next) == (1.0, 0.0)
+    assert all(r.near_edited == (r.fingerprint == r.edited_fingerprint) for r in rows.values())
+    assert {r.near_edited for r in rows.values()} == {0.0, 1.0}
     assert (rows[1001].group_id, rows[1001].group_size) == (1000, 2)
     assert fingerprint.likeness(odd).count() == len(ODD)
     assert fingerprint.likeness(empty).count() == 0
 
 
+def test_equal_digests_of_different_texts_part(spark):
+    docs = [(1, "aaaa"), (2, "bbbb"), (3, "AAAA "), (4, "cccc"), (5, "dd"), (None, "bbbb"), (7, "dddddd"), (7, "aaaa")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = fingerprint.likeness(df, digest=lambda c: (F.length(c).cast("long"), F.lit(0).cast("long"))).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.group_id, r.group_size) for r in rows), key=str) == sorted(
+        [(1, 4, 1, 3), (2, 4, 2, 2), (3, 5, 1, 3), (4, 4, 4, 1), (5, 2, 5, 1), (None, 4, 2, 2), (7, 6, 7, 1), (7, 4, 1, 3)], key=str)
+
+
+def test_edited_texts_equal_those_of_sql(spark):
+    import duckdb
+
+    want = duckdb.sql(f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id), '') AS after FROM read_parquet('{SF}/documents.parquet'))
+        SELECT doc_id, length(text), sha256(substr(text, 1, length(text) - length(text) // 4) || substr(after, 1, length(text) // 4)) FROM d""").fetchall()
+    rows = QUERIES["op2_fingerprint"](spark, SF).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
 def test_wide_and_negative_ids(spark):
     ids = [-(2**62), -5, 0, 7, 2**40, 2**62]
     rows = fingerprint.next_ids(spark.createDataFrame([(i,) for i in ids], "doc long")).collect()
