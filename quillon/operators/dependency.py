@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon import schemas
@@ -33,14 +33,53 @@ def chain_tokens(sentence: Column) -> Column:
 
 def parse_dependency(sentences: DataFrame, parser: Callable[[str], list[tuple]] | None = None) -> DataFrame:
     """Sentences (doc_id, domain, source, author, sent_idx, sent_text) -> the same with parse_str. Sentences with a head
-    outside are dropped; empty sentences stay. parser: sentence -> [(i, text, pos, head, dep, is_space)]."""
+    outside, or for which the parser raises ValueError, are dropped; empty sentences stay. parser: sentence ->
+    [(i, text, pos, head, dep, is_space)]."""
     if parser is None:
         tokens = chain_tokens(F.col("sent_text"))
     else:
         fields = ("i", "text", "pos", "head", "dep", "is_space")
 
+        def one(text: str | None):
+            try:
+                return [dict(zip(fields, t, strict=True)) for t in parser(text or "")]
+            except ValueError:
+                return None
+
         def parsed(sentences: pd.Series) -> pd.Series:
-            return sentences.map(lambda x: [dict(zip(fields, t, strict=True)) for t in parser(x or "")])
+            return sentences.map(one)
 
         tokens = F.pandas_udf(parsed, schemas.TOKENS)("sent_text")
     return sentences.withColumn("parse_str", to_lines(tokens)).where("parse_str IS NOT NULL")
+
+
+def parse_status(corpus: DataFrame, parser: Callable[[list[str]], Iterable], batch: int = 32) -> DataFrame:
+    """corpus (id, domain, source, author, text) -> PARSES and status: ok, sentence_failed (a head outside its sentence) or
+    document_failed. parser gets `batch` texts at a time and gives for each the sentences, [(sentence, tokens)] with
+    tokens as parse_dependency takes them, or None (or a ValueError) where it fails; it lives once in each worker."""
+    fields = ("i", "text", "pos", "head", "dep", "is_space")
+    schema = f"doc_id string, domain string, source string, author string, sent_idx int, sent_text string, tokens {schemas.TOKENS}, failed boolean"
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for k in range(0, len(frame), batch):
+                part = frame.iloc[k : k + batch]
+                for r, found in zip(part.itertuples(index=False), parser([t or "" for t in part["text"]]), strict=True):
+                    key = (r.id, r.domain, r.source, r.author)
+                    if found is None or isinstance(found, ValueError):
+                        rows.append((*key, None, None, None, True))
+                    else:
+                        rows += [(*key, i, s.strip(), [dict(zip(fields, t, strict=True)) for t in tokens], False) for i, (s, tokens) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")][:6] + ["tokens", "failed"]).astype({"sent_idx": "Int32"})
+
+    rows = corpus.select("id", "domain", "source", "author", "text").mapInPandas(run, schema).withColumn("parse_str", to_lines(F.col("tokens")))
+    status = F.when(F.col("failed"), "document_failed").when(F.col("parse_str").isNull(), "sentence_failed").otherwise("ok")
+    return rows.withColumn("status", status).drop("tokens", "failed")
+
+
+def parse_documents(corpus: DataFrame, parser: Callable[[list[str]], Iterable], batch: int = 32) -> tuple[DataFrame, Observation]:
+    """PARSES of what parses, and an observation of n_ok, n_sentence_failed and n_document_failed, filled when it is written."""
+    seen = Observation("dependency")
+    counts = (F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "sentence_failed", "document_failed"))
+    return parse_status(corpus, parser, batch).observe(seen, *counts).where("status = 'ok'").drop("status"), seen

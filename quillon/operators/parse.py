@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon import schemas
@@ -51,10 +51,21 @@ def bracket_sql(sentence: str, d: dict = SPARK) -> str:
     return f"CASE WHEN {d['size'].format(clauses)} = 0 THEN '(FRAG)' ELSE '(S ' || {whole} || ')' END"
 
 
-def sentences(corpus: DataFrame, text: str = "text") -> DataFrame:
+def segments(text: Column, segmenter: Callable[[str], list[str]] | None = None) -> Column:
+    """The sentences of a text, by the rule or by a segmenter, which gets a text and lives once in each worker."""
+    if segmenter is None:
+        return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+
+    def cut(texts):
+        return texts.map(lambda t: None if t is None else list(segmenter(t)))
+
+    return F.pandas_udf(cut, "array<string>")(text)
+
+
+def sentences(corpus: DataFrame, text: str = "text", segmenter: Callable[[str], list[str]] | None = None) -> DataFrame:
     """corpus without its text, with sent_idx (from 0) and sent_text (stripped); a null text has no sentences."""
     cols = [c for c in corpus.columns if c != text]
-    rows = corpus.select(*cols, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))).alias("sent_idx", "sent_text"))
+    rows = corpus.select(*cols, F.posexplode(segments(F.col(text), segmenter)).alias("sent_idx", "sent_text"))
     return rows.withColumn("sent_text", X.strip(F.col("sent_text")))
 
 
@@ -94,9 +105,17 @@ def parse_status(corpus: DataFrame, parser: Callable[[str], list[tuple[str, str]
     return corpus.select("id", "domain", "source", "author", "text").mapInPandas(run, schemas.PARSES + ", status string")
 
 
-def with_metrics(corpus: DataFrame) -> DataFrame:
+def observed(corpus: DataFrame, parser: Callable[[str], list[tuple[str, str]]]) -> tuple[DataFrame, Observation]:
+    """parse_constituency() by a parser, and an observation of n_ok, n_sentence_failed and n_document_failed, filled when the
+    frame is written."""
+    seen = Observation("constituency")
+    counts = (F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "sentence_failed", "document_failed"))
+    return remove_empty(parse_status(corpus, parser).observe(seen, *counts).where("status = 'ok'").drop("status")), seen
+
+
+def with_metrics(corpus: DataFrame, segmenter: Callable[[str], list[str]] | None = None) -> DataFrame:
     """corpus with word_count, sent_count, mean_sent_length and sent_length_var (null for one sentence), inside the row."""
-    lengths = F.transform(F.filter(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda s: X.strip(s) != ""), lambda s: X.word_count(s).cast("double"))
+    lengths = F.transform(F.filter(segments(F.col("text"), segmenter), lambda s: X.strip(s) != ""), lambda s: X.word_count(s).cast("double"))
     out = corpus.withColumn("_l", lengths).withColumn("sent_count", F.size("_l").cast("long"))
     total = F.aggregate("_l", F.lit(0.0), lambda a, x: a + x)
     out = out.withColumn("mean_sent_length", F.try_divide(total, F.col("sent_count")))

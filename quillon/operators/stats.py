@@ -2,26 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUARTILES = ("q25", "q50", "q75")
+#: Cuts of a key's values into stretches, from Spark's mergeable sketch; they only deal the work out.
+CUTS = 63
+
+
+def quartiles(df: DataFrame, keys: list[str], value: Column, edges: DataFrame) -> DataFrame:
+    """keys and QUARTILES, exact and interpolated. edges: keys, n (values that aren't null) and cuts, an array of values
+    that cut each key's into stretches of about equal numbers. Values are counted first; then only the stretches that
+    hold a wanted rank are sorted, so no task holds all values of a key."""
+    own = df.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys]), F.lit(True))
+    own = own.alias("o").join(F.broadcast(edges).alias("e") if not keys else edges.alias("e"), same("o", "e")).select("o.*", "e.n", F.expr("size(filter(e.cuts, x -> x < o.v))").alias("bin"))
+    sums = own.groupBy(*keys, "n", "bin").agg(F.sum("c").alias("c"))  # CUTS + 1 rows for each key at most
+    until = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = F.array(*(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), f(F.lit(p) * (F.col("n") - 1)).cast("long").alias("rank")) for i, p in enumerate((0.25, 0.5, 0.75)) for side, f in ((0, F.floor), (1, F.ceil))))
+    sums = sums.withColumn("before", F.coalesce(F.sum("c").over(until), F.lit(0))).withColumn("ranks", F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c"))))
+    wanted = sums.where(F.size("ranks") > 0).select(*keys, "bin", "before", "ranks")
+    some = own.alias("o").join(wanted.alias("w"), same("o", "w") & (F.col("o.bin") == F.col("w.bin"))).select("o.*", "w.before", "w.ranks")
+    upto = F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    some = some.withColumn("upto", F.col("before") + upto).withColumn("hit", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("c")))))
+    at = lambda i, side: F.max(F.when((F.col("hit.q") == i) & (F.col("hit.side") == side), F.col("v")))
+    found = some.groupBy(*keys, "n").agg(*(at(i, side).alias(f"_{i}{side}") for i in range(3) for side in (0, 1)))
+    part = lambda p: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
+    return found.select(*keys, *((F.col(f"_{i}0") + (F.col(f"_{i}1") - F.col(f"_{i}0")) * part(p)).alias(QUARTILES[i]) for i, p in enumerate((0.25, 0.5, 0.75))))
+
+
+def _summed(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    cuts = F.approx_percentile(value, [k / (CUTS + 1) for k in range(1, CUTS + 1)], 1000)
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), cuts.alias("cuts"))
+    return out
+
+
+def _with_quartiles(sums: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    same = functools.reduce(lambda x, y: x & y, (F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys), F.lit(True))
+    return sums.alias("s").join(found.alias("f"), same, "left").select("s.*", *QUARTILES)
 
 
 def describe(df: DataFrame, keys: list[str], column: str, digits: int) -> DataFrame:
     """count, mean, std, min, quartiles (exact, interpolated) and max of the non-null values by keys, rounded half-even."""
     value = F.col(column).cast("double")
-    quartiles = F.percentile(value, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75))))
-    out = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), quartiles.alias("q"), F.max(value).alias("max"))
-    cols = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), **{n: F.get("q", F.lit(i)) for i, n in enumerate(QUARTILES)}, "max": F.col("max")}
-    return out.select(*keys, "count", *(F.bround(c, digits).alias(n) for n, c in cols.items()))
+    sums = _summed(df, keys, value)
+    out = _with_quartiles(sums, quartiles(df, keys, value, sums.select(*keys, "n", "cuts")), keys)
+    return out.select(*keys, F.col("n").alias("count"), *(F.bround(c, digits).alias(c) for c in ("mean", "std", "min", *QUARTILES, "max")))
 
 
 def describe_many(df: DataFrame, keys: list[str], columns: list[str], digits: int) -> DataFrame:
     """describe() of several columns in long form, with the column `metric`."""
+    return describe(_long(df, keys, columns), [*keys, "metric"], "value", digits)
+
+
+def _long(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in columns)
-    long = df.select(*keys, F.expr(f"stack({len(columns)}, {pairs}) AS (metric, value)"))
-    return describe(long, [*keys, "metric"], "value", digits)
+    return df.select(*keys, F.expr(f"stack({len(columns)}, {pairs}) AS (metric, value)"))
 
 
 def proportions(df: DataFrame, keys: list[str], column: str, values: list[str], digits: int | None = None) -> DataFrame:
@@ -39,13 +77,20 @@ def variability(df: DataFrame, keys: list[str], document: list[str], column: str
 def box(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """q25, q50, q75 and the whiskers: the outermost values within 1.5 interquartile ranges."""
     value = F.col(column).cast("double")
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75)))).alias("q"))
-    q = q.select(*keys, *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(QUARTILES)))
+    q = quartiles(df, keys, value, _summed(df, keys, value).select(*keys, "n", "cuts"))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = df.select(*keys, value.alias("v")).join(q, keys).where((F.col("v") >= F.col("q25") - reach) & (F.col("v") <= F.col("q75") + reach))
     return inside.groupBy(*keys, *QUARTILES).agg(F.min("v").alias("whisker_low"), F.max("v").alias("whisker_high"))
 
 
+def box_many(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """box() of several columns in long form, with the column `metric`."""
+    return box(_long(df, keys, columns), [*keys, "metric"], "value")
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows whose keys occur more than once."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n > 1").drop("_n")
+    """All rows whose keys occur more than once; null equals null. Keys are counted within each task first, and the rows
+    meet the repeated keys in a join, which Spark can split for a very common key."""
+    often = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").alias("d")
+    same = functools.reduce(lambda x, y: x & y, (F.col(f"r.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys))
+    return df.alias("r").join(often, same, "left_semi")

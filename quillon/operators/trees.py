@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -14,7 +15,10 @@ from pyspark.sql import types as T
 from quillon import schemas
 from quillon.functions import trees
 
-_WORD = re.compile(r"\s+[^()\s]+")
+#: A word and the space before it; what follows an opening bracket is a label, also behind a space.
+_WORD = re.compile(r"(?<=[^\s(])\s+([^()\s]+)")
+#: Shapes (trees without their words) that a worker remembers.
+SHAPES = 200_000
 
 
 def parse_tree(text: Column | str) -> Column:
@@ -27,8 +31,16 @@ def parse_tree(text: Column | str) -> Column:
     return F.pandas_udf(decoded, schemas.NODES)(text)
 
 
-def _types(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(list(map(trees.sentence_types, text)), columns=["feng_algo_1", "feng_algo_2"])
+def _types(batches):
+    """Types don't depend on words, so equal shapes are decoded once."""
+    known: dict[str | None, tuple[str, str]] = {}
+    for text in batches:
+        shapes = [_WORD.sub(" _", t) if t is not None else None for t in text]
+        if len(known) > SHAPES:
+            known.clear()
+        for shape in set(shapes).difference(known):
+            known[shape] = trees.sentence_types(shape)
+        yield pd.DataFrame([known[s] for s in shapes], columns=["feng_algo_1", "feng_algo_2"])
 
 
 def _pretty(text: pd.Series) -> pd.Series:
@@ -41,8 +53,18 @@ def pretty(text: Column | str) -> Column:
 
 
 def classify(parses: DataFrame, parse: str = "parse_str") -> DataFrame:
-    """parses with feng_algo_1 and feng_algo_2: each tree is decoded once, in Arrow batches."""
-    return parses.withColumn("_t", F.pandas_udf(_types, "struct<feng_algo_1:string,feng_algo_2:string>")(parse)).select(*parses.columns, "_t.feng_algo_1", "_t.feng_algo_2")
+    """parses with feng_algo_1 and feng_algo_2: each shape of a tree is decoded once for each worker."""
+
+    def types(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _types(batches)
+
+    found = F.pandas_udf(types, "struct<feng_algo_1:string,feng_algo_2:string>")(parse)
+    return parses.withColumn("_t", found).select(*parses.columns, "_t.feng_algo_1", "_t.feng_algo_2")
+
+
+def error_count(typed: DataFrame) -> DataFrame:
+    """n_rows and n_error: rows whose tree could not be classified."""
+    return typed.agg(F.count("*").alias("n_rows"), F.count_if(F.col("feng_algo_1") == schemas.ERROR).alias("n_error"))
 
 
 def type_1(nodes: Column) -> Column:
@@ -76,20 +98,26 @@ def node_motifs(nodes: str = "nodes", most: int = 4, least: int = 2, min_termina
 
 def motifs(parses: DataFrame, parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, wanted: frozenset[str] | None = None) -> DataFrame:
     """A row for each motif of each tree: the row's other columns, pattern, words, place (order within the tree).
-    wanted: only these patterns leave the worker."""
+    wanted: only these patterns leave the worker. Each shape is walked once; its motifs' words are cut from the rows."""
     keep = [c for c in parses.columns if c not in ("pattern", "words", "place")]
 
     def run(batches):
+        shapes: dict[str, list[tuple]] = {}
         for batch in batches:
             rows, found = [], []
             for k, text in enumerate(batch.column(parse).to_pylist()):
-                tree = trees.decode(text) if text is not None else None
-                if tree is not None:
-                    words = tree[1]
-                    for i, (motif, a, b) in enumerate(trees.motifs(text, most, least, min_terminals)):
-                        if wanted is None or motif in wanted:
-                            rows.append(k)
-                            found.append((motif, " ".join(words[a:b]), i))
+                if text is None:
+                    continue
+                shape = _WORD.sub(" _", text)
+                own = shapes.get(shape)
+                if own is None:
+                    if len(shapes) >= SHAPES:
+                        shapes.clear()
+                    own = shapes[shape] = [(i, *x) for i, x in enumerate(trees.motifs(shape, most, least, min_terminals)) if wanted is None or x[0] in wanted]
+                if own:
+                    words = _WORD.findall(text)
+                    rows += [k] * len(own)
+                    found += [(motif, " ".join(words[a:b]), i) for i, motif, a, b in own]
             at = pa.array(rows, pa.int32())
             pattern, words, place = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array(pattern, pa.string()), pa.array(words, pa.string()), pa.array(place, pa.int32())], names=[*keep, "pattern", "words", "place"])
@@ -97,7 +125,7 @@ def motifs(parses: DataFrame, parse: str = "parse_str", most: int = 4, least: in
     return parses.mapInArrow(run, T.StructType([*parses.select(keep).schema.fields, *T.StructType.fromDDL("pattern string, words string, place int").fields]))
 
 
-def partial_counts(parses: DataFrame, keys: list[str], parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, flush: int = 200_000) -> DataFrame:
+def partial_counts(parses: DataFrame, keys: list[str], parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, flush: int = SHAPES) -> DataFrame:
     """keys, pattern, cnt: summed within each task before anything is shuffled; a task holds at most about `flush` sums."""
 
     def run(batches):

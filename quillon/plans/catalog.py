@@ -68,12 +68,46 @@ sub AS (SELECT n.sid, n.pos AS root, n.depth AS rd, x.d, m.pos, m.depth, m.label
         FROM ends n JOIN nodes m ON m.sid = n.sid AND m.pos >= n.pos AND m.pos < n.stop JOIN (SELECT unnest([2, 3, 4]) AS d) x ON m.depth < n.depth + x.d),
 made AS (SELECT sid, root, d, string_agg(CASE WHEN pd IS NULL THEN '(' || label ELSE repeat(')', CAST(pd - depth + 1 AS INT)) || ' (' || label END, '' ORDER BY pos) || repeat(')', CAST(arg_max(depth, pos) - rd + 1 AS INT)) AS pattern FROM sub GROUP BY sid, root, rd, d),
 emitted AS MATERIALIZED (SELECT domain, source, author, doc_id, sent_idx, sent_text, root, d, sid, pattern FROM made JOIN parses USING (sid) WHERE len(regexp_extract_all(pattern, '\([A-Z$][A-Z0-9$-]*\)')) >= 2)"""
+WITNESSED = MOTIFS + r""",
+witness AS MATERIALIZED (SELECT x.sid, x.pos AS root, string_agg(t.t, ' ' ORDER BY t.pos) AS words FROM ends x JOIN tok t ON t.sid = x.sid AND t.pos > x.pos AND t.pos < x.stop AND t.t[1] <> '(' AND t.t <> ')' GROUP BY ALL)"""
 COUNTS = MOTIFS + ",\ncounts AS MATERIALIZED (SELECT domain, source, pattern, count(*) AS cnt FROM emitted GROUP BY ALL),\nn AS (SELECT domain, source, count(*) AS total FROM sents GROUP BY ALL)"
 COMPARED = COUNTS + """,
 wide AS (SELECT domain, pattern, coalesce(max(cnt) FILTER (source = 'gpt'), 0) AS g, coalesce(max(cnt) FILTER (source = 'claude'), 0) AS c, coalesce(max(cnt) FILTER (source = 'human'), 0) AS h FROM counts GROUP BY ALL),
 size AS (SELECT domain, max(total) FILTER (source = 'gpt') AS ng, max(total) FILTER (source = 'claude') AS nc, max(total) FILTER (source = 'human') AS nh FROM n GROUP BY ALL),
 pmi AS (SELECT domain, pattern, log2((g / ng) / (CASE WHEN h = 0 THEN 0.5 ELSE h END / nh)) AS gp, log2((c / nc) / (CASE WHEN h = 0 THEN 0.5 ELSE h END / nh)) AS cp FROM wide JOIN size USING (domain) WHERE g >= 15 AND c >= 15),
 cmp AS (SELECT domain, pattern, round(gp, 6) AS gpt_pmi, round(cp, 6) AS claude_pmi, round(abs(gp - cp), 6) AS model_gap, round(abs(gp), 6) AS gpt_deviation, round(abs(cp), 6) AS claude_deviation FROM pmi)"""
+CHUNKED = "numbered AS (SELECT sid, row_number() OVER (PARTITION BY domain, source ORDER BY author NULLS FIRST, doc_id, sent_idx) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY domain, source) // 7) AS size FROM parses)"
+LETTER = r"[\p{L}\p{M}\p{N}_]"
+NOT_LETTER = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def highlighted(sentence: str, words: str) -> str:
+    """SQL for the first place of the words with ** around it. A word boundary is written out, as RE2's knows ASCII only."""
+    parts = f"array_to_string(list_transform(list_filter(string_split_regex({words}, '\\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '[\\s,;:''\"]*')"
+    front = f"CASE WHEN regexp_matches({words}, '^{LETTER}') THEN '(|.*?{NOT_LETTER})' ELSE '(.*?{LETTER})' END"
+    behind = f"CASE WHEN regexp_matches({words}, '{LETTER}$') THEN '({NOT_LETTER}|$)' ELSE '({LETTER})' END"
+    return f"CASE WHEN trim({words}) = '' THEN {sentence} ELSE regexp_replace({sentence}, '(?is)^' || {front} || '(' || {parts} || ')' || {behind}, '\\1**\\2**\\3') END"
+
+
+def truncated(text: str, most: int) -> str:
+    mark = f"strpos({text}, '**')"
+    return f"CASE WHEN length({text}) <= {most} THEN {text} WHEN {mark} = 0 OR {mark} - 1 < {most // 2} THEN substr({text}, 1, {most}) || '...' ELSE '...' || substr({text}, {mark} - {most // 2}, {most}) || '...' END"
+
+
+TOPS = ", ".join(f"r{k} AS (SELECT domain, {k} AS section, CAST(row_number() OVER (PARTITION BY domain ORDER BY {by} DESC, pattern) AS INT) AS rank, pattern, gpt_pmi, claude_pmi, model_gap FROM cmp)" for k, (by, _) in enumerate(report.SECTIONS, 1))
+TOPS += ", tops AS MATERIALIZED (SELECT * FROM (FROM r1 UNION ALL FROM r2 UNION ALL FROM r3) WHERE rank <= 4)"
+EXAMPLES = COMPARED + ", " + TOPS + r""",
+hits AS (SELECT e.*, x.stop FROM emitted e JOIN (SELECT DISTINCT domain, pattern FROM tops) USING (domain, pattern) JOIN ends x ON x.sid = e.sid AND x.pos = e.root),
+spoken AS (SELECT h.sid, h.root, h.d, h.domain, h.source, h.pattern, h.doc_id, h.sent_idx, h.sent_text, string_agg(t.t, ' ' ORDER BY t.pos) AS words
+           FROM hits h JOIN tok t ON t.sid = h.sid AND t.pos > h.root AND t.pos < h.stop AND t.t[1] <> '(' AND t.t <> ')' GROUP BY ALL),
+firsts AS (SELECT * FROM spoken QUALIFY row_number() OVER (PARTITION BY domain, source, pattern, words ORDER BY doc_id, sent_idx, root, d) = 1),
+two AS (SELECT *, row_number() OVER (PARTITION BY domain, source, pattern ORDER BY doc_id, sent_idx, root, d, words) AS k FROM firsts QUALIFY k <= 2),
+examples AS MATERIALIZED (SELECT domain, pattern, words, sent_text AS sentence, row_number() OVER (PARTITION BY domain, pattern ORDER BY CASE source WHEN 'gpt' THEN 1 WHEN 'claude' THEN 2 ELSE 3 END, k) AS no FROM two QUALIFY no <= 2)"""
+REPORTED = f"""shown AS (SELECT domain, pattern, list('     ex' || no || ': ' || {truncated('h', 140)} || '...' ORDER BY no) AS ex FROM (SELECT *, {highlighted('sentence', 'words')} AS h FROM examples) GROUP BY ALL),
+said AS (SELECT domain, section, rank, ['', 'Pattern: ' || pattern] || CASE section
+    WHEN 1 THEN ['  -> GPT PMI:    ' || format('{{:+.3f}}', gpt_pmi), '  -> Claude PMI: ' || format('{{:+.3f}}', claude_pmi), '  -> Gap Size:   ' || format('{{:.3f}}', model_gap)]
+    WHEN 2 THEN ['  -> GPT PMI:    ' || format('{{:+.3f}}', gpt_pmi) || ' (Max Deviation)', '  -> Claude PMI: ' || format('{{:+.3f}}', claude_pmi)]
+    ELSE ['  -> Claude PMI: ' || format('{{:+.3f}}', claude_pmi) || ' (Max Deviation)', '  -> GPT PMI:    ' || format('{{:+.3f}}', gpt_pmi)] END || coalesce(ex, []) AS lines FROM tops LEFT JOIN shown USING (domain, pattern))"""
 TYPES = NODES + """,
 clause AS (SELECT sid, min(pos) AS pos FROM nodes WHERE depth >= 1 AND label IN ('S', 'SBAR') GROUP BY sid),
 over_ AS (SELECT c.sid, arg_max(t.label, t.pos) AS label FROM clause c JOIN nodes t ON t.sid = c.sid AND t.depth = 1 AND t.pos <= c.pos GROUP BY c.sid),
@@ -220,14 +254,14 @@ def a10_motif_counts(spark, sf_dir):
     return counts(spark, sf_dir)
 
 
-@query(f"WITH {MOTIFS} SELECT domain, pattern, count(*) AS cnt FROM emitted WHERE domain = 'es' GROUP BY ALL")
+@query(f"WITH {WITNESSED}, every AS (SELECT e.domain, e.pattern, w.words FROM emitted e JOIN witness w USING (sid, root)) SELECT domain, pattern, count(*) AS cnt, count(DISTINCT words) AS n_words, min(words) AS first_words, max(words) AS last_words FROM every GROUP BY ALL")
 def e5_e7_motifs_by_expression(spark, sf_dir):
-    rows = parses(spark, sf_dir).where("domain = 'es'").select("domain", trees.parse_tree("parse_str").alias("nodes"))
-    return rows.select("domain", F.explode(trees.node_motifs()).alias("m")).groupBy("domain", F.col("m.pattern").alias("pattern")).agg(F.count("*").alias("cnt"))
+    rows = parses(spark, sf_dir).select("domain", trees.parse_tree("parse_str").alias("nodes"))
+    rows = rows.select("domain", F.explode(trees.node_motifs()).alias("m")).select("domain", "m.pattern", "m.words")
+    return rows.groupBy("domain", "pattern").agg(F.count("*").alias("cnt"), F.countDistinct("words").alias("n_words"), F.min("words").alias("first_words"), F.max("words").alias("last_words"))
 
 
-@query(f"""WITH {MOTIFS},
-numbered AS (SELECT sid, row_number() OVER (PARTITION BY domain, source ORDER BY author NULLS FIRST, doc_id, sent_idx) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY domain, source) // 7) AS size FROM parses),
+@query(f"""WITH {MOTIFS}, {CHUNKED},
 per AS (SELECT domain, source, r // size AS chunk, pattern, count(*) AS cnt FROM emitted JOIN numbered USING (sid) GROUP BY ALL)
 SELECT domain, source, pattern, max(cnt) AS cnt FROM per GROUP BY ALL""")
 def a11_motif_counts_max_chunk(spark, sf_dir):
@@ -279,19 +313,36 @@ def t3_top_claude(spark, sf_dir):
     return motifs.top(rounded(compared(spark, sf_dir)), "claude_deviation")
 
 
-@query()
+@query(f"WITH {EXAMPLES} SELECT domain, section, rank, pattern, CAST(no AS INT) AS no, words, sentence FROM tops LEFT JOIN examples USING (domain, pattern)")
 def a12_j4_examples(spark, sf_dir):
     tops = report.top_motifs(rounded(compared(spark, sf_dir)))
     found = report.with_examples(tops, parses(spark, sf_dir))
-    return found.select("domain", "section", "rank", "pattern", F.to_json("examples").alias("examples"))
+    found = found.select("domain", "section", "rank", "pattern", F.posexplode_outer("examples").alias("no", "e"))
+    return found.select("domain", "section", "rank", "pattern", (F.col("no") + 1).alias("no"), "e.words", "e.sentence")
 
 
-@query()
+@query(f"WITH {EXAMPLES}, {REPORTED} SELECT domain, section, rank, CAST(k AS INT) AS line_no, lines[k + 1] AS line FROM (SELECT *, unnest(range(len(lines))) AS k FROM said)")
 def k3_p5_report(spark, sf_dir):
     tops = report.top_motifs(rounded(compared(spark, sf_dir)))
     return report.lines(report.with_examples(tops, parses(spark, sf_dir)))
 
 
+@query(f"""WITH {COMPARED}, {CHUNKED},
+wanted AS (SELECT DISTINCT pattern FROM cmp),
+hits AS (SELECT e.*, numbered.r // numbered.size AS chunk FROM emitted e JOIN wanted USING (pattern) JOIN numbered USING (sid)),
+spoken AS (SELECT h.sid, h.root, h.d, h.domain, h.source, h.pattern, h.chunk, h.doc_id, h.sent_idx, string_agg(t.t, ' ' ORDER BY t.pos) AS words
+           FROM hits h JOIN ends x ON x.sid = h.sid AND x.pos = h.root JOIN tok t ON t.sid = h.sid AND t.pos > h.root AND t.pos < x.stop AND t.t[1] <> '(' AND t.t <> ')' GROUP BY ALL),
+firsts AS (SELECT * FROM spoken QUALIFY row_number() OVER (PARTITION BY domain, source, pattern, chunk, words ORDER BY doc_id, sent_idx, root, d) = 1),
+two AS (SELECT *, row_number() OVER (PARTITION BY domain, source, pattern, chunk ORDER BY doc_id, sent_idx, root, d, words) AS k FROM firsts QUALIFY k <= 2),
+three AS (SELECT *, row_number() OVER (PARTITION BY domain, source, pattern ORDER BY chunk, k) AS n FROM two QUALIFY n <= 3)
+SELECT domain, source, pattern, string_agg(words, ' | ' ORDER BY n) AS words FROM three GROUP BY ALL""")
+def a13_examples_of_chunks(spark, sf_dir):
+    """Witnesses of every compared motif, as counting in seven chunks collects them."""
+    rows = parses(spark, sf_dir)
+    found = motifs.chunk_examples(rows, compared(spark, sf_dir).select("pattern"), n_chunks=7)
+    return found.select(*KEYS, "pattern", F.array_join("examples.words", " | ").alias("words"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t1_top_gap(spark, sf_dir)
 
@@ -303,6 +354,15 @@ def k4_a18_box(spark, sf_dir):
     return stats.box(x1_word_count(spark, sf_dir), KEYS, "word_count")
 
 
+@query(f"""WITH {LENGTHS}, long AS (SELECT domain, source, 'sent_count' AS metric, CAST(sent_count AS DOUBLE) AS v FROM docs UNION ALL SELECT domain, source, 'mean_sent_length', mean_sent_length FROM docs UNION ALL SELECT domain, source, 'sent_length_var', sent_length_var FROM docs),
+q AS (SELECT domain, source, metric, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM long GROUP BY ALL),
+b AS (SELECT domain, source, metric, q25, q50, q75, min(v) AS whisker_low, max(v) AS whisker_high FROM long JOIN q USING (domain, source, metric) WHERE v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) GROUP BY ALL)
+SELECT domain, source, metric, {', '.join(f'round({c}, 6) AS {c}' for c in ('q25', 'q50', 'q75', 'whisker_low', 'whisker_high'))} FROM b""")
+def k4_a18_box_sentences(spark, sf_dir):
+    found = stats.box_many(parse.with_metrics(documents(spark, sf_dir)), KEYS, ["sent_count", "mean_sent_length", "sent_length_var"])
+    return found.select(*KEYS, "metric", *(F.round(c, 6).alias(c) for c in (*stats.QUARTILES, "whisker_low", "whisker_high")))
+
+
 CHAIN = r"""array_to_string(list_transform(list_filter(string_split(sent_text, ' '), lambda w: w <> ''), lambda w, k: k || chr(9) || w || chr(9) || CASE WHEN regexp_matches(w, '^[0-9]') THEN 'NUM' ELSE 'X' END || chr(9) || (k - 1) || chr(9) || CASE WHEN k = 1 THEN 'ROOT' ELSE 'dep' END), chr(10))"""
 
 
@@ -329,27 +389,36 @@ def f11_a15_unmatched(spark, sf_dir):
     return repair.unmatched(repair.recover_authors(sentences(spark, sf_dir), lookup(spark, sf_dir), "fr"), "fr")
 
 
-@query(f"WITH {SENTS} SELECT source, doc_id, sent_idx, sent_text FROM sents WHERE domain = 'de' AND sent_text IN (SELECT sent_text FROM sents WHERE domain = 'de' GROUP BY sent_text HAVING count(*) > 1)")
+@query(f"WITH {SENTS} SELECT source, doc_id, sent_idx, sent_text FROM sents WHERE sent_text IN (SELECT sent_text FROM sents GROUP BY sent_text HAVING count(*) > 1)")
 def a17_t4_duplicates(spark, sf_dir):
-    rows = sentences(spark, sf_dir).where("domain = 'de'").select("source", "doc_id", "sent_idx", "sent_text")
+    rows = sentences(spark, sf_dir).select("source", "doc_id", "sent_idx", "sent_text")
     return stats.duplicates(rows, ["sent_text"]).orderBy("source", "doc_id", "sent_idx")
 
 
-@query(f"WITH {PARSES} SELECT doc_id, sent_idx, CAST(len(regexp_extract_all(parse_str, '\\([A-Z$][A-Z0-9$-]*\\)')) AS INT) AS n_terminals, array_to_string(regexp_extract_all(parse_str, '\\(([A-Z$]+[A-Z0-9$-]*)', 1), ' ') AS labels FROM parses WHERE domain = 'de'")
+@query(f"WITH {SENTS}, twice AS (SELECT source, doc_id, sent_idx, sent_text FROM sents UNION ALL SELECT source, doc_id, sent_idx, sent_text FROM sents WHERE CAST(doc_id AS BIGINT) IN (SELECT doc_id FROM labels)) SELECT * FROM twice QUALIFY count(*) OVER (PARTITION BY source, doc_id, sent_idx, sent_text) > 1")
+def a17_duplicates_by_four_keys(spark, sf_dir):
+    """Sentences of documents with a label come twice."""
+    rows = sentences(spark, sf_dir).select(*repair.KEYS)
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    return stats.duplicates(rows.unionByName(rows.join(labelled, "doc_id", "left_semi")), repair.KEYS)
+
+
+@query(f"WITH {PARSES} SELECT doc_id, sent_idx, CAST(len(regexp_extract_all(parse_str, '\\([A-Z$][A-Z0-9$-]*\\)')) AS INT) AS n_terminals, array_to_string(regexp_extract_all(parse_str, '\\(([A-Z$]+[A-Z0-9$-]*)', 1), ' ') AS labels FROM parses")
 def c4_c7_labels(spark, sf_dir):
-    rows = parses(spark, sf_dir).where("domain = 'de'")
-    return rows.select("doc_id", "sent_idx", X.n_terminals(F.col("parse_str")).alias("n_terminals"), F.array_join(X.labels(F.col("parse_str")), " ").alias("labels"))
+    return parses(spark, sf_dir).select("doc_id", "sent_idx", X.n_terminals(F.col("parse_str")).alias("n_terminals"), F.array_join(X.labels(F.col("parse_str")), " ").alias("labels"))
 
 
-@query(f"""WITH {SENTS}, m AS (SELECT doc_id, sent_idx, sent_text, strpos(lower(sent_text), ' the ') AS p FROM sents WHERE domain = 'en'),
-h AS (SELECT doc_id, sent_idx, CASE WHEN p = 0 THEN sent_text ELSE substr(sent_text, 1, p) || '**' || substr(sent_text, p + 1, 3) || '**' || substr(sent_text, p + 4) END AS s FROM m WHERE NOT regexp_matches(substr(sent_text, 1, CASE WHEN p = 0 THEN 100000 ELSE p END), '(?i)\\bthe\\b')),
-x AS (SELECT *, strpos(s, '**') AS mark FROM h)
-SELECT doc_id, sent_idx, CASE WHEN length(s) <= 60 THEN s WHEN mark = 0 OR mark - 1 < 30 THEN substr(s, 1, 60) || '...' ELSE '...' || substr(s, mark - 30, 60) || '...' END AS shown FROM x""")
+@query(f"WITH {SENTS}, h AS (SELECT doc_id, sent_idx, {highlighted('sent_text', repr('the'))} AS s FROM sents) SELECT doc_id, sent_idx, {truncated('s', 60)} AS shown FROM h")
 def x5_x6_highlight_truncate(spark, sf_dir):
-    rows = sentences(spark, sf_dir).where("domain = 'en'")
-    p = F.locate(" the ", F.lower("sent_text"))
-    rows = rows.where(~F.substring(F.col("sent_text"), F.lit(1), F.when(p == 0, 100000).otherwise(p)).rlike(r"(?i)\bthe\b"))
-    return rows.select("doc_id", "sent_idx", X.smart_truncate(X.highlight(F.col("sent_text"), F.lit("the")), 60).alias("shown"))
+    return sentences(spark, sf_dir).select("doc_id", "sent_idx", X.smart_truncate(X.highlight(F.col("sent_text"), F.lit("the")), 60).alias("shown"))
+
+
+@query(f"WITH {PARSES} SELECT count(*) AS n_rows, count(*) FILTER (CAST(doc_id AS BIGINT) % 7 = 0) AS n_error FROM parses")
+def f12_error_count(spark, sf_dir):
+    """Every seventh document's trees lack their last bracket."""
+    rows = parses(spark, sf_dir)
+    broken = F.when(F.col("doc_id").cast("long") % 7 == 0, F.expr("left(parse_str, length(parse_str) - 1)")).otherwise(F.col("parse_str"))
+    return trees.error_count(trees.classify(rows.withColumn("parse_str", broken)))
 
 
 @query("SELECT role AS source, count(*) AS n, CAST(sum(" + WORDS.format("text") + ") AS BIGINT) AS words FROM conversations GROUP BY ALL")
@@ -368,25 +437,3 @@ def x12_lookup_with_default(spark, sf_dir):
 def u2_intersection(spark, sf_dir):
     own = counts(spark, sf_dir).where("cnt >= 15")
     return own.where("source = 'gpt'").select("domain", "pattern").intersect(own.where("source = 'claude'").select("domain", "pattern"))
-
-
-@query(f"WITH {MOTIFS} SELECT domain, pattern, count(*) AS cnt FROM emitted GROUP BY ALL")
-def e5_e7_motifs_by_expression_all(spark, sf_dir):
-    rows = parses(spark, sf_dir).select("domain", trees.parse_tree("parse_str").alias("nodes"))
-    return rows.select("domain", F.explode(trees.node_motifs()).alias("m")).groupBy("domain", F.col("m.pattern").alias("pattern")).agg(F.count("*").alias("cnt"))
-
-
-@query(f"WITH {SENTS} SELECT source, doc_id, sent_idx, sent_text FROM sents WHERE sent_text IN (SELECT sent_text FROM sents GROUP BY sent_text HAVING count(*) > 1)")
-def a17_t4_duplicates_all(spark, sf_dir):
-    rows = sentences(spark, sf_dir).select("source", "doc_id", "sent_idx", "sent_text")
-    return stats.duplicates(rows, ["sent_text"]).orderBy("source", "doc_id", "sent_idx")
-
-
-@query(f"WITH {PARSES} SELECT doc_id, sent_idx, CAST(len(regexp_extract_all(parse_str, '\\([A-Z$][A-Z0-9$-]*\\)')) AS INT) AS n_terminals, array_to_string(regexp_extract_all(parse_str, '\\(([A-Z$]+[A-Z0-9$-]*)', 1), ' ') AS labels FROM parses")
-def c4_c7_labels_all(spark, sf_dir):
-    return parses(spark, sf_dir).select("doc_id", "sent_idx", X.n_terminals(F.col("parse_str")).alias("n_terminals"), F.array_join(X.labels(F.col("parse_str")), " ").alias("labels"))
-
-
-@query()
-def x5_x6_highlight_truncate_all(spark, sf_dir):
-    return sentences(spark, sf_dir).select("doc_id", "sent_idx", X.smart_truncate(X.highlight(F.col("sent_text"), F.lit("the")), 60).alias("shown"))

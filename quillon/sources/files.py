@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import uuid
 
@@ -12,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quillon import schemas
 
 SKIPPED = ("logprobs", "logprobs_babbage", "headlines")
+#: Names of quartiles in a summary file.
+LABELS = {"q25": "25%", "q50": "50%", "q75": "75%"}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -49,10 +53,11 @@ class FeatherSource(DataSource):
         return "feather"
 
     def schema(self):
-        import pyarrow.feather as feather
+        import pyarrow as pa
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(feather.read_table(self.options["path"], memory_map=True).schema)
+        with pa.memory_map(self.options["path"]) as file:  # the footer only
+            return from_arrow_schema(pa.ipc.open_file(file).schema)
 
     def reader(self, schema):
         return FeatherReader(self.options["path"], [f.name for f in schema.fields])
@@ -98,18 +103,55 @@ def from_records(spark: SparkSession, rows: list[dict], schema: str = schemas.JS
 
 def write_with_backup(df: DataFrame, path: str, suffix: str = ".bak") -> None:
     """Writes beside, then renames the old table to path + suffix and the new one to path, so that a table may be replaced
-    by what is computed from it."""
+    by what is computed from it. If a rename fails, the old table is back at its path and OSError is raised."""
     spark = df.sparkSession
     beside = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(beside)
     fs, old = _fs(spark, path)
     make = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(old):
-        fs.delete(make(path + suffix), True)
-        fs.rename(old, make(path + suffix))
-    fs.rename(make(beside), old)
-
-
-def write_summary_csv(df: DataFrame, path: str) -> None:
-    """A small summary as one CSV part with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    backup, new = make(path + suffix), make(beside)
+    had = fs.exists(old)
+    if had:
+        if fs.exists(backup) and not fs.delete(backup, True):
+            fs.delete(new, True)
+            raise OSError(f"can't remove {backup}")
+        if not fs.rename(old, backup):
+            fs.delete(new, True)
+            raise OSError(f"can't rename {path} to {backup}")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(backup, old)
+        fs.delete(new, True)
+        raise OSError(f"can't rename {beside} to {path}")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file in whatever file system the path names."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_summary_csv(df: DataFrame, path: str, keys: list[str] | None = None, metric: str | None = None) -> None:
+    """A small summary as one CSV file with a header, sorted by keys. With `metric` (long form, as describe_many gives it) the
+    metrics stand side by side under a header of two rows, metric and statistic, followed by a row of the keys' names."""
+    keys = keys or []
+    rows = [r.asDict() for r in df.orderBy(*keys, *([metric] if metric else [])).collect()]  # a row for each group
+    said = lambda v: "" if v is None else str(v)
+    if metric is None:
+        table = [df.columns, *([said(r[c]) for c in df.columns] for r in rows)]
+    else:
+        stats = [c for c in df.columns if c not in (*keys, metric)]
+        metrics = list(dict.fromkeys(r[metric] for r in rows))
+        wide = {tuple(r[k] for k in keys): {} for r in rows}
+        for r in rows:
+            wide[tuple(r[k] for k in keys)][r[metric]] = r
+        blank = [""] * len(keys)
+        table = [[*blank, *(m for m in metrics for _ in stats)], [*blank, *(LABELS.get(s, s) for _ in metrics for s in stats)], [*keys, *[""] * (len(metrics) * len(stats))]]
+        table += [[*map(said, k), *(said(own.get(m, {}).get(s)) for m in metrics for s in stats)] for k, own in wide.items()]
+    buffer = io.StringIO()
+    csv.writer(buffer, lineterminator="\n").writerows(table)
+    write_text(df.sparkSession, buffer.getvalue(), path)

@@ -80,7 +80,7 @@ def test_compare_examples_and_report(spark):
     tops = report.with_examples(report.top_motifs(compared), df)
     row = tops.where("pattern = '(NP (DT) (NN))'").first()
     assert [tuple(e) for e in row.examples] == [("The cat", "The cat sat."), ("The cat", "The cat sat.")]
-    text = report.render(report.lines(tops).collect(), ["d", "none"], 1.0)
+    text = report.render(report.lines(tops).collect(), ["d", "none"], {"d": 1.0})
     assert "  -> GPT PMI:    +0.000\n  -> Claude PMI: +0.000\n  -> Gap Size:   0.000\n" in text
     assert "     ex1: **The cat** sat....\n" in text
     assert "No shared patterns found for domain 'none'." in text
@@ -154,7 +154,7 @@ def test_author_repair(spark):
 def test_highlighting_query_covers_all_sentences(spark, tmp_path):
     docs = [(1, "en", "src0", "The cat and the dog sat."), (2, "de", "src1", "In the house."), (3, "fr", "src2", "Other words here."), (4, "en", "src1", "x" * 70 + " the end of a long one that goes on for a good while longer.")]
     spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = {(r.doc_id, r.sent_idx): r.shown for r in catalog.QUERIES["x5_x6_highlight_truncate_all"](spark, str(tmp_path)).collect()}
+    rows = {(r.doc_id, r.sent_idx): r.shown for r in catalog.QUERIES["x5_x6_highlight_truncate"](spark, str(tmp_path)).collect()}
     assert rows == {
         ("1", 0): "**The** cat and the dog sat.", ("2", 0): "In **the** house.", ("3", 0): "Other words here.",
         ("4", 0): "..." + (docs[3][3][:71] + "**the**" + docs[3][3][74:])[41:101] + "...",
