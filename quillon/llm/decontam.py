@@ -4,12 +4,15 @@ A shard is a bounded run of documents in one task. Its words become symbols: one
 separator for all others, for document ends, and for runs too short to hold a phrase (no occurrence can cross them).
 The test phrases, windows of `size` consecutive benchmark words, are searched backwards in the shard's FM-index through
 wavelet-matrix ranks; occurrences are located by sampled suffix positions, and the words they cover are merged into
-removal spans. No shuffle: phrases go to the shards in blocks of bounded size, one pass over the shards for each block,
-and a pass adds to the spans and items that the passes before found.
+removal spans. No shuffle. Phrases go to the shards in blocks of bounded size: one index for each shard and block, in one
+Python stage; a benchmark of more blocks takes as many passes, each written before the next, that add to the spans and
+items found before.
 
 Words: A-Z lower-cased, then runs of letters, digits and non-ASCII characters. An item of fewer words than `size` is
-one window; one without words is none. Null text has no words. Repeated rows and ids each get their own result. An empty
-benchmark hits nothing; an empty table gives no rows. Other columns pass through.
+one window; one without words is none. Null text has no words. Repeated rows and ids each get their own result. The
+windows of an item without an id hit words like any other's, but the item is not listed. An empty benchmark hits nothing;
+an empty table gives no rows. Other columns pass through, but for those named n_words, spans or items, which the result
+replaces.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import added, batch, chunks, mapped, ranges, texts_of
+from quillon.llm.common import added, batch, chunks, mapped, ranges, stored, texts_of
 from quillon.llm.fmindex import MOST, FmIndex
 
 SIZE = 10
-SHARD_BYTES = 8 << 20
-#: Windows of one block, which is broadcast; about 20 MB at most.
-BLOCK_WINDOWS = 200_000
+SHARD_BYTES = 4 << 20
+#: Windows of one block, which is broadcast; about 40 MB at most.
+BLOCK_WINDOWS = 400_000
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -54,7 +57,7 @@ def blocks(benchmark: DataFrame, key: str, text: str, size: int, most: int):
     for item, said in benchmark.select(key, text).toLocalIterator():
         x = words(said or "")
         for i in range(max(1, len(x) - size + 1) if x else 0):
-            windows.setdefault(tuple(x[i : i + size]), set()).add(str(item))
+            windows.setdefault(tuple(x[i : i + size]), set()).update([] if item is None else [str(item)])
             if len(windows) >= most:
                 yield Block(windows, size)
                 windows = {}
@@ -123,6 +126,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
     """df with n_words, spans (of words, merged, end exclusive) and items (ids as strings, sorted)."""
     spark, out, again = df.sparkSession, df, False
     for block in blocks(benchmark, key, item_text, size, most):
+        if again:
+            out = stored(out)
         out, again = _pass(out, spark.sparkContext.broadcast(block), text, again), True
     return out if again else _pass(df, spark.sparkContext.broadcast(Block({(b"-",): set()}, size)), text, False)
 

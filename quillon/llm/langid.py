@@ -1,8 +1,8 @@
 """Language identification as inference of a multilingual mixture.
 
 Learning counts letter trigrams (hashed into BINS features) for each label over all training rows; counts are summed
-within each task before the one small shuffle. The model is a table of BINS x languages, so its size is bounded by the
-number of labels, which may not exceed MOST_LANGUAGES. Prediction is a pass without a shuffle: for each document an
+within each task before the one small shuffle. The model is a table of BINS x languages and comes to the driver as Arrow
+columns, so its size is bounded by the number of labels, of which there may be any. Prediction is a pass without a shuffle: for each document an
 expectation-maximisation estimates the proportions of the languages from the likelihoods of its trigrams, and the set of
 languages grows in the order of these proportions as long as the likelihood, penalised for each language, rises.
 
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from quillon.llm.common import added, chunks, mapped, texts_of
 
 BINS = 1 << 16
-MOST_LANGUAGES = 256
 UNKNOWN = "und"
 SMOOTHING = 0.2
 #: Each letter is in three trigrams, so these are worth a third of as many independent observations.
 OVERLAP = 3
 ROUNDS, REFINE = 8, 4
-#: Text of one step; each of its characters takes some 60 bytes while trigrams are formed.
-STEP_BYTES = 1 << 20
+#: Text of one step; each of its characters takes some 60 bytes while trigrams are formed, and 4 for each language. Of more
+#: than MANY languages a step takes less text.
+STEP_BYTES, MANY = 1 << 20, 32
 
 
 @functools.cache
@@ -131,25 +131,23 @@ def learn(df: DataFrame, label: str = "lang", text: str = "text") -> Model:
 
     known = df.select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sums = mapped(known, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("x")).limit(MOST_LANGUAGES + 1).collect()  # BINS pairs for each label at most
-    if len(packed) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    table = sums.toArrow()  # BINS rows for each label at most
+    names = pa.chunked_array(table.column("lang").chunks, pa.string()).combine_chunks().dictionary_encode()
+    code, feature, n = names.indices.to_numpy(), table.column("feature").to_numpy(), table.column("n").to_numpy()
     counts = {}
-    for row in packed:
-        counts[row["lang"]] = c = np.zeros(BINS, np.int64)
-        for feature, n in row["x"]:
-            c[feature] = n
+    for k, name in enumerate(names.dictionary.to_pylist()):
+        counts[name] = np.bincount(feature[code == k], n[code == k], BINS).astype(np.int64)
     return Model(counts)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred, score and langs."""
+    """df with lang_pred, score and langs, which replace columns of these names."""
     own = ["lang_pred", "score", "langs"]
     names = [c for c in df.columns if c not in own]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in chunks(batches, text, STEP_BYTES):
+        for part in chunks(batches, text, STEP_BYTES * MANY // max(MANY, len(shared.value.langs))):
             found = shared.value.predict(texts_of(part.column(text)).to_pylist())
             lang, score, langs = zip(*found, strict=True)
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))]

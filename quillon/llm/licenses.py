@@ -1,165 +1,168 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
 Templates are cut into words; hashes of GRAM consecutive words are winnowed (the least of each WINDOW neighbours is a
-fingerprint), so any GRAM + WINDOW - 1 words in common give a common fingerprint. An inverted index leads from a
-fingerprint to templates and places. Fingerprints of a document that hit one template on nearby diagonals make one
-candidate, which is aligned with the whole template inside a band; a match covers at least COVERAGE of its words.
+fingerprint), so any GRAM + WINDOW - 1 words in common give a common fingerprint. Of templates under SHORT_WORDS words every
+pair of neighbours is one. An inverted index leads from a fingerprint to templates and places. Fingerprints of a document
+that hit one template on nearby diagonals make one candidate, which is aligned with the whole template inside a band; a
+match covers at least COVERAGE of its words. What is left of a candidate before and behind a match is looked at again.
 
 Result: df with `licenses`, array<struct<name, matched, coverage, start, end>> by start, positions in code points, end
 exclusive. Null, empty or wordless text has none; texts are scanned whole; each occurrence is a match of its own. The
-templates are a short list that travels with the code. No shuffle. Empty input: no rows. Other columns pass through.
+templates are the texts in the folder templates/, whole licenses, their headers for single files and one-line notices,
+or any others given. No shuffle. Empty input: no rows. Other columns pass through, but for one named licenses, which the
+result replaces.
 """
 
 from __future__ import annotations
 
 import functools
+import importlib.resources
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.llm.align import common
 from quillon.llm.common import added, chunks, mapped, texts_of
 from quillon.llm.decontam import _LETTERS, words
 from quillon.llm.neardup import _P, _mixed
 
 GRAM, WINDOW = 3, 3
+#: Templates of fewer words are found by all their pairs of neighbours.
+SHORT_WORDS = 30
 COVERAGE = 0.8
 #: Share of a template's fingerprints that a candidate has to hit, and half the band as a share of the template's words.
 HITS, BAND = 0.2, 0.25
 
-# Public license texts and notices.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-}
+
+@functools.cache
+def templates() -> dict[str, str]:
+    folder = importlib.resources.files("quillon.llm") / "templates"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name)}
+
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _NONE = np.uint64(2**64 - 1)
 
 
-def fingerprints(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(code: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Place and hash of the winnowed grams; grams that hold a code of 0 or less don't count."""
-    n = len(code) - GRAM + 1
+    n = len(code) - gram + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    known, gram = np.ones(n, bool), np.zeros(n, np.uint64)
-    for k in range(GRAM):
+    known, hashes = np.ones(n, bool), np.zeros(n, np.uint64)
+    for k in range(gram):
         known &= code[k : k + n] > 0
-        gram += np.maximum(code[k : k + n], 0).astype(np.uint64) * _P[k]
-    gram = np.where(known, _mixed(gram), _NONE)
-    padded = np.concatenate([gram, np.full(WINDOW - 1, _NONE)])  # a short text is one window
-    windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
-    place = np.unique(np.arange(n) + windows.argmin(axis=1))
+        hashes += np.maximum(code[k : k + n], 0).astype(np.uint64) * _P[k]
+    hashes = np.where(known, _mixed(hashes), _NONE)
+    padded = np.concatenate([hashes, np.full(window - 1, _NONE)])  # a short text is one window
+    place = np.unique(np.arange(n) + np.lib.stride_tricks.sliding_window_view(padded, window).argmin(axis=1))
     place = place[place < n]
-    place = place[gram[place] != _NONE]
-    return place, gram[place]
+    place = place[hashes[place] != _NONE]
+    return place, hashes[place]
 
 
 class Index:
-    def __init__(self, templates: dict[str, str]):
-        said = {name: words(text) for name, text in templates.items()}
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for x in said.values() for w in x}))}
-        self.names = list(said)
-        self.codes = [np.array([self.vocab[w] for w in said[n]], np.int32) for n in self.names]
-        rows = []
-        self.size, self.band = [], np.array([max(2, int(BAND * len(c))) for c in self.codes])
-        for t, code in enumerate(self.codes):
-            place, gram = fingerprints(code)
-            self.size.append(len(place))
-            rows += [(int(g), t, int(p)) for p, g in zip(place, gram, strict=True)]
+    """The inverted index of some of the templates' codes, by number."""
+
+    def __init__(self, codes: dict[int, np.ndarray], gram: int, window: int):
+        self.gram, self.window, self.codes = gram, window, codes
+        self.size, self.band, rows = {}, {}, []
+        for t, code in codes.items():
+            place, hashes = fingerprints(code, gram, window)
+            self.size[t], self.band[t] = len(place), max(2, int(BAND * len(code)))
+            rows += [(int(h), t, int(p)) for p, h in zip(place, hashes, strict=True)]
         rows.sort()
-        self.grams = np.array([r[0] for r in rows], np.uint64)
+        self.hashes = np.array([r[0] for r in rows], np.uint64)
         self.of, self.at = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.reach = np.array([self.band.get(t, 0) for t in range(max(codes, default=-1) + 1)])
+
+    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of the fingerprints of code that some template has."""
+        place, hashes = fingerprints(code, self.gram, self.window)
+        known = np.searchsorted(self.hashes, hashes, "right") > np.searchsorted(self.hashes, hashes)
+        return place[known], hashes[known]
 
-    def candidates(self, place: np.ndarray, gram: np.ndarray):
-        """(template, first and last diagonal) of each group of hits on nearby diagonals."""
-        low, high = np.searchsorted(self.grams, gram), np.searchsorted(self.grams, gram, "right")
+    def candidates(self, place: np.ndarray, hashes: np.ndarray):
+        """(template, places in the text, places in the template) of each group of hits on nearby diagonals."""
+        low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
         n = high - low
         hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        template, diagonal, own = self.of[hit], np.repeat(place, n) - self.at[hit], self.at[hit]
-        order = np.lexsort((diagonal, template))
-        template, diagonal, own = template[order], diagonal[order], own[order]
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(template) != 0) | (np.diff(diagonal) > self.band[template[1:]]), [True]]))
+        template, own, text = self.of[hit], self.at[hit], np.repeat(place, n)
+        order = np.lexsort((text - own, template))
+        template, own, text = template[order], own[order], text[order]
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(template) != 0) | (np.diff(text - own) > self.reach[template[1:]]), [True]]))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            t = template[a]
-            if len(np.unique(own[a:b])) >= HITS * self.size[t]:
-                yield int(t), int(diagonal[a]), int(diagonal[b - 1])
-
-
-def aligned(template: np.ndarray, code: np.ndarray, first: int, last: int, band: int) -> tuple[int, int, int]:
-    """Number of template words matched in order within the band of diagonals, first and last + 1 word of the match."""
-    low, high = first - band, last + band
-    width, n = high - low + 1, len(template)
-    pad = np.full(n + width, -1, np.int64)
-    at = low + np.arange(n + width)
-    inside = (at >= 0) & (at < len(code))
-    pad[inside] = code[at[inside]]
-    best = np.zeros((n + 1, width + 1), np.int32)
-    for i in range(n):
-        now = best[i, :-1] + (pad[i : i + width] == template[i])
-        np.maximum(now, best[i, 1:], out=now)
-        best[i + 1, :-1] = np.maximum.accumulate(now)
-        best[i + 1, -1] = 0
-    i, k = n, int(best[n, :-1].argmax())
-    matched, places = int(best[n, k]), []
-    while i > 0 and best[i, k] > 0:
-        if k > 0 and best[i, k - 1] == best[i, k]:
-            k -= 1
-        elif pad[i - 1 + k] == template[i - 1] and best[i, k] == best[i - 1, k] + 1:
-            places.append(low + i - 1 + k)
-            i -= 1
-        elif best[i - 1, k + 1] == best[i, k]:
-            i, k = i - 1, k + 1
-        else:
-            i -= 1
-    return matched, places[-1] if places else 0, places[0] + 1 if places else 0
+            yield int(template[a]), text[a:b], own[a:b]
+
+    def matches(self, code: np.ndarray, place: np.ndarray, hashes: np.ndarray, coverage: float):
+        """(template, matched words, first word, end) of each match."""
+        todo = [(*c, 0, len(code)) for c in self.candidates(place, hashes)]
+        while todo:
+            t, text, own, start, stop = todo.pop()
+            if len(np.unique(own)) < HITS * self.size[t]:
+                continue
+            template, band = self.codes[t], self.band[t]
+            found = aligned(template, code[start:stop], int((text - own).min()) - start, int((text - own).max()) - start, band, coverage)
+            if found:
+                matched, a, b = found[0], found[1] + start, found[2] + start
+                yield t, matched, a, b
+                for x, y in ((start, a), (b, stop)):
+                    inside = (text >= x) & (text + self.gram <= y)
+                    todo.append((t, text[inside], own[inside], x, y))
+
+
+def aligned(template: np.ndarray, code: np.ndarray, first: int, last: int, band: int, coverage: float) -> tuple[int, int, int] | None:
+    """Number of template words matched in order within the band around the diagonals, first word and end of the match; None
+    if they cover less. No part of the table is kept: the end comes from a pass forwards, the first word from one back."""
+    n, low, high = len(template), first - band, last + band
+    skip = max(0, low)
+    part = code[skip : max(skip, high + n)]
+    matched, end = common(template, part, low - skip, high - skip)
+    if matched < coverage * n - 1e-9:
+        return None
+    low, high = low - skip, high - skip
+    _, back = common(template[::-1], part[:end][::-1], end - n - high, end - n - low)
+    return matched, skip + end - back, skip + end
 
 
 @functools.lru_cache(maxsize=2)
-def _index(templates: tuple) -> Index:
-    return Index(dict(templates))
+def _indexes(fixed: tuple) -> tuple[dict[bytes, int], list[str], list[np.ndarray], list[Index]]:
+    said = [words(text) for _, text in fixed]
+    vocab = {w: i + 1 for i, w in enumerate(sorted({w for x in said for w in x}))}
+    codes = [np.array([vocab[w] for w in x], np.int64) for x in said]
+    long, short = ({t: c for t, c in enumerate(codes) if len(c) and (len(c) < SHORT_WORDS) == s} for s in (False, True))
+    return vocab, [name for name, _ in fixed], codes, [Index(long, GRAM, WINDOW), Index(short, 2, 1)]
 
 
-def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", given: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """df with `licenses`; given: name -> text of other templates."""
     names = [c for c in df.columns if c != "licenses"]
-    fixed = tuple((templates or TEMPLATES).items())
+    fixed = df.sparkSession.sparkContext.broadcast(tuple((given or templates()).items()))  # 250 KB
     kind = pa.list_(pa.struct([("name", pa.string()), ("matched", pa.int32()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        index = _index(fixed)
-        vocab = index.vocab | {b"A": -1}
-        get = vocab.get
+        vocab, called, codes, indexes = _indexes(fixed.value)
+        get = (vocab | {b"A": -1}).get
         for part in chunks(batches, text):
             texts = texts_of(part.column(text)).to_pylist()
             said = b" A ".join([t.encode().translate(_LETTERS) for t in texts]).split()
-            code = np.array([get(w, 0) for w in said] + [-1], np.int32)
+            code = np.array([get(w, 0) for w in said] + [-1], np.int64)
             stops = np.flatnonzero(code == -1)
-            place, gram = fingerprints(code)
-            hit = np.searchsorted(index.grams, gram, "right") > np.searchsorted(index.grams, gram)
-            place, gram = place[hit], gram[hit]
-            doc = np.searchsorted(stops, place)
             found: list[list] = [[] for _ in texts]
-            for d in np.unique(doc).tolist():
-                a = int(stops[d - 1]) + 1 if d else 0
-                own, at = code[a : stops[d]], doc == d
-                places = None
-                for t, first, last in index.candidates(place[at] - a, gram[at]):
-                    matched, x, y = aligned(index.codes[t], own, first, last, int(index.band[t]))
-                    share = matched / len(index.codes[t])
-                    if share >= coverage:
-                        places = places or [m.span() for m in _WORD.finditer(texts[d])]
-                        found[d].append({"name": index.names[t], "matched": matched, "coverage": share, "start": places[x][0], "end": places[y - 1][1]})
-                found[d].sort(key=lambda m: (m["start"], m["end"], m["name"]))
+            for index in indexes:
+                place, hashes = index.hits(code)
+                doc = np.searchsorted(stops, place)
+                bounds = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+                for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                    d = int(doc[i])
+                    a, spans = int(stops[d - 1]) + 1 if d else 0, None
+                    for t, matched, x, y in index.matches(code[a : stops[d]], place[i:j] - a, hashes[i:j], coverage):
+                        spans = spans or [m.span() for m in _WORD.finditer(texts[d])]
+                        found[d].append({"name": called[t], "matched": matched, "coverage": matched / len(codes[t]), "start": spans[x][0], "end": spans[y - 1][1]})
+            for x in found:
+                x.sort(key=lambda m: (m["start"], m["end"], m["name"]))
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found, kind)], names=[*names, "licenses"])
 
     return mapped(df, run, added(df.select(names), "licenses array<struct<name:string,matched:int,coverage:double,start:int,end:int>>"))

@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.align import common
 from quillon.llm.common import Tables, batch, chunks, mapped, stored, texts_of
 from quillon.llm.decontam import words
 
@@ -52,7 +53,7 @@ RARITY_BINS = 1 << 18
 #: Ratio of the sizes of neighbouring size classes in step 3.
 STEP = 1.05
 #: Pairs for each copy of a hub's text.
-PART = 256
+PART = 64
 REMEMBERED = 300_000
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * _P[0]) ^ _P[1]
@@ -143,30 +144,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float) -> int:
     found = front + back
     if not len(a) or not len(b) or found + len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need:
         return found
-    return found + _banded(a.tolist(), b.tolist(), max(0, len(a) - (need - found)), max(0, len(b) - (need - found)))
-
-
-def _banded(a: list[int], b: list[int], left: int, right: int) -> int:
-    """The longest common subsequence of which each step pairs a[i] with one of b[i - left] .. b[i + right]. A row of the
-    table is one integer, with a bit for each place of the band where the length does not grow."""
-    places: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
-    width = left + right + 1
-    full = (1 << width) - 1
-    row, base = full, 0
-    for i, x in enumerate(a):
-        if i:  # the band moves on by one place
-            base += 1 - (row & 1)
-            row = row >> 1 | 1 << (width - 1)
-        match = 0
-        for j in places.get(x, ()):
-            if 0 <= (k := j - i + left) < width:
-                match |= 1 << k
-        if match:
-            hit = row & match
-            row = (row + hit | row - hit) & full
-    return base + width - row.bit_count()
+    return found + common(a, b, -max(0, len(a) - (need - found)), max(0, len(b) - (need - found)))[0]
 
 
 def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -200,7 +178,7 @@ def _nodes(keep, docs: DataFrame, similar: float) -> DataFrame:
 def verified(keep, pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Those of the different pairs (a, b) whose texts (node, text) are similar. A text of b comes once for each PART pairs."""
     pairs = keep(pairs.select("a", "b"))
-    often = keep(pairs.groupBy("b").agg(F.count("*").alias("n")).where(f"n > {PART}").select(F.col("b").alias("often"), "n"))
+    often = pairs.groupBy("b").agg(F.count("*").alias("n")).where(f"n > {PART}").select(F.col("b").alias("often"), "n")
     pairs = pairs.join(often, pairs["b"] == often["often"], "left").select("a", "b", F.coalesce(F.expr(f"pmod(xxhash64(a), n div {PART} + 1)"), F.lit(0)).alias("part"))
     rows = pairs.join(texts, pairs["a"] == texts["node"]).select("b", "part", "a", "text")
     hubs = pairs.select("b", "part").distinct()
@@ -226,22 +204,23 @@ def verified(keep, pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR)
 
 
 def components(keep, edges: DataFrame) -> DataFrame:
-    """node -> label, the smallest node of its component, for all nodes of the edges (a, b); alternating large and small
-    stars until nothing changes. Both sides of a join are tables of their own, so that Spark can split a hot node."""
+    """node -> label, the smallest node of its component, for all nodes of the edges (a, b): alternating large and small
+    stars until each node hangs on one label that hangs on none."""
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == state or not found[0]:
-            return keep(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
-        state = found
+    while not (now.isEmpty() or _settled(now)):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = keep(small)
+    return keep(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+
+
+def _settled(edges: DataFrame) -> bool:
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    return twice.unionByName(edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")).isEmpty()
 
 
 def _label(df: DataFrame, labels: DataFrame, node: str = "node", out: str = "label") -> DataFrame:
@@ -255,7 +234,7 @@ def _merged(keep, labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = _label(_label(links, labels, "a", "a"), labels, "b", "b").select("a", "b")
     more = components(keep, edges)
     nodes = labels.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("label"))).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")))
-    nodes = keep(nodes.groupBy("node").agg(F.min("label").alias("label")))
+    nodes = nodes.groupBy("node").agg(F.min("label").alias("label"))
     more = more.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
     return keep(nodes.join(more, nodes["label"] == more["_n"], "left").select("node", F.coalesce("_l", "label").alias("label")))
 
@@ -329,7 +308,7 @@ def _meetings(keep, own: DataFrame, similar: float) -> DataFrame:
 def _filtered(keep, rows: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) of different labels that the prefix filter lets through."""
     counted = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("x"))
-    mixed = keep(counted.where("labels > 1").select("token", F.col("x.label").alias("main")))
+    mixed = counted.where("labels > 1").select("token", F.col("x.label").alias("main"))
     rows = keep(rows.join(mixed, "token"))
     x, y = rows.where("label <> main").alias("x"), rows.drop("main").alias("y")
     # of two rows one at least is outside the token's main class; where both are, the pair counts once
@@ -342,7 +321,7 @@ def _filtered(keep, rows: DataFrame, similar: float) -> DataFrame:
 def _mixed_buckets(keep, shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (key, node, size, n, label) of buckets that hold several labels."""
     own = keep(_label(shared, labels))
-    keys = keep(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
+    keys = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     return own.join(keys, "key", "left_semi").select("key", "node", "size", "n", "label")
 
 

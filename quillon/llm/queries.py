@@ -76,7 +76,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(tran
 s AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
 h AS (SELECT s.r, s.p, s.n, win.item FROM s JOIN win ON s.n = win.n AND array_to_string(s.w[s.p:s.p + s.n - 1], ' ') = win.said),
 c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
     "op5_line_dedup": r"""

@@ -24,4 +24,4 @@ def empty(odd):
 @pytest.fixture(scope="session")
 def benchmark(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    return spark.createDataFrame([(1, text), (2, "Looked at; the DOG"), (3, None), (4, ""), (5, text), (20, "nowhere to be found at all")], "item_id long, text string")
+    return spark.createDataFrame([(1, text), (2, "Looked at; the DOG"), (3, None), (4, ""), (5, text), (20, "nowhere to be found at all"), (None, "line one is long")], "item_id long, text string")

@@ -194,6 +194,62 @@ def test_language_id(spark, odd, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def brute_mixture(model, text):
+    """Expectation-maximisation in plain Python for one document: language, share and set."""
+    counts = collections.Counter(langid.features([text])[1].repeat(langid.features([text])[2]).tolist())
+    if not counts:
+        return "und", 0.0, []
+    p = {f: [float(x) for x in model.p[f]] for f in counts}
+    total, k = sum(counts.values()), len(model.langs)
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            new = [0.0] * k
+            for f, n in counts.items():
+                parts = [a * b for a, b in zip(p[f], share, strict=True)]
+                for i, x in enumerate(parts):
+                    new[i] += n * x / sum(parts)
+            share = [x / total for x in new]
+        return share, sum(n * math.log(max(1e-300, sum(a * b for a, b in zip(p[f], share, strict=True)))) for f, n in counts.items())
+
+    share, _ = em([1 / k] * k, langid.ROUNDS)
+    order = sorted(range(k), key=lambda i: (-share[i], i))
+    best = None
+    for size in range(1, k + 1):
+        own = [share[i] if i in order[:size] else 0.0 for i in range(k)]
+        own, value = em([x / sum(own) for x in own], langid.REFINE if size > 1 else 0)
+        value -= size * langid.OVERLAP * 0.5 * math.log(max(total, 2))
+        if best and value <= best[0]:
+            break
+        best = value, own
+    top = max(range(k), key=lambda i: (best[1][i], -i))
+    return model.langs[top], best[1][top], [model.langs[i] for i in range(k) if best[1][i] > 0]
+
+
+def test_language_mixtures_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    texts = [t[:1500] for t in texts[:60]] + [a[:300] + " " + b[:400] + " " + c[:200] for a, b, c in zip(texts[:25], texts[25:50], texts[50:75], strict=True)] + ["", "7 + 8", "x"]
+    mixed = 0
+    for text, (lang, score, langs) in zip(texts, model.predict(texts), strict=True):
+        want = brute_mixture(model, text)
+        assert (lang, langs) == (want[0], want[2])
+        assert score == pytest.approx(want[1], abs=2e-3)
+        mixed += len(langs) > 1
+    assert mixed >= 10
+
+
+def test_hundreds_of_labels(spark):
+    rng = random.Random(1)
+    docs = [(k, " ".join("".join(rng.choice(a) for _ in range(6)) for _ in range(20)), f"l{g:03}") for g, a in enumerate("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(300)) for k in range(2 * g, 2 * g + 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    model = langid.learn(df)
+    assert len(model.langs) == 300
+    rows = langid.identify(df, model).collect()
+    assert sum(r.lang_pred == r.lang for r in rows) > 570
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 

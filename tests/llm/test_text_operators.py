@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import numpy as np
-from quillon.llm import bpe, chat, decontam, fmindex, licenses, linededup
+from quillon.llm import align, bpe, chat, decontam, fmindex, licenses, linededup
 from tests.llm.conftest import ODD
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -41,7 +41,7 @@ def brute_contamination(texts, items, size=10):
     for item, text in items:
         w = WORD.findall((text or "").translate(LOWER))
         for i in range(max(1, len(w) - size + 1) if w else 0):
-            windows.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + size]), set()).update([str(item)] if item is not None else [])
     out = []
     for text in texts:
         w, hit, found = WORD.findall((text or "").translate(LOWER)), set(), set()
@@ -142,16 +142,77 @@ def test_bpe_equals_the_library(spark, odd, empty):
     assert bpe.encode(empty, PATH, P.PATTERN).count() == 0
 
 
+def lcs(a, b):
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        now = np.maximum.accumulate(np.concatenate([[0], np.maximum(row[1:], row[:-1] + (b == x))]))
+        row = now
+    return int(row[-1])
+
+
+def test_band_and_ends_of_alignments():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = np.array([rng.randrange(1, 7) for _ in range(rng.randrange(1, 25))])
+        b = np.array([rng.randrange(1, 7) for _ in range(rng.randrange(1, 40))])
+        n, end = align.common(a, b, -len(a), len(b))
+        assert n == lcs(a, b) == (lcs(a, b[:end]) if end else 0)
+        assert not n or lcs(a, b[: end - 1]) == n - 1
+        low, high = sorted((rng.randrange(-10, 20), rng.randrange(-10, 20)))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + 1 if x == y and low <= j - i <= high else 0)
+        assert align.common(a, b, low, high)[0] == table[-1, -1]
+
+
 def test_licenses(spark, odd, empty):
-    mit = licenses.TEMPLATES["MIT"]
+    mit = licenses.templates()["MIT"].strip()
     changed = mit.replace("free of charge", "at no charge").replace("to deal in", "to do anything with")
-    texts = ["Some words before. " + mit + " after", changed, "Released under the MIT License.\nReleased  UNDER the mit license", mit[: len(mit) // 2], "the rights to use, copy"]
+    texts = ["Some words before. " + mit + " after", changed, "Released under the MIT License.\nReleased  UNDER the mit license", mit[: len(mit) // 2], "the rights to use, copy", "released under an MIT License", mit + "\n\n" + "a word of no meaning " * 3 + mit]
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [[m.name for m in r.licenses] for r in rows] == [["MIT"], ["MIT"], ["MIT-notice", "MIT-notice"], [], []]
-    m = rows[0].licenses[0]
+    named = [[m.name for m in r.licenses if m.name in ("MIT", "MIT-notice")] for r in rows]
+    assert named == [["MIT"], ["MIT"], ["MIT-notice", "MIT-notice"], [], [], ["MIT-notice"], ["MIT", "MIT"]]
+    m = next(m for m in rows[0].licenses if m.name == "MIT")
     assert m.coverage == 1.0
     assert texts[0][m.start : m.end] == mit[:-1]
-    assert 0.8 <= rows[1].licenses[0].coverage < 1
+    assert 0.8 <= next(m for m in rows[1].licenses if m.name == "MIT").coverage < 1
     assert licenses.scan(odd).where("size(licenses) > 0").count() == 0
     assert licenses.scan(odd).count() == len(ODD)
     assert licenses.scan(empty).count() == 0
+    assert len(licenses.templates()) >= 25
+
+
+def test_license_filter_and_spans_against_alignment_of_every_template(spark):
+    rng = random.Random(10)
+    fixed = {k: t for k, t in licenses.templates().items() if len(decontam.words(t)) < 700}
+    coded = {k: [w.decode() for w in decontam.words(t)] for k, t in fixed.items()}
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    planted = []
+    for k, w in coded.items():
+        for rate in (0.05, 0.1, 0.15):
+            x = list(w)
+            for _ in range(int(rate * len(w))):
+                i = rng.randrange(len(x))
+                x[i : i + rng.randrange(2)] = [f"odd{rng.randrange(50)}"] * rng.randrange(2)
+            planted.append(" ".join([*(f"pre{rng.randrange(99)}" for _ in range(rng.randrange(60))), *x, *(f"post{rng.randrange(99)}" for _ in range(rng.randrange(60)))]))
+    texts = planted + docs[:80]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), given=fixed).orderBy("doc_id").collect()
+    vocab = {w: i + 1 for i, w in enumerate(sorted({w for x in coded.values() for w in x}))}
+    right = missed = 0
+    for text, r in zip(texts, rows, strict=True):
+        code = np.array([vocab.get(w.decode(), 0) for w in decontam.words(text)])
+        found = {m.name for m in r.licenses}
+        for k, w in coded.items():
+            own, n = np.array([vocab[x] for x in w]), len(w)
+            reach = n + max(2, n // 4)
+            best = max((align.common(own, code[i : i + reach], -n, reach)[0] for i in range(0, max(1, len(code)), max(1, n // 8))), default=0) / n
+            right += best >= licenses.COVERAGE and k in found
+            missed += best >= licenses.COVERAGE and k not in found
+        for m in r.licenses:
+            inside = np.array([vocab.get(w.decode(), 0) for w in decontam.words(text[m.start : m.end])])
+            own = np.array([vocab[x] for x in coded[m.name]])
+            assert lcs(own, inside) == m.matched
+            assert m.coverage == m.matched / len(own) >= licenses.COVERAGE
+    assert right > 60
+    assert missed <= 0.02 * (right + missed)
