@@ -49,8 +49,9 @@ def parse_dependency(sentences: DataFrame, parser: Callable[[str], list[tuple]]
         def parsed(sentences: pd.Series) -> pd.Series:
             return sentences.map(one)
 
-        tokens = F.pandas_udf(parsed, schemas.TOKENS)("sent_text")
-    return sentences.withColumn("parse_str", to_lines(tokens)).where("parse_str IS NOT NULL")
+        sentences = sentences.withColumn("_tokens", F.pandas_udf(parsed, schemas.TOKENS)("sent_text"))  # no lambda may hold it
+        tokens = F.col("_tokens")
+    return sentences.withColumn("parse_str", to_lines(tokens)).where("parse_str IS NOT NULL").drop("_tokens")
 
 
 def parse_status(corpus: DataFrame, parser: Callable[[list[str]], Iterable], batch: int = 32) -> DataFrame:

@@ -1,6 +1,7 @@
 """Strings, counting modes, PMI, statistics, dependency lines and author repair on small cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,91 @@ def test_highlighting_query_covers_all_sentences(spark, tmp_path):
         ("1", 0): "**The** cat and the dog sat.", ("2", 0): "In **the** house.", ("3", 0): "Other words here.",
         ("4", 0): "..." + (docs[3][3][:71] + "**the**" + docs[3][3][74:])[41:101] + "...",
     }
+
+
+def test_quartiles_of_many_values_and_null_keys(spark):
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), 1e6 * rng.random(), None])) for k in ("a", None, "c") for _ in range(700)] + [("one", 5.0), ("none", None)]
+    found = {r.g: r for r in stats.describe(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 6).collect()}
+    assert set(found) == {"a", None, "c", "one", "none"}
+    for g in ("a", None, "c"):
+        want = statistics.quantiles([v for k, v in rows if k == g and v is not None], n=4, method="inclusive")
+        assert [found[g].q25, found[g].q50, found[g].q75] == pytest.approx(want, abs=1e-6)
+    assert (found["one"].q25, found["one"].q75, found["one"]["std"]) == (5.0, 5.0, None)
+    assert (found["none"]["count"], found["none"].q50) == (0, None)
+    assert stats.describe(spark.createDataFrame([], "v double"), [], "v", 1).first()["count"] == 0
+
+
+def test_report_job(spark, tmp_path):
+    rows = parses(spark, 20).withColumn("doc_id", F.concat("source", "doc_id"))
+    both = rows.unionByName(rows.withColumn("domain", F.lit("few")).limit(3))
+    seconds = report.write_report(spark, both, str(tmp_path / "report.txt"), ["d", "few", "none"])
+    assert set(seconds) == {"d", "few", "none"}
+    text = (tmp_path / "report.txt").read_text()
+    assert text.startswith("=== AI vs HUMAN")
+    assert text.count("### ") == 3
+    assert f"[ Domain 'd' completed in {seconds['d']:.1f}s ]" in text
+    assert "No shared patterns found for domain 'few'.\nNo shared patterns found for domain 'none'.\n" in text
+
+
+def test_repair_job(spark, tmp_path):
+    corpus = spark.createDataFrame([("1", "reuter", "gpt", "a", "First one. Second one."), ("2", "reuter", "gpt", None, "Third.")], schemas.CORPUS)
+    table = parse.parse_constituency(corpus).withColumn("author", F.lit(None).cast("string"))
+    table.write.parquet(str(tmp_path / "t"))
+    with pytest.warns(UserWarning, match="1 of 3"):
+        done = repair.repair_job(spark, corpus, [str(tmp_path / "t"), str(tmp_path / "gone")])
+    assert [(d["found"], d["n_rows"], d["n_unmatched"]) for d in done] == [(True, 3, 1), (False, 0, 0)]
+    assert spark.read.parquet(str(tmp_path / "t")).where("author = 'a'").count() == 2
+    assert spark.read.parquet(str(tmp_path / "t.bak")).where("author IS NULL").count() == 3
+    again = corpus.unionByName(corpus.withColumn("author", F.lit("b")))
+    assert repair.repair_job(spark, again, [str(tmp_path / "t")])[0]["n_ambiguous"] == 6
+
+
+def test_dependency_documents(spark, tmp_path):
+    def parser(texts):
+        for t in texts:
+            if t == "bad":
+                yield None
+            else:
+                yield [(s, [(1, "x", "X", 1, "ROOT", False), (2, "y", "X", 9 if s == "out" else 1, "dep", False)]) for s in t.split("|")]
+
+    corpus = spark.createDataFrame([("1", "d", "gpt", None, "a|out|b "), ("2", "d", "gpt", None, "bad"), ("3", "d", "gpt", None, None)], schemas.CORPUS)
+    rows, seen = dependency.parse_documents(corpus, parser, batch=2)
+    rows.write.parquet(str(tmp_path / "dep"))
+    rows = spark.read.parquet(str(tmp_path / "dep")).orderBy("doc_id", "sent_idx").collect()
+    assert [(r.doc_id, r.sent_idx, r.sent_text) for r in rows] == [("1", 0, "a"), ("1", 2, "b"), ("3", 0, "")]
+    assert seen.get == {"n_ok": 3, "n_sentence_failed": 1, "n_document_failed": 1}
+
+    def one(sentence):
+        if sentence == "bad":
+            raise ValueError
+        return [(1, sentence, "X", 1, "ROOT", False)]
+
+    sents = spark.createDataFrame([("a",), ("bad",)], "sent_text string")
+    assert [r.parse_str for r in dependency.parse_dependency(sents, one).collect()] == ["1\ta\tX\t0\tROOT"]
+
+
+def test_segmenter_and_observed_parses(spark, tmp_path):
+    rows = parse.with_metrics(spark.createDataFrame([("a b|c",), (None,)], "text string"), lambda t: t.split("|")).collect()
+    assert (rows[0].sent_count, rows[0].mean_sent_length) == (2, 1.5)
+    corpus = spark.createDataFrame([("1", "d", "gpt", None, "x"), ("2", "d", "gpt", None, "bad")], schemas.CORPUS)
+
+    def parser(text):
+        if text == "bad":
+            raise ValueError
+        return [("a", TREE), ("b", None)]
+
+    frame, seen = parse.observed(corpus, parser)
+    frame.write.parquet(str(tmp_path / "p"))
+    assert seen.get == {"n_ok": 1, "n_sentence_failed": 1, "n_document_failed": 1}
+
+
+def test_many_wanted_patterns_and_chunk_examples(spark, monkeypatch):
+    df = parses(spark)
+    few = motifs.examples(df, motifs.count_motifs(df)).orderBy("source", "pattern").collect()
+    monkeypatch.setattr(motifs, "FEW_WANTED", 0)
+    assert motifs.examples(df, motifs.count_motifs(df)).orderBy("source", "pattern").collect() == few
+    row = motifs.chunk_examples(df, motifs.count_motifs(df), n_chunks=5).where("source = 'gpt' AND pattern = '(NP (DT) (NN))'").first()
+    assert [e.words for e in row.examples] == ["The cat"] * 3

@@ -1,7 +1,10 @@
 import pyarrow as pa
 import pyarrow.feather as feather
+import pytest
+from pyspark.sql import functions as F
 
 from quillon import schemas
+from quillon.operators import stats
 from quillon.sources import files
 from quillon.streaming import counts
 
@@ -54,3 +57,45 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = counts.motif_counts(spark.read.parquet(str(tmp_path / "in")))
     assert sorted(map(tuple, spark.table("motif_stream").collect())) == sorted(map(tuple, batch.collect()))
     assert batch.count() > 0
+
+
+def test_failed_renames_put_the_old_table_back(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    files.write_with_backup(spark.range(3), path)
+    real = files._fs
+
+    class Refusing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, a, b):
+            return False if str(b.getName()) == "t" and "t.bak" not in str(a) else self.fs.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(files, "_fs", lambda s, p: (Refusing(real(s, p)[0]), real(s, p)[1]))
+    with pytest.raises(OSError, match="can't rename"):
+        files.write_with_backup(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t"]
+
+
+def test_summaries(spark, tmp_path):
+    rows = [("essay", "gpt", 1.0), ("essay", "gpt", 3.0), ("essay", "human", 2.0)]
+    df = spark.createDataFrame(rows, "domain string, source string, v double").withColumn("w", F.col("v") * 2)
+    files.write_summary_csv(stats.describe(df, ["domain", "source"], "v", 1), str(tmp_path / "one.csv"), ["domain", "source"])
+    assert (tmp_path / "one.csv").read_text().splitlines()[:2] == ["domain,source,count,mean,std,min,q25,q50,q75,max", "essay,gpt,2,2.0,1.4,1.0,1.5,2.0,2.5,3.0"]
+    files.write_summary_csv(stats.describe_many(df, ["domain", "source"], ["v", "w"], 1), str(tmp_path / "two.csv"), ["domain", "source"], "metric")
+    lines = (tmp_path / "two.csv").read_text().splitlines()
+    assert lines[0] == ",," + ",".join(["v"] * 8 + ["w"] * 8)
+    assert lines[1] == ",," + ",".join(["count,mean,std,min,25%,50%,75%,max"] * 2)
+    assert lines[2] == "domain,source" + "," * 16
+    assert lines[3].startswith("essay,gpt,2,2.0,1.4,1.0,1.5,2.0,2.5,3.0,2,4.0,2.8,2.0,")
+
+
+def test_event_counts(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "a"), ("2024-01-01 01:20:00", "a")], "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type").write.parquet(str(tmp_path / "in"))
+    query = counts.start(counts.event_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))), "events_stream", str(tmp_path / "state"))
+    query.awaitTermination()
+    assert sorted(r.n for r in spark.table("events_stream").collect()) == [1, 2]
