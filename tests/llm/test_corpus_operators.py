@@ -131,6 +131,25 @@ def test_near_pairs_inside_a_large_templated_bucket(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
 
 
+def test_pairs_that_share_a_passage_with_all_others(spark):
+    rng = random.Random(14)
+    passage = [f"p{k}" for k in range(250)]
+    docs = []
+    for k in range(600):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(44)]
+        docs.append((2 * k, " ".join(passage + own)))
+        docs.append((2 * k + 1, " ".join(passage + own[:30] + [f"w{rng.randrange(10**6)}" for _ in range(14)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert all(r.class_id == r.doc_id // 2 * 2 for r in neardup.classes(df).collect())
+
+
+def test_classes_of_real_documents_equal_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = {r.doc_id: r.class_id for r in QUERIES["op3_near_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    worded = [(i, t) for i, t in docs if t and neardup.words(t)]
+    assert {i: found[i] for i, _ in worded} == brute_classes(worded)
+
+
 def test_short_near_duplicates(spark):
     rng = random.Random(5)
     docs = []
@@ -557,7 +576,9 @@ def test_oracle(spark, name):
 
 
 def test_pipeline_stages(spark, odd, benchmark, tmp_path):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame([(50, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu and more words here", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    more = spark.createDataFrame([(50, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu and more words here", "en", "s", 1, "x", "y", 1, "z")], odd.schema)
+    clashing = ("score", "lang_pred", "langs", "keep_bitmap", "n_words", "items", "digest", "class_id", "label", "_row", "row")
+    docs = odd.union(more).withColumns({c: F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in clashing})
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
     for k, (name, stage) in enumerate(stages.STAGES):
         out = stage(spark, docs, str(tmp_path))
@@ -565,6 +586,9 @@ def test_pipeline_stages(spark, odd, benchmark, tmp_path):
         out = spark.read.parquet(str(tmp_path / str(k)))
         if k < 4:
             assert out.columns == docs.columns
+            for r in out.collect():
+                assert all(r[c] == f"own {c} {r.doc_id if r.doc_id is not None else '-'}" for c in clashing)
+                assert (r.node, r.bitmap, r.key, r.spans) == ("x", "y", 1, "z")
         ids = collections.Counter(r.doc_id for r in out.collect())
         if name == "language_id":
             assert 1 not in ids and 2 not in ids and ids[5] == 2
@@ -579,6 +603,14 @@ def test_pipeline_stages(spark, odd, benchmark, tmp_path):
     assert docs.where("NOT lossless").count() == 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_of_empty_tables(spark, empty, benchmark, tmp_path, k):
+    benchmark.limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = stages.STAGES[k][1](spark, empty, str(tmp_path))
+    assert out.count() == 0
+    assert k == 4 or out.columns == empty.columns
+
+
 def test_near_dedup_keeps_one_document_of_each_class_without_or_with_shared_ids(spark):
     words = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
     docs = [(None, words(1)), (None, words(2)), (None, words(2)), (7, words(3)), (7, words(4)), (None, words(5)), (9, words(5)), (8, words(5))]
