@@ -6,9 +6,11 @@ lowest rank, found by a hashed pair table, and is compacted by one place. Pieces
 bounded size, so a frequent word is merged once for each worker; what stands between two single spaces is remembered
 as a whole.
 
-Null text encodes as no ids. Rows keep every other column; a text of any length is encoded whole. Pieces over
+Null text encodes as no ids; repeated rows each get their own; an empty table gives no rows. Rows keep every other
+column, but for one named like a result, which it replaces; a text of any length is encoded whole. Pieces over
 LONGEST bytes (runs without any break) take the same merges through a heap, as a matrix of one row would cost the
-square of its length.
+square of its length. Any pattern may be given; texts are cut at single spaces beforehand only for the one of which that
+is known to change nothing, public_tokenizers.PATTERN.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import heapq
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -71,7 +74,7 @@ class PairTable:
 
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.cuts = ranks, regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.visible = re.compile(r"\S(?:.*\S)?\Z", re.S).match
         self.apart = re.compile(r"(?:\A|(?<=\S)(?= \S)).+?(?:\Z|(?=(?<=\S) \S))", re.S)
         size = max(ranks.values()) + 1
@@ -189,7 +192,10 @@ class Bpe:
 
     def units(self, text: str) -> list[str]:
         """Parts of the text that the pattern cuts each for itself: it never joins what stands on both sides of a
-        single space between two visible characters, but for that space itself, which goes to the right."""
+        single space between two visible characters, but for that space itself, which goes to the right. Of another
+        pattern than PATTERN that isn't known, and the text is one part."""
+        if not self.cuts:
+            return [text]
         words = text.split(" ")
         if len(words) > 1 and all(map(self.visible, words)):
             return [words[0], *(" " + w for w in words[1:])]

@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ STRENGTH = 2.0
 BURN, SAMPLES = 2, 3
 #: Customers of a pair that one sweep takes out and seats again.
 STEPS = 16
+#: So many customers are seated one by one before gaps between new tables are drawn at once; either way is the same process.
+ONE_BY_ONE = 12
 
 PAIRS, KEPT, STATE, PLACES, REPORT, CUT, COUNTS, REPLY, SEATS, EXTRA, DRAWN, ANSWER = range(12)
 MESSAGE = "to long, kind int, src long, payload binary"
@@ -62,27 +65,31 @@ class Hasher:
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """64-bit hashes of all tokens, an END behind each document."""
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit hashes of the different tokens in order, and the place of each token's among them; an END stands behind
+        each document."""
         said = b" E ".join([*(t.translate(_LOWER) for t in texts), b""]).split()  # no word has capitals
-        new = set(said).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, set(said)
-        for w in new:
+        all_ = list(set(said))
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        for w in set(all_).difference(self.known):
             self.known[w] = xxhash.xxh3_64_intdigest(w)
         self.known[b"E"] = END
-        return np.fromiter(map(self.known.__getitem__, said), np.uint64, len(said))
+        names, at = np.unique(np.fromiter(map(self.known.__getitem__, all_), np.uint64, len(all_)), return_inverse=True)
+        place = dict(zip(all_, at.tolist(), strict=True))
+        return names, np.fromiter(map(place.__getitem__, said), np.int64, len(said))
 
 
 def pack(*columns: tuple[np.ndarray, int]) -> bytes:
-    """Arrays of not negative integers with so many bytes each, byte by byte in planes, which compress well."""
+    """Arrays of not negative integers with so many bytes each, byte by byte in planes, which compress well; compressed."""
     head = np.array([len(columns), *(n for x, size in columns for n in (len(x), size))], "<i8").tobytes()
-    return head + b"".join(np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes() for x, size in columns)
+    return head + zstandard.compress(b"".join(np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes() for x, size in columns), 1)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     n = int.from_bytes(data[:8], "little")
-    shape, at, out = np.frombuffer(data, "<i8", 2 * n, 8).reshape(n, 2).tolist(), 8 + 16 * n, []
+    shape, at, out = np.frombuffer(data, "<i8", 2 * n, 8).reshape(n, 2).tolist(), 0, []
+    data = zstandard.decompress(data[8 + 16 * n :])
     for length, size in shape:
         x = np.zeros((length, 8), np.uint8)
         x[:, :size] = np.frombuffer(data, np.uint8, length * size, at).reshape(size, length).T
@@ -111,13 +118,12 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Chunk:
     """The distinct pairs of a chunk in order of word and context, and the documents that each stands in."""
 
-    def __init__(self, words: np.ndarray, held: np.ndarray):
-        ends = words == END
+    def __init__(self, names: np.ndarray, own: np.ndarray, held: np.ndarray):
+        end = np.searchsorted(names, END)
+        ends = own == end
         doc = np.cumsum(ends) - ends
         self.tokens = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
-        names, own = np.unique(words, return_inverse=True)
-        before = np.concatenate([[np.searchsorted(names, END)], own[:-1]])
-        key = own.astype(np.int64) << 32 | before
+        key = own << 32 | np.concatenate([[end], own[:-1]])
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         pairs, refs = _starts(key), _starts(key, doc)
@@ -148,35 +154,42 @@ def arrangement(customers: np.ndarray, chance: np.ndarray, discount: float, rng:
     """The tables of items with so many customers of one dish, seated one after the other: the number of each item's
     tables, and all sizes. chance: (strength + discount * tables of the restaurant) * probability of the dish above."""
     customers = customers.astype(np.float64)
-    tables = np.ones(len(customers), np.int64)
-    going, seated, came = np.arange(len(customers)), np.ones(len(customers)), []
+    tables, came = np.ones(len(customers), np.int64), []  # came: items, the number of their new table, customers before it
+    going, j = np.flatnonzero(customers > 1), 1
+    while len(going) and j < ONE_BY_ONE:
+        a, t = chance[going], tables[going]
+        new = going[rng.random(len(going)) * (j - discount * t + a) < a]
+        came.append((new, tables[new], np.full(len(new), float(j))))
+        tables[new] += 1
+        j += 1
+        going = going[customers[going] > j]
+    seated = np.full(len(customers), float(j))
     while len(going):
         # customers x .. y - 1 all find a table with probability exp(f(y) - f(x))
         a, t, x, n = chance[going], tables[going], seated[going], customers[going]
         f = lambda y, a=a, t=t: log_gamma(y - discount * t) - log_gamma(y - discount * t + a)
         least = f(x) + np.log(1 - rng.random(len(going)))
         some = f(n) < least
-        going, low, high = going[some], x[some], n[some]
-        f = lambda y, a=a[some], t=t[some]: log_gamma(y - discount * t) - log_gamma(y - discount * t + a)
-        least = least[some]
+        going, low, high, a, t, least = going[some], x[some], n[some], a[some], t[some], least[some]
+        f = lambda y, a=a, t=t: log_gamma(y - discount * t) - log_gamma(y - discount * t + a)
         while len(going) and (high - low > 1).any():  # low: still above, high: below
             y = np.floor((low + high) / 2)
             up = f(y) >= least
             low, high = np.where(up, y, low), np.where(up, high, y)
-        came.append((going, low))  # the customer after the first `low` took a new table
+        came.append((going, tables[going], low))  # the customer after the first `low` took a new table
         tables[going] += 1
         seated[going] = high
-        more = high < customers[going]
-        going = going[more]
-    left, sizes = customers.copy(), []
-    for k in range(len(came), 0, -1):  # of all who sat at the first k + 1 tables, those at the last of them
-        item, at = came[k - 1]
-        if len(item):
-            size = 1 + rng.binomial((left[item] - at - 1).astype(np.int64), rng.beta(1 - discount, at - discount * k))
-            left[item] -= size
-            sizes.append((item, size))
-    item = np.concatenate([np.arange(len(customers)), *(i for i, _ in reversed(sizes))])
-    size = np.concatenate([left.astype(np.int64), *(s for _, s in reversed(sizes))])
+        going = going[high < customers[going]]
+    item, number, before = map(np.concatenate, zip(*came, strict=True)) if came else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.argsort(-number, kind="stable")
+    item, number, before = item[order], number[order], before[order]
+    left, size = customers.astype(np.int64), np.zeros(len(item), np.int64)
+    cut = np.append(_starts(number), len(number))
+    for x, y in zip(cut[:-1], cut[1:], strict=True):  # of all who sat at the first tables, those at the last of them
+        own, at, k = item[x:y], before[x:y], number[x]
+        size[x:y] = 1 + rng.binomial(left[own] - at.astype(np.int64) - 1, rng.beta(1 - discount, at - discount * k))
+        left[own] -= size[x:y]
+    item, size = np.concatenate([np.arange(len(customers)), item[::-1]]), np.concatenate([left, size[::-1]])
     return tables, size[np.argsort(item, kind="stable")]
 
 
@@ -192,7 +205,7 @@ class Seats:
     def __init__(self, tables: np.ndarray, sizes: np.ndarray):
         self.tables, self.sizes = tables.astype(np.int64), sizes.astype(np.int64)
 
-    def room(self, more: int) -> None:
+    def room(self, more: np.ndarray) -> None:
         """Lays the tables out with so many free places behind those of each item."""
         self.slots = self.tables + more
         self.start = np.cumsum(self.slots) - self.slots
@@ -307,7 +320,7 @@ class Shard:
         rows = self.own_customers()
         if len(a):
             size = self.count[a]
-            seats.room(STEPS)
+            seats.room(np.minimum(size, STEPS))
             for step in range(STEPS):
                 n = int(np.searchsorted(-size, -step - 1, "right"))  # items with more customers than steps done
                 if not n:
@@ -352,7 +365,7 @@ class Shard:
         self.totals["tables"] += int(parent.tables.sum()) - tables
         more = int(np.searchsorted(-n, -2, "right"))
         if more:
-            parent.room(STEPS)
+            parent.room(np.minimum(n, STEPS))
             for step in range(STEPS):
                 k = int(np.searchsorted(-n, -max(2, step + 1), "right"))
                 if not k:
@@ -371,8 +384,8 @@ def _table(rows: DataFrame) -> DataFrame:
     return stored(rows, "kind")
 
 
-def _step(run, *tables: DataFrame) -> DataFrame:
-    """run(to, frame by kind and src) for the messages to each place, as a table of new messages."""
+def _step(parts: int, run, *tables: DataFrame) -> DataFrame:
+    """run(to, frame by kind and src) for the messages to each place, dealt to so many partitions, as new messages."""
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
@@ -380,7 +393,7 @@ def _step(run, *tables: DataFrame) -> DataFrame:
     def each(key, frame):
         return _rows(run(int(key[0]), frame.sort_values(["kind", "src"])))
 
-    return rows.groupBy("to").applyInPandas(each, MESSAGE)
+    return rows.repartition(parts, "to").groupBy("to").applyInPandas(each, MESSAGE)
 
 
 def _of(frame: pd.DataFrame, kind: int) -> list[tuple[int, bytes]]:
@@ -409,13 +422,14 @@ def _merge(key: int, frame: pd.DataFrame, n_shards: int, cuts: np.ndarray) -> li
     names, at = np.unique(context, return_inverse=True)
     out = [(key, STATE, key, pack((word[words], 8), (each, bytes_for(each)), (at, bytes_for(at)), (count, bytes_for(count))))]
     for (src, _), a, b in zip(sent, np.cumsum([0, *sizes]), np.cumsum(sizes), strict=False):
-        out.append((src, PLACES, key, pack((place[a:b], bytes_for(place)))))
+        steps = np.diff(place[a:b], prepend=0)  # a chunk's pairs are in the shard's order
+        out.append((src, PLACES, key, pack((steps, bytes_for(steps)))))
     types, customers = np.bincount(at, count > 0, len(names)).astype(np.int64), np.zeros(len(names), np.int64)
     np.add.at(customers, at, count)
     bounds = np.searchsorted((names * np.uint64(n_shards)) >> np.uint64(48) if n_shards < 1 << 16 else ((names >> np.uint64(16)) * np.uint64(n_shards)) >> np.uint64(32), np.arange(n_shards + 1))
     for home, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if b > a:
-            out.append((home, REPORT, key, pack((names[a:b], 6), (types[a:b], bytes_for(types)), (customers[a:b], bytes_for(customers)))))
+            out.append((home, REPORT, key, pack((np.diff(names[a:b], prepend=np.uint64(0)), 6), (types[a:b], bytes_for(types)), (customers[a:b], bytes_for(customers)))))
     total, kinds = _sums(count, words), _sums((count > 0).astype(np.int64), words)
     cut = np.isin(word[words] >> np.uint64(16), cuts)
     out += [(0, CUT, key, pack((np.array([w], np.uint64), 8), (np.array([n, k]), 8))) for w, n, k in zip(word[words][cut].tolist(), total[cut].tolist(), kinds[cut].tolist(), strict=True)]
@@ -426,7 +440,7 @@ def _merge(key: int, frame: pd.DataFrame, n_shards: int, cuts: np.ndarray) -> li
 
 def _summed(key: int, frame: pd.DataFrame, kind: int, width: int) -> list[tuple]:
     """A home: sums of the columns that messages of this kind have for the contexts of the REPORTs, as REPLY to each shard."""
-    asked = {src: unpack(p)[0] for src, p in _of(frame, REPORT)}
+    asked = {src: np.cumsum(unpack(p)[0]) for src, p in _of(frame, REPORT)}
     sent = {src: unpack(p) for src, p in _of(frame, kind)}
     names = np.unique(np.concatenate(list(asked.values())))
     at = {src: np.searchsorted(names, x) for src, x in asked.items()}
@@ -466,7 +480,7 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
         of, base = Hasher(), TaskContext.get().partitionId() << 32
         for part in (p for b in batches for q in range(0, b.num_rows, CHUNK_ROWS) for p in chunks([b.slice(q, CHUNK_ROWS)], "text", CHUNK_BYTES)):
             marks, ids = part.column("held").to_numpy(zero_copy_only=False), part.column("doc_id")
-            chunk = Chunk(of(texts_of(part.column("text")).cast(pa.binary()).to_pylist()), marks)
+            chunk = Chunk(*of(texts_of(part.column("text")).cast(pa.binary()).to_pylist()), marks)
             to = shard_of(chunk.word, chunk.context, shared.value)
             at, rows = np.append(_starts(to), len(to)), []
             for a, b in zip(at[:-1], at[1:], strict=True):
@@ -481,10 +495,10 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
     def merge(k, frame):
         return [(k, KEPT, k, p) for _, p in _of(frame, KEPT)] if k < 0 else _merge(k, frame, n_shards, cuts)
 
-    first = _table(_step(merge, mapped(docs, push, MESSAGE)))
+    first = _table(_step(n_shards, merge, mapped(docs, push, MESSAGE)))
     of = lambda t, *kinds: t.where(F.col("kind").isin(*kinds))
     totals = _totals(first)
-    sizes = _table(_step(lambda k, f: _summed(k, f, REPORT, 2), of(first, REPORT)))
+    sizes = _table(_step(n_shards, lambda k, f: _summed(k, f, REPORT, 2), of(first, REPORT)))
 
     def burn(k, frame):
         shard = Shard(_of(frame, STATE)[0][1], _replies(frame)[0], 0, dict(totals))
@@ -496,9 +510,9 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
         seats = pack((t, bytes_for(t)), (shard.seats.sizes, bytes_for(shard.seats.sizes)))
         return [(k, SEATS, k, seats), *_split([shard.extra], frame, k), *_customers(shard, k, cuts, 0)]
 
-    burnt = _table(_step(burn, of(first, STATE), sizes))
+    burnt = _table(_step(n_shards, burn, of(first, STATE), sizes))
     totals = _totals(first, burnt)
-    more = _table(_step(lambda k, f: _summed(k, f, EXTRA, 1), of(first, REPORT), of(burnt, EXTRA)))
+    more = _table(_step(n_shards, lambda k, f: _summed(k, f, EXTRA, 1), of(first, REPORT), of(burnt, EXTRA)))
     as_extra = lambda t: t.withColumn("kind", F.lit(EXTRA))
 
     def draw(k, frame):
@@ -516,10 +530,10 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
             out += _customers(shard, k, cuts, s)
         return [(k, DRAWN, k, pack(*drawn)), *_split(extras, frame, k), *out]
 
-    drawn = _table(_step(draw, of(first, STATE), sizes, as_extra(more), of(burnt, SEATS)))
+    drawn = _table(_step(n_shards, draw, of(first, STATE), sizes, as_extra(more), of(burnt, SEATS)))
     discard(more, burnt)
     final = [_totals(first, drawn, s) for s in range(SAMPLES)]
-    last = _table(_step(lambda k, f: _summed(k, f, EXTRA, SAMPLES), of(first, REPORT), of(drawn, EXTRA)))
+    last = _table(_step(n_shards, lambda k, f: _summed(k, f, EXTRA, SAMPLES), of(first, REPORT), of(drawn, EXTRA)))
 
     def answer(k, frame):
         if k < 0:
@@ -545,12 +559,12 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
         known = known[of_word]
         out = []
         for src, p in _of(frame, PLACES):
-            at = unpack(p)[0].astype(np.int64)
+            at = np.cumsum(unpack(p)[0].astype(np.int64))
             out.append((src, ANSWER, k, pack((logs[at], 4), (known[at], bytes_for(known[at])))))
         return out
 
     places = of(first, PLACES).select(F.col("src").alias("to"), "kind", F.col("to").alias("src"), "payload")
-    answers = _step(answer, of(first, STATE, KEPT), places, sizes, as_extra(last), of(drawn, DRAWN))
+    answers = _step(n_shards, answer, of(first, STATE, KEPT), places, sizes, as_extra(last), of(drawn, DRAWN))
 
     def gather(k, frame):
         frame = frame.sort_values(["kind", "src"])
@@ -562,7 +576,7 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
         sums = [np.bincount(doc, x[pair] * times, n) for x in (logs, np.log10(counts + 1), counts > 0)]
         return pd.DataFrame({"doc_id": pd.array([None if z else i for i, z in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)], "Int64"), "held_out": held_out.astype(bool), "n_tokens": tokens.astype(np.int64), "n_known": sums[2].astype(np.int64), "base": sums[1], "score": sums[0]})
 
-    whole = answers.where("to < 0").groupBy("to").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    whole = answers.where("to < 0").repartition(n_shards, "to").groupBy("to").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * math.log10(totals["n"] + totals["v"] + 1)
     out = stored(whole.select(F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")))
     discard(first, sizes, drawn, last)
@@ -575,7 +589,7 @@ def _bounds(docs: DataFrame, size: int, n_shards: int, seed: int) -> tuple[np.nd
     def some(batches):
         of = Hasher()
         for part in chunks(batches, "text", CHUNK_BYTES):
-            chunk = Chunk(of(texts_of(part.column("text")).cast(pa.binary()).to_pylist()), np.zeros(part.num_rows, bool))
+            chunk = Chunk(*of(texts_of(part.column("text")).cast(pa.binary()).to_pylist()), np.zeros(part.num_rows, bool))
             yield pa.RecordBatch.from_arrays([pa.array((chunk.word >> np.uint64(16)).view(np.int64)[::SAMPLE_PAIRS]), pa.array(chunk.context.view(np.int64)[::SAMPLE_PAIRS])], names=["word", "context"])
 
     taken = docs if size <= SAMPLE_BYTES else docs.sample(SAMPLE_BYTES / size, seed)

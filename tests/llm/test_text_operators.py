@@ -134,6 +134,10 @@ def test_bpe_equals_the_library(spark, odd, empty):
         assert ids.tolist() == library.encode_ordinary(text)
         assert joined == ",".join(map(str, ids.tolist()))
         assert b.decode(ids) == text.encode()
+    other = bpe.Bpe(b.ranks, r"\w+ ?|[^\w]")  # a pattern that joins a word and the space behind it
+    library = tiktoken.Encoding("other", pat_str=r"\w+ ?|[^\w]", mergeable_ranks=b.ranks, special_tokens={})
+    for text, (ids, _) in zip(texts[-40:], other.encode(texts[-40:]), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
     b.forget()
     rows = bpe.decode(bpe.encode(odd, PATH, P.PATTERN), PATH, P.PATTERN)
     assert rows.where("decode(decoded, 'UTF-8') <> coalesce(text, '')").count() == 0
