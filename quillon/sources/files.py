@@ -32,14 +32,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def text_corpus(spark: SparkSession, root: str, domains: list[str] | None = None, sources: list[str] | None = None) -> DataFrame:
     """root/{domain}/{source}/**/*.txt as CORPUS, a row for each file. Only the named folders are listed; missing ones add
-    nothing; files below a folder of SKIPPED don't count. author: the folder between source and file, if there is one."""
+    nothing; files below a folder of SKIPPED don't count. author: the folder between source and file, if there is one. A
+    file that isn't UTF-8 raises."""
     pairs = [(d, s) for d in domains or schemas.DOMAINS for s in sources or schemas.SOURCES]
     paths = [p for d, s in pairs if exists(spark, p := f"{root}/{d}/{s}")]
     if not paths:
         return spark.createDataFrame([], schemas.CORPUS)
     files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    rows = files.select(path.alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text")).where(~F.col("path").rlike(f"(^|/)({'|'.join(SKIPPED)})/"))
+    rows = files.select(path.alias("path"), F.regexp_replace(F.validate_utf8("value"), "\r\n?", "\n").alias("text")).where(~F.col("path").rlike(f"(^|/)({'|'.join(SKIPPED)})/"))
     # the folders are matched from the right-most named pair, so that a root of any name works
     part = lambda k: F.regexp_extract("path", rf"/({'|'.join(re.escape(d) for d, _ in pairs)})/({'|'.join(re.escape(s) for _, s in pairs)})/(?:(?:[^/]+/)*?([^/]+)/)?([^/]+)\.txt$", k)
     return rows.select(part(4).alias("id"), part(1).alias("domain"), part(2).alias("source"), F.nullif(part(3), F.lit("")).alias("author"), "text")

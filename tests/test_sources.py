@@ -22,6 +22,9 @@ def test_text_corpus(spark, tmp_path):
     put("essay/human/5.md", "no")
     rows = sorted(tuple(r) for r in files.text_corpus(spark, str(tmp_path)).collect())
     assert rows == [("1", "essay", "human", None, "a\nb\nc"), ("2", "reuter", "gpt", "An Author+x", "é")]
+    (tmp_path / "essay/human/6.txt").write_bytes(b"\xff\xfe bad")
+    with pytest.raises(Exception, match="INVALID_UTF8_STRING"):
+        files.text_corpus(spark, str(tmp_path)).collect()
     assert files.text_corpus(spark, str(tmp_path / "none")).columns == ["id", "domain", "source", "author", "text"]
 
 
