@@ -94,3 +94,13 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     often = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").alias("d")
     same = functools.reduce(lambda x, y: x & y, (F.col(f"r.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys))
     return df.alias("r").join(often, same, "left_semi")
+
+
+def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first n rows in this order."""
+    return df.orderBy(*order).limit(n)
+
+
+def row_at(df: DataFrame, order: list[str], place: int) -> DataFrame:
+    """The one row at this place (from 0) of this order; none beyond the end."""
+    return df.orderBy(*order).offset(place).limit(1)

@@ -286,7 +286,8 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def compared(spark, sf_dir):
-    return motifs.compare(counts(spark, sf_dir), motifs.totals(sentences(spark, sf_dir).withColumn("parse_str", F.lit(""))))
+    rows = parses(spark, sf_dir)
+    return motifs.compare(motifs.count_motifs(rows), motifs.totals(rows))
 
 
 @query(f"WITH {COMPARED} SELECT * FROM cmp")
@@ -421,6 +422,16 @@ def f12_error_count(spark, sf_dir):
     return trees.error_count(trees.classify(rows.withColumn("parse_str", broken)))
 
 
+@query(f"WITH {TYPES} SELECT doc_id, sent_idx, feng_algo_1 FROM typed ORDER BY doc_id, sent_idx LIMIT 5")
+def t6_head(spark, sf_dir):
+    return stats.head(typed(spark, sf_dir), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "feng_algo_1")
+
+
+@query(f"WITH {SENTS} SELECT doc_id, sent_idx, sent_text FROM sents ORDER BY doc_id, sent_idx LIMIT 1 OFFSET 100")
+def f13_one_row(spark, sf_dir):
+    return stats.row_at(sentences(spark, sf_dir), ["doc_id", "sent_idx"], 100).select("doc_id", "sent_idx", "sent_text")
+
+
 @query("SELECT role AS source, count(*) AS n, CAST(sum(" + WORDS.format("text") + ") AS BIGINT) AS words FROM conversations GROUP BY ALL")
 def f8_f9_projection(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("role").alias("source"), X.word_count(F.col("text")).alias("w"))
