@@ -393,6 +393,9 @@ def test_language_model(spark, odd, empty):
     assert sorted(map(str, (r.doc_id for r in out))) == sorted(str(i) for i, _ in ODD)
     assert all(r.score < 0 for r in out)
     assert lm.score(empty.withColumn("h", F.lit(False)), "h").count() == 0
+    none = lm.score(odd.withColumn("h", F.lit(True)), "h").collect()
+    assert len(none) == len(ODD)
+    assert all((r.score, r.base_score, r.n_known, r.train_tokens) == (0, 0, 0, 0) for r in none)
 
 
 def test_seating_follows_the_restaurant():
