@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import chunks, discard, mapped, stored, texts_of
@@ -54,6 +54,8 @@ BURN, SAMPLES = 2, 3
 STEPS = 16
 #: So many customers are seated one by one before gaps between new tables are drawn at once; either way is the same process.
 ONE_BY_ONE = 12
+#: Pairs of so many customers are seated each for itself.
+MANY = 2000
 
 PAIRS, KEPT, STATE, PLACES, REPORT, CUT, COUNTS, REPLY, SEATS, EXTRA, DRAWN, ANSWER = range(12)
 MESSAGE = "to long, kind int, src long, payload binary"
@@ -164,6 +166,11 @@ def arrangement(customers: np.ndarray, chance: np.ndarray, discount: float, rng:
         j += 1
         going = going[customers[going] > j]
     seated = np.full(len(customers), float(j))
+    for i in going[customers[going] >= MANY].tolist():  # few items, each with many tables
+        at = _arrivals(int(customers[i]), j, int(tables[i]), float(chance[i]), discount, rng)
+        came.append((np.full(len(at), i), tables[i] + np.arange(len(at)), at))
+        tables[i] += len(at)
+    going = going[customers[going] < MANY]
     while len(going):
         # customers x .. y - 1 all find a table with probability exp(f(y) - f(x))
         a, t, x, n = chance[going], tables[going], seated[going], customers[going]
@@ -193,6 +200,30 @@ def arrangement(customers: np.ndarray, chance: np.ndarray, discount: float, rng:
     return tables, size[np.argsort(item, kind="stable")]
 
 
+def _arrivals(customers: int, seated: int, tables: int, chance: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """How many customers sat before each new table, from the first after `seated`: one by one where new tables are near to
+    each other, by the gaps beyond."""
+    out, j, t, a = [], seated, tables, chance
+    near = int(min(customers, max(j, 30 * a)))
+    for x in rng.random(near - j).tolist():
+        if x * (j - discount * t + a) < a:
+            out.append(j)
+            t += 1
+        j += 1
+    while j < customers:
+        f = lambda y, t=t: math.lgamma(y - discount * t) - math.lgamma(y - discount * t + a)
+        least = f(j) + math.log(1 - rng.random())
+        if f(customers) >= least:
+            break
+        low, high = j, customers
+        while high - low > 1:
+            y = (low + high) // 2
+            low, high = (y, high) if f(y) >= least else (low, y)
+        out.append(low)
+        t, j = t + 1, high
+    return np.array(out, np.float64)
+
+
 def predictive(own, own_tables, customers, tables, above, discount: float):
     """Probability of a dish in a restaurant with so many customers and tables, of which so many are its own; above: the
     dish's probability in the restaurant above."""
@@ -396,14 +427,24 @@ def _step(parts: int, run, *tables: DataFrame) -> DataFrame:
     return rows.repartition(parts, "to").groupBy("to").applyInPandas(each, MESSAGE)
 
 
+def _addresses(spark: SparkSession, n: int) -> np.ndarray:
+    """n growing numbers that Spark's hash deals to n different partitions: the addresses of the shards and homes."""
+    some = 64 * n
+    while True:
+        found = spark.range(some).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()
+        if len(found) == n:
+            return np.sort(np.array([r["id"] for r in found], np.int64))
+        some *= 2
+
+
 def _of(frame: pd.DataFrame, kind: int) -> list[tuple[int, bytes]]:
     own = frame[frame["kind"] == kind]
     return list(zip(own["src"].tolist(), own["payload"], strict=True))
 
 
-def _merge(key: int, frame: pd.DataFrame, n_shards: int, cuts: np.ndarray) -> list[tuple]:
+def _merge(key: int, frame: pd.DataFrame, address: np.ndarray, cuts: np.ndarray) -> list[tuple]:
     """Step 1 at a shard: STATE, PLACES for each chunk, REPORT for each home, CUT words, COUNTS of counts."""
-    sent = [(src, unpack(p)) for src, p in _of(frame, PAIRS)]
+    sent, n_shards = [(src, unpack(p)) for src, p in _of(frame, PAIRS)], len(address)
     word, context, learned = ([] for _ in range(3))
     for _, (w, each, c, n) in sent:
         word.append(np.repeat(w, each.astype(np.int64)))
@@ -429,7 +470,7 @@ def _merge(key: int, frame: pd.DataFrame, n_shards: int, cuts: np.ndarray) -> li
     bounds = np.searchsorted((names * np.uint64(n_shards)) >> np.uint64(48) if n_shards < 1 << 16 else ((names >> np.uint64(16)) * np.uint64(n_shards)) >> np.uint64(32), np.arange(n_shards + 1))
     for home, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if b > a:
-            out.append((home, REPORT, key, pack((np.diff(names[a:b], prepend=np.uint64(0)), 6), (types[a:b], bytes_for(types)), (customers[a:b], bytes_for(customers)))))
+            out.append((int(address[home]), REPORT, key, pack((np.diff(names[a:b], prepend=np.uint64(0)), 6), (types[a:b], bytes_for(types)), (customers[a:b], bytes_for(customers)))))
     total, kinds = _sums(count, words), _sums((count > 0).astype(np.int64), words)
     cut = np.isin(word[words] >> np.uint64(16), cuts)
     out += [(0, CUT, key, pack((np.array([w], np.uint64), 8), (np.array([n, k]), 8))) for w, n, k in zip(word[words][cut].tolist(), total[cut].tolist(), kinds[cut].tolist(), strict=True)]
@@ -474,6 +515,7 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
     n_shards = max(4, -(-size // SHARD_BYTES))
     bounds = _bounds(docs, size, n_shards, seed)
     cuts = np.unique(bounds[0])
+    address = _addresses(docs.sparkSession, n_shards)
     shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def push(batches):
@@ -486,14 +528,14 @@ def score(df: DataFrame, held: str, key: str = "doc_id", text: str = "text", see
             for a, b in zip(at[:-1], at[1:], strict=True):
                 words = _starts(chunk.word[a:b])
                 each, learned = np.diff(np.append(words, b - a)), chunk.learned[a:b]
-                rows.append((int(to[a]), PAIRS, -1 - base, pack((chunk.word[a:b][words], 8), (each, bytes_for(each)), (chunk.context[a:b], 6), (learned, bytes_for(learned)))))
+                rows.append((int(address[to[a]]), PAIRS, -1 - base, pack((chunk.word[a:b][words], 8), (each, bytes_for(each)), (chunk.context[a:b], 6), (learned, bytes_for(learned)))))
             kept = ((ids.fill_null(0).to_numpy().view(np.uint64), 8), (ids.is_null().to_numpy(zero_copy_only=False), 1), (marks, 1), (chunk.tokens, 4), (chunk.each, bytes_for(chunk.each)), (chunk.doc, 2), (chunk.times, bytes_for(chunk.times)))
             rows.append((-1 - base, KEPT, -1 - base, pack(*kept)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "kind", "src", "payload"])
             base += 1
 
     def merge(k, frame):
-        return [(k, KEPT, k, p) for _, p in _of(frame, KEPT)] if k < 0 else _merge(k, frame, n_shards, cuts)
+        return [(k, KEPT, k, p) for _, p in _of(frame, KEPT)] if k < 0 else _merge(k, frame, address, cuts)
 
     first = _table(_step(n_shards, merge, mapped(docs, push, MESSAGE)))
     of = lambda t, *kinds: t.where(F.col("kind").isin(*kinds))

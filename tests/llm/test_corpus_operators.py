@@ -424,6 +424,10 @@ def test_seating_follows_the_restaurant():
     assert tables.std() == pytest.approx(want[:, 0].std(), rel=0.05)
     assert (sizes == 1).sum() / 6000 == pytest.approx(want[:, 1].mean(), rel=0.03)
     assert lm.arrangement(np.array([1, 1]), np.ones(2), d, rng)[0].tolist() == [1, 1]
+    few = lm.arrangement(np.full(400, 1999), np.full(400, 40.0), d, rng)[0]  # all at once, and each for itself
+    many = lm.arrangement(np.full(400, 2001), np.full(400, 40.0), d, rng)[0]
+    assert few.mean() == pytest.approx(many.mean(), rel=0.02)
+    assert few.std() == pytest.approx(many.std(), rel=0.15)
     big, sizes = lm.arrangement(np.array([10**9]), np.array([5.0]), d, rng)
     assert big[0] == len(sizes) < 10**9
     assert sizes.sum() == 10**9
