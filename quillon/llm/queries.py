@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, decontam, dialogue, fingerprint, langid, licenses, linededup, lm, neardup, resample, secrets, stages
+from quillon.llm import bpe, chat, decontam, dialogue, fingerprint, langid, licenses, linededup, lm, neardup, pii, resample, secrets, stages
 from quillon.llm.common import read
 
 
@@ -74,9 +74,14 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.scan(docs, pii.learn(docs)))
+
+
 OPERATORS = [
     op1_decontamination, op2_fingerprint, op3_near_dedup, op4_license_scan, op5_line_dedup, op6_language_id, op7_secret_scan,
-    op8_lm_score, op9_chat_format, op10_byte_bpe, op11_dialogue_repair, op12_importance_resample,
+    op8_lm_score, op9_chat_format, op10_byte_bpe, op11_dialogue_repair, op12_importance_resample, op13_personal_data,
 ]
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": stages.run}
 
