@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from quillon.functions.forest import Forest
+
 # Node: [label, children, start, end] with children a list of nodes and words (str); words start .. end - 1 are below it.
 _TOKEN = re.compile(r"\(\s*([^\s()]+)?|(\))|([^\s()]+)")
 _TERMINAL = re.compile(r"\([A-Z$][A-Z0-9$-]*\)")
@@ -41,18 +43,19 @@ def nodes(text: str | None) -> list[tuple] | None:
     if tree is None:
         return None
     out: list[list] = []
-
-    def walk(node, depth, parent, place):
+    stack: list = [(tree[0], 0, -1, 0)]
+    while stack:
+        node, depth, parent, place = stack.pop()
+        if depth < 0:  # all below this one is done
+            out[parent][1] = len(out) - 1
+            continue
         pre = len(out)
         if isinstance(node, str):
             out.append([pre, pre, depth, parent, place, None, node])
-            return
+            continue
         out.append([pre, pre, depth, parent, place, node[0], None])
-        for k, child in enumerate(node[1]):
-            walk(child, depth + 1, pre, k)
-        out[pre][1] = len(out) - 1
-
-    walk(tree[0], 0, -1, 0)
+        stack.append((None, -1, pre, 0))
+        stack += [(child, depth + 1, pre, k) for k, child in enumerate(node[1])][::-1]
     return [tuple(x) for x in out]
 
 
@@ -61,53 +64,18 @@ def n_terminals(motif: str) -> int:
 
 
 def motifs(text: str, most: int = 4, least: int = 2, min_terminals: int = 2):
-    """(motif, first word, end) for each node in pre-order and each depth; each depth's string is built from the
-    children's strings of the depth before, so a node is written once for each depth."""
-    tree = decode(text)
-    if tree is None:
-        return
-    known: dict[str, bool] = {}
-
-    def build(node):
-        below = [build(c) for c in node[1] if not isinstance(c, str)]
-        levels = [f"({node[0]})"]
-        for d in range(1, most):
-            levels.append(f"({node[0]} {' '.join([b[0][d - 1] for b in below])})" if below else levels[0])
-        return levels, node, below
-
-    stack = [build(tree[0])]
-    while stack:
-        levels, node, below = stack.pop()
-        for d in range(least - 1, most):
-            motif = levels[d]
-            ok = known.get(motif)
-            if ok is None:
-                ok = known[motif] = n_terminals(motif) >= min_terminals
-            if ok:
-                yield motif, node[2], node[3]
-        stack += below[::-1]
+    """(motif, first word, end) for each node in pre-order and each depth."""
+    forest = Forest(most, least, min_terminals)
+    root = forest.root(text)
+    if root is not None:
+        yield from ((motif, a, b) for _, motif, a, b in forest.hits(root))
 
 
 def sentence_types(text: str | None) -> tuple[str, str]:
     """Type I (clauses) and type II (where the main clause ends); ERROR for null or malformed trees."""
-    tree = decode(text) if text is not None else None
-    if tree is None:
-        return "ERROR", "ERROR"
-    tops = [c for c in tree[0][1] if not isinstance(c, str)]
-    names = {c[0] for c in tops}
-
-    def holds(node, wanted) -> bool:
-        return node[0] in wanted or any(holds(c, wanted) for c in node[1] if not isinstance(c, str))
-
-    dependent = holds(tree[0], ("SBAR",))
-    if "S" in names:
-        first = "COMPLEX-COMPOUND" if dependent else "COMPOUND"
-    elif "VP" in names:
-        first = "COMPLEX" if dependent else "SIMPLE"
-    else:
-        first = "OTHER"
-    clause = next((c for c in tops if holds(c, ("S", "SBAR"))), None)
-    return first, "OTHER" if clause is None else "LOOSE" if clause[0] == "VP" else "PERIODIC"
+    forest = Forest(most=1)
+    root = forest.root(text) if text is not None else None
+    return ("ERROR", "ERROR") if root is None else forest.types(root)
 
 
 def pretty(text: str) -> str:

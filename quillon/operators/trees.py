@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,11 +13,10 @@ from pyspark.sql import types as T
 
 from quillon import schemas
 from quillon.functions import trees
+from quillon.functions.forest import LIMIT, Forest, words
 
-#: A word and the space before it; what follows an opening bracket is a label, also behind a space.
-_WORD = re.compile(r"(?<=[^\s(])\s+([^()\s]+)")
-#: Shapes (trees without their words) that a worker remembers.
-SHAPES = 200_000
+#: Sums of different (key, pattern) that a task keeps before it hands them on.
+SUMS = 200_000
 
 
 def parse_tree(text: Column | str) -> Column:
@@ -31,16 +29,13 @@ def parse_tree(text: Column | str) -> Column:
     return F.pandas_udf(decoded, schemas.NODES)(text)
 
 
-def _types(batches):
-    """Types don't depend on words, so equal shapes are decoded once."""
-    known: dict[str | None, tuple[str, str]] = {}
+def _types(batches, limit: int = LIMIT):
+    forest = Forest(most=1)
     for text in batches:
-        shapes = [_WORD.sub(" _", t) if t is not None else None for t in text]
-        if len(known) > SHAPES:
-            known.clear()
-        for shape in set(shapes).difference(known):
-            known[shape] = trees.sentence_types(shape)
-        yield pd.DataFrame([known[s] for s in shapes], columns=["feng_algo_1", "feng_algo_2"])
+        if forest.size > limit:
+            forest = Forest(most=1)
+        roots = [None if t is None else forest.root(t) for t in text]
+        yield pd.DataFrame([(schemas.ERROR, schemas.ERROR) if r is None else forest.types(r) for r in roots], columns=["feng_algo_1", "feng_algo_2"])
 
 
 def _pretty(text: pd.Series) -> pd.Series:
@@ -53,7 +48,7 @@ def pretty(text: Column | str) -> Column:
 
 
 def classify(parses: DataFrame, parse: str = "parse_str") -> DataFrame:
-    """parses with feng_algo_1 and feng_algo_2: each shape of a tree is decoded once for each worker."""
+    """parses with feng_algo_1 and feng_algo_2, from a forest in each task, where equal subtrees are looked at once."""
 
     def types(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from _types(batches)
@@ -96,67 +91,62 @@ def node_motifs(nodes: str = "nodes", most: int = 4, least: int = 2, min_termina
             x -> size(regexp_extract_all(x.pattern, r'\\([A-Z$][A-Z0-9$-]*\\)', 0)) >= {min_terminals})""")
 
 
-def motifs(parses: DataFrame, parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, wanted: frozenset[str] | None = None) -> DataFrame:
+def motifs(parses: DataFrame, parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, wanted: frozenset[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """A row for each motif of each tree: the row's other columns, pattern, words, place (order within the tree).
-    wanted: only these patterns leave the worker. Each shape is walked once; its motifs' words are cut from the rows."""
+    wanted: only these patterns leave the worker, and subtrees without any are stepped over. A task's forest of different
+    subtrees takes some `limit` bytes."""
     keep = [c for c in parses.columns if c not in ("pattern", "words", "place")]
 
     def run(batches):
-        shapes: dict[str, list[tuple]] = {}
+        forest = Forest(most, least, min_terminals, wanted)
         for batch in batches:
             rows, found = [], []
             for k, text in enumerate(batch.column(parse).to_pylist()):
-                if text is None:
-                    continue
-                shape = _WORD.sub(" _", text)
-                own = shapes.get(shape)
-                if own is None:
-                    if len(shapes) >= SHAPES:
-                        shapes.clear()
-                    own = shapes[shape] = [(i, *x) for i, x in enumerate(trees.motifs(shape, most, least, min_terminals)) if wanted is None or x[0] in wanted]
-                if own:
-                    words = _WORD.findall(text)
+                root = forest.root(text) if text is not None else None
+                if root is not None and forest.hit[root]:
+                    own = list(forest.hits(root))
+                    said = words(text)
                     rows += [k] * len(own)
-                    found += [(motif, " ".join(words[a:b]), i) for i, motif, a, b in own]
+                    found += [(motif, " ".join(said[a:b]), i) for i, motif, a, b in own]
+                if forest.size > limit:
+                    forest = Forest(most, least, min_terminals, wanted)
             at = pa.array(rows, pa.int32())
-            pattern, words, place = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array(pattern, pa.string()), pa.array(words, pa.string()), pa.array(place, pa.int32())], names=[*keep, "pattern", "words", "place"])
+            pattern, said, place = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array(pattern, pa.string()), pa.array(said, pa.string()), pa.array(place, pa.int32())], names=[*keep, "pattern", "words", "place"])
 
     return parses.mapInArrow(run, T.StructType([*parses.select(keep).schema.fields, *T.StructType.fromDDL("pattern string, words string, place int").fields]))
 
 
-def partial_counts(parses: DataFrame, keys: list[str], parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, flush: int = SHAPES) -> DataFrame:
-    """keys, pattern, cnt: summed within each task before anything is shuffled; a task holds at most about `flush` sums."""
+def partial_counts(parses: DataFrame, keys: list[str], parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, limit: int = LIMIT, flush: int = SUMS) -> DataFrame:
+    """keys, pattern, cnt: summed within each task before anything is shuffled. A task only notes how often it has seen each
+    tree under each key; when its forest reaches `limit` bytes or the notes `flush` entries, the numbers are carried down
+    the forest, and it hands on the sums and starts anew."""
 
     def run(batches):
-        sums: dict[tuple, Counter] = {}
-        shapes: dict[str, list[str]] = {}
+        forest, seen = Forest(most, least, min_terminals), {}
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in keys]
             for *key, text in zip(*columns, batch.column(parse).to_pylist(), strict=True):
-                if text is None:
-                    continue
-                shape = _WORD.sub("", text)  # words don't matter, so equal shapes are walked once
-                found = shapes.get(shape)
-                if found is None:
-                    if len(shapes) >= flush:
-                        shapes.clear()
-                    found = shapes[shape] = [m for m, _, _ in trees.motifs(shape, most, least, min_terminals)]
-                own = sums.get(tuple(key))
-                if own is None:
-                    own = sums[tuple(key)] = Counter()
-                own.update(found)
-            if sum(map(len, sums.values())) > flush:
-                yield from _rows(sums)
-                sums = {}
-        yield from _rows(sums)
-
-    def _rows(sums):
-        for key, own in sums.items():
+                root = forest.root(text) if text is not None else None
+                if root is not None:
+                    own = seen.get(tuple(key))
+                    if own is None:
+                        own = seen[tuple(key)] = Counter()
+                    own[root] += 1
+                if forest.size > limit:
+                    yield from _rows(forest, seen)
+                    forest, seen = Forest(most, least, min_terminals), {}
+            if sum(map(len, seen.values())) > flush:
+                yield from _rows(forest, seen)
+                seen = {}
+        yield from _rows(forest, seen)
+
+    def _rows(forest, seen):
+        for key, roots in seen.items():
+            own = forest.sums(roots)
             columns = [pa.array([k] * len(own), t) for k, t in zip(key, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=[*keys, "pattern", "cnt"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([forest.patterns[m] for m in own], pa.string()), pa.array(list(own.values()), pa.int64())], names=[*keys, "pattern", "cnt"])
 
     kinds = [{"int": pa.int32(), "bigint": pa.int64()}.get(dict(parses.dtypes)[k], pa.string()) for k in keys]
     schema = T.StructType([*parses.select(*keys).schema.fields, *T.StructType.fromDDL("pattern string, cnt long").fields])
     return parses.select(*keys, parse).mapInArrow(run, schema)
-

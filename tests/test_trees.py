@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import trees as T
+from quillon.functions.forest import Forest
 from quillon.operators import trees
 
 TREES = [
@@ -98,6 +99,51 @@ def test_random_trees_against_the_recursive_definition(spark):
     assert counted == total
 
 
+def grown_to(rng, n):
+    """A tree of n words, as sentences have: few labels, so that small subtrees repeat and whole trees don't."""
+    if n == 1:
+        return f"({rng.choice(['NN', 'DT', 'VB', 'IN'])} w{rng.randrange(1000)})"
+    parts = min(n, rng.choice([2, 2, 2, 3]))
+    cuts = [0, *sorted(rng.sample(range(1, n), parts - 1)), n]
+    return f"({rng.choice(['S', 'NP', 'VP', 'PP'])} {' '.join(grown_to(rng, b - a) for a, b in zip(cuts, cuts[1:], strict=False))})"
+
+
+def test_forest_counts_long_trees_once_for_each_different_subtree(spark):
+    rng = random.Random(11)
+    texts = [grown_to(rng, rng.randrange(20, 61)) for _ in range(3000)]
+    forest, seen, want = Forest(), Counter(), Counter()
+    for t in texts:
+        seen[forest.root(t)] += 1
+        want.update(m for m, _ in all_motifs(*T.decode(t)))
+    assert len(seen) > 2900  # whole trees hardly repeat
+    assert {forest.patterns[m]: n for m, n in forest.sums(seen).items()} == want
+    assert forest.seen == sum(t.count("(") for t in texts)
+    assert len(forest.nodes) * 3 < forest.seen  # patterns are put together for less than a third of the nodes
+    df = spark.createDataFrame([(k % 3, t) for k, t in enumerate(texts)], "k int, parse_str string").repartition(2)
+    for limits in ({}, {"limit": 2_000_000}, {"flush": 50}):  # however often a task starts anew
+        counted = trees.partial_counts(df, ["k"], **limits).groupBy("pattern").agg(F.sum("cnt").alias("n"))
+        assert {r.pattern: r.n for r in counted.collect()} == want
+
+
+def test_wanted_motifs_keep_their_places(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(k, grown_to(rng, 30)) for k in range(60)], "k int, parse_str string")
+    every = trees.motifs(df).collect()
+    few = frozenset(sorted({r.pattern for r in every})[::9])
+    assert sorted(r for r in every if r.pattern in few) == sorted(trees.motifs(df, wanted=few, limit=100_000).collect())
+
+
+def test_trees_of_ten_thousand_levels(spark):
+    deep = "(S " * 10_000 + "(SBAR (NN a) (NN b))" + ")" * 10_000
+    assert T.sentence_types(deep) == ("COMPLEX-COMPOUND", "PERIODIC")
+    assert len(T.nodes(deep)) == 10_005
+    assert [m for m, _, _ in T.motifs(deep)].count("(SBAR (NN) (NN))") == 3
+    df = spark.createDataFrame([(1, deep)], "k int, parse_str string")
+    assert trees.classify(df).first().feng_algo_1 == "COMPLEX-COMPOUND"
+    assert trees.partial_counts(df, ["k"]).where("pattern = '(SBAR (NN) (NN))'").first().cnt == 3
+    assert df.select(F.size(trees.parse_tree("parse_str")).alias("n")).first().n == 10_005
+
+
 def test_pretty():
     assert T.pretty("(S (NP x))") == "S\n  NP\n    x"
     assert T.pretty("(") == ""
