@@ -119,22 +119,28 @@ class Forest:
             self.size += 170 + len(said)
         return found
 
-    def sums(self, roots: Counter) -> Counter:
-        """How often each pattern (by number) is in trees that were seen so often."""
-        times, order, out = dict(roots), [-r for r in roots], Counter()
+    def times(self, roots: Counter) -> Iterator[tuple[int, int]]:
+        """(node, how often it is in trees that were seen so often), parents before children."""
+        times, order = dict(roots), [-r for r in roots]
         heapq.heapify(order)
         while order:
             k = -heapq.heappop(order)
             n = times.pop(k)
-            for m in self.own[k]:
-                out[m] += n
+            yield k, n
             for c in self.kids[k]:
-                if c != WORD and self.emitted[c]:
+                if c != WORD:
                     if c in times:
                         times[c] += n
                     else:
                         times[c] = n
                         heapq.heappush(order, -c)
+
+    def sums(self, roots: Counter) -> Counter:
+        """How often each pattern (by number) is in trees that were seen so often."""
+        out = Counter()
+        for k, n in self.times(roots):
+            for m in self.own[k]:
+                out[m] += n
         return out
 
     def hits(self, root: int) -> Iterator[tuple[int, str, int, int]]:

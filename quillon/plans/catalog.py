@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon import schemas
 from quillon.functions import text as X
-from quillon.operators import dependency, motifs, parse, repair, stats, trees
+from quillon.functions.chart import Grammar
+from quillon.operators import dependency, grammar, motifs, parse, repair, stats, trees
 from quillon.plans import report
 
 QUERIES: dict = {}
@@ -448,3 +449,58 @@ def x12_lookup_with_default(spark, sf_dir):
 def u2_intersection(spark, sf_dir):
     own = counts(spark, sf_dir).where("cnt >= 15")
     return own.where("source = 'gpt'").select("domain", "pattern").intersect(own.where("source = 'claude'").select("domain", "pattern"))
+
+
+@query(f"""WITH {MOTIFS}, kids AS (SELECT x.sid, x.pos, n.label AS lhs, string_agg(c.label, ' ' ORDER BY c.pos) AS rhs FROM ends x JOIN nodes n USING (sid, pos) JOIN nodes c ON c.sid = x.sid AND c.pos > x.pos AND c.pos < x.stop AND c.depth = x.depth + 1 GROUP BY ALL)
+SELECT lhs, rhs, count(*) AS n FROM kids GROUP BY ALL""")
+def e2_p1_rule_counts(spark, sf_dir):
+    """The rules of the trees, as a treebank has them."""
+    return grammar.count_rules(parses(spark, sf_dir))
+
+
+#: A small grammar for checking sums over all derivations: rules of two parts, and tags with the shares of what they can be.
+SMALL = [("S", "N", "S", 0.25), ("S", "S", "S", 0.15), ("S", "N", "V", 0.2), ("S", "V", "N", 0.15), ("N", "N", "N", 0.3), ("V", "V", "N", 0.2), ("V", "V", "S", 0.1)]
+SMALL_TAGS = {"S": (0.25, "DT IN CC PRP WDT VBZ CD RB VBD JJ NNP NNS NN . : , -LRB- -RRB-".split()), "N": (0.7, "DT PRP CD JJ NNP NNS NN".split()), "V": (0.7, "IN CC WDT VBZ RB VBD".split())}
+LEXICON = [(a, t, p / len(tags)) for a, (p, tags) in SMALL_TAGS.items() for t in tags]
+BLOCK = 8
+
+
+def inside_sql() -> str:
+    """Inside sums and best products of blocks of BLOCK tags, length by length."""
+    values = lambda rows: ", ".join("(" + ", ".join(repr(x) + "::DOUBLE" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
+    sizes = [f"s1 AS MATERIALIZED (SELECT b.sid, b.block, b.i, 1 AS size, l.a, l.p AS total, l.p AS most FROM blocks b JOIN lexicon l USING (tag))"]
+    for k in range(2, BLOCK + 1):
+        below = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(1, k))
+        sizes.append(f"s{k} AS MATERIALIZED (SELECT l.sid, l.block, l.i, {k} AS size, g.a, sum(l.total * r.total * g.p) AS total, max(l.most * r.most * g.p) AS most FROM ({below}) l JOIN ({below}) r ON r.sid = l.sid AND r.block = l.block AND r.i = l.i + l.size AND l.size + r.size = {k} JOIN rules g ON g.b = l.a AND g.c = r.a GROUP BY ALL)")
+    whole = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, BLOCK + 1))
+    return f"""WITH {PARSES},
+rules AS (SELECT * FROM (VALUES {values(SMALL)}) v(a, b, c, p)), lexicon AS (SELECT * FROM (VALUES {values(LEXICON)}) v(a, tag, p)),
+leaves AS (SELECT sid, unnest(regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 1)) AS tag, unnest(range(len(regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 1)))) AS k FROM parses),
+blocks AS MATERIALIZED (SELECT sid, k // {BLOCK} AS block, k % {BLOCK} AS i, tag FROM leaves),
+{', '.join(sizes)},
+n AS (SELECT sid, block, count(*) AS size FROM blocks GROUP BY ALL)
+SELECT doc_id, sent_idx, CAST(block AS INT) AS block, round(ln(total), 6) AS inside, round(ln(most), 6) AS best FROM ({whole}) JOIN n USING (sid, block, size) JOIN parses USING (sid) WHERE a = 'S' AND i = 0"""
+
+
+@query(inside_sql())
+def e2_inside_scores(spark, sf_dir):
+    """Log probability of every block of up to BLOCK tags, over all derivations and of the best one."""
+    g = Grammar([*SMALL, *((a, t, None, p) for a, t, p in LEXICON)])
+    tags = grammar.leaf_tags(F.col("parse_str"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(tags) - 1) / BLOCK).cast("int")), lambda k: F.slice(tags, k * BLOCK + 1, F.lit(BLOCK)))
+    blocks = parses(spark, sf_dir).where(F.size(tags) > 0).select("doc_id", "sent_idx", F.posexplode(cut).alias("block", "tags"))
+    return grammar.scores(blocks, g).select("doc_id", "sent_idx", "block", F.round("inside", 6).alias("inside"), F.round("best", 6).alias("best"))
+
+
+@query(f"""WITH {PARSES}, leaves AS (SELECT doc_id, sent_idx, regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 1) AS t, regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 2) AS w FROM parses)
+SELECT doc_id, sent_idx, CASE WHEN len(t) = 0 THEN 'empty' WHEN len(t) > {grammar.MOST_WORDS} THEN 'too_long' ELSE 'ok' END AS status, array_to_string(t, ' ') AS tags, array_to_string(w, ' ') AS words FROM leaves""")
+def e2_p1_chart_parse(spark, sf_dir):
+    """Sentences parsed anew by the grammar of their own treebank, which derives each of them; tags and words are those of
+    the new tree."""
+    rows = parses(spark, sf_dir)
+    g = grammar.estimated(grammar.binarised(grammar.count_rules(rows)))
+    tree = F.col("parse_str")
+    tagged = rows.select("doc_id", "sent_idx", grammar.leaf_words(tree).alias("words"), grammar.leaf_tags(tree).alias("tags"))
+    found = grammar.parse(tagged, g)
+    of = lambda f, c: F.array_join(F.when(tree.isNull(), F.col(c)).otherwise(f(tree)), " ").alias(c)
+    return found.select("doc_id", "sent_idx", "status", of(grammar.leaf_tags, "tags"), of(grammar.leaf_words, "words"))
