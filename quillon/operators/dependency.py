@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon import schemas
+from quillon.functions import arcs
+
+ROOT = "ROOT"
+#: Distances between head and dependent from here on count alike.
+FAR = 4
+#: Sentences of more words get the status too_long; time grows with the cube.
+MOST_WORDS = 120
 
 
 def to_lines(tokens: Column) -> Column:
     """Tokens (schemas.TOKENS; i and head from 1, head = i for the root) -> lines `i, text, pos, head, dep` with tabs.
     White-space tokens count in the numbering but have no line. Null if a head lies outside the sentence."""
-    inside = F.forall(tokens, lambda t: t["is_space"] | ((t["head"] >= 1) & (t["head"] <= F.size(tokens))))
-    line = lambda t: F.concat_ws("\t", t["i"], t["text"], t["pos"], F.when(t["head"] == t["i"], 0).otherwise(t["head"]), t["dep"])
-    return F.when(inside, F.array_join(F.transform(F.filter(tokens, lambda t: ~t["is_space"]), line), "\n"))
+
+    def of(ts: Column) -> Column:
+        inside = F.forall(ts, lambda t: t["is_space"] | ((t["head"] >= 1) & (t["head"] <= F.size(ts))))
+        line = lambda t: F.concat_ws("\t", t["i"], t["text"], t["pos"], F.when(t["head"] == t["i"], 0).otherwise(t["head"]), t["dep"])
+        return F.when(inside, F.array_join(F.transform(F.filter(ts, lambda t: ~t["is_space"]), line), "\n"))
+
+    # bound as a lambda's variable: an expression inside a lambda would be made anew for each token
+    return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
 
 def from_lines(lines: Column) -> Column:
@@ -84,3 +101,76 @@ def parse_documents(corpus: DataFrame, parser: Callable[[list[str]], Iterable],
     seen = Observation("dependency")
     counts = (F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "sentence_failed", "document_failed"))
     return parse_status(corpus, parser, batch).observe(seen, *counts).where("status = 'ok'").drop("status"), seen
+
+
+def count_arcs(parses: DataFrame, lines: str = "parse_str") -> DataFrame:
+    """head_pos (ROOT for the root), dep_pos, side (-1: the dependent comes first, 1: behind, 0: root), distance (FAR and
+    beyond alike), n: the arcs of parsed lines."""
+    def of(t: Column) -> Column:
+        near = lambda x: F.get(t, x["head"] - 1)  # noqa: E731  where it stands if no token is missing
+        found = lambda x: F.when(near(x)["idx"] == x["head"], near(x)["pos"]).otherwise(F.get(F.filter(t, lambda y: y["idx"] == x["head"]), F.lit(0))["pos"])
+        gap = lambda x: x["idx"] - x["head"]
+        root = lambda x: F.struct(F.lit(ROOT).alias("head_pos"), x["pos"].alias("dep_pos"), F.lit(0).alias("side"), F.lit(0).alias("distance"))
+        other = lambda x: F.struct(found(x).alias("head_pos"), x["pos"].alias("dep_pos"), F.signum(gap(x)).cast("int").alias("side"), F.least(F.abs(gap(x)), F.lit(FAR)).alias("distance"))
+        return F.transform(t, lambda x: F.when(x["head"] == 0, root(x)).otherwise(other(x)))
+
+    # the tokens are bound as a lambda's variable, so that they are read once for a sentence and not once for each token
+    arc = parses.select(F.explode(F.flatten(F.transform(F.array(from_lines(F.col(lines))), of))).alias("a")).select("a.*")
+    return arc.groupBy("head_pos", "dep_pos", "side", "distance").agg(F.count("*").alias("n"))
+
+
+def arc_scores(counts: DataFrame, smoothing: float = 0.5) -> dict[tuple[str, str, int, int], float]:
+    """Log share of each arc among those of its dependent's tag, smoothed; the key (None, dep_pos, 0, 0) has the score of arcs
+    that weren't seen. count_arcs() has a row for each two tags, side and distance at most."""
+    rows = counts.collect()
+    total, kinds = Counter(), Counter()
+    for r in rows:
+        total[r["dep_pos"]] += r["n"]
+        kinds[r["dep_pos"]] += 1
+    share = lambda n, d: math.log((n + smoothing) / (total[d] + smoothing * (kinds[d] + 1)))
+    return {(r["head_pos"], r["dep_pos"], r["side"], r["distance"]): share(r["n"], r["dep_pos"]) for r in rows} | {(None, d, 0, 0): share(0, d) for d in total}
+
+
+def scored(tags: tuple[str, ...], scores: dict, unseen: float = -20.0) -> np.ndarray:
+    """The arc scores [head, dependent] of a sentence."""
+    n = len(tags)
+    out = np.empty((n + 1, n + 1))
+    for d, tag in enumerate(tags, 1):
+        new = scores.get((None, tag, 0, 0), unseen)
+        out[0, d] = scores.get((ROOT, tag, 0, 0), new)
+        for h, head in enumerate(tags, 1):
+            out[h, d] = scores.get((head, tag, 1 if d > h else -1, min(abs(d - h), FAR)), new)
+    out[:, 0] = 0
+    return out
+
+
+def parse_arcs(sentences: DataFrame, scores: dict, words: str = "words", tags: str = "tags", projective: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
+    """sentences with parse_str (lines as to_lines() makes them), score and status (ok, empty, too_long): the tree of the
+    highest sum of arc scores, with one root. Sentences of equal tags are parsed once in each batch, those of equal length
+    together."""
+    keep = [c for c in sentences.columns if c not in ("parse_str", "score", "status", "_heads")]
+
+    def run(batches):
+        for batch in batches:
+            rows = [tuple(t) if t is not None else () for t in batch.column(tags).to_pylist()]
+            found, sizes = {}, {}
+            for s in dict.fromkeys(rows):
+                if 0 < len(s) <= most_words:
+                    sizes.setdefault(len(s), []).append(s)
+            for n, some in sizes.items():
+                step = max(1, (16 << 20) // (8 * (n + 1) ** 2 * 8))
+                for k in range(0, len(some), step):
+                    each = [scored(s, scores) for s in some[k : k + step]]
+                    if projective:
+                        heads, total = arcs.projective(np.stack(each))
+                    else:
+                        heads, total = zip(*map(arcs.spanning, each), strict=True)
+                    found |= {s: (h.tolist(), float(x)) for s, h, x in zip(some[k : k + step], heads, total, strict=True)}
+            out = [found.get(s, (None, None)) for s in rows]
+            status = ["ok" if s in found else "too_long" if s else "empty" for s in rows]
+            columns = [pa.array([h for h, _ in out], pa.list_(pa.int32())), pa.array([x for _, x in out], pa.float64()), pa.array(status, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "_heads", "score", "status"])
+
+    parsed = sentences.mapInArrow(run, T.StructType([*sentences.select(keep).schema.fields, *T.StructType.fromDDL("_heads array<int>, score double, status string").fields]))
+    token = lambda w, k: F.struct((k + 1).alias("i"), w.alias("text"), F.get(F.col(tags), k).alias("pos"), F.when(F.get("_heads", k) == 0, k + 1).otherwise(F.get("_heads", k)).alias("head"), F.when(F.get("_heads", k) == 0, ROOT).otherwise("dep").alias("dep"), F.lit(False).alias("is_space"))
+    return parsed.withColumn("parse_str", F.when(F.col("status") == "ok", to_lines(F.transform(words, token)))).select(*keep, "parse_str", "score", "status")

@@ -504,3 +504,74 @@ def e2_p1_chart_parse(spark, sf_dir):
     found = grammar.parse(tagged, g)
     of = lambda f, c: F.array_join(F.when(tree.isNull(), F.col(c)).otherwise(f(tree)), " ").alias(c)
     return found.select("doc_id", "sent_idx", "status", of(grammar.leaf_tags, "tags"), of(grammar.leaf_words, "words"))
+
+
+@query(f"""WITH {SENTS}, w AS (SELECT doc_id, sent_idx, unnest(list_filter(string_split(sent_text, ' '), lambda w: w <> '')) AS w, unnest(range(len(list_filter(string_split(sent_text, ' '), lambda w: w <> '')))) AS k FROM sents),
+p AS (SELECT *, CASE WHEN regexp_matches(w, '^[0-9]') THEN 'NUM' ELSE 'X' END AS pos FROM w), a AS (SELECT pos, k, lag(pos) OVER (PARTITION BY doc_id, sent_idx ORDER BY k) AS head FROM p)
+SELECT coalesce(head, 'ROOT') AS head_pos, pos AS dep_pos, CASE WHEN k = 0 THEN 0 ELSE 1 END AS side, CASE WHEN k = 0 THEN 0 ELSE 1 END AS distance, count(*) AS n FROM a GROUP BY ALL""")
+def e3_arc_counts(spark, sf_dir):
+    return dependency.count_arcs(dependency.parse_dependency(sentences(spark, sf_dir)))
+
+
+#: Arc scores by the kind of head and dependent (Verb, Noun, Preposition, Other), for checking the parser: whole
+#: numbers, so that sums are exact. A dependent before its head gains BEFORE, each word of distance up to FAR costs one.
+KIND = {"V": "VBZ VBD", "N": "NN NNS NNP PRP CD", "P": "IN WDT", "O": "DT JJ CC RB . : , -LRB- -RRB-"}
+AFFINITY = {"VV": 2, "VN": 9, "VP": 6, "VO": 5, "NV": 3, "NN": 4, "NP": 7, "NO": 8, "PV": 1, "PN": 8, "PP": 0, "PO": 2, "OV": 0, "ON": 1, "OP": 0, "OO": 1}
+FIRST, BEFORE = {"V": 9, "N": 5, "P": 2, "O": 0}, 2
+
+
+def small_arcs() -> dict:
+    kind = {t: k for k, tags in KIND.items() for t in tags.split()}
+    out = {(h, d, side, far): float(AFFINITY[kind[h] + kind[d]] + BEFORE * (side < 0) - far) for h in kind for d in kind for side in (-1, 1) for far in range(1, dependency.FAR + 1)}
+    return out | {(dependency.ROOT, d, 0, 0): float(FIRST[k]) for d, k in kind.items()}
+
+
+def eisner_sql() -> str:
+    """Best projective trees of blocks of BLOCK tags: whole (w) and just linked (p) spans, size by size, side 0 with the head
+    at the left end, 1 at the right."""
+    of = ", ".join(f"('{t}', '{k}', {FIRST[k]})" for k, tags in KIND.items() for t in tags.split())
+    affinity = ", ".join(f"('{k[0]}', '{k[1]}', {x})" for k, x in AFFINITY.items())
+    steps = ["w0 AS MATERIALIZED (SELECT sid, block, i, 0 AS size, side, 0 AS x FROM tags, (VALUES (0), (1)) v(side))"]
+    for k in range(1, BLOCK):
+        w = "(" + " UNION ALL ".join(f"SELECT * FROM w{j}" for j in range(k)) + ")"
+        p = "(" + " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, k + 1)) + ")"
+        same = "r.sid = l.sid AND r.block = l.block"
+        steps.append(f"p{k} AS MATERIALIZED (SELECT m.sid, m.block, m.i, {k} AS size, a.side, m.x + a.x AS x FROM (SELECT l.sid, l.block, l.i, max(l.x + r.x) AS x FROM {w} l JOIN {w} r ON {same} AND l.side = 0 AND r.side = 1 AND r.i = l.i + l.size + 1 AND l.size + r.size = {k - 1} GROUP BY ALL) m JOIN arcs a ON a.sid = m.sid AND a.block = m.block AND a.i = m.i AND a.size = {k})")
+        steps.append(f"""w{k} AS MATERIALIZED (SELECT sid, block, i, {k} AS size, side, max(x) AS x FROM (
+            SELECT l.sid, l.block, l.i, 0 AS side, l.x + r.x AS x FROM {p} l JOIN {w} r ON {same} AND l.side = 0 AND r.side = 0 AND r.i = l.i + l.size AND l.size + r.size = {k}
+            UNION ALL SELECT l.sid, l.block, l.i, 1, l.x + r.x FROM {w} l JOIN {p} r ON {same} AND l.side = 1 AND r.side = 1 AND r.i = l.i + l.size AND l.size + r.size = {k}) GROUP BY ALL)""")
+    whole = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(BLOCK))
+    return f"""WITH {PARSES},
+kinds AS (SELECT * FROM (VALUES {of}) v(tag, kind, first)), affinity AS (SELECT * FROM (VALUES {affinity}) v(head, dep, x)),
+leaves AS (SELECT sid, unnest(regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 1)) AS tag, unnest(range(len(regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 1)))) AS k FROM parses),
+tags AS MATERIALIZED (SELECT sid, k // {BLOCK} AS block, k % {BLOCK} AS i, kind, first FROM leaves JOIN kinds USING (tag)),
+arcs AS MATERIALIZED (
+    SELECT l.sid, l.block, l.i, r.i - l.i AS size, v.side, f.x + CASE WHEN v.side = 1 THEN {BEFORE} ELSE 0 END - least({dependency.FAR}, r.i - l.i) AS x
+    FROM tags l JOIN tags r ON r.sid = l.sid AND r.block = l.block AND r.i > l.i JOIN (VALUES (0), (1)) v(side) ON true
+    JOIN affinity f ON f.head = CASE WHEN v.side = 0 THEN l.kind ELSE r.kind END AND f.dep = CASE WHEN v.side = 0 THEN r.kind ELSE l.kind END),
+{', '.join(steps)},
+every AS MATERIALIZED ({whole}), n AS (SELECT sid, block, count(*) AS size FROM tags GROUP BY ALL)
+SELECT doc_id, sent_idx, CAST(t.block AS INT) AS block, CAST(max(l.x + r.x + t.first) AS DOUBLE) AS score
+FROM tags t JOIN n ON n.sid = t.sid AND n.block = t.block JOIN every l ON l.sid = t.sid AND l.block = t.block AND l.side = 1 AND l.i = 0 AND l.size = t.i
+JOIN every r ON r.sid = t.sid AND r.block = t.block AND r.side = 0 AND r.i = t.i AND r.size = n.size - 1 - t.i JOIN parses ON parses.sid = t.sid GROUP BY ALL"""
+
+
+@query(eisner_sql())
+def e3_projective_scores(spark, sf_dir):
+    """The score of the best projective tree of every block of up to BLOCK tags."""
+    tags = grammar.leaf_tags(F.col("parse_str"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(tags) - 1) / BLOCK).cast("int")), lambda k: F.slice(tags, k * BLOCK + 1, F.lit(BLOCK)))
+    blocks = parses(spark, sf_dir).where(F.size(tags) > 0).select("doc_id", "sent_idx", F.posexplode(cut).alias("block", "tags"))
+    return dependency.parse_arcs(blocks, small_arcs(), "tags", "tags").select("doc_id", "sent_idx", "block", "score")
+
+
+@query(f"""WITH {PARSES}, leaves AS (SELECT doc_id, sent_idx, regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 1) AS t, regexp_extract_all(parse_str, '\\(([^\\s()]+)\\s+([^\\s()]+)\\)', 2) AS w FROM parses)
+SELECT doc_id, sent_idx, CASE WHEN len(t) = 0 THEN 'empty' WHEN len(t) > {dependency.MOST_WORDS} THEN 'too_long' ELSE 'ok' END AS status,
+       CASE WHEN len(t) BETWEEN 1 AND {dependency.MOST_WORDS} THEN array_to_string(list_transform(range(1, len(t) + 1), lambda k: k || chr(9) || w[k] || chr(9) || t[k]), chr(10)) END AS tokens, CASE WHEN len(t) BETWEEN 1 AND {dependency.MOST_WORDS} THEN 1 END AS n_roots FROM leaves""")
+def e3_p2_arc_parse(spark, sf_dir):
+    """Whole sentences: the lines' tokens, and how many hang on the root."""
+    tree = F.col("parse_str")
+    tagged = parses(spark, sf_dir).select("doc_id", "sent_idx", grammar.leaf_words(tree).alias("words"), grammar.leaf_tags(tree).alias("tags"))
+    found = dependency.parse_arcs(tagged, small_arcs()).withColumn("t", dependency.from_lines(tree))
+    tokens = F.array_join(F.transform("t", lambda x: F.concat_ws("\t", x["idx"], x["text"], x["pos"])), "\n")
+    return found.select("doc_id", "sent_idx", "status", tokens.alias("tokens"), F.when(F.col("t").isNotNull(), F.size(F.filter("t", lambda x: x["head"] == 0))).alias("n_roots"))
