@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon import schemas
 from quillon.functions import text as X
+from quillon.operators import segment
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
 TOKEN = r"[^\s(),.;:!?]+|[.;:!?()]"
@@ -51,10 +52,13 @@ def bracket_sql(sentence: str, d: dict = SPARK) -> str:
     return f"CASE WHEN {d['size'].format(clauses)} = 0 THEN '(FRAG)' ELSE '(S ' || {whole} || ')' END"
 
 
-def segments(text: Column, segmenter: Callable[[str], list[str]] | None = None) -> Column:
-    """The sentences of a text, by the rule or by a segmenter, which gets a text and lives once in each worker."""
+def segments(text: Column, segmenter: Callable[[str], list[str]] | tuple | None = None) -> Column:
+    """The sentences of a text, by the rule, by a model of segment.learn(), or by a segmenter, which gets a text and lives
+    once in each worker."""
     if segmenter is None:
         return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    if isinstance(segmenter, tuple):
+        return segment.segments(text, segmenter)
 
     def cut(texts):
         return texts.map(lambda t: None if t is None else list(segmenter(t)))
@@ -62,7 +66,7 @@ def segments(text: Column, segmenter: Callable[[str], list[str]] | None = None)
     return F.pandas_udf(cut, "array<string>")(text)
 
 
-def sentences(corpus: DataFrame, text: str = "text", segmenter: Callable[[str], list[str]] | None = None) -> DataFrame:
+def sentences(corpus: DataFrame, text: str = "text", segmenter: Callable[[str], list[str]] | tuple | None = None) -> DataFrame:
     """corpus without its text, with sent_idx (from 0) and sent_text (stripped); a null text has no sentences."""
     cols = [c for c in corpus.columns if c != text]
     rows = corpus.select(*cols, F.posexplode(segments(F.col(text), segmenter)).alias("sent_idx", "sent_text"))
@@ -113,7 +117,7 @@ def observed(corpus: DataFrame, parser: Callable[[str], list[tuple[str, str]]])
     return remove_empty(parse_status(corpus, parser).observe(seen, *counts).where("status = 'ok'").drop("status")), seen
 
 
-def with_metrics(corpus: DataFrame, segmenter: Callable[[str], list[str]] | None = None) -> DataFrame:
+def with_metrics(corpus: DataFrame, segmenter: Callable[[str], list[str]] | tuple | None = None) -> DataFrame:
     """corpus with word_count, sent_count, mean_sent_length and sent_length_var (null for one sentence), inside the row."""
     lengths = F.transform(F.filter(segments(F.col("text"), segmenter), lambda s: X.strip(s) != ""), lambda s: X.word_count(s).cast("double"))
     out = corpus.withColumn("_l", lengths).withColumn("sent_count", F.size("_l").cast("long"))

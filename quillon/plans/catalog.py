@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon import schemas
 from quillon.functions import text as X
 from quillon.functions.chart import Grammar
-from quillon.operators import dependency, grammar, motifs, parse, repair, stats, trees
+from quillon.operators import dependency, grammar, motifs, parse, repair, segment, stats, trees
 from quillon.plans import report
 
 QUERIES: dict = {}
@@ -575,3 +575,60 @@ def e3_p2_arc_parse(spark, sf_dir):
     found = dependency.parse_arcs(tagged, small_arcs()).withColumn("t", dependency.from_lines(tree))
     tokens = F.array_join(F.transform("t", lambda x: F.concat_ws("\t", x["idx"], x["text"], x["pos"])), "\n")
     return found.select("doc_id", "sent_idx", "status", tokens.alias("tokens"), F.when(F.col("t").isNotNull(), F.size(F.filter("t", lambda x: x["head"] == 0))).alias("n_roots"))
+
+
+_OPEN, _CLOSE, _MARKS = (x.replace("'", "''") for x in (segment.OPENING, segment.CLOSING, segment.MARKS))
+
+
+def core_sql(x: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({x}, '[{segment.SPACE}]+$', ''), '{_CLOSE}', ''))"
+
+
+def type_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({core_sql(x)}, '{_MARKS}', ''), '{_OPEN}', '')"
+
+
+LEARNED = CORPUS + f""",
+lines AS (SELECT doc_id, l, unnest(regexp_extract_all(line, '{segment.PIECE}')) AS x, unnest(range(len(regexp_extract_all(line, '{segment.PIECE}')))) AS k
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS l FROM corpus)),
+toks AS MATERIALIZED (SELECT *, {core_sql('x')} AS core, {type_sql('x')} AS type, lead(x) OVER (PARTITION BY doc_id, l ORDER BY k) AS behind FROM lines),
+t AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(core, '\\.\\.$') THEN 'dots' WHEN regexp_matches(core, '\\.$') THEN 'period' WHEN regexp_matches(core, '[!?]$') THEN 'strong' ELSE 'none' END AS ending, {type_sql('behind')} AS next FROM toks),
+known AS (SELECT * FROM t WHERE type <> ''),
+share AS (SELECT count(*) FILTER (ending = 'period') / count(*) AS p, count(*) AS n FROM known),
+counts AS (SELECT type, count(*) FILTER (ending = 'period') AS n_period, count(*) FILTER (ending <> 'period') AS n_other FROM known GROUP BY type),
+ratios AS MATERIALIZED (SELECT type, n_period, n_other, length(replace(type, '.', '')) AS size,
+    -2 * (n_period * ln(p) + n_other * ln(1 - p) - n_period * ln({segment.SURE}::DOUBLE) - n_other * ln(1 - {segment.SURE}::DOUBLE)) * exp(-size::DOUBLE) * (length(type) - size + 1) * pow(size::DOUBLE, -n_other::DOUBLE) AS ratio
+    FROM counts, share WHERE n_period > 0 AND regexp_matches(type, '\\p{{L}}')),
+short AS (SELECT type FROM ratios WHERE ratio >= {segment.LEAST_ABBREVIATION} OR length(type) = 1),
+sure AS (SELECT next FROM known WHERE next <> '' AND (ending = 'strong' OR ending = 'period' AND type NOT IN (SELECT type FROM short))),
+firsts AS (SELECT next AS type, count(*) AS n_first FROM sure GROUP BY ALL),
+ends AS (SELECT sum(n_first)::DOUBLE AS m FROM firsts),
+starts AS MATERIALIZED (SELECT type, n_first, n_all, n, m, n_first::DOUBLE AS a, n_all::DOUBLE AS b FROM firsts JOIN (SELECT type, n_period + n_other AS n_all FROM counts) USING (type), share, ends),
+starter AS MATERIALIZED (SELECT type, n_first, n_all, 2 * ({' + '.join(f'CASE WHEN {k} > 0 THEN ({k}) * ln(({k}) / ({m})) ELSE 0 END' for k, m in (('a', 'm'), ('m - a', 'm'), ('b - a', 'n - m'), ('n - m - b + a', 'n - m')))}
+    - (b * ln(b / n) + CASE WHEN n > b THEN (n - b) * ln((n - b) / n) ELSE 0 END)) AS ratio, n_first * n > n_all * m AS more FROM starts)"""
+
+
+@query(f"WITH {LEARNED} SELECT type, n_period, n_other, CASE WHEN abs(ratio) < 5e-7 THEN 0.0 ELSE round(ratio, 6) END AS ratio FROM ratios")
+def e1_abbreviation_ratios(spark, sf_dir):
+    found = segment.abbreviations(segment.tokens(documents(spark, sf_dir)))
+    return found.select("type", "n_period", "n_other", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"WITH {LEARNED} SELECT type, n_first, n_all, round(ratio, 6) AS ratio FROM starter")
+def e1_starter_ratios(spark, sf_dir):
+    tokens = segment.tokens(documents(spark, sf_dir))
+    found = segment.starters(tokens, segment.abbreviations(tokens).where(segment.is_abbreviation()))
+    return found.select("type", "n_first", "n_all", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH {LEARNED},
+cut AS (SELECT doc_id, l, k, CASE WHEN behind IS NOT NULL AND CASE ending WHEN 'strong' THEN true WHEN 'dots' THEN capital
+    WHEN 'period' THEN CASE WHEN length(type) = 1 AND regexp_matches(type, '\\p{{L}}') OR type IN (SELECT type FROM short WHERE length(type) > 1) THEN capital AND next IN (SELECT type FROM starter WHERE ratio >= {segment.LEAST_STARTER} AND more) WHEN regexp_matches(type, '^[0-9]+$') THEN NOT small ELSE true END
+    ELSE false END THEN x || chr(10) ELSE x END AS x FROM (SELECT *, regexp_matches(regexp_replace(behind, '{_OPEN}', ''), '^\\p{{Lu}}') AS capital, regexp_matches(regexp_replace(behind, '{_OPEN}', ''), '^\\p{{Ll}}') AS small FROM t)),
+joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY l) AS text FROM (SELECT doc_id, l, string_agg(x, '' ORDER BY k) AS line FROM cut GROUP BY ALL) GROUP BY doc_id),
+said AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS s FROM joined)
+SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS sent_idx, unnest(s) AS sent_text FROM said""")
+def e1_a6_learned_sentences(spark, sf_dir):
+    """Sentences by the segmenter learned from all texts."""
+    docs = documents(spark, sf_dir)
+    return parse.sentences(docs, segmenter=segment.learn(docs)).select("doc_id", "sent_idx", "sent_text")
