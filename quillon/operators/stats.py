@@ -1,4 +1,4 @@
-"""Grouped descriptive statistics: describe, proportions, variability, box plots."""
+"""Grouped descriptive statistics: describe, proportions, variability, box plots with outliers."""
 
 from __future__ import annotations
 
@@ -12,43 +12,49 @@ QUARTILES = ("q25", "q50", "q75")
 CUTS = 63
 
 
-def quartiles(df: DataFrame, keys: list[str], value: Column, edges: DataFrame) -> DataFrame:
-    """keys and QUARTILES, exact and interpolated. edges: keys, n (values that aren't null) and cuts, an array of values
-    that cut each key's into stretches of about equal numbers. Values are counted first; then only the stretches that
-    hold a wanted rank are sorted, so no task holds all values of a key."""
-    own = df.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    same = lambda a, b: functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys]), F.lit(True))
-    own = own.alias("o").join(F.broadcast(edges).alias("e") if not keys else edges.alias("e"), same("o", "e")).select("o.*", "e.n", F.expr("size(filter(e.cuts, x -> x < o.v))").alias("bin"))
-    sums = own.groupBy(*keys, "n", "bin").agg(F.sum("c").alias("c"))  # CUTS + 1 rows for each key at most
-    until = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    return functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys), F.lit(True))
+
+
+def counted(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, v, c: how often each value occurs, 0 for null. All statistics are taken from this one exchange, which Spark makes
+    once however often a plan reads it (so nulls are told by c, not v: a filter on v would go below it)."""
+    return df.select(*keys, value.alias("v")).groupBy(*keys, "v").agg(F.count("v").alias("c"))
+
+
+def summed(own: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, mean, min, max and cuts (CUTS values that part the different values about evenly) of counted() rows."""
+    cuts = F.approx_percentile("v", [k / (CUTS + 1) for k in range(1, CUTS + 1)], 1000)
+    n = F.coalesce(F.sum("c"), F.lit(0))
+    return own.groupBy(*keys).agg(n.alias("n"), F.try_divide(F.sum(F.col("v") * F.col("c")), n).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), cuts.alias("cuts"))
+
+
+def quartiles(own: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, std and QUARTILES (exact, interpolated) of counted() and summed() rows. Values are dealt into the stretches
+    between cuts; only the stretches that hold a wanted rank are sorted, so no task holds all values of a key."""
+    placed = own.where("c > 0").alias("o").join(sums.alias("s"), _same("o", "s", keys)).select("o.*", "s.n", "s.mean", F.expr("size(filter(s.cuts, x -> x < o.v))").alias("bin"))
+    square = F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))
+    bins = placed.groupBy(*keys, "n", "bin").agg(F.sum("c").alias("c"), F.sum(square).alias("square"))  # CUTS + 1 rows for each key at most
+    whole = Window.partitionBy(*keys)
+    until = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranks = F.array(*(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), f(F.lit(p) * (F.col("n") - 1)).cast("long").alias("rank")) for i, p in enumerate((0.25, 0.5, 0.75)) for side, f in ((0, F.floor), (1, F.ceil))))
-    sums = sums.withColumn("before", F.coalesce(F.sum("c").over(until), F.lit(0))).withColumn("ranks", F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c"))))
-    wanted = sums.where(F.size("ranks") > 0).select(*keys, "bin", "before", "ranks")
-    some = own.alias("o").join(wanted.alias("w"), same("o", "w") & (F.col("o.bin") == F.col("w.bin"))).select("o.*", "w.before", "w.ranks")
+    bins = bins.withColumns({"before": F.coalesce(F.sum("c").over(until), F.lit(0)), "squares": F.sum("square").over(whole)})
+    bins = bins.withColumn("ranks", F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c"))))
+    wanted = bins.where(F.size("ranks") > 0).select(*keys, "bin", "before", "ranks", "squares")
+    some = placed.alias("o").join(wanted.alias("w"), _same("o", "w", keys) & (F.col("o.bin") == F.col("w.bin"))).select("o.*", "w.before", "w.ranks", "w.squares")
     upto = F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     some = some.withColumn("upto", F.col("before") + upto).withColumn("hit", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("c")))))
     at = lambda i, side: F.max(F.when((F.col("hit.q") == i) & (F.col("hit.side") == side), F.col("v")))
-    found = some.groupBy(*keys, "n").agg(*(at(i, side).alias(f"_{i}{side}") for i in range(3) for side in (0, 1)))
+    found = some.groupBy(*keys, "n").agg(F.max("squares").alias("_s"), *(at(i, side).alias(f"_{i}{side}") for i in range(3) for side in (0, 1)))
     part = lambda p: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
-    return found.select(*keys, *((F.col(f"_{i}0") + (F.col(f"_{i}1") - F.col(f"_{i}0")) * part(p)).alias(QUARTILES[i]) for i, p in enumerate((0.25, 0.5, 0.75))))
-
-
-def _summed(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    cuts = F.approx_percentile(value, [k / (CUTS + 1) for k in range(1, CUTS + 1)], 1000)
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), cuts.alias("cuts"))
-    return out
-
-
-def _with_quartiles(sums: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    same = functools.reduce(lambda x, y: x & y, (F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys), F.lit(True))
-    return sums.alias("s").join(found.alias("f"), same, "left").select("s.*", *QUARTILES)
+    return found.select(*keys, F.sqrt(F.try_divide("_s", F.col("n") - 1)).alias("std"), *((F.col(f"_{i}0") + (F.col(f"_{i}1") - F.col(f"_{i}0")) * part(p)).alias(QUARTILES[i]) for i, p in enumerate((0.25, 0.5, 0.75))))
 
 
 def describe(df: DataFrame, keys: list[str], column: str, digits: int) -> DataFrame:
     """count, mean, std, min, quartiles (exact, interpolated) and max of the non-null values by keys, rounded half-even."""
-    value = F.col(column).cast("double")
-    sums = _summed(df, keys, value)
-    out = _with_quartiles(sums, quartiles(df, keys, value, sums.select(*keys, "n", "cuts")), keys)
+    own = counted(df, keys, F.col(column).cast("double"))
+    sums = summed(own, keys)
+    out = sums.alias("s").join(quartiles(own, sums, keys).alias("f"), _same("s", "f", keys), "left").select("s.*", "f.std", *(f"f.{q}" for q in QUARTILES))
     return out.select(*keys, F.col("n").alias("count"), *(F.bround(c, digits).alias(c) for c in ("mean", "std", "min", *QUARTILES, "max")))
 
 
@@ -74,15 +80,36 @@ def variability(df: DataFrame, keys: list[str], document: list[str], column: str
     return per_document.groupBy(*keys).agg(*(F.bround(F.stddev_samp(v), digits).alias(v) for v in values))
 
 
-def box(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """q25, q50, q75 and the whiskers: the outermost values within 1.5 interquartile ranges."""
-    value = F.col(column).cast("double")
-    q = quartiles(df, keys, value, _summed(df, keys, value).select(*keys, "n", "cuts"))
+def _fenced(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, QUARTILES, v, c, and `outside`: -1 below, 1 above, 0 within 1.5 interquartile ranges of the box."""
+    own = counted(df, keys, F.col(column).cast("double"))
+    q = quartiles(own, summed(own, keys), keys)
+    rows = own.where("c > 0").alias("o").join(q.alias("q"), _same("o", "q", keys)).select("o.*", *(f"q.{x}" for x in QUARTILES))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
-    inside = df.select(*keys, value.alias("v")).join(q, keys).where((F.col("v") >= F.col("q25") - reach) & (F.col("v") <= F.col("q75") + reach))
+    return rows.withColumn("outside", F.when(F.col("v") < F.col("q25") - reach, -1).when(F.col("v") > F.col("q75") + reach, 1).otherwise(0))
+
+
+def box(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """q25, q50, q75 and the whiskers: the outermost values within 1.5 interquartile ranges. Groups without values have no
+    box; null is a group like any other."""
+    inside = _fenced(df, keys, column).where("outside = 0")
     return inside.groupBy(*keys, *QUARTILES).agg(F.min("v").alias("whisker_low"), F.max("v").alias("whisker_high"))
 
 
+def outliers(df: DataFrame, keys: list[str], column: str, axis: tuple[float, float] | None = None) -> DataFrame:
+    """The points beyond the whiskers: keys, value, n (how often), side (-1 below, 1 above), and whether an axis from axis[0]
+    to axis[1] shows it."""
+    found = _fenced(df, keys, column).where("outside <> 0")
+    shown = F.col("v").between(*axis) if axis else F.lit(True)
+    return found.select(*keys, F.col("v").alias("value"), F.col("c").alias("n"), F.col("outside").alias("side"), shown.alias("shown"))
+
+
+def clipped(df: DataFrame, keys: list[str], column: str, axis: tuple[float, float]) -> DataFrame:
+    """keys, n, n_below, n_above: how many values an axis from axis[0] to axis[1] leaves out of a figure."""
+    v = F.col(column).cast("double")
+    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.count_if(v < axis[0]).alias("n_below"), F.count_if(v > axis[1]).alias("n_above"))
+
+
 def box_many(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """box() of several columns in long form, with the column `metric`."""
     return box(_long(df, keys, columns), [*keys, "metric"], "value")

@@ -632,3 +632,20 @@ def e1_a6_learned_sentences(spark, sf_dir):
     """Sentences by the segmenter learned from all texts."""
     docs = documents(spark, sf_dir)
     return parse.sentences(docs, segmenter=segment.learn(docs)).select("doc_id", "sent_idx", "sent_text")
+
+
+FENCED = f"""WITH {CORPUS}, w AS (SELECT domain, source, CAST({WORDS.format('text')} AS DOUBLE) AS v FROM corpus),
+q AS (SELECT domain, source, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM w GROUP BY ALL)"""
+#: The axis of the figures on words.
+AXIS = (0, 1500)
+
+
+@query(f"""{FENCED} SELECT domain, source, v AS value, count(*) AS n, CASE WHEN v < q25 THEN -1 ELSE 1 END AS side, v BETWEEN {AXIS[0]} AND {AXIS[1]} AS shown
+FROM w JOIN q USING (domain, source) WHERE v < q25 - 1.5 * (q75 - q25) OR v > q75 + 1.5 * (q75 - q25) GROUP BY ALL""")
+def k4_outliers(spark, sf_dir):
+    return stats.outliers(x1_word_count(spark, sf_dir), KEYS, "word_count", AXIS)
+
+
+@query(f"{FENCED} SELECT domain, source, count(v) AS n, count(*) FILTER (v < {AXIS[0]}) AS n_below, count(*) FILTER (v > {AXIS[1]}) AS n_above FROM w GROUP BY ALL")
+def k4_clipped(spark, sf_dir):
+    return stats.clipped(x1_word_count(spark, sf_dir), KEYS, "word_count", AXIS)

@@ -177,6 +177,36 @@ def test_quartiles_of_many_values_and_null_keys(spark):
     assert stats.describe(spark.createDataFrame([], "v double"), [], "v", 1).first()["count"] == 0
 
 
+def scans(df):
+    """How often the plan that ran reads a file."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_statistics_read_their_input_once(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.gauss(1e6, 1), float(rng.randrange(9))) for _ in range(3000)]
+    spark.createDataFrame(rows, "g string, v double, w double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for out in (stats.describe(df, ["g"], "v", 9), stats.describe_many(df, ["g"], ["v", "w"], 9), stats.box(df, ["g"], "v"), stats.outliers(df, ["g"], "v")):
+        assert scans(out) == 1
+    import statistics
+
+    for r in stats.describe(df, ["g"], "v", 12).collect():  # deviations of large numbers that differ little
+        own = [v for g, v, _ in rows if g == r.g]
+        assert r["std"] == pytest.approx(statistics.stdev(own), rel=1e-9) and r.mean == pytest.approx(statistics.fmean(own))
+
+
+def test_boxes_with_null_keys_and_outliers(spark):
+    rows = [(g, float(v)) for g in ("a", None) for v in (*range(1, 12), 100, 100, -60)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    boxes = {r.g: tuple(r)[1:] for r in stats.box(df, ["g"], "v").collect()}
+    assert boxes == {g: (3.25, 6.5, 9.75, 1.0, 11.0) for g in ("a", None)}
+    found = sorted(map(tuple, stats.outliers(df, ["g"], "v", (0, 150)).where("g = 'a'").collect()))
+    assert found == [("a", -60.0, 1, -1, False), ("a", 100.0, 2, 1, True)]
+    assert {r.g: tuple(r)[1:] for r in stats.clipped(df, ["g"], "v", (0, 50)).collect()} == {"a": (14, 1, 2), None: (14, 1, 2), "none": (0, 0, 0)}
+
+
 def test_report_job(spark, tmp_path):
     rows = parses(spark, 20).withColumn("doc_id", F.concat("source", "doc_id"))
     both = rows.unionByName(rows.withColumn("domain", F.lit("few")).limit(3))
