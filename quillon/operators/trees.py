@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillon import schemas
 from quillon.functions import trees
@@ -117,6 +118,60 @@ def motifs(parses: DataFrame, parse: str = "parse_str", most: int = 4, least: in
     return parses.mapInArrow(run, T.StructType([*parses.select(keep).schema.fields, *T.StructType.fromDDL("pattern string, words string, place int").fields]))
 
 
+def first_motifs(parses: DataFrame, keys: list[str], order: list[str], n: int, parse: str = "parse_str", sentence: str = "sent_text", most: int = 4, least: int = 2, min_terminals: int = 2, wanted: frozenset[str] | None = None, limit: int = LIMIT, flush: int = SUMS) -> DataFrame:
+    """keys, pattern, words, order and sentence: for each task the first n motifs with different words of each key and
+    pattern. Words that aren't among a task's first n can't be among the first n of all, so what a task hands on merges, and
+    it is at most n rows for each key and pattern (more only if a task has over `flush` of these). `order` may name `place`,
+    the motif's place in its tree; nulls come first, equal places go by words."""
+    at = [c for c in order if c != "place"]
+
+    def run(batches):
+        forest, kept = Forest(most, least, min_terminals, wanted), {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, *at, sentence, parse)]
+            for row in zip(*columns, strict=True):
+                text = row[-1]
+                root = forest.root(text) if text is not None else None
+                if root is None or not forest.hit[root]:
+                    continue
+                key, values = row[: len(keys)], dict(zip(at, row[len(keys) :], strict=False))
+                said = None
+                for place, motif, a, b in forest.hits(root):
+                    values["place"] = place
+                    here = tuple([(values[c] is not None, values[c]) for c in order])
+                    own = kept.setdefault((key, motif), {})
+                    if len(own) == n and here > max(own.values())[0]:
+                        continue
+                    if said is None:
+                        said = words(text)
+                    spoken = " ".join(said[a:b])
+                    new = (here, spoken, row[-2])
+                    if spoken in own:
+                        own[spoken] = min(own[spoken], new)
+                    elif len(own) < n:
+                        own[spoken] = new
+                    elif new < (last := max(own.values())):
+                        del own[last[1]]
+                        own[spoken] = new
+                if forest.size > limit:
+                    forest = Forest(most, least, min_terminals, wanted)
+            if len(kept) > flush:
+                yield from _rows(kept)
+                kept = {}
+        yield from _rows(kept)
+
+    def _rows(kept):
+        rows = [(*key, motif, spoken, *(v for _, v in here), sentence_) for (key, motif), own in kept.items() for here, spoken, sentence_ in own.values()]
+        for k in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 10_000], strict=True), schema, strict=True)], schema=schema)
+
+    kinds = dict(zip(parses.columns, parses.schema.fields, strict=True))
+    fields = [*(kinds[k] for k in keys), T.StructField("pattern", T.StringType()), T.StructField("words", T.StringType()), *(T.StructField("place", T.IntegerType()) if c == "place" else kinds[c] for c in order), kinds[sentence]]
+    fields = [T.StructField(f.name, f.dataType, True) for f in fields]
+    schema = to_arrow_schema(T.StructType(fields))
+    return parses.select(*dict.fromkeys([*keys, *at, sentence, parse])).mapInArrow(run, T.StructType(fields))
+
+
 def partial_counts(parses: DataFrame, keys: list[str], parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, limit: int = LIMIT, flush: int = SUMS) -> DataFrame:
     """keys, pattern, cnt: summed within each task before anything is shuffled. A task only notes how often it has seen each
     tree under each key; when its forest reaches `limit` bytes or the notes `flush` entries, the numbers are carried down

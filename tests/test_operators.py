@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon import schemas
 from quillon.functions import text as X
-from quillon.operators import dependency, motifs, parse, repair, stats
+from quillon.operators import dependency, motifs, parse, repair, stats, trees
 from quillon.plans import catalog, report
 
 TREE = "(S (NP (DT The) (NN cat)) (VP (VBD sat)) (. .))"
@@ -177,6 +177,40 @@ def test_quartiles_of_many_values_and_null_keys(spark):
     assert stats.describe(spark.createDataFrame([], "v double"), [], "v", 1).first()["count"] == 0
 
 
+def test_tasks_hand_on_their_first_witnesses_only(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice(["d", None]), rng.choice(["gpt", "human"]), rng.choice([None, "x", "y"]), str(rng.randrange(40)), rng.randrange(30), f"(S (NP (DT {rng.choice('ab')}) (NN {rng.choice('cdef')})) (VP (VBD {rng.choice('gh')})))") for _ in range(2500)]
+    rows = [(*r[:5], f"sentence {k % 50}", r[5]) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "domain string, source string, author string, doc_id string, sent_idx int, sent_text string, parse_str string").repartition(4)
+    every = trees.motifs(df).collect()
+    for n in (1, 2, 5):
+        found = trees.first_motifs(df, ["domain", "source"], motifs.ORDER, n)
+        assert max(r.n for r in found.groupBy(F.spark_partition_id().alias("p"), "domain", "source", "pattern").agg(F.count("*").alias("n")).collect()) <= n
+        first = {}
+        for r in every:
+            at = tuple((v is not None, v) for v in (r.author, r.doc_id, r.sent_idx, r.place))
+            own = first.setdefault((r.domain, r.source, r.pattern), {})
+            own[r.words] = min(own.get(r.words, (at, r.words, r.sent_text)), (at, r.words, r.sent_text))
+        want = {k: [(w, s) for _, w, s in sorted(own.values())[:n]] for k, own in first.items()}
+        got = {(r.domain, r.source, r.pattern): [tuple(e) for e in r.examples] for r in motifs.examples(df, df.select(F.lit("(NP (DT) (NN))").alias("pattern")), n).collect()}
+        assert got == {k: v for k, v in want.items() if k[2] == "(NP (DT) (NN))"} and len(got) == 4
+        few = trees.first_motifs(df, ["domain", "source"], motifs.ORDER, n, flush=1)
+        assert {tuple(r)[:4] for r in found.collect()} <= {tuple(r)[:4] for r in few.collect()}
+
+
+def test_chunks_follow_the_order_of_the_whole_key(spark, monkeypatch):
+    monkeypatch.setattr(motifs, "STRETCHES", 5)
+    rng = random.Random(14)
+    docs = [(rng.choice(["d", None]), rng.choice("gh"), rng.choice([None, "x", "y"]), str(k)) for k in range(80)]
+    rows = [(*d, i, f"{d[3]}-{i}", "(S)") for d in docs for i in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "domain string, source string, author string, doc_id string, sent_idx int, sent_text string, parse_str string").repartition(3)
+    want = {}
+    for key in {d[:2] for d in docs}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2] is not None, r[2] or "", r[3], r[4]))
+        want |= {r[5]: k // max(1, len(own) // 7) for k, r in enumerate(own)}
+    assert {r.sent_text: r.chunk for r in motifs.in_chunks(df, ["domain", "source"], 7).collect()} == want
+
+
 def scans(df):
     """How often the plan that ran reads a file."""
     df.collect()
