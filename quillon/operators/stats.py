@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUARTILES = ("q25", "q50", "q75")
-#: Cuts of a key's values into stretches, from Spark's mergeable sketch; they only deal the work out.
-CUTS = 63
+#: The largest 32-bit number.
+LARGEST = 3.4028234663852886e38
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -23,38 +23,37 @@ def counted(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 
 def summed(own: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, mean, min, max and cuts (CUTS values that part the different values about evenly) of counted() rows."""
-    cuts = F.approx_percentile("v", [k / (CUTS + 1) for k in range(1, CUTS + 1)], 1000)
-    n = F.coalesce(F.sum("c"), F.lit(0))
-    return own.groupBy(*keys).agg(n.alias("n"), F.try_divide(F.sum(F.col("v") * F.col("c")), n).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), cuts.alias("cuts"))
-
-
-def quartiles(own: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, std and QUARTILES (exact, interpolated) of counted() and summed() rows. Values are dealt into the stretches
-    between cuts; only the stretches that hold a wanted rank are sorted, so no task holds all values of a key."""
-    placed = own.where("c > 0").alias("o").join(sums.alias("s"), _same("o", "s", keys)).select("o.*", "s.n", "s.mean", F.expr("size(filter(s.cuts, x -> x < o.v))").alias("bin"))
-    square = F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))
-    bins = placed.groupBy(*keys, "n", "bin").agg(F.sum("c").alias("c"), F.sum(square).alias("square"))  # CUTS + 1 rows for each key at most
+    """keys, n, mean, std, min, QUARTILES (exact, interpolated) and max of counted() rows. Values are dealt into bins by their
+    nearest 32-bit number, which keeps their order; bins are summed, and of a key's bins (8 million for each doubling of
+    values at most, and no more than values) those that hold a wanted rank are opened. Deviations are taken within bins
+    first, so that large values which differ little lose nothing. No join has fewer than (key, bin) as its key."""
+    near = F.greatest(F.least(F.col("v").cast("float").cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
+    placed = own.withColumn("b", near)
+    off = F.col("v") - F.col("b")
+    bins = placed.groupBy(*keys, "b").agg(F.sum("c").alias("c"), F.sum(F.col("c") * off).alias("s1"), F.sum(F.col("c") * off * off).alias("s2"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     whole = Window.partitionBy(*keys)
-    until = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("c").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumns({"n": F.sum("c").over(whole), "total": F.sum(F.col("c") * F.col("b") + F.col("s1")).over(whole), "min": F.min("lo").over(whole), "max": F.max("hi").over(whole), "before": before})
+    away = F.col("b") - F.col("mean")
+    bins = bins.withColumn("mean", F.try_divide("total", "n")).withColumn("squares", F.sum(F.col("s2") + 2 * away * F.col("s1") + F.col("c") * away * away).over(whole))
     ranks = F.array(*(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), f(F.lit(p) * (F.col("n") - 1)).cast("long").alias("rank")) for i, p in enumerate((0.25, 0.5, 0.75)) for side, f in ((0, F.floor), (1, F.ceil))))
-    bins = bins.withColumns({"before": F.coalesce(F.sum("c").over(until), F.lit(0)), "squares": F.sum("square").over(whole)})
     bins = bins.withColumn("ranks", F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("c"))))
-    wanted = bins.where(F.size("ranks") > 0).select(*keys, "bin", "before", "ranks", "squares")
-    some = placed.alias("o").join(wanted.alias("w"), _same("o", "w", keys) & (F.col("o.bin") == F.col("w.bin"))).select("o.*", "w.before", "w.ranks", "w.squares")
-    upto = F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    some = some.withColumn("upto", F.col("before") + upto).withColumn("hit", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("c")))))
+    wanted = bins.where((F.size("ranks") > 0) | (F.col("n") == 0)).select(*keys, "b", "n", "mean", "squares", "min", "max", "before", "ranks")
+    some = wanted.alias("w").join(placed.where("c > 0").alias("o"), _same("w", "o", [*keys, "b"]), "left").select("w.*", "o.v", "o.c")
+    upto = F.sum("c").over(Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    some = some.withColumn("upto", F.col("before") + upto).withColumn("hit", F.explode_outer(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("c")))))
     at = lambda i, side: F.max(F.when((F.col("hit.q") == i) & (F.col("hit.side") == side), F.col("v")))
-    found = some.groupBy(*keys, "n").agg(F.max("squares").alias("_s"), *(at(i, side).alias(f"_{i}{side}") for i in range(3) for side in (0, 1)))
+    same = [F.max(c).alias(c) for c in ("n", "mean", "squares", "min", "max")]
+    found = some.groupBy(*keys).agg(*same, *(at(i, side).alias(f"_{i}{side}") for i in range(3) for side in (0, 1)))
     part = lambda p: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
-    return found.select(*keys, F.sqrt(F.try_divide("_s", F.col("n") - 1)).alias("std"), *((F.col(f"_{i}0") + (F.col(f"_{i}1") - F.col(f"_{i}0")) * part(p)).alias(QUARTILES[i]) for i, p in enumerate((0.25, 0.5, 0.75))))
+    quarters = ((F.col(f"_{i}0") + (F.col(f"_{i}1") - F.col(f"_{i}0")) * part(p)).alias(QUARTILES[i]) for i, p in enumerate((0.25, 0.5, 0.75)))
+    return found.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "mean", F.sqrt(F.try_divide("squares", F.col("n") - 1)).alias("std"), "min", *quarters, "max")
 
 
 def describe(df: DataFrame, keys: list[str], column: str, digits: int) -> DataFrame:
     """count, mean, std, min, quartiles (exact, interpolated) and max of the non-null values by keys, rounded half-even."""
     own = counted(df, keys, F.col(column).cast("double"))
-    sums = summed(own, keys)
-    out = sums.alias("s").join(quartiles(own, sums, keys).alias("f"), _same("s", "f", keys), "left").select("s.*", "f.std", *(f"f.{q}" for q in QUARTILES))
+    out = summed(own, keys)
     return out.select(*keys, F.col("n").alias("count"), *(F.bround(c, digits).alias(c) for c in ("mean", "std", "min", *QUARTILES, "max")))
 
 
@@ -83,7 +82,7 @@ def variability(df: DataFrame, keys: list[str], document: list[str], column: str
 def _fenced(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, QUARTILES, v, c, and `outside`: -1 below, 1 above, 0 within 1.5 interquartile ranges of the box."""
     own = counted(df, keys, F.col(column).cast("double"))
-    q = quartiles(own, summed(own, keys), keys)
+    q = summed(own, keys)
     rows = own.where("c > 0").alias("o").join(q.alias("q"), _same("o", "q", keys)).select("o.*", *(f"q.{x}" for x in QUARTILES))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     return rows.withColumn("outside", F.when(F.col("v") < F.col("q25") - reach, -1).when(F.col("v") > F.col("q75") + reach, 1).otherwise(0))
@@ -131,3 +130,15 @@ def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
 def row_at(df: DataFrame, order: list[str], place: int) -> DataFrame:
     """The one row at this place (from 0) of this order; none beyond the end."""
     return df.orderBy(*order).offset(place).limit(1)
+
+
+def sample(df: DataFrame, strata: list[str], key: list[str], n: int, seed: str = "") -> DataFrame:
+    """The n rows of each stratum whose keyed hash is least: the same rows however the table is cut or ordered, and for a
+    smaller n a part of those for a larger one. The hash is the MD5 of seed and key; equal hashes (repeated keys) go by the
+    key, and rows of one key are interchangeable. Each task hands on n rows of a stratum at most. `sample_rank` is added.
+    Null is a stratum and a key like any other."""
+    parts = [F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in key]
+    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), *parts)))
+    order = Window.partitionBy(*strata).orderBy("_h", *key)
+    # a limit by rank lets Spark keep the first n rows of each stratum before the exchange, too
+    return rows.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= n).drop("_h")

@@ -649,3 +649,10 @@ def k4_outliers(spark, sf_dir):
 @query(f"{FENCED} SELECT domain, source, count(v) AS n, count(*) FILTER (v < {AXIS[0]}) AS n_below, count(*) FILTER (v > {AXIS[1]}) AS n_above FROM w GROUP BY ALL")
 def k4_clipped(spark, sf_dir):
     return stats.clipped(x1_word_count(spark, sf_dir), KEYS, "word_count", AXIS)
+
+
+@query(f"""WITH {CORPUS}, h AS (SELECT doc_id, domain, source, md5('7|' || coalesce(length(doc_id) || ':' || doc_id, '-')) AS h FROM corpus)
+SELECT doc_id, domain, source, CAST(row_number() OVER (PARTITION BY domain, source ORDER BY h, doc_id) AS INT) AS sample_rank FROM h QUALIFY sample_rank <= 20""")
+def t7_sample(spark, sf_dir):
+    """Twenty documents of each domain and source."""
+    return stats.sample(documents(spark, sf_dir).drop("text", "author"), KEYS, ["doc_id"], 20, "7")

@@ -241,6 +241,18 @@ def test_boxes_with_null_keys_and_outliers(spark):
     assert {r.g: tuple(r)[1:] for r in stats.clipped(df, ["g"], "v", (0, 50)).collect()} == {"a": (14, 1, 2), None: (14, 1, 2), "none": (0, 0, 0)}
 
 
+def test_samples_do_not_depend_on_partitions(spark):
+    rows = [(g, k, None if k % 50 == 0 else f"k{k}") for k in range(600) for g in ("a", None)]
+    df = spark.createDataFrame(rows, "g string, k int, key string")
+    one, two = (sorted(map(tuple, stats.sample(x, ["g"], ["key", "k"], 25, "s").collect()), key=str) for x in (df.repartition(7), df.orderBy("key").coalesce(2)))
+    assert one == two and len(one) == 50
+    assert {r[:3] for r in one} > {tuple(r)[:3] for r in stats.sample(df, ["g"], ["key", "k"], 10, "s").collect()}
+    assert one != sorted(map(tuple, stats.sample(df, ["g"], ["key", "k"], 25, "t").collect()), key=str)
+    out = stats.sample(df, ["g"], ["key", "k"], 25, "s")
+    out.collect()
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_report_job(spark, tmp_path):
     rows = parses(spark, 20).withColumn("doc_id", F.concat("source", "doc_id"))
     both = rows.unionByName(rows.withColumn("domain", F.lit("few")).limit(3))
