@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from quillon.llm.common import added, batch, chunks, mapped, ranges, texts_of
 
 LONGEST = 512
-#: Pieces that a worker remembers at once; beyond it the table starts anew.
-REMEMBERED = 400_000
+#: Units that a worker remembers at once, and about how many bytes they may take; beyond either the table starts anew.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -96,7 +96,7 @@ class Bpe:
         self.merged: dict[str, list[int]] = {}
         self.names: list[str] = []
         self.flat = np.empty(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.held = 0
         self.at = np.empty(1 << 14, np.int64)
         self.count = np.empty(1 << 14, np.int64)
 
@@ -205,7 +205,7 @@ class Bpe:
         """For each text its ids, as an array and as comma-joined decimals; the texts' new pieces are merged together."""
         cut = list(map(self.units, texts))
         new = set().union(*cut).difference(self.slots)
-        if len(self.names) + len(new) > REMEMBERED:
+        if len(self.names) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.forget()
             new = set().union(*cut)
         if new:
@@ -213,7 +213,10 @@ class Bpe:
             pieces = list(map(self.pattern.findall, units))
             fresh = list(set().union(*pieces).difference(self.merged))
             self.merged.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
-            self._remember(units, [[i for p in x for i in self.merged[p]] for x in pieces])
+            ids = [[i for p in x for i in self.merged[p]] for x in pieces]
+            self._remember(units, ids)
+            # a unit with its ids and decimals, a piece with its list
+            self.held += sum(200 + 4 * len(u) + 10 * len(x) for u, x in zip(units, ids, strict=True)) + sum(200 + 4 * len(p) + 40 * len(self.merged[p]) for p in fresh)
         for units in cut:
             slots = list(map(self.slots.__getitem__, units))
             at = np.array(slots, np.int64)

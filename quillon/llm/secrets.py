@@ -14,8 +14,8 @@ its characters, has chance 1. The chances of all candidates of the table go thro
 table of BINS counts, so the share of false discoveries stays under FALSE_SHARE.
 
 Positions come from the lengths of what stands between the matches. Null text counts as empty; empty texts and tables
-give zero counts and no rows; repeated rows each get their own result. Texts are scanned whole. Other columns stay out
-of the result.
+give zero counts and no rows; repeated rows each get their own result. Texts are scanned whole; of a run of any length
+only counts and one block of BLOCK codes are held beside the text. Other columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -51,8 +51,10 @@ ALPHABETS = {
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
 }
-#: Hexadecimal of one case in groups between dashes, as UUIDs are; tested without its dashes.
-DASHED = "^([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$"
+#: Hexadecimal of one case in groups between dashes, as UUIDs are, is tested without its dashes.
+DASHED = "(r.hit RLIKE '^[0-9a-f-]+$' OR r.hit RLIKE '^[0-9A-F-]+$') AND contains(r.hit, '-') AND NOT contains(concat('-', r.hit, '-'), '--')"
+#: Characters of a long run that are looked at together: blocks of blocks, so that neither is read from its start too often.
+BLOCK, BLOCKS = 4096, 64
 LETTER_SHARE = [
     0.082, 0.015, 0.028, 0.043, 0.127, 0.022, 0.020, 0.061, 0.070, 0.002, 0.008, 0.040, 0.024,
     0.067, 0.075, 0.019, 0.001, 0.060, 0.063, 0.091, 0.028, 0.010, 0.024, 0.002, 0.020, 0.001,
@@ -106,6 +108,15 @@ def _good(x: str) -> str:
     return " + ".join(parts)
 
 
+def _lagged() -> str:
+    """SQL for the sum of products of neighbours, less the mean: each block holds one character of the next, and codes exist
+    for one block at a time."""
+    product = "aggregate(zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x)), (u, v) -> (u - r.mean) * (v - r.mean)), 0D, (w, y) -> w + y)"
+    small = f"get(transform(array(transform(split(substring(s, j * {BLOCK} + 1, {BLOCK} + 1), ''), c -> CAST(instr(r.letters, c) AS DOUBLE))), x -> {product}), 0)"
+    large = f"get(transform(array(substring(r.body, i * {BLOCK * BLOCKS} + 1, {BLOCK * BLOCKS} + 1)), s -> aggregate(sequence(0, CAST(greatest(length(s) - 2, 0) DIV {BLOCK} AS INT)), 0D, (b, j) -> b + {small})), 0)"
+    return f"aggregate(sequence(0, CAST(greatest(length(r.body) - 2, 0) DIV {BLOCK * BLOCKS} AS INT)), 0D, (a, i) -> a + {large})"
+
+
 def _steps() -> list[dict[str, str]]:
     """SQL over a candidate r, step by step; each step sees the fields of those before."""
     inside = {name: f"r.body RLIKE '^[{chars.replace('-', '')}{'-' if '-' in chars else ''}]+$'" for name, chars in ALPHABETS.items()}
@@ -113,26 +124,28 @@ def _steps() -> list[dict[str, str]]:
     squares = sum(p * p for p in LETTER_SHARE)
     excess = {k: len(a) * (0.1 if k in ("hex", "hex_upper") else squares) - 1 for k, a in ALPHABETS.items()}
     return [
-        {"body": f"CASE WHEN r.hit RLIKE '{DASHED}' THEN replace(r.hit, '-', '') ELSE r.hit END"},
+        {"body": f"CASE WHEN {DASHED} THEN replace(r.hit, '-', '') ELSE r.hit END"},
         {"encoding": "CASE " + " ".join(f"WHEN {test} THEN '{k}'" for k, test in inside.items()) + " END"},
         {
             "size": pick({k: f"{len(a)}D" for k, a in ALPHABETS.items()}),
             "excess": pick({k: f"{x!r}D" for k, x in excess.items()}),
             "n": "CAST(length(r.body) AS DOUBLE)",
-            "chars": "split(r.body, '')",
             "letters": pick({k: f"'{a}'" for k, a in ALPHABETS.items()}),
+            "sides": pick({k: "'" + "".join("H" if i + 1 > len(a) / 2 else "L" for i in range(len(a))) + "'" for k, a in ALPHABETS.items()}),
+        },
+        {
+            "counts": "transform(split(r.letters, ''), (c, i) -> named_struct('code', CAST(i + 1 AS DOUBLE), 'k', r.n - length(replace(r.body, c, ''))))",
+            "halves": "translate(r.body, r.letters, r.sides)",
         },
-        {"codes": "transform(r.chars, c -> CAST(instr(r.letters, c) AS DOUBLE))"},
         {
-            "chi_squared": "aggregate(array_distinct(r.chars), 0D, (a, c) -> a + pow(r.n - length(replace(r.body, c, '')), 2D)) * r.size / r.n - r.n",
-            "halves": "transform(r.codes, c -> c > r.size / 2)",
-            "mean": "aggregate(r.codes, 0D, (a, c) -> a + c) / r.n",
+            "chi_squared": "aggregate(r.counts, 0D, (a, c) -> a + c.k * c.k) * r.size / r.n - r.n",
+            "mean": "aggregate(r.counts, 0D, (a, c) -> a + c.code * c.k) / r.n",
+            "high": "aggregate(filter(r.counts, c -> c.code > r.size / 2), 0D, (a, c) -> a + c.k)",
+            "runs": "1 + (r.n - length(replace(r.halves, 'HL', ''))) / 2 + (r.n - length(replace(r.halves, 'LH', ''))) / 2",
         },
         {
-            "high": "CAST(size(filter(r.halves, h -> h)) AS DOUBLE)",
-            "runs": "CAST(1 + size(filter(zip_with(slice(r.halves, 1, size(r.halves) - 1), slice(r.halves, 2, size(r.halves)), (a, b) -> a <> b), x -> x)) AS DOUBLE)",
-            "spread": "aggregate(r.codes, 0D, (a, c) -> a + (c - r.mean) * (c - r.mean))",
-            "lagged": "aggregate(zip_with(slice(r.codes, 1, size(r.codes) - 1), slice(r.codes, 2, size(r.codes)), (a, b) -> (a - r.mean) * (b - r.mean)), 0D, (a, x) -> a + x)",
+            "spread": "aggregate(r.counts, 0D, (a, c) -> a + c.k * (c.code - r.mean) * (c.code - r.mean))",
+            "lagged": _lagged(),
             "even_z": "(r.chi_squared - (r.size - 1 + r.n * r.excess)) / sqrt(2 * (r.size - 1 + 2 * r.n * r.excess))",
         },
         {

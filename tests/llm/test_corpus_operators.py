@@ -363,6 +363,23 @@ def test_many_secrets_in_one_text(spark):
     assert r.spans.endswith(f"assign:{13 * 63_999}:{13 * 63_999 + 12}")
 
 
+def test_very_long_runs(spark):
+    rng = random.Random(8)
+    alphabet = secrets.ALPHABETS["base64"][:64]
+    long = "".join(rng.choices(alphabet, k=6_000_000))
+    dashed = "-".join(["ab12cd34"] * 200_000)
+    texts = ["begin " + long + " end", "x" * 3_000_000, dashed, "=" * 30, "a" * 20, long[: secrets.BLOCK * secrets.BLOCKS + 1], long[: secrets.BLOCK + 2]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.scan(df).collect()}
+    assert found[0] == [(6, 6 + len(long))] and found[5] == [(0, len(texts[5]))] and found[6] == [(0, len(texts[6]))]
+    assert found[1] == found[2] == found[4] == []
+    runs = df.where("doc_id IN (5, 6)").select("text", secrets.spans("text", secrets.RUN, "rand").alias("runs")).withColumn("runs", secrets.tested("runs")).collect()
+    for r in runs:  # blocks leave no pair of neighbours out
+        codes = np.array([secrets.ALPHABETS["base64"].index(c) + 1 for c in r.text], float)
+        off = codes - codes.mean()
+        assert r.runs[0].serial_z == pytest.approx((off[1:] * off[:-1]).sum() / (off * off).sum() * math.sqrt(len(codes)), abs=1e-6)
+
+
 def test_upper_case_and_dashed_hexadecimal(spark):
     rng = random.Random(8)
     run = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))

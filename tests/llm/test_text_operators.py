@@ -146,6 +146,20 @@ def test_bpe_equals_the_library(spark, odd, empty):
     assert bpe.encode(empty, PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_remembers_so_many_bytes_of_texts_without_spaces():
+    rng = random.Random(6)
+    model = bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    chars = [chr(0x4E00 + k) for k in range(3000)]
+    sizes = []
+    for _ in range(12):
+        texts = ["".join(rng.choices(chars, k=900)) for _ in range(400)]
+        for text, (ids, joined) in zip(texts, model.encode(texts), strict=True):
+            assert joined.count(",") == len(ids) - 1
+        assert model.decode(ids) == text.encode()
+        sizes.append(model.held)
+    assert max(sizes) < 2 * bpe.REMEMBERED_BYTES and sizes[-1] < sum(sizes[:2])  # it starts anew now and then
+
+
 def lcs(a, b):
     row = np.zeros(len(b) + 1, int)
     for x in a:
