@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontam, fingerprint, langid, linededup, lm, neardup, secrets, stages
+from quillon.llm import align, bpe, decontam, fingerprint, langid, linededup, lm, neardup, secrets, stages
 from quillon.llm.common import stored
 from quillon.llm.queries import ORACLE, QUERIES
 from tests.llm.conftest import ODD
@@ -185,6 +185,30 @@ def test_banded_alignment_equals_full_lcs():
             assert got == full
 
 
+def test_alignment_from_places_equals_that_from_masks(monkeypatch):
+    rng = np.random.default_rng(3)
+    cases = []
+    for _ in range(300):
+        n, m, kinds = (int(rng.integers(1, k)) for k in (40, 40, 12))
+        low = int(rng.integers(-12, 6))
+        cases.append((rng.integers(0, kinds, n), rng.integers(0, kinds, m), low, low + int(rng.integers(0, 20))))
+    want = [align.common(*c) for c in cases]
+    monkeypatch.setattr(align, "MOST_BITS", -1)
+    assert [align.common(*c) for c in cases] == want
+
+
+def test_alignment_of_long_texts_in_bounded_memory():
+    import tracemalloc
+
+    a = np.arange(60_000, dtype=np.uint64)
+    b = np.concatenate([a[:20_000], a[20_300:], a[:300] + np.uint64(10**9)])
+    tracemalloc.start()
+    assert align.common(a, b, -1000, 1000)[0] == 59_700
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # masks of all places would take 450 MB
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)]
