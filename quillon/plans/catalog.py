@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quillon import schemas
 from quillon.functions import text as X
 from quillon.functions.chart import Grammar
-from quillon.operators import dependency, grammar, motifs, parse, repair, segment, stats, trees
+from quillon.operators import dependency, grammar, motifs, parse, repair, segment, stats, structure, trees
 from quillon.plans import report
+from quillon.sources import files
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -656,3 +657,54 @@ SELECT doc_id, domain, source, CAST(row_number() OVER (PARTITION BY domain, sour
 def t7_sample(spark, sf_dir):
     """Twenty documents of each domain and source."""
     return stats.sample(documents(spark, sf_dir).drop("text", "author"), KEYS, ["doc_id"], 20, "7")
+
+
+#: Tree patterns: each step a label, an earlier step, and where the node lies from that one's.
+PATTERNS = {
+    "relative clause with subject and predicate": [("SBAR",), ("NP", 0, "below"), ("VP", 1, "next")],
+    "relative clause before the predicate": [("S",), ("SBAR", 0, "child"), ("VP", 1, "beside")],
+    "noun within an embedded clause": [("S",), ("S", 0, "below"), ("NN", 1, "below")],
+}
+PLACED = MOTIFS + r""",
+pre AS (SELECT sid, pos, CAST(row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS INT) AS pre FROM tok WHERE t <> ')'),
+placed AS MATERIALIZED (SELECT n.sid, n.pos, n.depth, n.label, x.stop, p.pre, max(m.pos) AS parent FROM nodes n JOIN ends x USING (sid, pos) JOIN pre p USING (sid, pos) LEFT JOIN nodes m ON m.sid = n.sid AND m.pos < n.pos AND m.depth = n.depth - 1 GROUP BY ALL)"""
+LIES = {"child": "{b}.parent = {a}.pos", "below": "{b}.pos > {a}.pos AND {b}.pos < {a}.stop", "beside": "{b}.parent = {a}.parent AND {b}.pos > {a}.pos", "next": "{b}.parent = {a}.parent AND {b}.pos = {a}.stop"}
+
+
+def pattern_sql() -> str:
+    """A nested loop over the nodes of each tree."""
+    parts = []
+    for name, steps in PATTERNS.items():
+        joins = " ".join(f"JOIN placed n{k} ON n{k}.sid = n0.sid AND n{k}.label = '{label}' AND {LIES[axis].format(a=f'n{of}', b=f'n{k}')}" for k, (label, of, axis) in enumerate(steps[1:], 1))
+        parts.append(f"SELECT doc_id, sent_idx, '{name}' AS pattern, {', '.join(f'n{k}.pre AS n{k}' for k in range(len(steps)))} FROM placed n0 {joins} JOIN parses ON parses.sid = n0.sid WHERE n0.label = '{steps[0][0]}'")
+    return f"WITH {PLACED} " + " UNION ALL ".join(parts)
+
+
+@query(pattern_sql())
+def j6_e4_tree_patterns(spark, sf_dir):
+    """Every place of three patterns, by structural joins over the exploded trees."""
+    nodes = structure.node_table(parses(spark, sf_dir), ["doc_id", "sent_idx"])
+    found = [structure.match(nodes, ["doc_id", "sent_idx"], steps).withColumn("pattern", F.lit(name)) for name, steps in PATTERNS.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"WITH {MOTIFS} SELECT a.label AS above, b.label AS below, CAST(b.depth - a.depth AS INT) AS levels, count(*) AS n FROM nodes a JOIN ends x USING (sid, pos) JOIN nodes b ON b.sid = a.sid AND b.pos > a.pos AND b.pos < x.stop GROUP BY ALL")
+def j6_dominance(spark, sf_dir):
+    """How often each label stands above each other, by how many levels."""
+    nodes = structure.node_table(parses(spark, sf_dir), ["doc_id", "sent_idx"]).where("label IS NOT NULL")
+    side = lambda c: nodes.select("doc_id", "sent_idx", *(F.col(x).alias(f"{c}_{x}") for x in ("pre", "post", "depth")), F.col("label").alias(c))
+    found = structure.descendants(side("above"), side("below").drop("below_post"), ["doc_id", "sent_idx"], "above_pre", "above_post", "below_pre")
+    return found.groupBy("above", "below", (F.col("below_depth") - F.col("above_depth")).alias("levels")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {COUNTS} SELECT DISTINCT pattern, CAST(len(regexp_extract_all(pattern, '\\([A-Z$][A-Z0-9$-]*\\)')) AS INT) AS n_terminals FROM counts")
+def c4_motif_terminals(spark, sf_dir):
+    return counts(spark, sf_dir).select("pattern").distinct().withColumn("n_terminals", X.n_terminals(F.col("pattern")))
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, domain, source, text FROM corpus WHERE domain <> 'en'")
+def k1_s2_feather(spark, sf_dir):
+    """The corpus written as a folder of Feather files by its tasks, and read again."""
+    path = files.shared_folder(spark, "feather")
+    files.write_feather(documents(spark, sf_dir).drop("author"), path)
+    return files.read_feather(spark, path).where("domain <> 'en'")

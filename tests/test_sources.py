@@ -2,6 +2,7 @@ import pyarrow as pa
 import pyarrow.feather as feather
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan
 
 from quillon import schemas
 from quillon.operators import stats
@@ -30,10 +31,71 @@ def test_text_corpus(spark, tmp_path):
 
 def test_feather(spark, tmp_path):
     path = str(tmp_path / "x.feather")
-    files.write_feather(spark.range(10).selectExpr("id", "CAST(id AS STRING) AS s"), path)
+    files.export_feather(spark.range(10).selectExpr("id", "CAST(id AS STRING) AS s"), path)
     assert files.read_feather(spark, path).where("id > 6").count() == 3
+    assert files.read_feather(spark, path, ["s"]).columns == ["s"]
     feather.write_feather(pa.table({"a": list(range(100))}), path, chunksize=10)
-    assert files.read_feather(spark, path).agg({"a": "sum"}).first()[0] == 4950
+    assert files.read_feather(spark, f"file://{path}").agg({"a": "sum"}).first()[0] == 4950
+
+
+def test_large_feather_files_are_split(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "x.feather")
+    feather.write_feather(pa.table({"a": list(range(1000))}), path, chunksize=10, compression="uncompressed")
+    schema = files.FeatherSource({"path": path}).schema()
+    reader = files.FeatherReader(path, schema)
+    assert len(reader.partitions()) == 1
+    monkeypatch.setattr(files, "SPLIT", 2000)
+    parts = reader.partitions()
+    assert len(parts) > 3
+    assert [v for p in parts for b in reader.read(p) for v in b.column("a").to_pylist()] == list(range(1000))
+
+
+def test_feather_folder(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(0, 1000, 1, 5).selectExpr("id", "IF(id % 7 = 0, NULL, CAST(id AS STRING)) AS s", "array(id, id + 1) AS a", "CAST(id AS DOUBLE) / 3 AS d")
+    files.write_feather(rows, path)
+    assert sorted(map(tuple, files.read_feather(spark, path).collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "out").glob("*.feather"))) == 5
+    assert sum(feather.read_table(p).num_rows for p in (tmp_path / "out").glob("*.feather")) == 1000
+    files.write_feather(rows.limit(3), path, "append")
+    assert files.read_feather(spark, path).count() == 1003
+    files.write_feather(rows.where("id < 0"), path)
+    found = files.read_feather(spark, path)
+    assert found.count() == 0 and found.columns == rows.columns
+    # computed from what it replaces
+    files.write_feather(rows, path)
+    files.write_feather(files.read_feather(spark, path).where("id >= 900"), path)
+    assert files.read_feather(spark, path).count() == 100
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception, match="no Feather files"):
+        files.read_feather(spark, str(tmp_path)).count()
+
+
+def test_a_failed_task_leaves_no_file_and_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "out")
+    files.write_feather(spark.range(3), path)
+    bad = spark.range(0, 100_000, 1, 4).selectExpr("IF(id = 99999, raise_error('no'), id) AS id")
+    with pytest.raises(Exception, match="no"):
+        files.write_feather(bad, path)
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert sorted(r.id for r in files.read_feather(spark, path).collect()) == [0, 1, 2]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "out")
+    files.write_feather(spark.range(0, 100, 1, 2).selectExpr("id", "IF(id % 7 = 0, NULL, concat('k', id)) AS s", "IF(id = 5, double('nan'), id) AS d"), path)
+    key = "spark.sql.python.filterPushdown.enabled"
+    tests = ["id = 8", "id > 90 AND s IS NOT NULL", "id IN (1, 2, 7)", "s LIKE 'k9%'", "s <= 'k2' AND id >= 15", "d > 95", "d = double('nan')", "s IS NULL AND id < 20", "id = 3 OR id = 4"]
+    want = [sorted(r.id for r in files.read_feather(spark, path).where(t).collect()) for t in tests]
+    spark.conf.set(key, "true")
+    try:
+        assert [sorted(r.id for r in files.read_feather(spark, path).where(t).collect()) for t in tests] == want
+    finally:
+        spark.conf.unset(key)
+    reader = files.FilteringReader(path, files.FeatherSource({"path": path}).schema())
+    given = [EqualTo(("id",), 8), GreaterThan(("d",), 1.0)]
+    assert list(reader.pushFilters(given)) == given
+    assert [v for p in reader.partitions() for b in reader.read(p) for v in b.column("id").to_pylist()] == [8]
 
 
 def test_jsonl_and_records(spark, tmp_path):
