@@ -76,3 +76,12 @@ def test_no_texts_and_too_many_types(spark, corpus):
     assert segment.learn(spark.createDataFrame([(None,), ("",), ("no end",)], "text string")) == (frozenset(), frozenset())
     with pytest.raises(ValueError, match="types"):
         segment.learn(corpus, most_types=1)
+
+
+def test_counted_tokens_are_the_tokens_summed(spark, corpus):
+    odd = spark.createDataFrame([(None,), ("",), ('A b "c." (D)... e!\n\n.. x\x0by. z',), ("Ünder. ... Q",)], "text string").unionByName(corpus.select("text"))
+    then = F.when(F.col("ending").isin("period", "strong"), F.col("next")).alias("next")
+    want = segment.tokens(odd).select("type", "ending", then).groupBy("type", "ending", "next").count()
+    found = segment.counted(odd)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert sorted(map(tuple, segment.abbreviations(found).collect())) == sorted(map(tuple, segment.abbreviations(segment.tokens(odd)).collect()))
