@@ -324,3 +324,12 @@ def test_many_wanted_patterns_and_chunk_examples(spark, monkeypatch):
     assert motifs.examples(df, motifs.count_motifs(df)).orderBy("source", "pattern").collect() == few
     row = motifs.chunk_examples(df, motifs.count_motifs(df), n_chunks=5).where("source = 'gpt' AND pattern = '(NP (DT) (NN))'").first()
     assert [e.words for e in row.examples] == ["The cat"] * 3
+
+
+def test_the_bracketer_says_what_its_sql_says(spark):
+    said = ["", "(", ")", "(a)", "that", "that is", "and", "and was good", "Ünder ſ KELVIN K", "a,b,,c", ", ,", "x\x0bis y", "the THE 9lives running", "($^) a . ! ; :", "ss ed", "which (was) and, and it went", "\\1 $1 is", "x  is y", None]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    assert df.select(parse.bracketed(F.col("s")).eqNullSafe(F.expr(f"CASE WHEN s IS NOT NULL THEN {parse.bracket_sql('s')} END"))).distinct().collect() == [(True,)]
+    # a line separator is a character like any other, as in the SQL that checks the queries
+    odd = spark.createDataFrame([("1", "en", "gpt", None, "x\u2028 is y")], schemas.CORPUS)
+    assert parse.parse_constituency(odd).first()["parse_str"] == "(S (NP (NN x\u2028)) (VP (VBZ is) (CC y)))"
