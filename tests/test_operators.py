@@ -333,3 +333,38 @@ def test_the_bracketer_says_what_its_sql_says(spark):
     # a line separator is a character like any other, as in the SQL that checks the queries
     odd = spark.createDataFrame([("1", "en", "gpt", None, "x\u2028 is y")], schemas.CORPUS)
     assert parse.parse_constituency(odd).first()["parse_str"] == "(S (NP (NN x\u2028)) (VP (VBZ is) (CC y)))"
+
+
+def test_one_pass_parses_what_the_steps_parse(spark, monkeypatch):
+    texts = ["", None, " . \x0b!", "a b. \x85c is d?\u3000\n\x1c. e, and f", "x\r\n\r\ny.\u2028z!", "no end", "\n\n", "a." * 30]
+    corpus = spark.createDataFrame([(str(k), "en", None if k % 2 else "gpt", "a", t) for k, t in enumerate(texts)], schemas.CORPUS)
+    monkeypatch.setattr(parse, "ROWS", 7)
+    steps = parse.remove_empty(parse.sentences(corpus.withColumnRenamed("id", "doc_id")))
+    steps = steps.withColumn("parse_str", parse.bracketed(F.col("sent_text")))
+    found = parse.parse_constituency(corpus)
+    assert found.columns == steps.columns and found.dtypes == steps.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, steps.collect())) and found.count() == 40
+    # the texts go to Python once, and no expression cuts them up beforehand
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan and "Generate" not in plan
+
+
+def test_strip_takes_what_is_white_space_for_the_regular_expression(spark):
+    df = spark.range(0x3100).select(F.expr("concat(char(id), 'x ', char(id))").alias("a")).unionByName(spark.createDataFrame([(f"{c}a {c}{d}",) for c in X.WHITE for d in "\n\r\x85"] + [("",), (" \t",), (None,)], "a string"))
+    assert df.where(~X.strip(F.col("a")).eqNullSafe(F.regexp_replace("a", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_pmi_reads_its_counts_once(spark):
+    rows = [(None, "gpt", "p", 9), ("a", "gpt", "p", 6), ("a", "human", "p", 3), ("a", "gpt", "q", 4), ("a", "gpt", "r", 5), ("a", "human", "s", 9), ("b", "gpt", "p", 8)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counts = spark.createDataFrame(rows, "domain string, source string, pattern string, cnt long").mapInArrow(run, "domain string, source string, pattern string, cnt long")
+    total = spark.createDataFrame([("a", "gpt", 10), ("a", "human", 20), ("b", "gpt", 4)], "domain string, source string, total long")
+    found = {(r.domain, r.pattern): r.pmi for r in motifs.pmi(counts, total, "gpt").collect()}
+    assert found == {("a", "p"): pytest.approx(2.0), ("a", "r"): pytest.approx(math.log2(0.5 / 0.025)), ("b", "p"): None}
+    assert seen.value == len(rows)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import trees as T
-from quillon.functions.forest import Forest
+from quillon.functions.forest import Forest, outline
 from quillon.operators import trees
 
 TREES = [
@@ -147,3 +147,21 @@ def test_trees_of_ten_thousand_levels(spark):
 def test_pretty():
     assert T.pretty("(S (NP x))") == "S\n  NP\n    x"
     assert T.pretty("(") == ""
+
+
+def test_outlines_keep_the_types_of_any_tree():
+    """Runs of leaves are one leaf to a classifier, so that few trees are looked at; malformed trees stay malformed."""
+    rng = random.Random(5)
+
+    def tree(depth):
+        label = rng.choice(["S", "SBAR", "VP", "NP", "X", "-LRB-", ""])
+        if depth == 0 or rng.random() < 0.3:
+            return f"({label} {rng.choice(['a', 'S', 'é', ''])})"
+        return f"({label} {' '.join(tree(depth - 1) for _ in range(rng.randint(0, 4)))})"
+
+    whole = [tree(rng.randint(0, 4)) for _ in range(2_000)]
+    cut = [t[: rng.randint(0, len(t))] + rng.choice(["", ")", " (NN a)"]) for t in whole]
+    odd = ["(NN a)", "(NN a) (NN b)", " (NN a) (NN b) ", "(S (NN a)) (NN b)", "(NN a) (S (NN b))", "(NN a)(NN b)", "x (NN a)", "(NN a) x", "", "(VP a)", "(SBAR a)"]
+    for text in [*whole, *cut, *odd]:
+        assert T.sentence_types(outline(text)) == T.sentence_types(text), text
+    assert len({outline("(S (NP " + " ".join(["(NN a)"] * k) + ") (VP (VBZ is)))") for k in range(1, 9)}) == 1
