@@ -165,3 +165,24 @@ def test_outlines_keep_the_types_of_any_tree():
     for text in [*whole, *cut, *odd]:
         assert T.sentence_types(outline(text)) == T.sentence_types(text), text
     assert len({outline("(S (NP " + " ".join(["(NN a)"] * k) + ") (VP (VBZ is)))") for k in range(1, 9)}) == 1
+
+
+def test_only_parts_of_wanted_patterns_are_put_together():
+    """What isn't part of a wanted pattern is neither built nor kept; places and words stay those of all patterns."""
+    rng = random.Random(8)
+
+    def tree(depth):
+        label = rng.choice(["S", "NP", "VP", "X", "-LRB-"])
+        if depth == 0 or rng.random() < 0.2:
+            return f"({label} {rng.choice('abc')})"
+        return f"({label} {' '.join(tree(depth - 1) for _ in range(rng.randint(0, 3)))})"
+
+    texts = [tree(5) for _ in range(300)]
+    whole = Forest()
+    every = [list(whole.hits(whole.root(t))) for t in texts]
+    names = sorted({h[1] for own in every for h in own})
+    for n in (0, 1, 5, 60, len(names)):
+        wanted = frozenset(rng.sample(names, n))
+        some = Forest(wanted=wanted)
+        assert [list(some.hits(some.root(t))) for t in texts] == [[h for h in own if h[1] in wanted] for own in every]
+        assert n > 5 or len(some.patterns) <= sum(w.count("(") for w in wanted) < len(names) / 4
