@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon import schemas
-from quillon.functions import arcs
+from quillon.functions import arcs, sequences
 
 ROOT = "ROOT"
 #: Distances between head and dependent from here on count alike.
@@ -38,8 +39,8 @@ def to_lines(tokens: Column) -> Column:
 
 def from_lines(lines: Column) -> Column:
     """The lines as array<struct<idx, text, pos, head, dep>>."""
-    cell = lambda x, k: F.get(F.split(x, "\t"), F.lit(k))
-    return F.transform(F.filter(F.split(lines, "\n"), lambda x: x != ""), lambda x: F.struct(cell(x, 0).cast("int").alias("idx"), cell(x, 1).alias("text"), cell(x, 2).alias("pos"), cell(x, 3).cast("int").alias("head"), cell(x, 4).alias("dep")))
+    cell = lambda x, k: F.get(x, F.lit(k))
+    return F.transform(F.transform(F.filter(F.split(lines, "\n"), lambda x: x != ""), lambda x: F.split(x, "\t")), lambda x: F.struct(cell(x, 0).cast("int").alias("idx"), cell(x, 1).alias("text"), cell(x, 2).alias("pos"), cell(x, 3).cast("int").alias("head"), cell(x, 4).alias("dep")))
 
 
 def chain_tokens(sentence: Column) -> Column:
@@ -131,46 +132,100 @@ def arc_scores(counts: DataFrame, smoothing: float = 0.5) -> dict[tuple[str, str
     return {(r["head_pos"], r["dep_pos"], r["side"], r["distance"]): share(r["n"], r["dep_pos"]) for r in rows} | {(None, d, 0, 0): share(0, d) for d in total}
 
 
-def scored(tags: tuple[str, ...], scores: dict, unseen: float = -20.0) -> np.ndarray:
-    """The arc scores [head, dependent] of a sentence."""
-    n = len(tags)
-    out = np.empty((n + 1, n + 1))
-    for d, tag in enumerate(tags, 1):
-        new = scores.get((None, tag, 0, 0), unseen)
-        out[0, d] = scores.get((ROOT, tag, 0, 0), new)
-        for h, head in enumerate(tags, 1):
-            out[h, d] = scores.get((head, tag, 1 if d > h else -1, min(abs(d - h), FAR)), new)
-    out[:, 0] = 0
-    return out
-
-
-def parse_arcs(sentences: DataFrame, scores: dict, words: str = "words", tags: str = "tags", projective: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
+class ArcTable:
+    """Arc scores as an array [head's tag, dependent's tag, side and distance], for sentences of numbered tags. Tags without a
+    score share the last number, which ROOT has as a head."""
+
+    def __init__(self, scores: dict, unseen: float = -20.0):
+        self.numbers = {t: k for k, t in enumerate(sorted({d for _, d, _, _ in scores} | {h for h, _, _, _ in scores if h not in (None, ROOT)}))}
+        size = len(self.numbers) + 1
+        self.other = size - 1
+        new = np.full(size, unseen)
+        for (h, d, side, far), x in scores.items():
+            if (h, side, far) == (None, 0, 0):
+                new[self.numbers[d]] = x
+        self.arcs = np.tile(new[None, :, None], (size, 1, 2 * FAR + 1))  # the side times the distance, from FAR
+        self.roots = new.copy()
+        for (h, d, side, far), x in scores.items():
+            if h == ROOT and side == 0 and far == 0:
+                self.roots[self.numbers[d]] = x
+            elif h in self.numbers and side in (-1, 1) and 1 <= far <= FAR:
+                self.arcs[self.numbers[h], self.numbers[d], FAR + side * far] = x
+
+    def scored(self, tags: np.ndarray) -> np.ndarray:
+        """tags (row, n), by number -> the arc scores (row, n + 1, n + 1) [head, dependent]."""
+        b, n = tags.shape
+        at = np.arange(n)
+        gap = FAR + np.clip(at[None, :] - at[:, None], -FAR, FAR)
+        out = np.zeros((b, n + 1, n + 1))
+        out[:, 0, 1:] = self.roots[tags]
+        out[:, 1:, 1:] = self.arcs[tags[:, :, None], tags[:, None, :], gap]
+        return out
+
+
+def _lines(words: pa.Array, tags: pa.Array, starts: np.ndarray, heads: np.ndarray, ok: np.ndarray) -> pa.Array:
+    """What to_lines() says of the sentences; the heads of each begin at its `starts`. Null if it isn't ok or has a word
+    without a head, or a head without a word."""
+    said, first, n_words = sequences.spans(words)
+    names, first_tag, n_tags = sequences.spans(tags)
+    ok = ok & (n_words <= n_tags) & words.is_valid().to_numpy(zero_copy_only=False)
+    n = np.where(ok, n_words, 0)
+    row, k = np.repeat(np.arange(len(n)), n), sequences.ranges(np.zeros(len(n), np.int64), n)
+    head = heads[starts[row] + k]
+    ok[row[head > n[row]]] = False
+    text = lambda x: pa.array(x).cast(pa.string())
+    dep = pa.array([ROOT, "dep"]).take(pa.array((head > 0).astype(np.int8)))
+    cells = [text(k + 1), said.take(pa.array(first[row] + k)), names.take(pa.array(first_tag[row] + k)), text(head), dep]
+    line = pc.binary_join_element_wise(*cells, "\t", null_handling="skip")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), line), "\n")
+    return pc.if_else(pa.array(ok), joined, None)
+
+
+def _width(n: int) -> int:
+    """Sentences of up to so many words are parsed together; few are long, so these share their steps."""
+    return n if n <= 16 else -(-n // 4) * 4 if n <= 48 else -(-n // 12) * 12
+
+
+def parse_arcs(sentences: DataFrame, scores: dict, words: str = "words", tags: str = "tags", projective: bool = True, most_words: int = MOST_WORDS, lines: bool = True) -> DataFrame:
     """sentences with parse_str (lines as to_lines() makes them), score and status (ok, empty, too_long): the tree of the
-    highest sum of arc scores, with one root. Sentences of equal tags are parsed once in each batch, those of equal length
-    together."""
-    keep = [c for c in sentences.columns if c not in ("parse_str", "score", "status", "_heads")]
+    highest sum of arc scores, with one root. Sentences of equal tags are parsed once in each batch, those of like length
+    together. Without `lines` there is no parse_str."""
+    made = ["parse_str", "score", "status"] if lines else ["score", "status"]
+    keep = [c for c in sentences.columns if c not in ("parse_str", "score", "status")]
 
     def run(batches):
+        table = ArcTable(scores)
         for batch in batches:
-            rows = [tuple(t) if t is not None else () for t in batch.column(tags).to_pylist()]
-            found, sizes = {}, {}
-            for s in dict.fromkeys(rows):
-                if 0 < len(s) <= most_words:
-                    sizes.setdefault(len(s), []).append(s)
+            rows = sequences.numbered(batch.column(tags), table.numbers, table.other)
+            places: dict[bytes, int] = {}
+            own = np.array([places.setdefault(s, len(places)) for s in rows], np.int64)
+            each = list(places)
+            length = np.array([len(s) // 4 for s in each], np.int64)
+            begin = np.cumsum(length) - length
+            heads, total = np.zeros(int(length.sum()), np.int32), np.zeros(len(each))
+            sizes: dict[int, list[int]] = {}
+            for k, n in enumerate(length.tolist()):
+                if 0 < n <= most_words:
+                    sizes.setdefault(_width(n) if projective else n, []).append(k)
             for n, some in sizes.items():
                 step = max(1, (16 << 20) // (8 * (n + 1) ** 2 * 8))
                 for k in range(0, len(some), step):
-                    each = [scored(s, scores) for s in some[k : k + step]]
+                    part = np.array(some[k : k + step])
+                    at = table.scored(sequences.matrix([each[i] for i in part], n))
                     if projective:
-                        heads, total = arcs.projective(np.stack(each))
+                        found, total[part] = arcs.projective(at, length[part], lines)
                     else:
-                        heads, total = zip(*map(arcs.spanning, each), strict=True)
-                    found |= {s: (h.tolist(), float(x)) for s, h, x in zip(some[k : k + step], heads, total, strict=True)}
-            out = [found.get(s, (None, None)) for s in rows]
-            status = ["ok" if s in found else "too_long" if s else "empty" for s in rows]
-            columns = [pa.array([h for h, _ in out], pa.list_(pa.int32())), pa.array([x for _, x in out], pa.float64()), pa.array(status, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "_heads", "score", "status"])
-
-    parsed = sentences.mapInArrow(run, T.StructType([*sentences.select(keep).schema.fields, *T.StructType.fromDDL("_heads array<int>, score double, status string").fields]))
-    token = lambda w, k: F.struct((k + 1).alias("i"), w.alias("text"), F.get(F.col(tags), k).alias("pos"), F.when(F.get("_heads", k) == 0, k + 1).otherwise(F.get("_heads", k)).alias("head"), F.when(F.get("_heads", k) == 0, ROOT).otherwise("dep").alias("dep"), F.lit(False).alias("is_space"))
-    return parsed.withColumn("parse_str", F.when(F.col("status") == "ok", to_lines(F.transform(words, token)))).select(*keep, "parse_str", "score", "status")
+                        found, total[part] = map(np.array, zip(*map(arcs.spanning, at), strict=True))
+                    if found is not None:
+                        inside = np.arange(n) < length[part][:, None]
+                        heads[(begin[part][:, None] + np.arange(n))[inside]] = found[inside]
+            size = length[own]
+            ok = (size > 0) & (size <= most_words)
+            status = pa.array(["empty", "ok", "too_long"]).take(pa.array(np.where(ok, 1, np.where(size > 0, 2, 0))))
+            columns = [pa.array(total[own], mask=~ok), status]
+            if lines:
+                columns.insert(0, _lines(batch.column(words), batch.column(tags), begin[own], heads, ok))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, *made])
+
+    kinds = {"parse_str": T.StringType(), "score": T.DoubleType(), "status": T.StringType()}
+    return sentences.mapInArrow(run, T.StructType([*sentences.select(keep).schema.fields, *(T.StructField(c, kinds[c]) for c in made)]))

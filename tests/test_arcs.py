@@ -94,3 +94,40 @@ def test_arc_table_and_parses(spark):
     assert sorted(r.status for r in found) == ["empty", "empty", "ok", "too_long"]
     assert [r.parse_str for r in found if r.status == "ok"] == ["1\tnew\t??\t0\tROOT"]
     assert dependency.parse_arcs(odd.limit(0), scores).count() == 0
+
+
+def test_sentences_of_like_length_share_a_chart():
+    rng = np.random.default_rng(9)
+    for n, beyond in ((1, 3), (5, 1), (9, 4)):
+        own = rng.integers(-2, 3, (20, n + 1, n + 1)).astype(float)
+        padded = rng.standard_normal((20, n + beyond + 1, n + beyond + 1)) * 50
+        padded[:, : n + 1, : n + 1] = own
+        heads, total = arcs.projective(own)
+        found, score = arcs.projective(padded, np.full(20, n))
+        assert (found[:, :n] == heads).all() and not found[:, n:].any() and (score == total).all()
+        assert arcs.projective(padded, np.full(20, n), trees=False)[0] is None
+        assert (arcs.projective(padded, np.full(20, n), trees=False)[1] == total).all()
+
+
+def test_arc_table_by_numbers():
+    scores = {("ROOT", "A", 0, 0): 3.0, ("A", "B", 1, 1): 1.0, ("A", "B", 1, dependency.FAR): 2.0, ("B", "A", -1, 2): 4.0, (None, "B", 0, 0): -7.0}
+    table = dependency.ArcTable(scores)
+    tags = ["A", "B", "?", "A", "B", "A", "B"]
+    found = table.scored(np.array([[table.numbers.get(t, table.other) for t in tags]]))[0]
+    for d, tag in enumerate(tags, 1):
+        new = scores.get((None, tag, 0, 0), -20.0)
+        assert found[0, d] == scores.get(("ROOT", tag, 0, 0), new)
+        for h, head in enumerate(tags, 1):
+            assert found[h, d] == scores.get((head, tag, 1 if d > h else -1, min(abs(d - h), dependency.FAR)), new)
+
+
+def test_lines_of_odd_sentences(spark):
+    said = [(["a", None, "c"], ["X", "Y", "X"]), (None, ["X"]), (["a", "b"], ["X"]), (["a"], ["X", "X"]), (["a", "b", "c"], ["X", None, "X"])]
+    df = spark.createDataFrame([(k, w, t) for k, (w, t) in enumerate(said)], "k int, words array<string>, tags array<string>").coalesce(1)
+    scores = {("ROOT", "X", 0, 0): 1.0, ("X", "X", 1, 1): 1.0}
+    found = {r.k: r for r in dependency.parse_arcs(df, scores).collect()}
+    assert [len(x.split("\t")) for x in found[0].parse_str.split("\n")] == [5, 4, 5] and found[1].parse_str is found[2].parse_str is None
+    assert found[3].parse_str == "1\ta\tX\t0\tROOT" and [len(x.split("\t")) for x in found[4].parse_str.split("\n")] == [5, 4, 5]
+    assert {r.status for r in found.values()} == {"ok"}
+    plain = dependency.parse_arcs(df, scores, lines=False)
+    assert plain.columns == ["k", "words", "tags", "score", "status"] and {r.k: r.score for r in plain.collect()} == {k: r.score for k, r in found.items()}
