@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions import chart
+from quillon.functions import chart, sequences
 from quillon.functions.chart import MIDDLE, Grammar
 from quillon.functions.forest import LIMIT, Forest
 
@@ -85,15 +85,25 @@ def scores(sentences: DataFrame, g: Grammar, tags: str = "tags", most_words: int
     keep = [c for c in sentences.columns if c not in ("inside", "best")]
 
     def run(batches):
+        other = len(g.names)
         for batch in batches:
-            found: dict = {}
-            rows = _numbered(g, batch.column(tags).to_pylist())
-            some = [s for s in dict.fromkeys(rows) if s and len(s) <= most_words]
-            for own, at in chart.by_length(some, g):
-                for k, x, y in zip(own, chart.inside(g, at)[0], chart.best(g, at)[0], strict=True):
-                    found[some[k]] = (float(x), float(y)) if np.isfinite(y) else (None, None)
-            pairs = [found.get(s, (None, None)) for s in rows]
-            columns = [pa.array([p[k] for p in pairs], pa.float64()) for k in range(2)]
+            rows = sequences.numbered(batch.column(tags), g.numbers, other)
+            places: dict[bytes, int] = {}
+            own = np.array([places.setdefault(s, len(places)) for s in rows], np.int64)
+            each, sizes = list(places), {}
+            for k, s in enumerate(each):
+                if 0 < len(s) <= 4 * most_words:
+                    sizes.setdefault(len(s) // 4, []).append(k)
+            inside, best = np.full(len(each), -np.inf), np.full(len(each), -np.inf)
+            for n, some in sizes.items():
+                at = sequences.matrix([each[k] for k in some], n)
+                known = (at < other).all(1)
+                at, some = at[known].astype(np.int64), np.array(some)[known]
+                step = max(1, chart.TOTALS_BYTES // (32 * n * n * len(g.names)))
+                for k in range(0, len(some), step):
+                    inside[some[k : k + step]], best[some[k : k + step]] = chart.totals(g, at[k : k + step])
+            none = ~np.isfinite(best[own])
+            columns = [pa.array(x[own], mask=none) for x in (inside, best)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "inside", "best"])
 
     return sentences.mapInArrow(run, T.StructType([*sentences.select(keep).schema.fields, *T.StructType.fromDDL("inside double, best double").fields]))

@@ -124,3 +124,24 @@ def test_node_counts_of_a_forest():
     forest = Forest(most=1)
     one, two = forest.root("(S (A x) (A y))"), forest.root("(S (S (A x) (A y)) (B z))")
     assert {forest.labels[k]: n for k, n in forest.times(Counter({one: 2, two: 3})) if forest.labels[k] in "AB"} == {"A": 10, "B": 3}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_totals_equal_whole_charts(seed):
+    g = Grammar(random_grammar(random.Random(seed)))
+    rng = np.random.default_rng(seed)
+    own = [g.numbers[t] for t in "xyz" if t in g.numbers]
+    for n in (1, 2, 5, 9):
+        tags = rng.choice(own, (20, n))
+        inside, best = chart.totals(g, tags)
+        np.testing.assert_allclose(inside, chart.inside(g, tags)[0], rtol=1e-9)
+        np.testing.assert_allclose(best, chart.best(g, tags)[0], rtol=1e-9)
+
+
+def test_scores_of_odd_sentences(spark):
+    g = Grammar([("S", "A", "S", 0.5), ("S", "A", None, 0.5), ("A", "x", None, 1.0)])
+    rows = [["x"], ["x", "x"], ["x", "?"], [], None, ["x"] * 200, [None]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, tags array<string>").coalesce(1)
+    found = {r.k: r.inside for r in grammar.scores(df, g).collect()}
+    assert [found[k] is None for k in range(7)] == [False, False, True, True, True, True, True]
+    assert found[0] == pytest.approx(math.log(0.5)) and found[1] == pytest.approx(math.log(0.25))
