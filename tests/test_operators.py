@@ -368,3 +368,16 @@ def test_pmi_reads_its_counts_once(spark):
     found = {(r.domain, r.pattern): r.pmi for r in motifs.pmi(counts, total, "gpt").collect()}
     assert found == {("a", "p"): pytest.approx(2.0), ("a", "r"): pytest.approx(math.log2(0.5 / 0.025)), ("b", "p"): None}
     assert seen.value == len(rows)
+
+
+def test_patterns_and_comparisons_take_what_tasks_sum(spark):
+    rows = [("en", s, "d", None, k, "x", TREE if k % 3 else "(S (NP (DT a) (NN b)) (VP (VBD c)))") for s in ("gpt", "claude", "human") for k in range(12)] + [("en", "gpt", "d", None, 99, None, "(Q (A a) (B b))")]
+    df = spark.createDataFrame(rows, "domain string, source string, doc_id string, author string, sent_idx int, sent_text string, parse_str string").repartition(5)
+    parts, sums = motifs.partial_counts(df), motifs.count_motifs(df)
+    assert parts.count() > sums.count()
+    compared = lambda counts: sorted(map(tuple, motifs.compare(counts, motifs.totals(df), min_count=4).collect()))
+    assert compared(parts) == compared(sums) != []
+    pmi = lambda counts: sorted(map(tuple, motifs.pmi(counts, motifs.totals(df), "gpt").collect()))
+    assert pmi(parts) == pmi(sums) != []
+    found = [r.pattern for r in motifs.patterns(df).collect()]
+    assert len(found) == len(set(found)) and set(found) == {r.pattern for r in sums.collect()}
