@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding over length-bucketed padded numpy matrices.
 
-A text is cut into pieces by the tokenizer's pattern. Pieces not met before by this worker are put into padded
-matrices of token ids, one for each bucket of lengths; in each round every row merges its leftmost pair of the
-lowest rank, found by a hashed pair table, and is compacted by one place. Pieces are remembered in a table of
-bounded size, so a frequent word is merged once for each worker; what stands between two single spaces is remembered
-as a whole.
+A text is cut into pieces by the tokenizer's pattern, and the different pieces of a chunk of texts are numbered. Those not
+met before by this worker are put into padded matrices of token ids, one for each bucket of lengths and a column for each
+piece; in each round every column merges its leftmost pair of the lowest rank, found by a hashed pair table, and links
+the places beside it. Pieces are remembered with their ids and decimals in Arrow columns of bounded size, so a frequent word
+is merged once for each worker, and a text's ids are taken from there by the numbers of its pieces.
 
 Null text encodes as no ids; repeated rows each get their own; an empty table gives no rows. Rows keep every other
 column, but for one named like a result, which it replaces; a text of any length is encoded whole. Pieces over
-LONGEST bytes (runs without any break) take the same merges through a heap, as a matrix of one row would cost the
-square of its length. Any pattern may be given; texts are cut at single spaces beforehand only for the one of which that
-is known to change nothing, public_tokenizers.PATTERN.
+LONGEST bytes (runs without any break) take the same merges through a heap, as a matrix of one column would cost the
+square of its length. Any pattern may be given, with groups too; empty matches give no ids. Ranks of 2^21 and more are
+refused.
 """
 
 from __future__ import annotations
@@ -19,159 +19,159 @@ import base64
 import functools
 import hashlib
 import heapq
-import re
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import added, batch, chunks, mapped, ranges, texts_of
+from quillon.llm.common import added, batch, buffers, chunks, mapped, texts_of
 
-LONGEST = 512
-#: Units that a worker remembers at once, and about how many bytes they may take; beyond either the table starts anew.
+PLACE_BITS, ID_BITS = 9, 21
+LONGEST = 1 << PLACE_BITS
+#: Pieces that a worker remembers at once, and about how many bytes they may take; beyond either the table starts anew.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
+#: Pieces that are Python strings at once, beside those of one text of as many characters.
+AT_ONCE = 1 << 18
 NONE = np.int32(2**31 - 1)
+KNOWN = pa.schema([("piece", pa.large_binary()), ("ids", pa.large_binary()), ("decimals", pa.large_binary())])
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The parts of data, in bytes, that lie between 0 and each of the ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def joined(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a large binary array without nulls, and its n + 1 offsets in them."""
+    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    return np.frombuffer(array.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 class PairTable:
-    """Rank of the pair (left id, right id) by open addressing with linear probes."""
+    """Rank of the pair (left id, right id) by open addressing with linear probes; a slot holds left, right and rank."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray):
         self.bits = max(4, int(len(rank) * 2).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.ranks = np.full(1 << self.bits, NONE, np.int32)
-        key = left.astype(np.int64) << 32 | right
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        key = left.astype(np.int64) << ID_BITS | right
         slot, todo = self._slot(key), np.arange(len(key))
-        self.probes = 0
         while len(todo):
-            self.probes += 1
-            free = self.keys[slot[todo]] == -1
+            free = self.slots[slot[todo]] == -1
             first = np.unique(slot[todo[free]], return_index=True)[1]
             won = todo[free][first]
-            self.keys[slot[won]], self.ranks[slot[won]] = key[won], rank[won]
+            self.slots[slot[won]] = key[won] << ID_BITS | rank[won]
             todo = np.setdiff1d(todo, won, assume_unique=True)
-            slot[todo] = np.where(self.keys[slot[todo]] == -1, slot[todo], (slot[todo] + 1) & ((1 << self.bits) - 1))
+            slot[todo] = np.where(self.slots[slot[todo]] == -1, slot[todo], (slot[todo] + 1) & ((1 << self.bits) - 1))
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        key[(left < 0) | (right < 0)] = -2
+    def get(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each pair its rank and behind that its place, as one number; NONE if there is no such pair."""
+        key = left.astype(np.int64) << ID_BITS | right
         slot = self._slot(key)
-        out = np.where(self.keys[slot] == key, self.ranks[slot], NONE)
-        open_ = np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] != -1) & (key != -2))
+        found = self.slots[slot]
+        same = found >> ID_BITS == key
+        out = np.where(same, (found & ((1 << ID_BITS) - 1)) << PLACE_BITS | place, NONE).astype(np.int32)
+        open_ = np.flatnonzero(~same & (found >= 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[slot[open_]]
-            same = found == key[open_]
-            out[open_[same]] = self.ranks[slot[open_[same]]]
-            open_ = open_[~same & (found != -1)]
+            found = self.slots[slot[open_]]
+            same = found >> ID_BITS == key[open_]
+            hit = open_[same]
+            out[hit] = (found[same] & ((1 << ID_BITS) - 1)) << PLACE_BITS | place[hit]
+            open_ = open_[~same & (found >= 0)]
         return out
 
 
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.cuts = ranks, regex.compile(pattern), pattern == public_tokenizers.PATTERN
-        self.visible = re.compile(r"\S(?:.*\S)?\Z", re.S).match
-        self.apart = re.compile(r"(?:\A|(?<=\S)(?= \S)).+?(?:\Z|(?=(?<=\S) \S))", re.S)
-        size = max(ranks.values()) + 1
-        self.vocab = [b""] * size
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        #: An id that no token has, at places without one.
+        self.nothing = max(ranks.values()) + 1
+        if self.nothing >= 1 << ID_BITS:
+            raise ValueError(f"ranks of {1 << ID_BITS} and more are not supported")
+        vocab = [b""] * self.nothing
         for token, rank in ranks.items():
-            self.vocab[rank] = token
-        self.lengths = np.array([len(t) for t in self.vocab], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(self.vocab), np.uint8)
+            vocab[rank] = token
+        self.vocab = pa.array(vocab, pa.large_binary())
+        self.decimals = pa.array([b"%d," % k for k in range(self.nothing)], pa.large_binary())
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
-        self.pairs = PairTable(left, right, rank.astype(np.int32))
+        self.pairs = PairTable(left, right, rank)
         self.rank_of = {(a, b): r for a, b, r in pairs}
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.merged: dict[str, list[int]] = {}
-        self.names: list[str] = []
-        self.flat = np.empty(1 << 16, np.int32)
-        self.used = self.held = 0
-        self.at = np.empty(1 << 14, np.int64)
-        self.count = np.empty(1 << 14, np.int64)
-
-    def _remember(self, pieces: list[str], ids: list[list[int]]) -> None:
-        n, lengths = len(self.names), np.array([len(x) for x in ids], np.int64)
-        need = self.used + int(lengths.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(need, len(self.flat)), np.int32)])
-        if n + len(ids) > len(self.at):
-            more = np.empty(max(n + len(ids), len(self.at)), np.int64)
-            self.at, self.count = np.concatenate([self.at[:n], more]), np.concatenate([self.count[:n], more])
-        self.flat[self.used : need] = np.fromiter((i for x in ids for i in x), np.int32, need - self.used)
-        self.count[n : n + len(ids)] = lengths
-        self.at[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.used = need
-        self.slots.update(zip(pieces, range(n, n + len(ids)), strict=True))
-        self.names += [",".join(map(str, x)) for x in ids]
-
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece, by buckets of like length."""
-        out: list = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {}
-        for k, piece in enumerate(pieces):
-            if (whole := self.ranks.get(piece)) is not None:
-                out[k] = [whole]
-            elif len(piece) > LONGEST:
-                out[k] = self._merge_long(piece)
-            else:
-                buckets.setdefault(-(-len(piece) // 3) * 3 if len(piece) < 24 else 1 << (len(piece) - 1).bit_length(), []).append(k)
-        for width, rows in buckets.items():
-            step = max(1, (1 << 16) // width)
-            for i in range(0, len(rows), step):
-                part = rows[i : i + step]
-                for k, ids in zip(part, self._merge_rows([pieces[k] for k in part], width), strict=True):
-                    out[k] = ids
-        return out
-
-    def _merge_rows(self, pieces: list[bytes], width: int) -> list[list[int]]:
-        lengths = np.array([len(p) for p in pieces])
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
-        ids = np.where(np.arange(width) < lengths[:, None], self.single[raw], -1).astype(np.int32)
-        done: list = [None] * len(pieces)
-        rows = np.arange(len(pieces))
-        rank = self.pairs.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), -1)
-        while len(rows):
-            best = rank.argmin(axis=1)
-            low = rank[np.arange(len(rows)), best]
-            if (low == NONE).any():
-                for k in np.flatnonzero(low == NONE):
-                    x = ids[k]
-                    done[rows[k]] = x[x >= 0].tolist()
-                go = low != NONE
-                rows, ids, rank, best, low = rows[go], ids[go], rank[go], best[go], low[go]
-                if not len(rows):
-                    break
-            here = np.arange(len(rows))
-            ids[here, best] = low
-            keep = np.ones(ids.shape, bool)
-            keep[here, best + 1] = False
-            ids = ids[keep].reshape(len(rows), -1)
-            keep = np.ones(rank.shape, bool)
-            keep[here, best] = False
-            rank = rank[keep].reshape(len(rows), -1)
-            if not ids.shape[1] > 1:
-                for k, x in zip(rows, ids, strict=True):
-                    done[k] = x.tolist()
+        self.known = pa.RecordBatch.from_pylist([], KNOWN)
+        self.held = 0
+
+    def merge(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces (large binary), one after the other, and how many each has; by buckets of like length."""
+        data, offsets = joined(pieces)
+        lengths = np.diff(offsets)
+        whole = np.where(lengths > 0, pc.fill_null(pc.index_in(pieces, value_set=self.vocab), -1).to_numpy(), -1)
+        width = np.where(lengths < 24, -(-lengths // 3) * 3, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
+        width[(whole >= 0) | (lengths > LONGEST)] = 0
+        rows = np.flatnonzero(whole >= 0)
+        done = [(rows, whole[rows].astype(np.int32), np.ones(len(rows), np.int64))]
+        for k in np.flatnonzero(lengths > LONGEST):
+            if whole[k] < 0:
+                ids = np.array(self._merge_long(data[offsets[k] : offsets[k + 1]]), np.int32)
+                done.append((np.array([k]), ids, np.array([len(ids)])))
+        for w in np.unique(width[width > 0]).tolist():
+            rows = np.flatnonzero(width == w)
+            for part in np.array_split(rows, -(-len(rows) * w >> 16)):
+                done.append((part, *self._merge_rows(data, offsets[part], lengths[part], w)))
+        rows, ids, count = map(np.concatenate, zip(*done, strict=True))
+        counts = np.zeros(len(pieces), np.int64)
+        counts[rows] = count
+        return joined(binaries(ids, 4 * np.cumsum(count)).take(pa.array(np.argsort(rows))))[0].view(np.int32), counts
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of pieces of up to `width` bytes. A column is a piece, with a row for each place and one of nothing
+        below, which is also what comes before the first place."""
+        n, place = len(starts), np.arange(width)[:, None]
+        ids = np.full((width + 1, n), self.nothing, np.int32)
+        ids[:width] = np.where(place < lengths, self.single[data.take(starts + place, mode="clip")], self.nothing)
+        key = np.full((width + 1, n), NONE, np.int32)
+        key[:width] = self.pairs.get(ids[:-1].ravel(), ids[1:].ravel(), np.repeat(place, n)).reshape(width, n)
+        after = np.repeat(np.arange(1, width + 2), n)
+        before = np.repeat(np.arange(-1, width), n)
+        before[:n] = width
+        ids, column = ids.ravel(), np.arange(n)
+        while True:
+            low = key.min(axis=0)
+            live = np.flatnonzero(low != NONE)
+            if not len(live):
                 break
-            right = best < rank.shape[1]
-            rank[here[right], best[right]] = self.pairs.get(ids[here[right], best[right]], ids[here[right], best[right] + 1])
-            left = best > 0
-            rank[here[left], best[left] - 1] = self.pairs.get(ids[here[left], best[left] - 1], ids[here[left], best[left]])
-        return done
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
+            if 2 * len(live) <= len(column):
+                key, low, column, live = key[:, live], low[live], column[live], np.arange(len(live))
+            low, c = low[live].astype(np.int64), column[live]
+            here, rank = low & (LONGEST - 1), low >> PLACE_BITS
+            at = here * n + c
+            gone = after[at]
+            dead = gone * n + c
+            right = after[dead]
+            left = before[at]
+            ids[at], ids[dead] = rank, self.nothing
+            after[at] = right
+            before[right * n + c] = here
+            key[gone, live] = NONE
+            key[here, live] = self.pairs.get(rank, ids[right * n + c], here)
+            key[left, live] = self.pairs.get(ids[left * n + c], rank, left)
+        ids = ids[: width * n].reshape(width, n).T
+        there = ids != self.nothing
+        return ids[there], there.sum(axis=1)
+
+    def _merge_long(self, piece: np.ndarray) -> list[int]:
+        ids = self.single[piece].tolist()
         n = len(ids)
         after, before, get = list(range(1, n + 1)), list(range(-1, n - 1)), self.rank_of.get
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
@@ -190,40 +190,55 @@ class Bpe:
                 heapq.heappush(heap, (s, h, ids[h], r))
         return [x for x in ids if x >= 0]
 
-    def units(self, text: str) -> list[str]:
-        """Parts of the text that the pattern cuts each for itself: it never joins what stands on both sides of a
-        single space between two visible characters, but for that space itself, which goes to the right. Of another
-        pattern than PATTERN that isn't known, and the text is one part."""
-        if not self.cuts:
-            return [text]
-        words = text.split(" ")
-        if len(words) > 1 and all(map(self.visible, words)):
-            return [words[0], *(" " + w for w in words[1:])]
-        return [text[m.start() : m.end()] for m in self.apart.finditer(text)]
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and how many each text has."""
+        blocks, loose, count = [], [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            if len(text) <= AT_ONCE and not self.pattern.groups:
+                parts = [self.pattern.findall(text)]
+            else:
+                found = (m[0] for m in self.pattern.finditer(text))
+                parts = iter(lambda found=found: list(islice(found, AT_ONCE)), [])
+            for part in parts:
+                count[k] += len(part)
+                loose += part
+                if len(loose) >= AT_ONCE:
+                    blocks.append(pa.array(loose, pa.large_string()))
+                    loose = []
+        return pa.concat_arrays([*blocks, pa.array(loose, pa.large_string())]), count
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts and the n + 1 places between texts in them; their decimals, a comma behind each, and the
+        places between texts in those. The texts' new pieces are merged together."""
+        pieces, count = self._cut(texts)
+        coded = pieces.cast(pa.large_binary()).dictionary_encode()
+        slot = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known["piece"]), -1).to_numpy().copy()
+        if (new := slot < 0).any():
+            fresh = coded.dictionary.filter(pa.array(new))
+            ids, counts = self.merge(fresh)
+            ends = np.cumsum(counts)
+            decimals, places = joined(self.decimals.take(pa.array(ids)))
+            slot[new] = np.arange(self.known.num_rows, self.known.num_rows + len(fresh))
+            rows = pa.RecordBatch.from_arrays([fresh, binaries(ids, 4 * ends), binaries(decimals, places[ends])], schema=KNOWN)
+            self.known = pa.concat_batches([self.known, rows])
+        slots = pa.array(slot[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids, at = joined(self.known["ids"].take(slots))
+        decimals, places = joined(self.known["decimals"].take(slots))
+        # the columns, a copy of them as they grow, and what index_in makes of the pieces
+        self.held = 3 * self.known.nbytes
+        if self.known.num_rows > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.forget()
+        return ids.view(np.int32), at[ends] // 4, decimals, places[ends]
 
     def encode(self, texts: list[str]):
-        """For each text its ids, as an array and as comma-joined decimals; the texts' new pieces are merged together."""
-        cut = list(map(self.units, texts))
-        new = set().union(*cut).difference(self.slots)
-        if len(self.names) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.forget()
-            new = set().union(*cut)
-        if new:
-            units = list(new)
-            pieces = list(map(self.pattern.findall, units))
-            fresh = list(set().union(*pieces).difference(self.merged))
-            self.merged.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
-            ids = [[i for p in x for i in self.merged[p]] for x in pieces]
-            self._remember(units, ids)
-            # a unit with its ids and decimals, a piece with its list
-            self.held += sum(200 + 4 * len(u) + 10 * len(x) for u, x in zip(units, ids, strict=True)) + sum(200 + 4 * len(p) + 40 * len(self.merged[p]) for p in fresh)
-        for units in cut:
-            slots = list(map(self.slots.__getitem__, units))
-            at = np.array(slots, np.int64)
-            yield self.flat[ranges(self.at[at], self.count[at])], ",".join(map(self.names.__getitem__, slots))
+        """For each text its ids, as an array and as comma-joined decimals."""
+        ids, at, decimals, places = self.tokens(texts)
+        for k in range(len(texts)):
+            yield ids[at[k] : at[k + 1]], decimals[places[k] : places[k + 1]].tobytes().decode().rstrip(",")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return self.bytes[ranges(self.starts[ids], self.lengths[ids])].tobytes()
+        return joined(self.vocab.take(pa.array(ids)))[0].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -242,10 +257,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(batches):
         bpe = load(path, pattern)
         for part in chunks(batches, text):
-            found = [ids for ids, _ in bpe.encode(texts_of(part.column(text)).to_pylist())]
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.empty(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            flat, at, _, _ = bpe.tokens(texts_of(part.column(text)).to_pylist())
+            column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), column], names=[*names, ids])
 
     return mapped(df, run, schema)
@@ -272,11 +285,15 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
     def run(batches):
         bpe = load(path, pattern)
         for part in chunks(batches, text):
+            whole = texts_of(part.column(text))
+            ids, at, decimals, places = bpe.tokens(whole.to_pylist())
+            back, ends = joined(bpe.vocab.take(pa.array(ids)))
+            (said, spots), ends = buffers(whole), ends[at]
             rows = []
-            whole = texts_of(part.column(text)).to_pylist()
-            for t, (ids, joined) in zip(whole, bpe.encode(whole), strict=True):
-                back = bpe.decode(ids)
-                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == t.encode()))
+            for k in range(len(whole)):
+                own, same = back[ends[k] : ends[k + 1]], np.array_equal(back[ends[k] : ends[k + 1]], said[spots[k] : spots[k + 1]])
+                listed = decimals[places[k] : max(places[k], places[k + 1] - 1)]
+                rows.append((int(at[k + 1] - at[k]), hashlib.sha256(listed).hexdigest(), hashlib.sha256(own).hexdigest(), same))
             yield batch(schema, part.column(key).cast(pa.int64()), *map(list, zip(*rows, strict=True)))
 
     return mapped(df.select(key, text), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers as P
 import tiktoken
@@ -160,6 +161,52 @@ def test_bpe_remembers_so_many_bytes_of_texts_without_spaces():
     assert max(sizes) < 2 * bpe.REMEMBERED_BYTES and sizes[-1] < sum(sizes[:2])  # it starts anew now and then
 
 
+def made_words(n, seed):
+    rng = random.Random(seed)
+    parts = ["an", "ha", "tion", "ble", "éau", "ß", "th", "re", "ing", "ó", "wh", "st", "en", "li"]
+    return sorted({"".join(rng.choices(parts, k=rng.randrange(3, 8))) for _ in range(n)})
+
+
+def test_bpe_merges_a_word_once_for_each_worker(monkeypatch):
+    model = bpe.Bpe(bpe.load(PATH, P.PATTERN).ranks, P.PATTERN)
+    merged, merge = [], bpe.Bpe.merge
+    monkeypatch.setattr(bpe.Bpe, "merge", lambda self, pieces: merged.append(len(pieces)) or merge(self, pieces))
+    words = made_words(260_000, 3)
+    assert len(words) > 150_000
+    for _ in range(2):
+        for k in range(0, len(words), 20_000):
+            list(model.encode(["".join(" " + w for w in words[k : k + 20_000])]))
+    assert sum(merged) == len(words)
+
+
+def test_bpe_takes_little_longer_than_its_pattern():
+    model = bpe.Bpe(bpe.load(PATH, P.PATTERN).ranks, P.PATTERN)
+    words, rng = made_words(80_000, 4), random.Random(5)
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(600)]
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            model.forget()
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: list(model.encode(texts))) < 5 * seconds(lambda: [model.pattern.findall(t) for t in texts])
+
+
+def test_bpe_pieces_of_all_lengths_and_patterns_with_groups():
+    ranks, rng = bpe.load(PATH, P.PATTERN).ranks, random.Random(8)
+    texts = ["".join(rng.choices("aaabtehé漢", k=k)) for k in range(540)] + ["x1 " * 100_000]
+    for pattern, plain in ((P.PATTERN, P.PATTERN), (r"(\w)\w*|(\W)", r"\w+|\W"), (r"\w*", r"\w+")):  # the last has empty matches
+        library = tiktoken.Encoding("own", pat_str=plain, mergeable_ranks=ranks, special_tokens={})
+        for text, (ids, joined) in zip(texts, bpe.Bpe(ranks, pattern).encode(texts), strict=True):
+            expected = library.encode_ordinary(text)
+            assert ids.tolist() == expected
+            assert joined == ",".join(map(str, expected))
+
+
 def lcs(a, b):
     row = np.zeros(len(b) + 1, int)
     for x in a:
