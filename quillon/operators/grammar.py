@@ -115,21 +115,27 @@ def parse(sentences: DataFrame, g: Grammar, words: str = "words", tags: str = "t
     keep = [c for c in sentences.columns if c not in ("parse_str", "score", "status")]
 
     def run(batches):
+        rules, other = chart.Rules(g), len(g.names)
         for batch in batches:
-            rows, said = _numbered(g, batch.column(tags).to_pylist()), batch.column(words).to_pylist()
+            rows, said = sequences.numbered(batch.column(tags), g.numbers, other), batch.column(words).to_pylist()
             n = [len(w) if w is not None else 0 for w in said]
-            places: dict = {}
+            places: dict[bytes, list[int]] = {}
             for k, s in enumerate(rows):
-                if s and len(s) == n[k] <= most_words:
+                if 0 < len(s) // 4 == n[k] <= most_words:
                     places.setdefault(s, []).append(k)
             out = [(None, None, "empty" if not size else "too_long" if size > most_words else "no_parse") for size in n]
-            some = list(places)
-            for own, at in chart.by_length(some, g):
-                best, charts = chart.best(g, at)
+            each = [(s, np.frombuffer(s, np.int32)) for s in places]
+            some = [(s, own) for s, own in each if (own < other).all()]
+            for own in chart.alike([len(x) for _, x in some], g):
+                sizes = np.array([len(some[k][1]) for k in own])
+                at = np.full((len(own), sizes.max()), other, np.int64)
                 for r, k in enumerate(own):
-                    if np.isfinite(best[r]):
-                        for place in places[some[k]]:
-                            out[place] = (chart.tree(g, charts, r, said[place]), float(best[r]), "ok")
+                    at[r, : sizes[r]] = some[k][1]
+                best, frames = chart.trees(g, rules, at, sizes)
+                for k, score, frame in zip(own, best.tolist(), frames, strict=True):
+                    if frame is not None:
+                        for place in places[some[k][0]]:
+                            out[place] = (chart.worded(frame, said[place]), score, "ok")
             columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "parse_str", "score", "status"])
 

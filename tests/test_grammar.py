@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,36 @@ def test_scores_of_odd_sentences(spark):
     found = {r.k: r.inside for r in grammar.scores(df, g).collect()}
     assert [found[k] is None for k in range(7)] == [False, False, True, True, True, True, True]
     assert found[0] == pytest.approx(math.log(0.5)) and found[1] == pytest.approx(math.log(0.25))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_trees_of_unequal_sentences_equal_those_of_single_charts(seed):
+    rng = random.Random(seed)
+    g = Grammar(random_grammar(rng))
+    own = [g.numbers[t] for t in "SABCxyz" if t in g.numbers]
+    said = [[rng.choice(own[-3:]) for _ in range(rng.randint(1, 12))] for _ in range(60)] + [[rng.choice(own)] for _ in range(5)]
+    rules, seen = chart.Rules(g), []
+    for places in chart.alike([len(s) for s in said], g):
+        seen += places
+        sizes = np.array([len(said[k]) for k in places])
+        tags = np.full((len(places), sizes.max()), len(g.names))
+        for r, k in enumerate(places):
+            tags[r, : sizes[r]] = said[k]
+        for k, score, frame in zip(places, *chart.trees(g, rules, tags, sizes), strict=True):
+            best, charts = chart.best(g, np.array([said[k]]))
+            assert score == best[0]
+            words = [f"w{i}" for i in range(len(said[k]))]
+            assert (frame and chart.worded(frame, words)) == (chart.tree(g, charts, 0, words) if np.isfinite(score) else None)
+    assert sorted(seen) == list(range(len(said)))
+
+
+def test_parsing_makes_charts_for_many_sentences_at_a_time(spark, treebank, monkeypatch):
+    calls = []
+    monkeypatch.setattr(chart, "trees", lambda g, r, tags, sizes: calls.append(len(sizes)) or (np.full(len(sizes), -np.inf), [None] * len(sizes)))
+    g, plans = Grammar([("S", "x", "y", 0.5), ("S", "x", "S", 0.5)]), []
+    frame = spark.createDataFrame([(["w"] * 2, ["x"] * 2)], "words array<string>, tags array<string>")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: plans.append(run) or self)
+    grammar.parse(frame, g)
+    tags = [[*t] for t in {"".join(rng) for n in (16, 15, 14) for rng in (random.Random(k).choices("xy", k=n) for k in range(300))}]
+    out = list(plans[0]([pa.RecordBatch.from_arrays([pa.array([["w"] * len(t) for t in tags]), pa.array(tags)], names=["words", "tags"])]))
+    assert out[0].num_rows == len(tags) and sum(calls) == len(tags) and len(calls) <= 3
