@@ -381,3 +381,16 @@ def test_patterns_and_comparisons_take_what_tasks_sum(spark):
     assert pmi(parts) == pmi(sums) != []
     found = [r.pattern for r in motifs.patterns(df).collect()]
     assert len(found) == len(set(found)) and set(found) == {r.pattern for r in sums.collect()}
+
+
+def test_chunks_move_no_row(spark):
+    """Cuts go to the tasks; only rows of one place on both sides of a cut are numbered, and cuts beyond MOST_CUTS."""
+    rows = [(d, s, None, f"d{k:02}", i, "t", "(S)") for d in "ab" for s in ("gpt", None) for k in range(9) for i in range(0, 2 * (k + 1), 2)]
+    df = spark.createDataFrame(rows, "domain string, source string, author string, doc_id string, sent_idx int, sent_text string, parse_str string").repartition(3)
+    keys = ["domain", "source"]
+    cut = motifs.in_chunks(df, keys, 7, df.drop("parse_str"))
+    assert "Window" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    want = {(r[0], r[1], r[3], r[4]): k for d in "ab" for s in ("gpt", None) for k, r in ((n // 6, r) for n, r in enumerate(sorted((r for r in rows if r[:2] == (d, s)), key=lambda r: r[3:5])))}
+    assert {(r.domain, r.source, r.doc_id, r.sent_idx): r.chunk for r in cut.collect()} == want
+    tied = motifs.in_chunks(df.withColumn("sent_idx", F.lit(1)), keys, 7)
+    assert {r["count"] for r in tied.where("chunk < 7").groupBy(*keys, "chunk").count().collect()} == {6}
