@@ -186,3 +186,12 @@ def test_only_parts_of_wanted_patterns_are_put_together():
         some = Forest(wanted=wanted)
         assert [list(some.hits(some.root(t))) for t in texts] == [[h for h in own if h[1] in wanted] for own in every]
         assert n > 5 or len(some.patterns) <= sum(w.count("(") for w in wanted) < len(names) / 4
+
+
+def test_a_phrase_of_leaves_is_one_node():
+    forest = Forest()
+    root = forest.root("(S (NP (DT the) (np x) (NN cat)) (VP (VBD sat)) (NP (DT a) (np y) (NN b)))")
+    assert len(forest.labels) == 3 and forest.types(root) == ("SIMPLE", "OTHER")
+    found = [(p, a, b) for _, p, a, b in forest.hits(root)]
+    assert found.count(("(NP (DT) (np) (NN))", 0, 3)) == 3 and found.count(("(NP (DT) (np) (NN))", 4, 7)) == 3
+    assert forest.sums(Counter({root: 2}))[forest.numbers["(NP (DT) (np) (NN))"]] == 12
