@@ -137,6 +137,48 @@ def motifs(parses: DataFrame, parse: str = "parse_str", most: int = 4, least: in
     return parses.mapInArrow(run, T.StructType([*parses.select(keep).schema.fields, *T.StructType.fromDDL("pattern string, words string, place int").fields]))
 
 
+def summed_motifs(parses: DataFrame, keys: list[str], parse: str = "parse_str", most: int = 4, least: int = 2, min_terminals: int = 2, limit: int = LIMIT) -> DataFrame:
+    """keys, pattern, words, cnt: what motifs() gives, summed within each task before it leaves the worker; a row may come
+    more than once. A pattern that is cut alike at several depths has its words put together once. The forest and the sums
+    take some `limit` bytes each."""
+
+    def run(batches):
+        forest, seen, size = Forest(most, least, min_terminals), {}, 0
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for *key, text in zip(*columns, batch.column(parse).to_pylist(), strict=True):
+                root = forest.root(text) if text is not None else None
+                if root is None or not forest.hit[root]:
+                    continue
+                said, at = words(text), None
+                for _, motif, a, b in forest.hits(root):
+                    if at != (a, b):
+                        at, spoken = (a, b), " ".join(said[a:b])
+                    row = (*key, motif, spoken)
+                    if row in seen:
+                        seen[row] += 1
+                    else:
+                        seen[row] = 1
+                        size += 350 + len(motif) + len(spoken)
+                if forest.size > limit:
+                    forest = Forest(most, least, min_terminals)
+                if size > limit:
+                    yield from _rows(seen)
+                    seen, size = {}, 0
+        yield from _rows(seen)
+
+    def _rows(seen):
+        rows = list(seen)
+        for k in range(0, len(rows), 10_000):
+            columns = [*zip(*rows[k : k + 10_000], strict=True), [seen[r] for r in rows[k : k + 10_000]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    schema = T.StructType([*parses.select(*keys).schema.fields, *T.StructType.fromDDL("pattern string, words string, cnt long").fields])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+    kinds = to_arrow_schema(schema)
+    return parses.select(*keys, parse).mapInArrow(run, schema)
+
+
 def first_motifs(parses: DataFrame, keys: list[str], order: list[str], n: int, parse: str = "parse_str", sentence: str = "sent_text", most: int = 4, least: int = 2, min_terminals: int = 2, wanted: frozenset[str] | None = None, limit: int = LIMIT, flush: int = SUMS) -> DataFrame:
     """keys, pattern, words, order and sentence: for each task the first n motifs with different words of each key and
     pattern. Words that aren't among a task's first n can't be among the first n of all, so what a task hands on merges, and

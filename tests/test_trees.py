@@ -195,3 +195,14 @@ def test_a_phrase_of_leaves_is_one_node():
     found = [(p, a, b) for _, p, a, b in forest.hits(root)]
     assert found.count(("(NP (DT) (np) (NN))", 0, 3)) == 3 and found.count(("(NP (DT) (np) (NN))", 4, 7)) == 3
     assert forest.sums(Counter({root: 2}))[forest.numbers["(NP (DT) (np) (NN))"]] == 12
+
+
+def test_summed_motifs_are_those_of_motifs(spark):
+    said = ["(S (NP (DT the) (NN cat)) (VP (VBD sat)))", "(S (NP (DT a) (NN cat)) (SBAR (WDT that) (S (NP (NN x) (. .)))))", "(S", None, "(FRAG)"]
+    df = spark.createDataFrame([(k % 2, said[k % 5]) for k in range(400)], "k int, parse_str string").repartition(3)
+    for limit in (1, 1 << 20):
+        own = trees.summed_motifs(df, ["k"], limit=limit)
+        want = trees.motifs(df).groupBy("k", "pattern", "words").count()
+        assert sorted(map(tuple, own.groupBy("k", "pattern", "words").sum("cnt").collect())) == sorted(map(tuple, want.collect()))
+    # equal motifs of a task leave it once: fewer rows than motifs
+    assert trees.summed_motifs(df, ["k"]).count() < trees.motifs(df).count() / 3
